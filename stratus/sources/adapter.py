@@ -166,11 +166,14 @@ CITY_SQL = """select r_name as city from region where r_name <> 'AFRICA'
  union all select 'EAST' as city"""
 
 
-def with_views(body: str, raw: bool = False, cities: bool = False) -> str:
-    """Prefix an oracle query with the adapter views it needs as CTEs."""
-    ctes = [f"obs as ({OBS_SQL})"]
+def with_views(body: str, raw: bool = False, cities: bool = False,
+               ctes: tuple[str, ...] | list[str] = ()) -> str:
+    """Prefix an oracle query with the adapter views it needs as CTEs, then
+    any further ``name as (...)`` CTEs of the query itself."""
+    parts = [f"obs as ({OBS_SQL})"]
     if raw:
-        ctes.append(f"raw_obs as ({RAW_OBS_SQL})")
+        parts.append(f"raw_obs as ({RAW_OBS_SQL})")
     if cities:
-        ctes.append(f"cities as ({CITY_SQL})")
-    return "with " + ",\n".join(ctes) + "\n" + body
+        parts.append(f"cities as ({CITY_SQL})")
+    parts.extend(ctes)
+    return "with " + ",\n".join(parts) + "\n" + body
