@@ -33,4 +33,4 @@ def _obs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Load the query modules so their ``register`` calls run.
-from . import queries_core, queries_more  # noqa: E402,F401
+from . import queries_core, queries_io, queries_more  # noqa: E402,F401
