@@ -41,48 +41,54 @@ def _any_not_null(cols: list[str]) -> Column:
 
 
 def _annotate(df: DataFrame, floor, na_tokens: bool):
-    """Typed columns plus one boolean per drop reason; returns (frame, measures)."""
+    """Typed columns plus one boolean per drop reason; returns (frame, measures).
+
+    Three projections, each expression evaluated once: (1) blank/missing
+    cells to NULL and whitespace stripped, (2) dates and numbers parsed,
+    (3) the average-temperature fill and the drop flags.
+    """
     cols = [c for c in df.columns if not c.endswith(S.ATTRIBUTE_SUFFIX)]          # C3
     data_cols = [c for c in cols if c not in S.BASE_COLS]
     measures = [m for m in S.KEEP_MEASURES if m in cols]
     floor = _as_date(floor)
+    is_text = {c: isinstance(df.schema[c].dataType, T.StringType) for c in cols}
 
-    # Blanks and missing tokens -> NULL, every column (text frames only).
-    blanked = df.select(*[
-        (blank_to_null(c, na_tokens) if isinstance(df.schema[c].dataType, T.StringType)
-         else F.col(c)).alias(c) for c in cols])
+    # (1) C2 blanks and missing tokens -> NULL (every column), C0/C7 strip.
+    text = df.select(*[
+        (strip(blank_to_null(c, na_tokens)) if is_text[c] else F.col(c)).alias(c) for c in cols])
 
     def num(c):
-        dt = blanked.schema[c].dataType
-        return parse_number(c) if isinstance(dt, T.StringType) else F.col(c).cast("double")
-
-    def txt(c):
-        dt = blanked.schema[c].dataType
-        return strip(c) if isinstance(dt, T.StringType) else F.col(c).cast("string")
+        return parse_number(c) if is_text[c] else F.col(c).cast("double")
 
-    date = (parse_date("DATE") if isinstance(blanked.schema["DATE"].dataType, T.StringType)
-            else F.col("DATE").cast("date"))
-    typed = blanked.select(
-        txt("STATION").alias("STATION"), date.alias("DATE"),
+    # (2) C8 date, C9 numbers; raw measure cells kept to count failed parses.
+    typed = text.select(
+        F.col("STATION").cast("string").alias("STATION"),
+        (parse_date("DATE") if is_text["DATE"] else F.col("DATE").cast("date")).alias("DATE"),
         num("LATITUDE").alias("LATITUDE"), num("LONGITUDE").alias("LONGITUDE"),
-        num("ELEVATION").alias("ELEVATION"), txt("NAME").alias("NAME"),
+        num("ELEVATION").alias("ELEVATION"), F.col("NAME").cast("string").alias("NAME"),
         *[num(m).alias(m) for m in measures],
-        # Flags of the early row drops need the untyped cells.
         (~_any_not_null(cols)).alias("_empty"),                                  # C4
         (~_any_not_null(data_cols)).alias("_no_data"),                           # C5
-        *[(F.col(m).isNotNull() & num(m).isNull()).alias(f"_bad_{m}") for m in measures],
+        *[F.col(m).isNotNull().alias(f"_had_{m}") for m in measures],
     )
+    # (3) C10 fill, then flags. The non-deterministic column is an optimizer
+    # barrier: without it the row filter would be pushed below these
+    # projections with every parse expression inlined into the predicate.
+    typed = typed.withColumns({f"_bad_{m}": F.col(f"_had_{m}") & F.col(m).isNull()
+                               for m in measures})
+    fills = {}
     if "TMAX" in measures and "TMIN" in measures:                                # C10
         fill = row_mean("TMAX", "TMIN")
-        typed = typed.withColumn("TAVG", F.coalesce(F.col("TAVG"), fill)
-                                 if "TAVG" in measures else fill)
+        fills["TAVG"] = F.coalesce(F.col("TAVG"), fill) if "TAVG" in measures else fill
         if "TAVG" not in measures:
             measures = measures + ["TAVG"]
+    typed = typed.withColumns(fills) if fills else typed
     temps = [c for c in S.TEMP_COLS if c in measures]
     out_of_limits = reduce(lambda a, b: a | b,
                            [F.coalesce(~F.col(c).between(S.TEMP_LOWER, S.TEMP_UPPER),
                                        F.lit(False)) for c in temps], F.lit(False))
     typed = typed.withColumns({
+        "_barrier": F.spark_partition_id(),
         "_bad_date": F.col("DATE").isNull(),                                     # C8
         "_before_floor": (F.col("DATE") < F.lit(floor)) if floor is not None
                          else F.lit(False),                                      # C8b
@@ -92,8 +98,10 @@ def _annotate(df: DataFrame, floor, na_tokens: bool):
 
 
 def _kept(typed: DataFrame) -> Column:
-    return ~(F.col("_empty") | F.col("_no_data") | F.col("_bad_date")
-             | F.coalesce(F.col("_before_floor"), F.lit(False)) | F.col("_out_of_limits"))
+    # Referencing the barrier column keeps it (and so the barrier) in the plan.
+    return (~(F.col("_empty") | F.col("_no_data") | F.col("_bad_date")
+              | F.coalesce(F.col("_before_floor"), F.lit(False)) | F.col("_out_of_limits"))
+            & (F.col("_barrier") >= 0))
 
 
 def clean_observations(df: DataFrame, floor=None, na_tokens: bool = True) -> DataFrame:

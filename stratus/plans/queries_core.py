@@ -130,8 +130,8 @@ def date_range(spark, sf_dir):
 
 
 @register("audit_counts", with_views(
-    "select count(*) as total_rows, count_if(DATE < DATE '1996-01-01') as before_floor, "
-    "count(TSUN) as tsun_non_null, count_if(TSUN > 0) as tsun_positive, "
+    "select count(*) as total_rows, cast(count_if(DATE < DATE '1996-01-01') as bigint) as before_floor, "
+    "count(TSUN) as tsun_non_null, cast(count_if(TSUN > 0) as bigint) as tsun_positive, "
     "count(WT01) as wt01_non_null, count(WT08) as wt08_non_null, count(WT16) as wt16_non_null "
     "from obs"))
 def audit_counts(spark, sf_dir):

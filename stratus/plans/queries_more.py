@@ -74,12 +74,13 @@ def clean_observations(spark, sf_dir):
 
 
 @register("clean_report", _with_clean(
-    CLEAN_FLOOR, "select count(*) as rows_in, count_if(e) as dropped_empty, "
-    "count_if(not e and nd) as dropped_no_data, count_if(not e and not nd and bd) as dropped_bad_date, "
-    "count_if(not e and not nd and not bd and bf) as dropped_before_floor, "
-    "count_if(not (e or nd or bd or bf) and ol) as dropped_out_of_limits, "
-    "count_if(not (e or nd or bd or bf or ol)) as rows_out, "
-    + ", ".join(f"count_if(not (e or nd or bd or bf) and bad_{m}) as unparsed_{m}"
+    CLEAN_FLOOR, "select count(*) as rows_in, count(*) filter (where e) as dropped_empty, "
+    "count(*) filter (where not e and nd) as dropped_no_data, "
+    "count(*) filter (where not e and not nd and bd) as dropped_bad_date, "
+    "count(*) filter (where not e and not nd and not bd and bf) as dropped_before_floor, "
+    "count(*) filter (where not (e or nd or bd or bf) and ol) as dropped_out_of_limits, "
+    "count(*) filter (where not (e or nd or bd or bf or ol)) as rows_out, "
+    + ", ".join(f"count(*) filter (where not (e or nd or bd or bf) and bad_{m}) as unparsed_{m}"
                 for m in _RAW_MEASURES) + " from k"))
 def clean_report(spark, sf_dir):
     return C.clean_report(raw_observations(spark, sf_dir), floor=CLEAN_FLOOR)

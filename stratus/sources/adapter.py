@@ -16,8 +16,22 @@ from pyspark.sql import functions as F
 from ..operators.joins import sized_broadcast
 
 
+# Analysed plans of the views, per session and folder. Building the joined
+# view costs file listing and analysis on the driver; the plan itself is
+# immutable, so every query reuses it (no data is cached).
+_PLANS: dict[tuple, DataFrame] = {}
+
+
+def _memo(spark: SparkSession, key: tuple, build) -> DataFrame:
+    k = (id(spark._jsparkSession),) + key
+    if k not in _PLANS:
+        _PLANS[k] = build()
+    return _PLANS[k]
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return _memo(spark, ("table", sf_dir, name),
+                 lambda: spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet")))
 
 
 def _station_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +60,15 @@ def _name_expr() -> F.Column:
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clean observation rows (schema of the stored table minus CITY_NAME)."""
+    return _memo(spark, ("obs", sf_dir), lambda: _observations(spark, sf_dir))
+
+
+def raw_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All-text rows as a raw station file would hold them (for cleaning)."""
+    return _memo(spark, ("raw_obs", sf_dir), lambda: _raw_observations(spark, sf_dir))
+
+
+def _observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     ln = F.col("l_linenumber")
     qty = F.col("l_quantity")
     disc100 = F.round(F.col("l_discount") * 100)
@@ -78,8 +101,7 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def raw_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All-text rows as a raw station file would hold them (for cleaning)."""
+def _raw_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     ln = F.col("l_linenumber")
     pk = F.col("l_partkey")
     qty = F.col("l_quantity")
