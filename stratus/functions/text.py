@@ -37,13 +37,27 @@ def blank_to_null(c: str | Column, na_tokens: bool = True) -> Column:
     return F.when(missing, F.lit(None).cast("string")).otherwise(col)
 
 
-def parse_number(c: str | Column) -> Column:
+def clean_text(c: str | Column, na_tokens: bool = True) -> Column:
+    """Stripped text; NULL for a blank cell or a missing-value token.
+
+    Same result as ``strip(blank_to_null(c))`` with a single strip per cell
+    (the repeated strip is one common subexpression).
+    """
+    col = _c(c)
+    s = strip(col)
+    missing = s == ""
+    if na_tokens:
+        missing = missing | col.isin(S.NA_TOKENS)
+    return F.when(missing, F.lit(None).cast("string")).otherwise(s)
+
+
+def parse_number(c: str | Column, stripped: bool = False) -> Column:
     """Text to double; anything that is not a plain number becomes NULL."""
     col = _c(c)
-    return F.when(col.rlike(NUMBER_PATTERN), strip(col).try_cast("double"))
+    return F.when(col.rlike(NUMBER_PATTERN), (col if stripped else strip(col)).try_cast("double"))
 
 
-def parse_date(c: str | Column) -> Column:
+def parse_date(c: str | Column, stripped: bool = False) -> Column:
     """Text to date (year-month-day); anything else becomes NULL."""
-    s = strip(_c(c))
+    s = _c(c) if stripped else strip(_c(c))
     return F.when(s.rlike(DATE_PATTERN), s.try_cast("date"))

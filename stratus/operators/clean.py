@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from .. import schema as S
 from ..functions.measures import row_mean
-from ..functions.text import blank_to_null, parse_date, parse_number, strip
+from ..functions.text import clean_text, parse_date, parse_number
 from .filters import _as_date
 
 
@@ -55,15 +55,15 @@ def _annotate(df: DataFrame, floor, na_tokens: bool):
 
     # (1) C2 blanks and missing tokens -> NULL (every column), C0/C7 strip.
     text = df.select(*[
-        (strip(blank_to_null(c, na_tokens)) if is_text[c] else F.col(c)).alias(c) for c in cols])
+        (clean_text(c, na_tokens) if is_text[c] else F.col(c)).alias(c) for c in cols])
 
     def num(c):
-        return parse_number(c) if is_text[c] else F.col(c).cast("double")
+        return parse_number(c, stripped=True) if is_text[c] else F.col(c).cast("double")
 
     # (2) C8 date, C9 numbers; raw measure cells kept to count failed parses.
     typed = text.select(
         F.col("STATION").cast("string").alias("STATION"),
-        (parse_date("DATE") if is_text["DATE"] else F.col("DATE").cast("date")).alias("DATE"),
+        (parse_date("DATE", stripped=True) if is_text["DATE"] else F.col("DATE").cast("date")).alias("DATE"),
         num("LATITUDE").alias("LATITUDE"), num("LONGITUDE").alias("LONGITUDE"),
         num("ELEVATION").alias("ELEVATION"), F.col("NAME").cast("string").alias("NAME"),
         *[num(m).alias(m) for m in measures],

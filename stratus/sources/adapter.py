@@ -13,7 +13,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.joins import sized_broadcast
+from ..operators.joins import sized_broadcast, spread_small_input
 
 
 # Analysed plans of the views, per session and folder. Building the joined
@@ -34,22 +34,26 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
                  lambda: spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet")))
 
 
+_SUPPLIER_COLS = ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"]
+
+
 def _station_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
     """supplier ⋈ nation ⋈ region, one row per station."""
     region = read_table(spark, sf_dir, "region").select("r_regionkey", "r_name")
     nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
-    supplier = read_table(spark, sf_dir, "supplier").select(
-        "s_suppkey", "s_name", "s_nationkey", "s_acctbal")
+    supplier = read_table(spark, sf_dir, "supplier").select(*_SUPPLIER_COLS)
     geo = nation.join(sized_broadcast(region), F.col("n_regionkey") == F.col("r_regionkey"))
     return supplier.join(sized_broadcast(geo), F.col("s_nationkey") == F.col("n_nationkey"))
 
 
 def _joined(spark: SparkSession, sf_dir: str, columns: list[str]) -> DataFrame:
-    lineitem = read_table(spark, sf_dir, "lineitem").select(*columns)
+    lineitem = spread_small_input(read_table(spark, sf_dir, "lineitem").select(*columns))
     stations = _station_dimension(spark, sf_dir)
-    # The station side grows with the data (suppliers); it is broadcast only
-    # while its size estimate is small, otherwise this is a shuffle join.
-    return lineitem.join(sized_broadcast(stations),
+    # The station side grows with the data (one row per supplier). Its size
+    # is that of the supplier columns plus the nation/region names; it is
+    # broadcast only while that stays small, otherwise this is a shuffle join.
+    supplier = read_table(spark, sf_dir, "supplier").select(*_SUPPLIER_COLS)
+    return lineitem.join(sized_broadcast(stations, size_of=supplier, widen=2.0),
                          F.col("l_suppkey") == F.col("s_suppkey"))
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from ..operators.joins import spread_small_input
 from . import files as FS
 
 # Reader/writer options that keep cells as written: no whitespace trimming,
@@ -47,7 +48,9 @@ def read_raw(spark: SparkSession, paths: list[str] | str,
     paths = [paths] if isinstance(paths, str) else list(paths)
     if columns is None:
         columns = parse_header(FS.read_first_line(spark, paths[0]))
-    return spark.read.options(**READ_OPTIONS).schema(S.raw_schema(columns)).csv(paths)
+    df = spark.read.options(**READ_OPTIONS).schema(S.raw_schema(columns)).csv(paths)
+    # Compressed CSV files cannot be split: spread few large files over the cluster.
+    return spread_small_input(df)
 
 
 def header_groups(spark: SparkSession, pattern: str) -> dict[tuple[str, ...], list[str]]:
