@@ -141,6 +141,22 @@ def snowfall_share(df_grouped: DataFrame, year: int,
     return slices.withColumn("SHARE", F.round(F.col("SNOW") / total, 6))
 
 
+def snowfall_shares_all_years(df_grouped: DataFrame) -> DataFrame:
+    """Each station's share of its year's snowfall, every year at once.
+
+    Year totals are one row per year; they join back to the station sums on
+    YEAR (broadcast, bounded by the number of years) instead of a window
+    that would put each year's stations in one task.
+    """
+    sums = (df_grouped.filter(F.col("NAME").isNotNull())
+            .groupBy(F.year("PERIOD_START").cast("bigint").alias("YEAR"), "NAME")
+            .agg(F.sum("SNOW").alias("SNOW")).filter(F.col("SNOW") > 0))
+    totals = sums.groupBy("YEAR").agg(F.sum("SNOW").alias("_total"))
+    return (sums.join(F.broadcast(totals), on="YEAR")
+            .select("YEAR", "NAME", F.round("SNOW", 6).alias("SNOW"),
+                    F.round(F.col("SNOW") / F.col("_total"), 6).alias("SHARE")))
+
+
 def snowfall_ranking(df_grouped: DataFrame, year: int,
                      min_total: float = S.SNOW_RANK_MIN) -> DataFrame:
     """Stations whose snowfall in a year reaches ``min_total``, largest first."""

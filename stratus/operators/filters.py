@@ -166,3 +166,28 @@ def resolve_date_column(df: DataFrame) -> DataFrame:
         if c.lower() == "date":
             return df.withColumnRenamed(c, "DATE")
     raise ValueError("no DATE column")
+
+
+def iso_date(c: str | Column = "DATE") -> Column:
+    """Date as ``yyyy-MM-dd`` text."""
+    return F.date_format(F.col(c) if isinstance(c, str) else c, "yyyy-MM-dd")
+
+
+def validate_dates(start, end) -> bool:
+    """Both dates parse and start is not after end."""
+    try:
+        s, e = _as_date(start), _as_date(end)
+    except (TypeError, ValueError):
+        return False
+    return s is not None and e is not None and s <= e
+
+
+def validate_inputs(city: str, data_type: str) -> bool:
+    """A non-empty city and a known data-type code."""
+    known = {code for code, _ in S.DATA_TYPE_LABELS}
+    return isinstance(city, str) and bool(city) and data_type in known
+
+
+def data_type_label(code: str) -> str:
+    """Form label of a data-type code, ``Unknown (<code>)`` if unknown."""
+    return dict(S.DATA_TYPE_LABELS).get(code, f"Unknown ({code})")

@@ -421,3 +421,78 @@ def station_choice(spark, sf_dir):
     candidates = stations.join(sized_broadcast(queries), on="STATE").select(
         "QUERY", F.col("STATION").alias("POSITION"), F.col("NAME").alias("CANDIDATE"))
     return NM.choose_station(candidates)
+
+
+# ---------------------------------------------------------------------------
+# Lookups and remaining chart tables (J1, S15, P20, A21, W1, A2 via G2)
+# ---------------------------------------------------------------------------
+
+def _values_sql(rows, names) -> str:
+    def lit(v):
+        return "NULL" if v is None else "'" + str(v).replace("'", "''") + "'"
+    body = ", ".join("(" + ", ".join(lit(v) for v in r) + ")" for r in rows)
+    return f"(values {body}) as t({', '.join(names)})"
+
+
+def _label_rows():
+    type_labels, chart_labels = dict(S.DATA_TYPE_LABELS), dict(S.CHART_LABELS)
+    codes = list(dict.fromkeys([c for c, _ in S.DATA_TYPE_LABELS] + [c for c, _ in S.CHART_LABELS]))
+    return [(c, type_labels.get(c), chart_labels.get(c)) for c in codes]
+
+
+@register("null_profile_labeled", with_views(
+    "select p.COLUMN_NAME, p.NON_NULL, "
+    "coalesce(l.TYPE_LABEL, 'Unknown (' || p.COLUMN_NAME || ')') as TYPE_LABEL, "
+    "coalesce(l.CHART_LABEL, p.COLUMN_NAME) as CHART_LABEL, e.ELEMENT_GROUP, e.MEANING "
+    "from p left join lab l on p.COLUMN_NAME = l.CODE left join el e on p.COLUMN_NAME = e.CODE",
+    ctes=["p as (select * from (select " + ", ".join(
+        f"count({c}) as {c}" for c in S.BASE_COLS + S.KEEP_MEASURES) + " from obs) "
+        f"unpivot (NON_NULL for COLUMN_NAME in ({', '.join(S.BASE_COLS + S.KEEP_MEASURES)})))",
+        "lab as (select * from " + _values_sql(_label_rows(), ["CODE", "TYPE_LABEL", "CHART_LABEL"]) + ")",
+        "el as (select * from " + _values_sql(S.ELEMENTS, ["CODE", "ELEMENT_GROUP", "MEANING"]) + ")"]))
+def null_profile_labeled(spark, sf_dir):
+    from ..operators.audit import null_profile
+    from ..sources.dimensions import with_element_meaning, with_labels
+    prof = null_profile(_obs(spark, sf_dir), S.BASE_COLS + S.KEEP_MEASURES).select(
+        "COLUMN_NAME", "NON_NULL")
+    return with_element_meaning(with_labels(prof, "COLUMN_NAME"), "COLUMN_NAME")
+
+
+@register("station_temperature_metrics", with_views(
+    "select PERIOD_START, TMIN, TAVG, TMAX from g where NAME = (select min(NAME) from obs) "
+    "order by PERIOD_START", ctes=[
+        "g as (select NAME, cast(date_trunc('year', DATE) as date) as PERIOD_START, "
+        "avg(TMIN) as TMIN, avg(TAVG) as TAVG, avg(TMAX) as TMAX from obs "
+        "where NAME is not null and DATE is not null group by all)"]))
+def station_temperature_metrics(spark, sf_dir):
+    obs = _obs(spark, sf_dir)
+    return G.station_metrics(A.station_period_conditions(obs, "Y"), _first_station(obs),
+                             "temperature")
+
+
+@register("control_summary", with_views(
+    "select min(DATE) as min_date, max(DATE) as max_date, count(distinct NAME) as n_stations, "
+    "case when min(NAME) <> '' then trim(split_part(min(NAME), ',', 1)) end as first_city "
+    "from obs"))
+def control_summary(spark, sf_dir):
+    return G.control_summary(_obs(spark, sf_dir))
+
+
+@register("snow_share_all_years", with_views(
+    "select YEAR, NAME, round(SNOW, 6) as SNOW, round(SNOW / sum(SNOW) over (partition by YEAR), 6) "
+    "as SHARE from s", ctes=[
+        "g as (select NAME, cast(year(DATE) as bigint) as YEAR, avg(SNOW) as SNOW from obs "
+        "where NAME is not null and DATE is not null group by all)",
+        "s as (select YEAR, NAME, sum(SNOW) as SNOW from g group by all having sum(SNOW) > 0)"]))
+def snow_share_all_years(spark, sf_dir):
+    return A.snowfall_shares_all_years(_conditions(spark, sf_dir))
+
+
+@register("snow_trend_total", with_views(
+    "select * from (select NAME, cast(date_trunc('year', DATE) as date) as PERIOD_START, "
+    "cast(year(DATE) as varchar) as PERIOD_LABEL, coalesce(sum(SNOW), 0.0) as SNOW from obs "
+    "where NAME is not null and DATE is not null group by all) y "
+    "where NAME in (select distinct NAME from obs where NAME is not null and DATE is not null "
+    "order by NAME limit 20)"))
+def snow_trend_total(spark, sf_dir):
+    return G.snowfall_trend(_obs(spark, sf_dir), metric="total")

@@ -29,9 +29,11 @@ def max_temperature_trend(df: DataFrame, n: int = S.TOP_STATIONS) -> DataFrame:
         "NAME", "PERIOD_START", "PERIOD_LABEL", "TMAX")
 
 
-def snowfall_trend(df: DataFrame, n: int = S.TOP_STATIONS) -> DataFrame:
-    """Yearly mean SNOW of the first ``n`` stations (G2; a mean, as charted)."""
-    yearly = A.station_period_means(df, "Y", ["SNOW"])
+def snowfall_trend(df: DataFrame, n: int = S.TOP_STATIONS, metric: str = "mean") -> DataFrame:
+    """Yearly SNOW of the first ``n`` stations (G2). The chart is titled a
+    total but plots the mean; ``metric="total"`` gives the sum (A2)."""
+    yearly = (A.station_period_snow_totals(df, "Y") if metric == "total"
+              else A.station_period_means(df, "Y", ["SNOW"]))
     return _restrict_to(yearly, first_stations(yearly, n)).select(
         "NAME", "PERIOD_START", "PERIOD_LABEL", "SNOW")
 
@@ -116,3 +118,27 @@ def filtered_observations(df: DataFrame, start=None, end=None) -> DataFrame:
 def filtered_summary(df: DataFrame, start=None, end=None) -> DataFrame:
     """Counts behind the results page."""
     return A.result_summary(filtered_observations(df, start, end))
+
+
+_STATION_METRICS = {
+    "temperature": ["TMIN", "TAVG", "TMAX"],
+    "precipitation": ["PRCP", "SNOW"],
+    "events": ["WT16", "WT08", "WT01"],
+}
+
+
+def station_metrics(df_grouped: DataFrame, station, kind: str = "temperature") -> DataFrame:
+    """One station's period series of a metric group (P20): temperature,
+    precipitation and snow, or event counts; ordered by period."""
+    cols = [c for c in _STATION_METRICS[kind] if c in df_grouped.columns]
+    return (P.station(df_grouped, station).select("PERIOD_START", *cols)
+            .orderBy("PERIOD_START"))
+
+
+def control_summary(df: DataFrame) -> DataFrame:
+    """Date bounds, station count and the city text of the first station
+    (A21): what the station picker and date range are filled from."""
+    from ..functions.names import city_part
+    return df.agg(F.min("DATE").alias("min_date"), F.max("DATE").alias("max_date"),
+                  F.countDistinct("NAME").alias("n_stations"),
+                  city_part(F.min("NAME")).alias("first_city"))
