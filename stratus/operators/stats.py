@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from .joins import sized_broadcast
+from ..session import materialize
+from .joins import DEFAULT_BROADCAST_BYTES, sized_broadcast
 
 QUARTILES = (0.25, 0.5, 0.75)
 QUANTILE_BINS = 1024
@@ -26,6 +27,17 @@ def _qname(p: float) -> str:
     return "q" + f"{p:.6f}".rstrip("0").rstrip(".").replace("0.", "", 1).replace(".", "_")
 
 
+def value_counts(df: DataFrame, group_cols: list[str], value_col: str) -> DataFrame:
+    """Rows per (group, distinct non-NULL value): ``(*group_cols, _v, _c)``.
+
+    The one pass over the input; map-side partial aggregation keeps a hot
+    group from reaching the shuffle as rows.
+    """
+    v = F.col(value_col)
+    return (df.filter(v.isNotNull()).groupBy(*group_cols, v.alias("_v"))
+              .agg(F.count(F.lit(1)).alias("_c")))
+
+
 def exact_quantiles(df: DataFrame, group_cols: list[str], value_col: str,
                     probs=QUARTILES, names: list[str] | None = None,
                     bins: int = QUANTILE_BINS) -> DataFrame:
@@ -36,15 +48,29 @@ def exact_quantiles(df: DataFrame, group_cols: list[str], value_col: str,
     v[floor r] + (v[ceil r] − v[floor r])·(r − floor r). Groups with only
     NULL values yield no row. Group keys must be non-NULL.
     """
+    counts = materialize(value_counts(df, list(group_cols), value_col))
+    return quantiles_from_counts(counts, list(group_cols), probs, names, bins)
+
+
+def quantiles_from_counts(counts: DataFrame, group_cols: list[str], probs=QUARTILES,
+                          names: list[str] | None = None,
+                          bins: int = QUANTILE_BINS) -> DataFrame:
+    """Exact quantiles from per-value counts (see ``value_counts``)."""
     g = list(group_cols)
     names = names or [_qname(p) for p in probs]
-    v = F.col(value_col)
-    counts = (df.filter(v.isNotNull()).groupBy(*g, v.alias("_v"))
-                .agg(F.count(F.lit(1)).alias("_c")))
-    ranges = counts.groupBy(*g).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
-                                    F.sum("_c").alias("_n"))
+    # One row per group, written once: its row count decides the broadcasts
+    # below (a checkpointed frame carries no size estimate of its own).
+    ranges = materialize(counts.groupBy(*g).agg(
+        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_c").alias("_n")))
+    n_groups = ranges.count()
+    row_bytes = 32 + 16 * len(g)
+
+    def bc(frame, rows_per_group=1):
+        fits = n_groups * rows_per_group * row_bytes <= DEFAULT_BROADCAST_BYTES
+        return F.broadcast(frame) if fits else frame
+
     width = F.col("_hi") - F.col("_lo")
-    binned = counts.join(sized_broadcast(ranges), on=g).withColumn(
+    binned = counts.join(bc(ranges), on=g).withColumn(
         "_b", F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / width * bins),
                                         F.lit(bins - 1))).otherwise(F.lit(0)).cast("int"))
     # Rows per bin and the rank at which each bin starts (bins per group <= bins).
@@ -56,21 +82,21 @@ def exact_quantiles(df: DataFrame, group_cols: list[str], value_col: str,
     pos = [F.lit(p) * (F.col("_n") - 1) for p in probs]
     ranks = F.array_distinct(F.array(*[F.floor(r).cast("long") for r in pos],
                                      *[F.ceil(r).cast("long") for r in pos]))
-    need = (ranges.select(*g, F.explode(ranks).alias("_k"))
+    need = (bc(ranges.select(*g, F.explode(ranks).alias("_k")), 2 * len(probs))
             .join(per_bin, on=g)
             .filter((F.col("_k") >= F.col("_bstart")) & (F.col("_k") < F.col("_bend")))
             .select(*g, "_b", "_k", "_bstart"))
     needed_bins = need.select(*g, "_b").distinct()
     # Order only the needed bins; cumulative counts give each value's ranks.
     wv = Window.partitionBy(*g, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ordered = (binned.join(needed_bins, on=g + ["_b"], how="left_semi")
+    ordered = (binned.join(bc(needed_bins, 2 * len(probs)), on=g + ["_b"], how="left_semi")
                .withColumn("_vend", F.sum("_c").over(wv))
                .withColumn("_vstart", F.col("_vend") - F.col("_c")))
-    hits = (need.join(ordered, on=g + ["_b"])
+    hits = (bc(need, 2 * len(probs)).join(ordered, on=g + ["_b"])
             .filter((F.col("_k") >= F.col("_bstart") + F.col("_vstart"))
                     & (F.col("_k") < F.col("_bstart") + F.col("_vend")))
             .groupBy(*g).agg(F.map_from_entries(F.collect_list(F.struct("_k", "_v"))).alias("_m")))
-    out = hits.join(ranges.select(*g, "_n"), on=g)
+    out = hits.join(bc(ranges.select(*g, "_n")), on=g)
     cols = []
     for p, name in zip(probs, names):
         r = F.lit(p) * (F.col("_n") - 1)
@@ -85,25 +111,30 @@ def box_statistics(df: DataFrame, group_cols: list[str], value_col: str,
     """Quartiles, whiskers and outlier counts per group.
 
     Lower whisker: smallest value >= q1 − whisker·IQR; upper whisker: largest
-    value <= q3 + whisker·IQR. Quartiles go back to the rows by an equi-join
-    on the group key (one row per group, size-checked broadcast).
+    value <= q3 + whisker·IQR. The input is read once, into per-value counts
+    (written to the shared checkpoint folder); quartiles, whiskers and
+    counts all come from that table, the quartiles joined back on the group
+    key (one row per group, size-checked broadcast).
     """
     g = list(group_cols)
-    vals = df.filter(F.col(value_col).isNotNull()).select(*g, F.col(value_col).alias("_x"))
-    q = exact_quantiles(vals, g, "_x", QUARTILES, ["q1", "median", "q3"])
+    counts = materialize(value_counts(df, g, value_col))
+    q = materialize(quantiles_from_counts(counts, g, QUARTILES, ["q1", "median", "q3"]))
     iqr = F.col("q3") - F.col("q1")
-    fences = q.select(*g, "q1", "median", "q3",
-                      (F.col("q1") - whisker * iqr).alias("_lf"),
+    fences = q.select(*g, (F.col("q1") - whisker * iqr).alias("_lf"),
                       (F.col("q3") + whisker * iqr).alias("_uf"))
-    x = F.col("_x")
-    stats = (vals.join(sized_broadcast(fences), on=g)
+    v, c = F.col("_v"), F.col("_c")
+    outside = (v < F.col("_lf")) | (v > F.col("_uf"))
+    # ``fences`` has one row per group; broadcast while the group count allows.
+    fits = q.count() * (32 + 16 * len(g)) <= DEFAULT_BROADCAST_BYTES
+    stats = (counts.join(F.broadcast(fences) if fits else fences, on=g)
              .groupBy(*g)
-             .agg(F.count(F.lit(1)).alias("n"), F.min(x).alias("min"), F.max(x).alias("max"),
-                  F.min(F.when(x >= F.col("_lf"), x)).alias("lower_whisker"),
-                  F.max(F.when(x <= F.col("_uf"), x)).alias("upper_whisker"),
-                  F.count_if((x < F.col("_lf")) | (x > F.col("_uf"))).alias("n_outliers")))
-    return stats.join(q, on=g).select(
-        *g, "n", *[F.round(c, 6).alias(c) for c in
+             .agg(F.sum(c).alias("n"), F.min(v).alias("min"), F.max(v).alias("max"),
+                  F.min(F.when(v >= F.col("_lf"), v)).alias("lower_whisker"),
+                  F.max(F.when(v <= F.col("_uf"), v)).alias("upper_whisker"),
+                  F.coalesce(F.sum(F.when(outside, c)), F.lit(0)).cast("bigint")
+                  .alias("n_outliers")))
+    return stats.join(F.broadcast(q) if fits else q, on=g).select(
+        *g, "n", *[F.round(col, 6).alias(col) for col in
                    ["min", "q1", "median", "q3", "max", "lower_whisker", "upper_whisker"]],
         "n_outliers")
 

@@ -12,6 +12,7 @@ from ..operators import clean as C
 from ..operators import names as NM
 from ..operators import stats as ST
 from ..operators.joins import sized_broadcast
+from ..session import materialize
 from ..sources.adapter import city_dimension, raw_observations, read_table, with_views
 from . import series as G
 from .catalog import _obs, register
@@ -190,8 +191,13 @@ _G = ("g as (select NAME, cast(year(DATE) as varchar) as PERIOD_LABEL, avg(SNOW)
       "from obs where NAME is not null and DATE is not null group by all)")
 
 
-def _conditions(spark, sf_dir):
-    return A.station_period_conditions(_obs(spark, sf_dir), "Y")
+def _conditions(spark, sf_dir, materialized: bool = False):
+    """Station-year conditions (A3). Charts that read it in several branches
+    (a total or means as scalar subqueries next to the main plan) get it
+    written once to the shared checkpoint folder, so the observations are
+    scanned once."""
+    out = A.station_period_conditions(_obs(spark, sf_dir), "Y")
+    return materialize(out) if materialized else out
 
 
 @register("snow_share", with_views(
@@ -203,7 +209,7 @@ def _conditions(spark, sf_dir):
         f"o as (select case when s.SNOW / t.total < {SHARE_MIN} then 'Others' else NAME end "
         "as NAME, sum(s.SNOW) as SNOW, any_value(t.total) as total from s, t group by 1)"]))
 def snow_share(spark, sf_dir):
-    out = A.snowfall_share(_conditions(spark, sf_dir), SNOW_YEAR, SHARE_MIN)
+    out = A.snowfall_share(_conditions(spark, sf_dir, materialized=True), SNOW_YEAR, SHARE_MIN)
     return out.select("NAME", F.round("SNOW", 6).alias("SNOW"), "SHARE")
 
 
@@ -294,7 +300,8 @@ _A3_SQL = [
     + ", ".join(f"round({c}, 6) as {c}" for c in S.CORRELATION_MEASURES) + " from f",
     ctes=_A3_SQL))
 def imputed_means(spark, sf_dir):
-    filled = ST.impute_means(_conditions(spark, sf_dir), S.CORRELATION_MEASURES)
+    filled = ST.impute_means(_conditions(spark, sf_dir, materialized=True),
+                             S.CORRELATION_MEASURES)
     return filled.select("NAME", "PERIOD_LABEL",
                          *[F.round(c, 6).alias(c) for c in S.CORRELATION_MEASURES])
 
@@ -311,7 +318,8 @@ def _corr_sql() -> str:
 
 @register("correlation_matrix", _corr_sql())
 def correlation_matrix(spark, sf_dir):
-    return ST.correlation_matrix(_conditions(spark, sf_dir), S.CORRELATION_MEASURES)
+    return ST.correlation_matrix(_conditions(spark, sf_dir, materialized=True),
+                                 S.CORRELATION_MEASURES)
 
 
 # ---------------------------------------------------------------------------

@@ -56,3 +56,19 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder for staged writes."""
     root = ensure_checkpoint_dir(spark)
     return os.path.join(root, f"{label}-{uuid.uuid4().hex}")
+
+
+def materialize(df, label: str = "stage"):
+    """Write ``df`` as Parquet under the shared checkpoint folder and return
+    a frame that reads it back.
+
+    Used for small intermediates that several branches of a plan read
+    (per-value counts, station-year aggregates): the large input behind them
+    is scanned once instead of once per branch, the lineage is cut (a lost
+    executor re-reads files), and the written files give the optimizer a
+    real size for its broadcast decisions. Unlike ``checkpoint()`` the plan
+    is computed once (an RDD checkpoint re-runs it to write the files).
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
