@@ -23,7 +23,9 @@ _PLANS: dict[tuple, DataFrame] = {}
 
 
 def _memo(spark: SparkSession, key: tuple, build) -> DataFrame:
-    k = (id(spark._jsparkSession),) + key
+    # The application id changes with every new SparkContext, so a plan bound
+    # to a stopped context is never handed out again.
+    k = (spark.sparkContext.applicationId, id(spark)) + key
     if k not in _PLANS:
         _PLANS[k] = build()
     return _PLANS[k]
