@@ -107,9 +107,14 @@ def quantiles_from_counts(counts: DataFrame, group_cols: list[str], probs=QUARTI
 
 
 def box_statistics(df: DataFrame, group_cols: list[str], value_col: str,
-                   whisker: float = 1.5) -> DataFrame:
+                   whisker: float = 1.5, approximate: bool = False,
+                   accuracy: int = 10000) -> DataFrame:
     """Quartiles, whiskers and outlier counts per group.
 
+    ``approximate=True`` takes the quartiles from ``percentile_approx`` (a
+    mergeable sketch with relative rank error 1/accuracy, one aggregate) for
+    continuous data with very many distinct values per group.
+
     Lower whisker: smallest value >= q1 − whisker·IQR; upper whisker: largest
     value <= q3 + whisker·IQR. The input is read once, into per-value counts
     (written to the shared checkpoint folder); quartiles, whiskers and
@@ -118,7 +123,14 @@ def box_statistics(df: DataFrame, group_cols: list[str], value_col: str,
     """
     g = list(group_cols)
     counts = materialize(value_counts(df, g, value_col))
-    q = materialize(quantiles_from_counts(counts, g, QUARTILES, ["q1", "median", "q3"]))
+    if approximate:
+        # Sketches merge across partitions; the raw values are the input
+        # (the sketch cannot take the per-value counts as weights).
+        pq = F.percentile_approx(value_col, list(QUARTILES), accuracy)
+        q = materialize(df.filter(F.col(value_col).isNotNull()).groupBy(*g).agg(pq.alias("_q")).select(
+            *g, *[F.col("_q")[i].alias(n) for i, n in enumerate(["q1", "median", "q3"])]))
+    else:
+        q = materialize(quantiles_from_counts(counts, g, QUARTILES, ["q1", "median", "q3"]))
     iqr = F.col("q3") - F.col("q1")
     fences = q.select(*g, (F.col("q1") - whisker * iqr).alias("_lf"),
                       (F.col("q3") + whisker * iqr).alias("_uf"))
@@ -145,13 +157,14 @@ def yearly_box_of_station_means(df_grouped: DataFrame, temp_col: str = "TAVG") -
     return box_statistics(keyed, ["YEAR"], temp_col)
 
 
-def yearly_distributions(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def yearly_distributions(df: DataFrame, columns: list[str] | None = None,
+                         approximate: bool = False) -> DataFrame:
     """Box statistics of daily values by measure and year."""
     cols = [c for c in (columns or S.DISTRIBUTION_COLS) if c in df.columns]
     long = (df.filter(F.col("DATE").isNotNull())
               .select(F.year("DATE").cast("bigint").alias("YEAR"), *cols)
               .unpivot(["YEAR"], cols, "MEASURE", "VALUE"))
-    return box_statistics(long, ["MEASURE", "YEAR"], "VALUE")
+    return box_statistics(long, ["MEASURE", "YEAR"], "VALUE", approximate=approximate)
 
 
 def impute_means(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -68,3 +68,14 @@ def test_correlation_symmetric_matches_numpy(spark):
 def test_impute_means(spark):
     df = spark.createDataFrame([(1.0,), (None,), (3.0,)], "a double")
     assert sorted(r.a for r in ST.impute_means(df, ["a"]).collect()) == [1.0, 2.0, 3.0]
+
+
+def test_box_statistics_approximate_close(spark):
+    rng = np.random.default_rng(11)
+    vals = rng.normal(100, 15, 5000).round(2)
+    df = _frame(spark, {"a": vals})
+    exact = ST.box_statistics(df, ["g"], "v").first()
+    approx = ST.box_statistics(df, ["g"], "v", approximate=True).first()
+    assert exact.n == approx.n == 5000
+    for k in ("q1", "median", "q3"):
+        assert abs(getattr(exact, k) - getattr(approx, k)) < 1.0
