@@ -12,7 +12,7 @@ from __future__ import annotations
 import datetime as _dt
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -104,15 +104,21 @@ def _kept(typed: DataFrame) -> Column:
             & (F.col("_barrier") >= 0))
 
 
-def clean_observations(df: DataFrame, floor=None, na_tokens: bool = True) -> DataFrame:
+def clean_observations(df: DataFrame, floor=None, na_tokens: bool = True,
+                       metrics: Observation | None = None) -> DataFrame:
     """Typed, validated observations from raw rows.
 
     ``floor`` is the earliest date kept (None keeps all). A frame without
     the six base columns yields an empty frame with the clean schema.
+    ``metrics`` (a ``pyspark.sql.Observation``) collects the cleaning report
+    counts while the result is computed by whatever action consumes it
+    (e.g. the append), with no extra pass over the data.
     """
     if missing_required(df):
         return df.sparkSession.createDataFrame([], clean_schema([]))
     typed, measures = _annotate(df, floor, na_tokens)
+    if metrics is not None:
+        typed = typed.observe(metrics, *_report_columns(typed, measures))
     return typed.filter(_kept(typed)).select(*S.BASE_COLS, *measures)
 
 
@@ -120,10 +126,14 @@ def clean_report(df: DataFrame, floor=None, na_tokens: bool = True) -> DataFrame
     """One row of step counts (C12): rows in, rows removed by each step in
     order, rows out, values turned to NULL by number parsing per measure."""
     typed, measures = _annotate(df, floor, na_tokens)
+    return typed.agg(*_report_columns(typed, measures))
+
+
+def _report_columns(typed: DataFrame, measures: list[str]) -> list[Column]:
     e, nd, bd = F.col("_empty"), F.col("_no_data"), F.col("_bad_date")
     bf, ol = F.coalesce(F.col("_before_floor"), F.lit(False)), F.col("_out_of_limits")
     reach_c9 = ~(e | nd | bd | bf)
-    return typed.agg(
+    return [
         F.count(F.lit(1)).alias("rows_in"),
         F.count_if(e).alias("dropped_empty"),
         F.count_if(~e & nd).alias("dropped_no_data"),
@@ -133,7 +143,7 @@ def clean_report(df: DataFrame, floor=None, na_tokens: bool = True) -> DataFrame
         F.count_if(_kept(typed)).alias("rows_out"),
         *[F.count_if(reach_c9 & F.col(f"_bad_{m}")).alias(f"unparsed_{m}")
           for m in measures if f"_bad_{m}" in typed.columns],
-    )
+    ]
 
 
 def plausible_temperatures(df: DataFrame) -> DataFrame:

@@ -109,3 +109,11 @@ def test_cleaning_twice_is_stable(spark):
     twice = C.clean_observations(as_text, floor="2000-01-01")
     # Row 4 had only SNWD (not kept): it goes the second time, as documented.
     assert twice.count() == once.count() - 1
+
+
+def test_report_by_observation_matches_aggregate(spark):
+    from pyspark.sql import Observation
+    obs = Observation("clean")
+    out = C.clean_observations(_raw(spark), floor="2000-01-01", metrics=obs)
+    assert out.count() == 10
+    assert obs.get == C.clean_report(_raw(spark), floor="2000-01-01").first().asDict()
