@@ -7,7 +7,7 @@ is combined on every executor before the shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
@@ -104,22 +104,25 @@ def yearly_event_frequencies(df: DataFrame, event_cols: list[str] | None = None,
 
     Years whose summed counts stay under ``min_total`` are dropped; a bound
     is applied only when it is itself one of the kept years. Columns are the
-    chart labels of the events. One aggregation; the bound checks are scalar
-    subqueries over the (one row per year) result, not driver round trips.
+    chart labels of the events. The data is aggregated once; the bound
+    checks are window maxima over the aggregated rows, one per calendar
+    year (a bounded set), so the input is not scanned again.
     """
     cols = _present(df, event_cols or S.EVENT_CHART_COLS)
     yearly = (df.filter(F.col("DATE").isNotNull())
                 .groupBy(year_of("DATE").alias("YEAR"))
                 .agg(*[F.sum(event_flag(c)).cast("bigint").alias(c) for c in cols]))
     total = sum((F.col(c) for c in cols), F.lit(0).cast("bigint"))
-    valid = yearly.filter(total >= min_total)
-    out = valid
+    out = yearly.filter(total >= min_total)
+    every_year = Window.partitionBy()  # over one row per calendar year
     if year_from is not None:
-        bound_ok = valid.filter(F.col("YEAR") == year_from).exists()
-        out = out.filter(~bound_ok | (F.col("YEAR") >= year_from))
+        is_valid = F.max((F.col("YEAR") == year_from).cast("int")).over(every_year)
+        out = out.withColumn("_from_ok", is_valid).filter(
+            (F.col("_from_ok") == 0) | (F.col("YEAR") >= year_from))
     if year_to is not None:
-        bound_ok = valid.filter(F.col("YEAR") == year_to).exists()
-        out = out.filter(~bound_ok | (F.col("YEAR") <= year_to))
+        is_valid = F.max((F.col("YEAR") == year_to).cast("int")).over(every_year)
+        out = out.withColumn("_to_ok", is_valid).filter(
+            (F.col("_to_ok") == 0) | (F.col("YEAR") <= year_to))
     return out.select("YEAR", *[F.col(c).alias(chart_label(c)) for c in cols])
 
 
