@@ -27,6 +27,14 @@ def missing_required(df: DataFrame) -> set[str]:
     return set(S.BASE_COLS) - set(df.columns)
 
 
+def check_required(df: DataFrame) -> tuple[bool, str]:
+    """(ok, reason) for the required-column check."""
+    missing = missing_required(df)
+    if missing:
+        return False, f"Missing required columns: {', '.join(sorted(missing))}"
+    return True, "ok"
+
+
 def clean_schema(measures: list[str]) -> T.StructType:
     fields = [T.StructField("STATION", T.StringType()), T.StructField("DATE", T.DateType()),
               T.StructField("LATITUDE", T.DoubleType()), T.StructField("LONGITUDE", T.DoubleType()),

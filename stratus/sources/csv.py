@@ -83,9 +83,13 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).options(**WRITE_OPTIONS).csv(path)
 
 
-def read_clean_dir(spark: SparkSession, pattern: str) -> DataFrame | None:
-    """Cleaned CSV files typed to the observation schema (S4 over S3)."""
+def read_clean_dir(spark: SparkSession, pattern: str,
+                   fallback: str | None = None) -> DataFrame | None:
+    """Cleaned CSV files typed to the observation schema (S4 over S3); when
+    ``pattern`` holds no file, the ``fallback`` location is read instead."""
     raw = read_raw_dir(spark, pattern)
+    if raw is None and fallback:
+        raw = read_raw_dir(spark, fallback)
     if raw is None:
         return None
     typed = []

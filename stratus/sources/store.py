@@ -149,9 +149,10 @@ def year_rows(spark: SparkSession, path: str, year: int) -> DataFrame:
 
 
 def rebuild_from_clean_files(spark: SparkSession, clean_pattern: str, path: str,
-                             floor=None) -> WriteResult:
-    """Rebuild the table from every cleaned CSV file."""
-    clean = _csv().read_clean_dir(spark, clean_pattern)
+                             floor=None, fallback: str | None = None) -> WriteResult:
+    """Rebuild the table from every cleaned CSV file (S9); ``fallback`` is
+    read when the main location holds no file."""
+    clean = _csv().read_clean_dir(spark, clean_pattern, fallback)
     if clean is None:
         return WriteResult(False, 0, "No CSV files found.")
     return append_observations(clean, path, floor, mode="overwrite")

@@ -104,3 +104,14 @@ def test_stream_ingest_once(spark, tmp_path):
     batch = C.clean_observations(CSV.read_raw_dir(spark, raw))
     assert sorted(batch.select("STATION", "DATE").collect()) == sorted(
         IN.read_ingested(spark, table).select("STATION", "DATE").collect())
+
+
+def test_rebuild_fallback_and_required_check(spark, tmp_path):
+    fb = str(tmp_path / "fallback")
+    _write(os.path.join(fb, "c.csv"), "STATION,DATE,NAME,TMAX\nA,2020-01-01,N,5\n")
+    os.makedirs(str(tmp_path / "empty"), exist_ok=True)
+    res = ST.rebuild_from_clean_files(spark, str(tmp_path / "empty"), str(tmp_path / "t"),
+                                      fallback=fb)
+    assert res.ok and res.rows == 1
+    ok, why = C.check_required(spark.createDataFrame([("A",)], "STATION string"))
+    assert not ok and "DATE" in why
