@@ -3,7 +3,8 @@
 The station-year condition aggregate feeds most charts; it is written once
 to the output folder and every later result reads that copy, which both
 avoids recomputing it and cuts the lineage (a lost executor re-reads files
-instead of re-running the aggregation).
+instead of re-running the aggregation). The daily observations are read by
+three passes only: the null profile, the conditions and the event counts.
 """
 
 from __future__ import annotations
@@ -35,8 +36,9 @@ def write_report(df: DataFrame, out_dir: str, snow_year: int,
 
     put("null_profile", AU.null_profile(df))
     conditions = put("station_year_conditions", A.station_period_conditions(df, "Y"))
-    put("max_temp_trend", G.max_temperature_trend(df))
-    put("snow_trend", G.snowfall_trend(df))
+    # TMAX and SNOW are station-year means in the conditions table too.
+    put("max_temp_trend", G.trend_of_first_stations(conditions, "TMAX"))
+    put("snow_trend", G.trend_of_first_stations(conditions, "SNOW"))
     put("snow_share", A.snowfall_share(conditions, snow_year, share_min))
     put("snow_ranking", A.snowfall_ranking(conditions, snow_year))
     put("temp_box_by_year", ST.yearly_box_of_station_means(conditions, "TAVG"))

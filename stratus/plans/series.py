@@ -22,6 +22,14 @@ def _restrict_to(df: DataFrame, stations: DataFrame) -> DataFrame:
     return df.join(F.broadcast(stations), on="NAME", how="left_semi")
 
 
+def trend_of_first_stations(yearly: DataFrame, column: str,
+                            n: int = S.TOP_STATIONS) -> DataFrame:
+    """One yearly column of the first ``n`` stations, from a station-year
+    aggregate already computed (A1/A3 output)."""
+    return _restrict_to(yearly, first_stations(yearly, n)).select(
+        "NAME", "PERIOD_START", "PERIOD_LABEL", column)
+
+
 def max_temperature_trend(df: DataFrame, n: int = S.TOP_STATIONS) -> DataFrame:
     """Yearly mean TMAX of the first ``n`` stations (G1)."""
     yearly = A.station_period_means(df, "Y", ["TMAX"])
