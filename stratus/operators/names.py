@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.names import city_part, exception_city, name_tokens, preferred_station_keys
+from ..session import materialize
 from .joins import sized_broadcast
 
 
@@ -31,8 +32,10 @@ def match_cities(stations: DataFrame, cities: DataFrame, name_col: str = "NAME",
     ``cities`` has one column ``CITY`` (see ``prepare_cities``).
     Returns (name_col, CITY).
     """
-    names = stations.select(F.col(name_col).alias("_name")).filter(
-        F.col("_name").isNotNull()).distinct()
+    # One row per distinct name, written once: both the n-gram side and the
+    # final left join read it, so the (large) input is scanned once.
+    names = materialize(stations.select(F.col(name_col).alias("_name")).filter(
+        F.col("_name").isNotNull()).distinct(), "names")
     max_words = cities.select(F.max(F.size(F.split("CITY", " ")))).scalar()
     toks = (names.select("_name", name_tokens("_name").alias("_w"))
             .filter(F.size("_w") > 0).withColumn("_maxw", F.coalesce(max_words, F.lit(0))))
@@ -46,7 +49,7 @@ def match_cities(stations: DataFrame, cities: DataFrame, name_col: str = "NAME",
     best = hits.groupBy("_name").agg(
         F.min(F.struct((-F.length("CITY")).alias("k"), F.col("CITY"))).getField("CITY")
         .alias("_word_city"))
-    out = names.join(best, on="_name", how="left")
+    out = names.join(sized_broadcast(best, size_of=names), on="_name", how="left")
     return out.select(F.col("_name").alias(name_col),
                       F.coalesce(exception_city("_name", exceptions),
                                  F.col("_word_city")).alias("CITY"))

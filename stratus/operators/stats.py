@@ -170,12 +170,17 @@ def yearly_distributions(df: DataFrame, columns: list[str] | None = None,
 def impute_means(df: DataFrame, columns: list[str]) -> DataFrame:
     """Missing values of each column replaced by the column mean.
 
-    The means are one aggregate row read through a single scalar subquery
-    (a struct), so every column refers to the same subquery result.
+    The means are one aggregate; its single row (one value per column) is
+    the only thing that reaches the driver, and enters the plan as literals.
+    Pass a materialized frame when the input is expensive, since it is read
+    once for the means and once more by the consumer.
     """
     cols = [c for c in columns if c in df.columns]
-    means = df.select(F.struct(*[F.avg(c).alias(c) for c in cols]).alias("m")).scalar()
-    return df.withColumns({c: F.coalesce(F.col(c), means.getField(c)) for c in cols})
+    if not cols:
+        return df
+    means = df.agg(*[F.avg(c).alias(c) for c in cols]).first()
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit(means[c]).cast("double"))
+                           for c in cols})
 
 
 def correlation_pairs(columns: list[str]) -> list[tuple[str, str]]:

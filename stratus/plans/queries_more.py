@@ -493,7 +493,7 @@ def control_summary(spark, sf_dir):
         "where NAME is not null and DATE is not null group by all)",
         "s as (select YEAR, NAME, sum(SNOW) as SNOW from g group by all having sum(SNOW) > 0)"]))
 def snow_share_all_years(spark, sf_dir):
-    return A.snowfall_shares_all_years(_conditions(spark, sf_dir))
+    return A.snowfall_shares_all_years(_conditions(spark, sf_dir, materialized=True))
 
 
 @register("snow_trend_total", with_views(

@@ -9,6 +9,7 @@ from .. import schema as S
 from ..functions.measures import event_flag, prcp_inches
 from ..operators import aggregates as A
 from ..operators import filters as P
+from ..session import materialize
 
 
 def first_stations(df_grouped: DataFrame, n: int = S.TOP_STATIONS) -> DataFrame:
@@ -31,19 +32,21 @@ def trend_of_first_stations(yearly: DataFrame, column: str,
 
 
 def max_temperature_trend(df: DataFrame, n: int = S.TOP_STATIONS) -> DataFrame:
-    """Yearly mean TMAX of the first ``n`` stations (G1)."""
-    yearly = A.station_period_means(df, "Y", ["TMAX"])
-    return _restrict_to(yearly, first_stations(yearly, n)).select(
-        "NAME", "PERIOD_START", "PERIOD_LABEL", "TMAX")
+    """Yearly mean TMAX of the first ``n`` stations (G1).
+
+    The station-year table is written once (it is read for the station list
+    and for the series), so the observations are scanned once.
+    """
+    yearly = materialize(A.station_period_means(df, "Y", ["TMAX"]), "yearly")
+    return trend_of_first_stations(yearly, "TMAX", n)
 
 
 def snowfall_trend(df: DataFrame, n: int = S.TOP_STATIONS, metric: str = "mean") -> DataFrame:
     """Yearly SNOW of the first ``n`` stations (G2). The chart is titled a
     total but plots the mean; ``metric="total"`` gives the sum (A2)."""
-    yearly = (A.station_period_snow_totals(df, "Y") if metric == "total"
-              else A.station_period_means(df, "Y", ["SNOW"]))
-    return _restrict_to(yearly, first_stations(yearly, n)).select(
-        "NAME", "PERIOD_START", "PERIOD_LABEL", "SNOW")
+    yearly = materialize(A.station_period_snow_totals(df, "Y") if metric == "total"
+                         else A.station_period_means(df, "Y", ["SNOW"]), "yearly")
+    return trend_of_first_stations(yearly, "SNOW", n)
 
 
 def station_window(df: DataFrame, station: str, start, end, floor=None) -> DataFrame:
