@@ -103,9 +103,34 @@ def incremental_ingest(spark, sf_dir):
 
 
 REPORT_YEAR = 2000
-
-
-@register("batch_report")
+_REPORT_EVENTS = ["WT01", "WT02", "WT08", "WT16"]
+_A3 = ("g as (select NAME, cast(year(DATE) as bigint) as YEAR, "
+       + ", ".join(f"coalesce(sum({c}), 0.0) as {c}" if c in S.SUMMED_EVENTS
+                   else f"avg({c}) as {c}" for c in S.AGG_MEASURES)
+       + " from obs where NAME is not null and DATE is not null group by all)")
+_FIRST20 = "(select distinct NAME from g order by NAME limit 20)"
+_SNOW = (f"s as (select NAME, sum(SNOW) as SNOW from g where YEAR = {REPORT_YEAR} "
+         "group by NAME having sum(SNOW) > 0)")
+_SHARE_GROUPS = (f"select count(distinct case when SNOW / (select sum(SNOW) from s) < "
+                 f"{S.SNOW_SHARE_MIN} then 'Others' else NAME end) from s")
+_EVENTS = ("e as (select cast(year(DATE) as bigint) as YEAR, "
+           + " + ".join(f"sum(case when {c} > 0 then 1 else 0 end)" for c in _REPORT_EVENTS)
+           + " as total from obs where DATE is not null group by 1)")
+
+
+@register("batch_report", with_views(
+    'select "TABLE", cast(ROWS as bigint) as ROWS from (values '
+    
+    f"('null_profile', {len(S.BASE_COLS) + len(S.KEEP_MEASURES)}), "
+    "('station_year_conditions', (select count(*) from g)), "
+    f"('max_temp_trend', (select count(*) from g where NAME in {_FIRST20})), "
+    f"('snow_trend', (select count(*) from g where NAME in {_FIRST20})), "
+    f"('snow_share', ({_SHARE_GROUPS})), "
+    f"('snow_ranking', (select count(*) from s where SNOW >= {S.SNOW_RANK_MIN})), "
+    "('temp_box_by_year', (select count(distinct YEAR) from g where TAVG is not null)), "
+    f"('event_frequencies', (select count(*) from e where total >= {S.MIN_EVENT_TOTAL})), "
+    f"('correlation_matrix', {len(S.CORRELATION_MEASURES) ** 2})"
+    ') as t("TABLE", ROWS)', ctes=[_A3, _SNOW, _EVENTS]))
 def batch_report(spark, sf_dir):
     out = scratch_path(spark, "report")
     paths = R.write_report(_obs(spark, sf_dir), out, REPORT_YEAR)
