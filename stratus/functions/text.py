@@ -11,9 +11,11 @@ from .. import schema as S
 # whitespace), so stripping here equals stripping in the original.
 WHITESPACE = "".join(ch for ch in map(chr, range(0x3001)) if ch.isspace())
 
-# Whole-cell number: optional sign, digits with optional fraction, optional
-# exponent. Texts such as 'nan', 'inf', '1f' or '1d' are not numbers here.
-NUMBER_PATTERN = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+# Whole-cell number as the original's parser reads it: optional sign, digits
+# with optional fraction and exponent, or inf/infinity in any case. Texts such
+# as 'nan', '1f', '1d', '0x1p3' or '1_000' are not numbers (Spark's own cast
+# would take several of them).
+NUMBER_PATTERN = r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity)\s*$"
 
 # Calendar date as year-month-day with one- or two-digit month and day.
 DATE_PATTERN = r"^\d{4}-\d{1,2}-\d{1,2}$"

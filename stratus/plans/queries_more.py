@@ -25,7 +25,7 @@ CLEAN_FLOOR = "1996-01-01"
 _RAW_COLS = ["STATION", "DATE", "LATITUDE", "LONGITUDE", "ELEVATION", "NAME",
              "TAVG", "TMIN", "TMAX", "PRCP", "SNWD"]
 _RAW_MEASURES = ["TAVG", "TMIN", "TMAX", "PRCP"]
-_NUM = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+_NUM = r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity)\s*$"
 
 
 def _sql_blank(c: str) -> str:

@@ -117,3 +117,14 @@ def test_report_by_observation_matches_aggregate(spark):
     out = C.clean_observations(_raw(spark), floor="2000-01-01", metrics=obs)
     assert out.count() == 10
     assert obs.get == C.clean_report(_raw(spark), floor="2000-01-01").first().asDict()
+
+
+def test_number_parsing_follows_the_original(spark):
+    from stratus.functions.text import parse_number
+    cells = ["inf", "-Infinity", "1d", "1f", "0x1p3", "1e5", " 5 ", "+5", ".5", "5.",
+             "NaN", "1_000", "1e", "e5", "--5"]
+    got = [r.v for r in spark.createDataFrame([(c,) for c in cells], "c string")
+           .select(parse_number("c").alias("v")).collect()]
+    inf = float("inf")
+    assert got == [inf, -inf, None, None, None, 1e5, 5.0, 5.0, 0.5, 5.0,
+                   None, None, None, None, None]
