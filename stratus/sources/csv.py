@@ -39,7 +39,7 @@ def raw_schema_for(columns: list[str]):
 
 
 def read_raw(spark: SparkSession, paths: list[str] | str,
-             columns: list[str] | None = None) -> DataFrame:
+             columns: list[str] | None = None, spread: bool = True) -> DataFrame:
     """Read CSV files that share one header as all-text columns.
 
     ``columns`` is the header in file order; read from the first file when
@@ -50,7 +50,7 @@ def read_raw(spark: SparkSession, paths: list[str] | str,
         columns = parse_header(FS.read_first_line(spark, paths[0]))
     df = spark.read.options(**READ_OPTIONS).schema(S.raw_schema(columns)).csv(paths)
     # Compressed CSV files cannot be split: spread few large files over the cluster.
-    return spread_small_input(df)
+    return spread_small_input(df) if spread else df
 
 
 def header_groups(spark: SparkSession, pattern: str) -> dict[tuple[str, ...], list[str]]:
@@ -74,8 +74,11 @@ def read_raw_dir(spark: SparkSession, pattern: str) -> DataFrame | None:
     groups = header_groups(spark, pattern)
     if not groups:
         return None
-    frames = [read_raw(spark, paths, list(cols)) for cols, paths in groups.items()]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    frames = [read_raw(spark, paths, list(cols), spread=False) for cols, paths in groups.items()]
+    union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    # Spread once over all groups (not per group: many header groups would
+    # otherwise multiply the partition count).
+    return spread_small_input(union)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
