@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import csv as _csv
 import io
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,13 +54,22 @@ def read_raw(spark: SparkSession, paths: list[str] | str,
     return spread_small_input(df) if spread else df
 
 
+HEADER_READERS = 32
+
+
 def header_groups(spark: SparkSession, pattern: str) -> dict[tuple[str, ...], list[str]]:
-    """CSV files under ``pattern`` grouped by their header (one line each)."""
+    """CSV files under ``pattern`` grouped by their header.
+
+    Only the first line of each file is read, by a pool of driver threads
+    (the reads are latency-bound on object stores; many station files would
+    otherwise be opened one after another).
+    """
+    files = [f for f in FS.list_files(spark, pattern, ".csv") if f.size > 0]
+    with ThreadPoolExecutor(max_workers=HEADER_READERS) as pool:
+        headers = list(pool.map(lambda f: FS.read_first_line(spark, f.path), files))
     groups: dict[tuple[str, ...], list[str]] = {}
-    for f in FS.list_files(spark, pattern, ".csv"):
-        if f.size == 0:
-            continue
-        cols = tuple(parse_header(FS.read_first_line(spark, f.path)))
+    for f, line in zip(files, headers):
+        cols = tuple(parse_header(line))
         if cols:
             groups.setdefault(cols, []).append(f.path)
     return groups
