@@ -47,6 +47,9 @@ def exact_quantiles(df: DataFrame, group_cols: list[str], value_col: str,
     p over n sorted values, position r = p·(n−1), result
     v[floor r] + (v[ceil r] − v[floor r])·(r − floor r). Groups with only
     NULL values yield no row. Group keys must be non-NULL.
+
+    Eager: the per-value counts (small next to the input) are written once
+    under ``spark.checkpoint.dir`` before the returned plan is built.
     """
     counts = materialize(value_counts(df, list(group_cols), value_col))
     return quantiles_from_counts(counts, list(group_cols), probs, names, bins)

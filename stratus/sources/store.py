@@ -72,10 +72,12 @@ def append_observations(df: DataFrame, path: str, floor=None,
     rows = to_stored(df, floor)
     if dedupe_keys:
         keys = list(dedupe_keys)
+        # Both deduplications are aggregations with map-side combine, so many
+        # copies of one key collapse before any shuffle.
         rows = rows.dropDuplicates(keys)
         if mode == "append" and FS.exists(spark, path):
-            rows = rows.join(read_observations(spark, path).select(*keys), on=keys,
-                             how="left_anti")
+            stored = read_observations(spark, path).select(*keys).distinct()
+            rows = rows.join(stored, on=keys, how="left_anti")
     obs = Observation("append")
     rows = rows.observe(obs, F.count(F.lit(1)).alias("rows"))
     writer = rows.write.mode(mode).partitionBy(PARTITION_COL)
