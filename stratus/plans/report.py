@@ -10,6 +10,7 @@ three passes only: the null profile, the conditions and the event counts.
 from __future__ import annotations
 
 import os
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,30 +22,46 @@ from ..operators import stats as ST
 from . import series as G
 
 
+REPORT_THREADS = 4
+
+
 def write_report(df: DataFrame, out_dir: str, snow_year: int,
                  min_event_total: int = S.MIN_EVENT_TOTAL,
                  share_min: float = S.SNOW_SHARE_MIN) -> dict[str, str]:
-    """Write the report tables under ``out_dir``; returns name -> path."""
+    """Write the report tables under ``out_dir``; returns name -> path.
+
+    Tables that do not depend on each other are written as concurrent Spark
+    jobs (submitted from a few driver threads), so small stages of one table
+    do not leave the cluster idle while another waits.
+    """
     spark = df.sparkSession
     paths: dict[str, str] = {}
 
-    def put(name: str, frame: DataFrame) -> DataFrame:
+    def put(task) -> tuple[str, str]:
+        name, build = task
         path = os.path.join(out_dir, name)
-        frame.write.mode("overwrite").parquet(path)
-        paths[name] = path
-        return spark.read.parquet(path)
-
-    put("null_profile", AU.null_profile(df))
-    conditions = put("station_year_conditions", A.station_period_conditions(df, "Y"))
-    # TMAX and SNOW are station-year means in the conditions table too.
-    put("max_temp_trend", G.trend_of_first_stations(conditions, "TMAX"))
-    put("snow_trend", G.trend_of_first_stations(conditions, "SNOW"))
-    put("snow_share", A.snowfall_share(conditions, snow_year, share_min))
-    put("snow_ranking", A.snowfall_ranking(conditions, snow_year))
-    put("temp_box_by_year", ST.yearly_box_of_station_means(conditions, "TAVG"))
-    put("event_frequencies", A.yearly_event_frequencies(
-        df, ["WT01", "WT02", "WT08", "WT16"], min_event_total))
-    put("correlation_matrix", ST.correlation_matrix(conditions, S.CORRELATION_MEASURES))
+        build().write.mode("overwrite").parquet(path)
+        return name, path
+
+    def wave(tasks) -> None:
+        with ThreadPoolExecutor(max_workers=REPORT_THREADS) as pool:
+            paths.update(pool.map(put, tasks))
+
+    # The three passes over the daily observations.
+    wave([("null_profile", lambda: AU.null_profile(df)),
+          ("station_year_conditions", lambda: A.station_period_conditions(df, "Y")),
+          ("event_frequencies", lambda: A.yearly_event_frequencies(
+              df, ["WT01", "WT02", "WT08", "WT16"], min_event_total))])
+    conditions = spark.read.parquet(paths["station_year_conditions"])
+    # Everything else reads the written station-year table; TMAX and SNOW
+    # there are the station-year means the trend charts plot.
+    wave([("max_temp_trend", lambda: G.trend_of_first_stations(conditions, "TMAX")),
+          ("snow_trend", lambda: G.trend_of_first_stations(conditions, "SNOW")),
+          ("snow_share", lambda: A.snowfall_share(conditions, snow_year, share_min)),
+          ("snow_ranking", lambda: A.snowfall_ranking(conditions, snow_year)),
+          ("temp_box_by_year", lambda: ST.yearly_box_of_station_means(conditions, "TAVG")),
+          ("correlation_matrix",
+           lambda: ST.correlation_matrix(conditions, S.CORRELATION_MEASURES))])
     return paths
 
 
