@@ -73,3 +73,14 @@ def latest_file(spark: SparkSession, pattern: str, suffix: str = ".csv") -> File
     """The most recently modified file (S11); ties broken by path."""
     files = list_files(spark, pattern, suffix)
     return max(files, key=lambda f: (f.modified_ms, f.path)) if files else None
+
+
+def partition_values(spark: SparkSession, path: str, column: str) -> list[str]:
+    """Values of a partition column present under ``path`` (``column=value``
+    sub-folders), from the listing alone."""
+    fs, hpath, _ = _fs_and_path(spark, path)
+    if not fs.exists(hpath):
+        return []
+    prefix = column + "="
+    return [st.getPath().getName()[len(prefix):] for st in fs.listStatus(hpath)
+            if st.isDirectory() and st.getPath().getName().startswith(prefix)]

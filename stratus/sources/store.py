@@ -110,7 +110,8 @@ def purge(spark: SparkSession, path: str, condition: Column,
     kept.write.mode("overwrite").partitionBy(PARTITION_COL).parquet(staging)
     removed = int(obs.get.get("removed", 0))
     staged = read_observations(spark, staging)
-    staged_years = {r[0] for r in staged.select(PARTITION_COL).distinct().collect()}
+    staged_years = {int(v) for v in FS.partition_values(spark, staging, PARTITION_COL)
+                    if v.lstrip("-").isdigit()}
     if staged_years:
         (staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy(PARTITION_COL).parquet(path))
