@@ -11,11 +11,13 @@ from .. import schema as S
 # whitespace), so stripping here equals stripping in the original.
 WHITESPACE = "".join(ch for ch in map(chr, range(0x3001)) if ch.isspace())
 
-# Whole-cell number as the original's parser reads it: optional sign, digits
-# with optional fraction and exponent, or inf/infinity in any case. Texts such
-# as 'nan', '1f', '1d', '0x1p3' or '1_000' are not numbers (Spark's own cast
-# would take several of them).
-NUMBER_PATTERN = r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity)\s*$"
+# Whole-cell numbers as the original's parser reads them: optional sign,
+# digits with optional fraction and exponent, surrounding whitespace allowed;
+# or inf/infinity in any case, without whitespace. Texts such as 'nan', '1f',
+# '1d', '0x1p3' or '1_000' are not numbers (Spark's own cast takes several of
+# them), and a finite literal that overflows a double is missing, not inf.
+NUMBER_PATTERN = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+INFINITY_PATTERN = r"(?i)^[+-]?(inf|infinity)$"
 
 # Calendar date as year-month-day with one- or two-digit month and day.
 DATE_PATTERN = r"^\d{4}-\d{1,2}-\d{1,2}$"
@@ -56,7 +58,10 @@ def clean_text(c: str | Column, na_tokens: bool = True) -> Column:
 def parse_number(c: str | Column, stripped: bool = False) -> Column:
     """Text to double; anything that is not a plain number becomes NULL."""
     col = _c(c)
-    return F.when(col.rlike(NUMBER_PATTERN), (col if stripped else strip(col)).try_cast("double"))
+    x = (col if stripped else strip(col)).try_cast("double")
+    infinite = x.isin(float("inf"), float("-inf"))
+    return (F.when(col.rlike(NUMBER_PATTERN), F.when(~infinite, x))
+             .when(col.rlike(INFINITY_PATTERN), x))
 
 
 def parse_date(c: str | Column, stripped: bool = False) -> Column:

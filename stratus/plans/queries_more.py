@@ -25,7 +25,8 @@ CLEAN_FLOOR = "1996-01-01"
 _RAW_COLS = ["STATION", "DATE", "LATITUDE", "LONGITUDE", "ELEVATION", "NAME",
              "TAVG", "TMIN", "TMAX", "PRCP", "SNWD"]
 _RAW_MEASURES = ["TAVG", "TMIN", "TMAX", "PRCP"]
-_NUM = r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity)\s*$"
+_NUM = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+_INF = r"(?i)^[+-]?(inf|infinity)$"
 
 
 def _sql_blank(c: str) -> str:
@@ -38,7 +39,9 @@ def _sql_strip(c: str) -> str:
 
 
 def _sql_num(c: str) -> str:
-    return f"case when regexp_matches({c}, '{_NUM}') then try_cast(trim({c}) as double) end"
+    x = f"try_cast(trim({c}) as double)"
+    return (f"case when regexp_matches({c}, '{_NUM}') then case when isinf({x}) then null else {x} end "
+            f"when regexp_matches({c}, '{_INF}') then {x} end")
 
 
 def _clean_ctes(floor: str) -> list[str]:

@@ -128,3 +128,24 @@ def test_number_parsing_follows_the_original(spark):
     inf = float("inf")
     assert got == [inf, -inf, None, None, None, 1e5, 5.0, 5.0, 0.5, 5.0,
                    None, None, None, None, None]
+
+
+def test_number_parsing_matches_pandas_on_random_text(spark):
+    import math
+    import random
+
+    import pandas as pd
+
+    from stratus.functions.text import parse_number
+    rnd = random.Random(3)
+    alphabet = list("0123456789+-.eEdDfF ainfINFty_x\t")
+    cells = sorted({"".join(rnd.choice(alphabet) for _ in range(rnd.randint(1, 7)))
+                    for _ in range(3000)} | {"inf", " inf ", "-Infinity", "1e500", "+.5", "."})
+    expect = pd.to_numeric(pd.Series(cells, dtype=object), errors="coerce")
+    got = [r.v for r in spark.createDataFrame([(c,) for c in cells], "c string")
+           .select(parse_number("c").alias("v")).collect()]
+    for c, e, g in zip(cells, expect, got):
+        if isinstance(e, float) and math.isnan(e):
+            assert g is None, c
+        else:   # pandas' own parser is not always correctly rounded
+            assert g is not None and (g == e or abs(g - e) <= 1e-15 * abs(e)), c
