@@ -65,6 +65,9 @@ def parse_number(c: str | Column, stripped: bool = False) -> Column:
 
 
 def parse_date(c: str | Column, stripped: bool = False) -> Column:
-    """Text to date (year-month-day); anything else becomes NULL."""
+    """Text to date (year-month-day); anything else, or a date the original's
+    timestamp type cannot hold, becomes NULL."""
     s = _c(c) if stripped else strip(_c(c))
-    return F.when(s.rlike(DATE_PATTERN), s.try_cast("date"))
+    d = s.try_cast("date")
+    in_range = d.between(F.lit(S.EARLIEST_DATE).cast("date"), F.lit(S.LATEST_DATE).cast("date"))
+    return F.when(s.rlike(DATE_PATTERN) & in_range, d)

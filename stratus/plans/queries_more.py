@@ -55,7 +55,9 @@ def _clean_ctes(floor: str) -> list[str]:
     return [
         f"b as (select {blank} from raw_obs)",
         f"""t as (select {_sql_strip('STATION')} as STATION,
-  case when regexp_matches({sd}, '^\\d{{4}}-\\d{{1,2}}-\\d{{1,2}}$') then try_cast({sd} as date) end as DATE,
+  case when regexp_matches({sd}, '^\\d{{4}}-\\d{{1,2}}-\\d{{1,2}}$')
+    and try_cast({sd} as date) between DATE '{S.EARLIEST_DATE}' and DATE '{S.LATEST_DATE}'
+    then try_cast({sd} as date) end as DATE,
   {_sql_num('LATITUDE')} as LATITUDE, {_sql_num('LONGITUDE')} as LONGITUDE,
   {_sql_num('ELEVATION')} as ELEVATION, {_sql_strip('NAME')} as NAME,
   {_sql_num('TAVG')} as TAVG0, {_sql_num('TMIN')} as TMIN, {_sql_num('TMAX')} as TMAX,

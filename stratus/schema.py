@@ -66,6 +66,11 @@ NA_TOKENS = ["NA", "N/A", "n/a", "NaN", "nan", "-nan", "-NaN", "null", "NULL",
              "None", "<NA>", "#N/A", "#NA", "#N/A N/A", "1.#IND", "-1.#IND",
              "1.#QNAN", "-1.#QNAN"]
 
+# Dates the original's timestamp type can hold (nanoseconds since 1970 in a
+# signed 64-bit integer); text dates outside this range are missing there.
+EARLIEST_DATE = "1677-09-22"
+LATEST_DATE = "2262-04-11"
+
 # Temperature plausibility limits (tenths of a degree).
 TEMP_LOWER = -500.0
 TEMP_UPPER = 512.0          # cleaning keeps [-500, 512] for all three

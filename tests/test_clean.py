@@ -149,3 +149,23 @@ def test_number_parsing_matches_pandas_on_random_text(spark):
             assert g is None, c
         else:   # pandas' own parser is not always correctly rounded
             assert g is not None and (g == e or abs(g - e) <= 1e-15 * abs(e)), c
+
+
+def test_date_parsing_matches_pandas(spark):
+    import random
+
+    import pandas as pd
+
+    from stratus.functions.text import parse_date
+    rnd = random.Random(9)
+    cells = ["2020-01-01"] + [
+        f"{rnd.choice(['2020', '1999', '0020', '20201', '2262', '1677'])}"
+        f"{rnd.choice(['-', '-', '/', ''])}{rnd.choice(['1', '01', '12', '13', '00'])}"
+        f"-{rnd.choice(['1', '01', '31', '30', '29', '32', '00'])}" for _ in range(1500)
+    ] + ["2020-01-01T05:00:00", "bad", "2021-02-29", "1677-09-21", "1677-09-22", "2262-04-11",
+         "2262-04-12"]
+    expect = pd.to_datetime(pd.Series(cells, dtype=object), errors="coerce")
+    got = [r.v for r in spark.createDataFrame([(c,) for c in cells], "c string")
+           .select(parse_date("c").alias("v")).collect()]
+    for c, e, g in zip(cells, expect, got):
+        assert g == (None if pd.isna(e) else e.date()), c
