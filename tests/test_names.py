@@ -47,3 +47,41 @@ def test_station_choice(spark):
     assert (r.CHOSEN, r.RULE) == ("NEW YORK LAGUARDIA, NY US", "city")
     r = NM.choose_station(df.filter(F.col("POSITION") == 3)).first()
     assert (r.CHOSEN, r.RULE) == ("NEWARK, NJ US", "first")
+
+
+def _brute_force_city(name, cities, exceptions):
+    """Reference rule, written plainly: exception substring first, else the
+    longest city (ties alphabetical) found as whole words in the name's word
+    tokens joined by spaces."""
+    import re
+    upper = name.upper()
+    for key, city in exceptions:
+        if key in upper:
+            return city
+    joined = " ".join(re.findall(r"\b[\w\s]+\b", upper))
+    for city in sorted(cities, key=lambda c: (-len(c), c)):
+        if re.search(r"\b" + re.escape(city) + r"\b", joined):
+            return city
+    return None
+
+
+def test_city_match_against_brute_force(spark):
+    import random
+
+    from stratus import schema as S
+    rnd = random.Random(1)
+    words = ["NEW", "YORK", "ST.", "LOUIS", "PARK", "CITY", "SAN", "JOSE", "LAKE", "N", "3",
+             "AIRPORT", "WEST", "FT.", "WORTH", "O'HARE", "X-RAY", "JFK", "INTERNATIONAL"]
+    city_list = ["NEW YORK", "YORK", "ST. LOUIS", "SAN JOSE", "LAKE CITY", "CITY", "WEST",
+                 "JOSE", "FT WORTH", "X-RAY", "O'HARE"]
+    names = set()
+    for _ in range(400):
+        parts = [rnd.choice(words) for _ in range(rnd.randint(1, 5))]
+        sep = rnd.choice([", ", " ", " - "])
+        names.add(" ".join(parts) + sep + rnd.choice(["NY US", "MO US", "CA US"]))
+    names |= {"JFK INTERNATIONAL AIRPORT, NY US", "NEWARK LIBERTY INTERNATIONAL AIRPORT, NJ US"}
+    cities = NM.prepare_cities(spark.createDataFrame([(c,) for c in city_list], "city string"))
+    got = {r.NAME: r.CITY for r in NM.match_cities(
+        spark.createDataFrame([(n,) for n in sorted(names)], "NAME string"), cities).collect()}
+    for n in names:
+        assert got[n] == _brute_force_city(n, city_list, S.CITY_EXCEPTIONS), n
