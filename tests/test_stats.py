@@ -79,3 +79,16 @@ def test_box_statistics_approximate_close(spark):
     assert exact.n == approx.n == 5000
     for k in ("q1", "median", "q3"):
         assert abs(getattr(exact, k) - getattr(approx, k)) < 1.0
+
+
+@pytest.mark.parametrize("bins", [1, 2, 3, 7, 1024])
+def test_exact_quantiles_any_bin_count(spark, bins):
+    rng = np.random.default_rng(bins)
+    groups = {f"g{i}": rng.integers(-50, 50, rng.integers(1, 60)).astype(float) for i in range(12)}
+    probs = (0.0, 0.25, 0.33, 0.5, 0.75, 0.99, 1.0)
+    names = [f"p{i}" for i in range(len(probs))]
+    got = {r.g: r for r in ST.exact_quantiles(_frame(spark, groups), ["g"], "v", probs, names,
+                                              bins=bins).collect()}
+    for g, vals in groups.items():
+        for i, e in enumerate(np.quantile(vals, probs)):
+            assert got[g][names[i]] == pytest.approx(e, abs=1e-9), (g, probs[i], bins)
