@@ -1,4 +1,9 @@
-"""The result set behind each chart (G1–G17), as lazy DataFrames."""
+"""The result set behind each chart (G1–G17), as lazy DataFrames.
+
+Series of one station come ordered by date (they are small: one station's
+days); all-station tables are left unordered, as a global sort would add a
+range shuffle that no consumer needs.
+"""
 
 from __future__ import annotations
 
@@ -58,14 +63,15 @@ def temperature_lines(df: DataFrame, station: str, start, end, floor=None) -> Da
     """Long form (DATE, METRIC, VALUE) of TMIN/TAVG/TMAX for one station."""
     rows = station_window(df, station, start, end, floor)
     cols = [c for c in ["TMIN", "TAVG", "TMAX"] if c in rows.columns]
-    return rows.select("DATE", *cols).unpivot(["DATE"], cols, "METRIC", "VALUE")
+    return (rows.select("DATE", *cols).unpivot(["DATE"], cols, "METRIC", "VALUE")
+            .orderBy("DATE", "METRIC"))
 
 
 def _event_days(df: DataFrame, station: str, start, end, floor, column: str,
                 out: str) -> DataFrame:
     rows = station_window(df, station, start, end, floor)
     return (rows.select("DATE", event_flag(column).alias(out))
-                .filter(F.col(out) > 0))
+                .filter(F.col(out) > 0).orderBy("DATE"))
 
 
 def rain_days(df, station, start, end, floor=None) -> DataFrame:
@@ -87,7 +93,7 @@ def fog_days(df, station, start, end, floor=None) -> DataFrame:
     """Days with fog or heavy fog at one station."""
     rows = station_window(df, station, start, end, floor)
     cols = [c for c in ["WT01", "WT02"] if c in rows.columns]
-    return P.any_event(rows, cols).select("DATE", *cols)
+    return P.any_event(rows, cols).select("DATE", *cols).orderBy("DATE")
 
 
 def measure_series(df, station, start, end, data_type: str, floor=None) -> DataFrame:
@@ -104,13 +110,13 @@ def measure_series(df, station, start, end, data_type: str, floor=None) -> DataF
     chosen = next((c for c in cols if usable[c]), None)
     if chosen is None:
         return rows.select("DATE").limit(0)
-    return rows.select("DATE", chosen)
+    return rows.select("DATE", chosen).orderBy("DATE")
 
 
 def occurrences(df, station, start, end, column: str, floor=None) -> DataFrame:
     """Dates with ``column > 0``."""
     return P.positive(station_window(df, station, start, end, floor), column).select(
-        "DATE", column)
+        "DATE", column).orderBy("DATE")
 
 
 def precipitation_inches(df, station=None, start=None, end=None, floor=None) -> DataFrame:
