@@ -17,11 +17,13 @@ def _label_sql(freq: str) -> str:
         "Y": "cast(year(DATE) as varchar)",
         "Q": "concat(cast(year(DATE) as varchar), 'Q', cast(quarter(DATE) as varchar))",
         "M": "strftime(DATE, '%Y-%m')",
+        "W": "strftime(date_trunc('week', DATE), '%Y-%m-%d') || '/' || "
+             "strftime(cast(date_trunc('week', DATE) as date) + 6, '%Y-%m-%d')",
     }[freq]
 
 
 def _trunc_sql(freq: str) -> str:
-    unit = {"Y": "year", "Q": "quarter", "M": "month"}[freq]
+    unit = {"Y": "year", "Q": "quarter", "M": "month", "W": "week"}[freq]
     return f"cast(date_trunc('{unit}', DATE) as date)"
 
 
@@ -54,6 +56,12 @@ def station_quarter_mean(spark, sf_dir):
     return A.station_period_means(_obs(spark, sf_dir), "Q")
 
 
+@register("station_week_mean", _period_sql("W", [f"avg({c}) as {c}" for c in
+                                                ["TMIN", "TAVG", "TMAX", "PRCP"]]))
+def station_week_mean(spark, sf_dir):
+    return A.station_period_means(_obs(spark, sf_dir), "W", ["TMIN", "TAVG", "TMAX", "PRCP"])
+
+
 # --- step 2: other aggregates (A2, A3, A4, A9, A13) -------------------------
 
 @register("station_year_conditions", _period_sql("Y", _CONDITIONS))
