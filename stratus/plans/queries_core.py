@@ -183,3 +183,16 @@ def station_count(spark, sf_dir):
 def sample_rows(spark, sf_dir):
     return AU.sample_rows(_obs(spark, sf_dir).select("STATION", "DATE", "NAME", "TMAX"),
                           ["STATION", "DATE", "TMAX", "NAME"], 5)
+
+
+# --- analysis page: period-start date filter, then conditions (P4 + A3) ---
+
+@register("period_filtered_conditions", with_views(
+    "select NAME, cast(date_trunc('year', DATE) as date) as PERIOD_START, "
+    "cast(year(DATE) as varchar) as PERIOD_LABEL, " + ", ".join(_CONDITIONS)
+    + " from obs where NAME is not null and DATE is not null "
+    "and cast(date_trunc('year', DATE) as date) between DATE '1997-06-01' and DATE '2000-12-31' "
+    "group by all"))
+def period_filtered_conditions(spark, sf_dir):
+    rows = P.period_start_range(_obs(spark, sf_dir), "1997-06-01", "2000-12-31", "Y")
+    return A.station_period_conditions(rows, "Y")
