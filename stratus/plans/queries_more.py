@@ -166,6 +166,8 @@ register("fog_days", _station_sql(
     _series(G.fog_days))
 register("cloud_series", _station_sql("select DATE, ACMH from w"))(
     _series(G.measure_series, "ACMH"))
+register("unlisted_type_series", _station_sql("select DATE, WT02 from w"))(
+    _series(G.measure_series, "WT02"))
 register("sunny_days", _station_sql("select DATE, TSUN from w where TSUN > 0"))(
     _series(G.occurrences, "TSUN"))
 
