@@ -511,3 +511,17 @@ def snow_share_all_years(spark, sf_dir):
     "order by NAME limit 20)"))
 def snow_trend_total(spark, sf_dir):
     return G.snowfall_trend(_obs(spark, sf_dir), metric="total")
+
+
+_PAGE_COLS = ["STATION", "DATE", "NAME", "TMIN", "TAVG", "TMAX", "PRCP"]
+
+
+@register("results_page", with_views(
+    "select " + ", ".join(_PAGE_COLS) + " from obs where DATE is not null and NAME is not null "
+    "and DATE >= DATE '1997-01-01' and DATE <= DATE '1999-12-31' order by "
+    + ", ".join(f"{c} nulls first" for c in _PAGE_COLS) + f" limit {S.PAGE_SIZE} offset {2 * S.PAGE_SIZE}"))
+def results_page(spark, sf_dir):
+    """Third page (10 rows) of the results table behind the fetch page."""
+    from ..operators.audit import page
+    rows = G.filtered_observations(_obs(spark, sf_dir), "1997-01-01", "1999-12-31")
+    return page(rows.select(*_PAGE_COLS), _PAGE_COLS, 2, S.PAGE_SIZE)
