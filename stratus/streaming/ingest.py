@@ -37,14 +37,18 @@ def raw_stream(spark: SparkSession, raw_dir: str, columns: list[str] | None = No
 
 
 def ingest(spark: SparkSession, raw_dir: str, table_path: str, checkpoint: str | None = None,
-           floor=None, columns: list[str] | None = None, timeout_s: float | None = None):
+           floor=None, columns: list[str] | None = None, timeout_s: float | None = None,
+           max_files_per_trigger: int | None = None):
     """Process every file not yet ingested, then stop (``availableNow``).
 
     ``checkpoint`` defaults to a folder under the shared checkpoint folder;
-    pass the same one on every run so each file is taken once. Returns the
-    finished ``StreamingQuery`` (its ``recentProgress`` holds row counts).
+    pass the same one on every run so each file is taken once.
+    ``max_files_per_trigger`` splits a large backlog into several bounded
+    micro-batches (each committed on its own) instead of one huge batch.
+    Returns the finished ``StreamingQuery`` (``recentProgress`` holds the
+    row counts).
     """
-    raw = raw_stream(spark, raw_dir, columns)
+    raw = raw_stream(spark, raw_dir, columns, max_files_per_trigger)
     if missing_required(raw):
         raise ValueError(f"missing required columns: {sorted(missing_required(raw))}")
     rows = to_stored(clean_observations(raw, floor))

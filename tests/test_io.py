@@ -115,3 +115,13 @@ def test_rebuild_fallback_and_required_check(spark, tmp_path):
     assert res.ok and res.rows == 1
     ok, why = C.check_required(spark.createDataFrame([("A",)], "STATION string"))
     assert not ok and "DATE" in why
+
+
+def test_stream_backlog_in_bounded_batches(spark, tmp_path):
+    raw = str(tmp_path / "in")
+    header = "STATION,DATE,LATITUDE,LONGITUDE,ELEVATION,NAME,TMAX\n"
+    for i in range(3):
+        _write(os.path.join(raw, f"f{i}.csv"), header + f"S{i},2020-01-0{i + 1},1,2,3,N,5\n")
+    q = IN.ingest(spark, raw, str(tmp_path / "t"), str(tmp_path / "ck"), max_files_per_trigger=1)
+    assert IN.rows_written(q) == 3
+    assert len([p for p in q.recentProgress if p.numInputRows > 0]) == 3
