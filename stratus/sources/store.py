@@ -89,26 +89,25 @@ def append_observations(df: DataFrame, path: str, floor=None,
 
 
 def purge(spark: SparkSession, path: str, condition: Column,
-          years: list[int] | None = None) -> WriteResult:
+          scope: Column | None = None) -> WriteResult:
     """Delete rows matching ``condition`` (NULL counts as no match).
 
-    ``years`` limits the partitions examined; by default the partitions
-    holding at least one matching row are found with one distinct scan
-    (at most one row per year reaches the driver).
+    ``scope`` is an optional predicate on ``YEAR`` that bounds the
+    partitions examined (partition pruning). One grouped count finds the
+    partitions holding matching rows and how many (at most one row per year
+    reaches the driver); only those partitions are rewritten.
     """
     table = read_observations(spark, path)
     cond = F.coalesce(condition, F.lit(False))
-    if years is None:
-        years = [r[0] for r in table.filter(cond).select(PARTITION_COL).distinct().collect()]
+    examined = table.filter(scope) if scope is not None else table
+    per_year = examined.filter(cond).groupBy(PARTITION_COL).count().collect()
+    years = [r[0] for r in per_year]
+    removed = int(sum(r[1] for r in per_year))
     if not years:
         return WriteResult(True, 0, "No rows matched.")
-    affected = table.filter(F.col(PARTITION_COL).isin(years))
-    obs = Observation("purge")
-    kept = affected.observe(obs, F.count_if(cond).alias("removed"),
-                            F.count(F.lit(1)).alias("examined")).filter(~cond)
+    kept = table.filter(F.col(PARTITION_COL).isin(years)).filter(~cond)
     staging = scratch_path(spark, "purge-staging")
     kept.write.mode("overwrite").partitionBy(PARTITION_COL).parquet(staging)
-    removed = int(obs.get.get("removed", 0))
     staged = read_observations(spark, staging)
     staged_years = {int(v) for v in FS.partition_values(spark, staging, PARTITION_COL)
                     if v.lstrip("-").isdigit()}
@@ -128,14 +127,11 @@ def purge_suspect_temperatures(spark: SparkSession, path: str) -> WriteResult:
 
 
 def purge_before(spark: SparkSession, path: str, floor) -> WriteResult:
-    """Delete rows dated before ``floor`` (P8); only years up to the floor's
-    year are examined."""
+    """Delete rows dated before ``floor`` (P8); only partitions up to the
+    floor's year are examined."""
     floor = _as_date(floor)
-    years = [r[0] for r in read_observations(spark, path)
-             .filter(F.col(PARTITION_COL) <= floor.year)
-             .filter(F.col("DATE") < F.lit(floor))
-             .select(PARTITION_COL).distinct().collect()]
-    return purge(spark, path, F.col("DATE") < F.lit(floor), years)
+    return purge(spark, path, F.col("DATE") < F.lit(floor),
+                 scope=F.col(PARTITION_COL) <= floor.year)
 
 
 def count_before(spark: SparkSession, path: str, floor) -> int:

@@ -125,3 +125,21 @@ def test_stream_backlog_in_bounded_batches(spark, tmp_path):
     q = IN.ingest(spark, raw, str(tmp_path / "t"), str(tmp_path / "ck"), max_files_per_trigger=1)
     assert IN.rows_written(q) == 3
     assert len([p for p in q.recentProgress if p.numInputRows > 0]) == 3
+
+
+def test_purge_edge_cases(spark, tmp_path):
+    path = str(tmp_path / "table")
+    ST.append_observations(_obs(spark).filter(F.col("DATE") >= dt.date(2001, 1, 1)), path)
+    assert ST.purge_suspect_temperatures(spark, path).rows == 0      # nothing matches
+    assert ST.read_observations(spark, path).count() == 1
+    assert ST.purge(spark, path, F.lit(True)).rows == 1              # everything matches
+    assert ST.read_observations(spark, path).count() == 0
+    assert not os.path.exists(os.path.join(path, "YEAR=2001"))
+
+
+def test_append_empty_frame(spark, tmp_path):
+    empty = C.clean_observations(spark.createDataFrame([("A",)], "STATION string"))
+    res = ST.append_observations(empty, str(tmp_path / "t"))
+    assert res.ok and res.rows == 0
+    floor_all = ST.append_observations(_obs(spark), str(tmp_path / "t2"), floor="2100-01-01")
+    assert floor_all.rows == 0
