@@ -21,6 +21,7 @@ from .joins import DEFAULT_BROADCAST_BYTES, sized_broadcast
 
 QUARTILES = (0.25, 0.5, 0.75)
 QUANTILE_BINS = 1024
+MAX_BIN_VALUES = 1_000_000
 
 
 def _qname(p: float) -> str:
@@ -56,9 +57,15 @@ def exact_quantiles(df: DataFrame, group_cols: list[str], value_col: str,
 
 
 def quantiles_from_counts(counts: DataFrame, group_cols: list[str], probs=QUARTILES,
-                          names: list[str] | None = None,
-                          bins: int = QUANTILE_BINS) -> DataFrame:
-    """Exact quantiles from per-value counts (see ``value_counts``)."""
+                          names: list[str] | None = None, bins: int = QUANTILE_BINS,
+                          max_bin_values: int = MAX_BIN_VALUES) -> DataFrame:
+    """Exact quantiles from per-value counts (see ``value_counts``).
+
+    Distinct values are binned by value range per group; a bin that still
+    holds more than ``max_bin_values`` distinct values (outliers stretch the
+    range and crowd the rest into few bins) is split again over its own
+    range, so the ordered work per task stays bounded.
+    """
     g = list(group_cols)
     names = names or [_qname(p) for p in probs]
     # One row per group, written once: its row count decides the broadcasts
@@ -72,11 +79,22 @@ def quantiles_from_counts(counts: DataFrame, group_cols: list[str], probs=QUARTI
         fits = n_groups * rows_per_group * row_bytes <= DEFAULT_BROADCAST_BYTES
         return F.broadcast(frame) if fits else frame
 
-    width = F.col("_hi") - F.col("_lo")
-    binned = counts.join(bc(ranges), on=g).withColumn(
-        "_b", F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / width * bins),
-                                        F.lit(bins - 1))).otherwise(F.lit(0)).cast("int"))
-    # Rows per bin and the rank at which each bin starts (bins per group <= bins).
+    def bin_of(lo, hi):
+        width = hi - lo
+        return F.when(width > 0, F.least(F.floor((F.col("_v") - lo) / width * bins),
+                                         F.lit(bins - 1))).otherwise(F.lit(0)).cast("long")
+
+    first = counts.join(bc(ranges), on=g).withColumn("_b1", bin_of(F.col("_lo"), F.col("_hi")))
+    crowded = (first.groupBy(*g, "_b1")
+               .agg(F.min("_v").alias("_blo"), F.max("_v").alias("_bhi"),
+                    F.count(F.lit(1)).alias("_bd"))
+               .filter(F.col("_bd") > max_bin_values).drop("_bd"))
+    # Second-level bin inside crowded bins only; (b1, b2) packed in value order.
+    binned = (first.join(bc(crowded, bins), on=g + ["_b1"], how="left")
+              .withColumn("_b", F.col("_b1") * bins + F.when(
+                  F.col("_blo").isNotNull(), bin_of(F.col("_blo"), F.col("_bhi")))
+                  .otherwise(F.lit(0)).cast("long")))
+    # Rows per bin and the rank at which each bin starts.
     per_bin = binned.groupBy(*g, "_b").agg(F.sum("_c").alias("_bc"))
     wb = Window.partitionBy(*g).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     per_bin = per_bin.withColumn("_bend", F.sum("_bc").over(wb)).withColumn(

@@ -92,3 +92,18 @@ def test_exact_quantiles_any_bin_count(spark, bins):
     for g, vals in groups.items():
         for i, e in enumerate(np.quantile(vals, probs)):
             assert got[g][names[i]] == pytest.approx(e, abs=1e-9), (g, probs[i], bins)
+
+
+def test_exact_quantiles_split_crowded_bins(spark):
+    rng = np.random.default_rng(21)
+    # one far outlier crowds every other value into the first bin
+    groups = {"a": np.concatenate([rng.normal(50, 5, 400).round(3), [1e9]]),
+              "b": rng.integers(0, 30, 80).astype(float)}
+    probs = (0.1, 0.5, 0.9)
+    names = ["p10", "p50", "p90"]
+    counts = ST.value_counts(_frame(spark, groups), ["g"], "v")
+    got = {r.g: r for r in ST.quantiles_from_counts(counts, ["g"], probs, names, bins=8,
+                                                    max_bin_values=20).collect()}
+    for g, vals in groups.items():
+        for name, e in zip(names, np.quantile(vals, probs)):
+            assert got[g][name] == pytest.approx(e, abs=1e-9), (g, name)
