@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from ..functions.measures import event_flag
+from ..functions.measures import event_flag, row_total
 from ..functions.periods import period_label, period_start, year_of
 
 
@@ -112,7 +112,7 @@ def yearly_event_frequencies(df: DataFrame, event_cols: list[str] | None = None,
     yearly = (df.filter(F.col("DATE").isNotNull())
                 .groupBy(year_of("DATE").alias("YEAR"))
                 .agg(*[F.sum(event_flag(c)).cast("bigint").alias(c) for c in cols]))
-    total = sum((F.col(c) for c in cols), F.lit(0).cast("bigint"))
+    total = row_total(cols)
     out = yearly.filter(total >= min_total)
     every_year = Window.partitionBy()  # over one row per calendar year
     if year_from is not None:

@@ -10,8 +10,6 @@ the distinct values of one bin, not by the rows of a group.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -204,10 +202,6 @@ def impute_means(df: DataFrame, columns: list[str]) -> DataFrame:
                            for c in cols})
 
 
-def correlation_pairs(columns: list[str]) -> list[tuple[str, str]]:
-    return [(a, b) for a in columns for b in columns]
-
-
 def pearson(a: str, b: str) -> Column:
     """Pearson correlation that is NULL (not an error) for constant columns."""
     return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
@@ -235,7 +229,3 @@ def correlation_matrix(df: DataFrame, columns: list[str], impute: bool = True) -
     parts = F.split(F.regexp_replace("PAIR", "#$", ""), r"\|")
     return long.select(parts[0].alias("COL_A"), parts[1].alias("COL_B"),
                        F.round("CORR", 6).alias("CORR"))
-
-
-def all_null(cols: list[str]) -> Column:
-    return reduce(lambda a, b: a & b, [F.col(c).isNull() for c in cols], F.lit(True))
