@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..session import materialize
-from .joins import DEFAULT_BROADCAST_BYTES, sized_broadcast
+from .joins import DEFAULT_BROADCAST_BYTES
 
 QUARTILES = (0.25, 0.5, 0.75)
 QUANTILE_BINS = 1024

@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.adapter import observations, with_views
+from ..sources.adapter import observations
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from .. import schema as S
 from ..operators import aggregates as A
 from ..operators import audit as AU

@@ -20,7 +20,7 @@ from ..sources.adapter import city_dimension, raw_observations, with_views
 from ..streaming import ingest as IN
 from . import report as R
 from .catalog import _obs, register
-from .queries_more import CLEAN_FLOOR, _clean_ctes, _exception_sql, _match_sql
+from .queries_more import CLEAN_FLOOR, _clean_ctes, _match_sql
 
 _CLEAN_COLS = ["STATION", "DATE", "LATITUDE", "LONGITUDE", "ELEVATION", "NAME",
                "TAVG", "TMIN", "TMAX", "PRCP"]
@@ -135,6 +135,3 @@ def batch_report(spark, sf_dir):
     out = scratch_path(spark, "report")
     paths = R.write_report(_obs(spark, sf_dir), out, REPORT_YEAR)
     return R.report_summary(spark, paths)
-
-
-__all__ = ["_exception_sql"]
