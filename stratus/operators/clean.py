@@ -132,7 +132,8 @@ def clean_observations(df: DataFrame, floor=None, na_tokens: bool = True,
 
 def clean_report(df: DataFrame, floor=None, na_tokens: bool = True) -> DataFrame:
     """One row of step counts (C12): rows in, rows removed by each step in
-    order, rows out, values turned to NULL by number parsing per measure."""
+    order, rows out, values turned to NULL by number parsing per measure,
+    and missing values per measure in the rows kept."""
     typed, measures = _annotate(df, floor, na_tokens)
     return typed.agg(*_report_columns(typed, measures))
 
@@ -151,6 +152,7 @@ def _report_columns(typed: DataFrame, measures: list[str]) -> list[Column]:
         F.count_if(_kept(typed)).alias("rows_out"),
         *[F.count_if(reach_c9 & F.col(f"_bad_{m}")).alias(f"unparsed_{m}")
           for m in measures if f"_bad_{m}" in typed.columns],
+        *[F.count_if(_kept(typed) & F.col(m).isNull()).alias(f"null_{m}") for m in measures],
     ]
 
 

@@ -87,6 +87,8 @@ def clean_observations(spark, sf_dir):
     "count(*) filter (where not (e or nd or bd or bf) and ol) as dropped_out_of_limits, "
     "count(*) filter (where not (e or nd or bd or bf or ol)) as rows_out, "
     + ", ".join(f"count(*) filter (where not (e or nd or bd or bf) and bad_{m}) as unparsed_{m}"
+                for m in _RAW_MEASURES) + ", "
+    + ", ".join(f"count(*) filter (where not (e or nd or bd or bf or ol) and {m} is null) as null_{m}"
                 for m in _RAW_MEASURES) + " from k"))
 def clean_report(spark, sf_dir):
     return C.clean_report(raw_observations(spark, sf_dir), floor=CLEAN_FLOOR)

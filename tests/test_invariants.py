@@ -64,3 +64,15 @@ def test_correlation_matrix_symmetric_unit_diagonal(spark, sf_small):
         assert v == cells[(b, a)]
         if a == b and v is not None:
             assert v == pytest.approx(1.0)
+
+
+def test_cleaning_counts_measured_in_fixtures(spark):
+    """FIXTURES §5: cleaning the all-text view at sf0.01 with floor 1996-01-01."""
+    import os
+    sf = "/root/testdata/sf0.01"
+    if not os.path.isdir(sf):
+        pytest.skip("sf0.01 tables not present")
+    rep = C.clean_report(AD.raw_observations(spark, sf), "1996-01-01").first()
+    assert rep.rows_out == 42907
+    assert {m: rep.rows_out - rep[f"null_{m}"] for m in ["TAVG", "TMIN", "TMAX", "PRCP"]} == {
+        "TAVG": 39159, "TMIN": 32457, "TMAX": 31693, "PRCP": 32537}
