@@ -76,3 +76,26 @@ def test_cleaning_counts_measured_in_fixtures(spark):
     assert rep.rows_out == 42907
     assert {m: rep.rows_out - rep[f"null_{m}"] for m in ["TAVG", "TMIN", "TMAX", "PRCP"]} == {
         "TAVG": 39159, "TMIN": 32457, "TMAX": 31693, "PRCP": 32537}
+
+
+def test_fixture_counts_at_sf001(spark):
+    """Other FIXTURES §5 measurements at sf0.01."""
+    import os
+
+    from stratus.operators import filters as P
+    sf = "/root/testdata/sf0.01"
+    if not os.path.isdir(sf):
+        pytest.skip("sf0.01 tables not present")
+    obs = AD.observations(spark, sf)
+    assert P.suspect_temperatures(obs).count() == 5447
+    assert P.extreme_cold(obs).count() == 23468
+    assert A.heavy_precipitation_years(obs).count() == 660
+    grouped = A.station_period_conditions(obs)
+    assert A.snowfall_share(grouped, 2000, 0.02).count() == 19
+    assert A.snowfall_ranking(grouped, 2000).count() == 18
+    assert A.yearly_event_frequencies(obs, S.EVENT_CHART_COLS, 10000).count() == 6
+    cities = NM.prepare_cities(AD.city_dimension(spark, sf))
+    matched = NM.match_cities(obs, cities)
+    assert matched.count() == 100
+    assert matched.filter(F.col("CITY").isNull()).count() == 8
+    assert matched.filter(F.col("CITY") == "MIDDLE EAST").count() == 27
