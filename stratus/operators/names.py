@@ -61,7 +61,9 @@ def with_city_name(df: DataFrame, cities: DataFrame) -> DataFrame:
     Matching runs once per distinct name; the (name -> city) table, one row
     per station, joins back to the rows by an equi-join on NAME.
     """
-    matched = match_cities(df.select("NAME"), cities).withColumnRenamed("CITY", "_city")
+    # One row per station, written once: its real size decides the broadcast.
+    matched = materialize(match_cities(df.select("NAME"), cities)
+                          .withColumnRenamed("CITY", "_city"), "city-of-name")
     base = df.drop("CITY_NAME") if "CITY_NAME" in df.columns else df
     out = base.join(sized_broadcast(matched), on="NAME", how="left").withColumnRenamed(
         "_city", "CITY_NAME")
