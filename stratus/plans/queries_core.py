@@ -118,10 +118,9 @@ _PROFILE_COLS = S.BASE_COLS + S.KEEP_MEASURES
 
 
 @register("null_profile", with_views(
-    "select * from (select " + ", ".join(
-        [f"count({c}) as {c}" for c in _PROFILE_COLS]) + " from obs) "
-    f"unpivot (NON_NULL for COLUMN_NAME in ({', '.join(_PROFILE_COLS)})) "
-    "cross join (select count(*) as ROWS from obs)"))
+    "select COLUMN_NAME, NON_NULL, (select count(*) from obs) as ROWS from (select "
+    + ", ".join([f"count({c}) as {c}" for c in _PROFILE_COLS]) + " from obs) "
+    f"unpivot (NON_NULL for COLUMN_NAME in ({', '.join(_PROFILE_COLS)}))"))
 def null_profile(spark, sf_dir):
     return AU.null_profile(_obs(spark, sf_dir), _PROFILE_COLS).select(
         "COLUMN_NAME", "NON_NULL", "ROWS")

@@ -527,3 +527,18 @@ def results_page(spark, sf_dir):
     from ..operators.audit import page
     rows = G.filtered_observations(_obs(spark, sf_dir), "1997-01-01", "1999-12-31")
     return page(rows.select(*_PAGE_COLS), _PAGE_COLS, 2, S.PAGE_SIZE)
+
+
+@register("complete_station_years", with_views(
+    "select count(*) as n_station_years, count(*) filter (where "
+    + " and ".join(f"{c} is not null" for c in S.CORRELATION_MEASURES)
+    + ") as n_complete from g", ctes=[_A3_SQL[0]]))
+def complete_station_years(spark, sf_dir):
+    """Station-years, and those with every correlation measure present (P18),
+    in one aggregate."""
+    grouped = _conditions(spark, sf_dir)
+    complete = F.lit(True)
+    for c in S.CORRELATION_MEASURES:
+        complete = complete & F.col(c).isNotNull()
+    return grouped.agg(F.count(F.lit(1)).alias("n_station_years"),
+                       F.count_if(complete).alias("n_complete"))
