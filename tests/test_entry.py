@@ -43,3 +43,8 @@ def test_query_matches_oracle(spark, sf_small, duck, name):
     idx = [cols.index(c) for c in df.columns]
     expect = [tuple(_norm(r[i]) for i in idx) for r in cur.fetchall()]
     assert sorted(rows, key=repr) == sorted(expect, key=repr)
+
+
+def test_every_query_has_an_oracle():
+    assert set(E.oracle_sql()) == set(E.queries())
+    assert all(sql.lstrip().lower().startswith("with ") for sql in E.oracle_sql().values())
