@@ -431,7 +431,9 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, chunk_
     key = F.xxhash64("doc_id", "text")
     chunked = texts.select("doc_id", "text", key.alias("row_key"), F.pmod(key, F.lit(n_chunks)).alias("chunk"))
     # Every pass reads this one shuffle: the exchanges are the same and are reused.
-    chunks = chunked.repartition(int(min(n_chunks, 20_000)), "chunk")
+    # Fewer partitions than the session's would be dealt again for the cogroups.
+    n_parts = max(min(n_chunks, 20_000), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    chunks = chunked.repartition(int(n_parts), "chunk")
     anchors = chunks.groupBy("chunk").applyInArrow(
         _emit_anchors(n_buckets, width, gram), "bucket bigint, chunk bigint, anchors binary")
     shared = anchors.groupBy("bucket").applyInArrow(_mark_shared, "chunk bigint, bucket bigint, shared binary")
