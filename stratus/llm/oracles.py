@@ -30,4 +30,88 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hi
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-ORACLES = {"op7_benchmark_decontamination": OP7}
+OP2 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id AND len(q.v) = len(c.v)),
+ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+         vec_id, score FROM pairs)
+SELECT * FROM ranked WHERE rank <= 20
+"""
+
+_PREFIX = "^(?:[A-Za-z][A-Za-z0-9+.-]*://)?"
+_TRACKING = "'utm_source', 'utm_medium', 'utm_campaign', 'utm_term', 'utm_content', 'gclid', 'fbclid', 'ref'"
+
+OP8 = f"""
+WITH p AS (SELECT page_id, url, md5(coalesce(html, '')) AS d1 FROM pages),
+q AS (SELECT *, md5(d1 || 'changed') AS d2, regexp_replace(url, '[?#].*$', '') || '#again' AS other FROM p),
+r AS (
+  SELECT page_id * 10 AS id, url, 'revisit' AS kind, NULL AS etag, NULL AS digest, NULL AS modified FROM q WHERE page_id % 4 = 0
+  UNION ALL SELECT page_id * 10 + 1, url, 'response', '"' || substr(d1, 1, 16) || '"', d1, 'day ' || (page_id * 10 + 1) FROM q
+  UNION ALL SELECT page_id * 10 + 2, other, 'revisit', '"' || substr(d1, 1, 16) || '"', NULL, NULL FROM q
+  UNION ALL SELECT page_id * 10 + 4, other, 'response', '"' || substr(d2, 1, 16) || '"', d2, 'day ' || (page_id * 10 + 4)
+            FROM q WHERE page_id % 3 = 0
+  UNION ALL SELECT page_id * 10 + 5, url, 'revisit', '"' || substr(d1, 1, 16) || '"', NULL, NULL FROM q WHERE page_id % 2 = 0
+  UNION ALL SELECT page_id * 10 + 6, other, 'revisit', NULL, d2, NULL FROM q WHERE page_id % 5 = 0
+  UNION ALL SELECT page_id * 10 + 7, url, 'revisit', NULL, NULL, 'day ' || (page_id * 10 + 1) FROM q WHERE page_id % 7 = 0
+  UNION ALL SELECT page_id * 10 + 8, url, 'revisit', NULL, NULL, NULL FROM q WHERE page_id % 7 = 1),
+u AS (SELECT *, regexp_replace(trim(url), '#.*$', '') AS bare FROM r),
+parts AS (
+  SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(bare, '{_PREFIX}([^/?]*)', 1)), '^www[.]', ''), ':(80|443)$', '') AS host,
+         regexp_replace(regexp_extract(bare, '{_PREFIX}[^/?]*([^?]*)', 1), '/+$', '') AS path,
+         list_sort(list_filter(string_split(regexp_extract(bare, '[?](.*)$', 1), '&'),
+                   lambda x: x <> '' AND split_part(x, '=', 1) NOT IN ({_TRACKING}))) AS params
+  FROM u),
+c AS (SELECT *, host || path || CASE WHEN len(params) > 0 THEN '?' || array_to_string(params, '&') ELSE '' END AS canonical FROM parts),
+w AS (
+  SELECT *, last_value(CASE WHEN kind = 'response' THEN id END IGNORE NULLS) OVER (
+    PARTITION BY canonical ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS target FROM c),
+j AS (
+  SELECT w.id, w.canonical, w.target, t.digest AS t_digest, t.etag AS t_etag,
+         CASE WHEN w.target IS NULL THEN 'orphan'
+              WHEN w.etag IS NOT NULL THEN CASE WHEN w.etag = t.etag THEN 'resolved' ELSE 'mismatch' END
+              WHEN w.digest IS NOT NULL THEN CASE WHEN w.digest = t.digest THEN 'resolved' ELSE 'mismatch' END
+              WHEN w.modified IS NOT NULL THEN CASE WHEN w.modified = t.modified THEN 'resolved' ELSE 'mismatch' END
+              ELSE 'resolved' END AS status
+  FROM w LEFT JOIN c t ON t.id = w.target WHERE w.kind = 'revisit')
+SELECT id AS record_id, canonical, status, CASE WHEN status = 'resolved' THEN target END AS target_id,
+       CASE WHEN status = 'resolved' THEN t_digest END AS digest,
+       'cache-control: max-age=60' || chr(10) || 'content-type: '
+         || CASE WHEN status = 'resolved' THEN 'text/html' ELSE 'none' END || chr(10) || 'date: day ' || id
+         || CASE WHEN status = 'resolved' THEN chr(10) || 'etag: ' || t_etag ELSE '' END AS headers
+FROM j
+"""
+
+OP9 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (
+  SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS g
+  FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 49)) AS i FROM d WHERE len(h) >= 100)),
+f AS (SELECT g, min(doc_id) AS m FROM w GROUP BY g),
+hits AS (SELECT w.doc_id, i FROM w JOIN f USING (g) WHERE m < w.doc_id),
+marked AS (
+  SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50, true) AS fresh FROM hits),
+runs AS (SELECT doc_id, i, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM marked),
+spans AS (SELECT doc_id, k, min(i) AS a, max(i) + 50 AS b FROM runs GROUP BY doc_id, k),
+gaps AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS p FROM spans),
+kept AS (
+  SELECT g.doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS stop,
+         string_agg(substr(h, 2 * p + 1, 2 * (a - p)), '' ORDER BY a) AS head
+  FROM gaps g JOIN d USING (doc_id) GROUP BY g.doc_id)
+SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(CASE WHEN n_spans IS NULL THEN h ELSE head || substr(h, 2 * stop + 1) END)) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLES = {
+    "op2_top_k_search": OP2,
+    "op7_benchmark_decontamination": OP7,
+    "op8_warc_revisits": OP8,
+    "op9_suffix_array_dedup": OP9,
+}

@@ -159,6 +159,7 @@ def _search_cells(cells: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         return pa.table([pa.array(asked[out[0]], pa.int64()), pa.array(out[1]), pa.array(out[2])],
                         names=["query_id", "vec_id", "score"])
     by = ["dim", "block", "shard"]
+    queries = queries.select(*[F.col(c).alias(c) for c in queries.columns])  # columns of its own: both sides have one origin
     return cells.groupBy(*by).cogroup(queries.groupBy(*by)).applyInArrow(
         cell, "query_id bigint, vec_id bigint, score bigint")
 
