@@ -41,21 +41,24 @@ from . import blocks
 
 WIDTH, GRAM = 50, 16
 #: Bytes of text in a chunk, and of text that a bucket's anchors stand for.
-CHUNK_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
+CHUNK_BYTES, BUCKET_BYTES = 4 << 20, 2 << 20
 #: Windows that are sorted at once.
-SORT_WINDOWS = 400_000
+SORT_WINDOWS = 200_000
 
 _POSITION_BITS = 26
-_SEGMENT = 1 << 25
+#: Bytes that anchors are searched in at once, and rows compared at once.
+_SEGMENT, _ROWS = 1 << 20, 20_000
 
 
 def anchor_runs(raw: np.ndarray, offsets: np.ndarray, powers: blocks.Powers, width: int = WIDTH, gram: int = GRAM
-                ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows with one anchor: anchor hash, position, first and last window."""
-    found = [np.zeros((4, 0), np.int64)]
+                ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows with one anchor: the hashes of the anchor and of the
+    run's text, the anchor's position, the first and the last window."""
+    found = [np.zeros((5, 0), np.int64)]
     for base in range(0, max(len(raw) - width + 1, 0), _SEGMENT):
         part = raw[base:base + _SEGMENT + width - 1]
-        h = blocks.mix(blocks.PrefixHash(part, powers).windows(gram))
+        prefix = blocks.PrefixHash(part, powers)
+        h = blocks.mix(prefix.windows(gram))
         low = np.uint64((1 << _POSITION_BITS) - 1)
         # The least of the leading hash bits, the leftmost of equal ones.
         least = (h & ~low) | np.arange(len(h), dtype=np.uint64)
@@ -74,9 +77,11 @@ def anchor_runs(raw: np.ndarray, offsets: np.ndarray, powers: blocks.Powers, wid
         fresh[1:] = (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])
         first = np.flatnonzero(fresh)
         last = np.append(first[1:] - 1, len(window) - 1)
-        found.append(np.stack([h[at[first]].view(np.int64), base + at[first], base + window[first], base + window[last]]))
+        text = prefix.span(window[first], window[last] + width)
+        found.append(np.stack([h[at[first]].view(np.int64), text.view(np.int64), base + at[first],
+                               base + window[first], base + window[last]]))
     runs = np.concatenate(found, axis=1)
-    return runs[0].view(np.uint64), runs[1], runs[2], runs[3]
+    return runs[0].view(np.uint64), runs[1].view(np.uint64), runs[2], runs[3], runs[4]
 
 
 def _bucket(keys: np.ndarray, n_buckets: int) -> np.ndarray:
@@ -104,10 +109,10 @@ class _Chunk:
         self.known = known
 
     def runs(self, powers: blocks.Powers, width: int, gram: int):
-        key, at, first, last = anchor_runs(self.raw, self.offsets, powers, width, gram)
-        doc = np.searchsorted(self.offsets, first, "right") - 1
+        found = anchor_runs(self.raw, self.offsets, powers, width, gram)
+        doc = np.searchsorted(self.offsets, found[3], "right") - 1
         keep = self.known[doc]
-        return key[keep], at[keep], first[keep], last[keep], doc[keep]
+        return tuple(x[keep] for x in (*found, doc))
 
 
 def _emit_anchors(n_buckets: int, width: int, gram: int):
@@ -152,7 +157,7 @@ def _emit_contexts(n_buckets: int, width: int, gram: int):
             return empty
         chunk = _Chunk(left)
         powers = blocks.Powers()
-        anchor, at, first, last, doc = chunk.runs(powers, width, gram)
+        anchor, text, at, first, last, doc = chunk.runs(powers, width, gram)
         keys, inverse = np.unique(anchor, return_inverse=True)
         replies = sorted(zip(right.column("bucket").to_pylist(), right.column("shared").to_pylist()))
         edges = _group_edges(_bucket(keys, n_buckets))
@@ -165,9 +170,8 @@ def _emit_contexts(n_buckets: int, width: int, gram: int):
         wanted = np.flatnonzero((shared | (low != high))[inverse])
         if not len(wanted):
             return empty
-        anchor, at, first, last, doc, ids = (x[wanted] for x in (anchor, at, first, last, doc, ids))
+        anchor, text, at, first, last, doc, ids = (x[wanted] for x in (anchor, text, at, first, last, doc, ids))
         length, lead = last - first + width, at - first
-        text = blocks.PrefixHash(chunk.raw, powers).span(first, first + length)
         order = np.lexsort((ids, lead, length, text, anchor))
         anchor, first, length, lead, doc, ids, text = (x[order] for x in (anchor, first, length, lead, doc, ids, text))
         fresh = np.ones(len(order), bool)
@@ -205,8 +209,8 @@ def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 def _equal_bytes(raw: np.ndarray, x: np.ndarray, y: np.ndarray, length: np.ndarray) -> np.ndarray:
     out = np.ones(len(x), bool)
-    for lo in range(0, len(x), 100_000):
-        part = slice(lo, lo + 100_000)
+    for lo in range(0, len(x), _ROWS):
+        part = slice(lo, lo + _ROWS)
         n = length[part]
         differ = raw[_spread(x[part], n)] != raw[_spread(y[part], n)]
         if len(n):
@@ -276,8 +280,8 @@ class SuffixOrder:
         order = self.sort(starts, groups)
         equal = np.zeros(len(order), bool)
         sorted_, columns = True, np.arange(self.width)
-        for lo in range(1, len(order), 100_000):
-            x, y = starts[order[lo - 1:lo + 99_999]], starts[order[lo:lo + 100_000]]
+        for lo in range(1, len(order), _ROWS):
+            x, y = starts[order[lo - 1:lo + _ROWS - 1]], starts[order[lo:lo + _ROWS]]
             x = x[:len(y)]
             differ = self.raw[x[:, None] + columns] != self.raw[y[:, None] + columns]
             some = differ.any(1)
