@@ -7,12 +7,15 @@ is combined on every executor before the shuffle.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.measures import event_flag, row_total
 from ..functions.periods import period_label, period_start, year_of
+from .filters import capped
 
 
 def _present(df: DataFrame, cols) -> list[str]:
@@ -76,9 +79,7 @@ def top_positive_stations(df: DataFrame, column: str = "TSUN",
 
 def station_trend_capped(df: DataFrame, variable: str, max_value: float | None = None) -> DataFrame:
     """Mean of one measure by station and year, values above a cap left out."""
-    kept = df.filter(F.col(variable).isNotNull() & F.col("NAME").isNotNull())
-    if max_value is not None:
-        kept = kept.filter(F.col(variable) <= max_value)
+    kept = capped(df.filter(F.col("NAME").isNotNull()), variable, max_value)
     return (kept.groupBy("NAME", year_of("DATE").alias("YEAR"))
                 .agg(F.avg(variable).alias(variable)))
 
@@ -126,9 +127,19 @@ def yearly_event_frequencies(df: DataFrame, event_cols: list[str] | None = None,
     return out.select("YEAR", *[F.col(c).alias(chart_label(c)) for c in cols])
 
 
+def station_year_snow(df: DataFrame, year: int | None = None) -> DataFrame:
+    """Mean SNOW per station and year, of one year only when it is given: the
+    input of the snowfall charts. The year is a date range on the rows, so it
+    reaches the scan, and no other measure is read."""
+    if year is not None:
+        df = df.filter((F.col("DATE") >= F.lit(dt.date(year, 1, 1))) & (F.col("DATE") <= F.lit(dt.date(year, 12, 31))))
+    return station_period_means(df.select("NAME", "DATE", "SNOW"), "Y", ["SNOW"])
+
+
 def _year_slice(df_grouped: DataFrame, year: int) -> DataFrame:
-    # Only yearly periods carry a label equal to the year's text.
-    return df_grouped.filter(F.col("PERIOD_LABEL") == str(year))
+    """The yearly periods of one year (P14); other frequencies have other labels."""
+    return df_grouped.filter((F.col("PERIOD_START") == F.lit(dt.date(year, 1, 1)))
+                             & (F.col("PERIOD_LABEL") == str(year)))
 
 
 def snowfall_share(df_grouped: DataFrame, year: int,
@@ -141,7 +152,7 @@ def snowfall_share(df_grouped: DataFrame, year: int,
     slices = (sums.withColumn("NAME", F.when(F.col("SNOW") / total < min_threshold,
                                              F.lit("Others")).otherwise(F.col("NAME")))
                   .groupBy("NAME").agg(F.sum("SNOW").alias("SNOW")))
-    return slices.withColumn("SHARE", F.round(F.col("SNOW") / total, 6))
+    return slices.withColumn("SHARE", F.col("SNOW") / total)
 
 
 def snowfall_shares_all_years(df_grouped: DataFrame) -> DataFrame:
@@ -156,8 +167,7 @@ def snowfall_shares_all_years(df_grouped: DataFrame) -> DataFrame:
             .agg(F.sum("SNOW").alias("SNOW")).filter(F.col("SNOW") > 0))
     totals = sums.groupBy("YEAR").agg(F.sum("SNOW").alias("_total"))
     return (sums.join(F.broadcast(totals), on="YEAR")
-            .select("YEAR", "NAME", F.round("SNOW", 6).alias("SNOW"),
-                    F.round(F.col("SNOW") / F.col("_total"), 6).alias("SHARE")))
+            .select("YEAR", "NAME", "SNOW", (F.col("SNOW") / F.col("_total")).alias("SHARE")))
 
 
 def snowfall_ranking(df_grouped: DataFrame, year: int,

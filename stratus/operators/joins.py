@@ -20,38 +20,25 @@ def estimated_bytes(df: DataFrame) -> int | None:
         return None
 
 
+def decoded_row_bytes(df: DataFrame) -> int:
+    """A generous width of one decoded row: fixed types by size, text as 64
+    characters, nested values as 256 bytes."""
+    fixed = {"boolean": 1, "byte": 1, "short": 2, "integer": 4, "date": 4, "float": 4, "double": 8,
+             "long": 8, "timestamp": 8, "decimal": 16, "string": 64}
+    return 16 + sum(fixed.get(f.dataType.typeName(), 256) for f in df.schema.fields)
+
+
 def sized_broadcast(df: DataFrame, max_bytes: int = DEFAULT_BROADCAST_BYTES,
-                    size_of: DataFrame | None = None, widen: float = 1.0) -> DataFrame:
-    """Mark ``df`` for broadcast when its estimated size is within bound.
-
-    ``size_of`` names the input that bounds ``df``'s size when the optimizer
-    cannot see it (a many-to-one join onto small dimensions keeps the row
-    count of its fact side, but the plain estimate of a join is the product
-    of its inputs); ``widen`` allows for the columns the join adds.
-    When the estimate is unknown or too big the frame is returned unchanged,
-    leaving the join to a shuffle join (with AQE able to switch at runtime).
-    """
-    size = estimated_bytes(size_of if size_of is not None else df)
-    if size is not None:
-        size = int(size * widen)
-    if size is not None and size <= max_bytes:
-        return F.broadcast(df)
-    return df
-
-
-def spread_small_input(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin repartition when a scan yields fewer partitions than the
-    cluster has task slots (one unsplittable file or a single Parquet row
-    group would otherwise run every downstream expression on one core).
-
-    Large inputs already come in many splits and pass through unchanged, so
-    no shuffle is added at scale. Rows are placed by a hash of all columns,
-    which is deterministic (a retried task rebuilds the same partitions)
-    without the local sort a round-robin exchange needs for that.
+                    rows_of: DataFrame | None = None) -> DataFrame:
+    """Mark ``df`` for broadcast when it is known to be small.
+
+    ``rows_of`` names the input that bounds the number of ``df``'s rows (a
+    many-to-one join onto small dimensions keeps the row count of its fact
+    side); its rows are counted, for a table of files from the footers, and
+    multiplied by the width of a decoded row of ``df``. Without it the
+    optimizer's estimate of ``df`` is used. When the size is unknown or too
+    big the frame is returned unchanged, leaving the join to a shuffle join
+    (with AQE able to switch at runtime).
     """
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    try:
-        n = df.rdd.getNumPartitions()
-    except Exception:  # pragma: no cover - e.g. Spark Connect sessions
-        return df
-    return df.repartition(target, *df.columns) if n < target else df
+    size = rows_of.count() * decoded_row_bytes(df) if rows_of is not None else estimated_bytes(df)
+    return F.broadcast(df) if size is not None and size <= max_bytes else df

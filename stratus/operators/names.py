@@ -49,7 +49,7 @@ def match_cities(stations: DataFrame, cities: DataFrame, name_col: str = "NAME",
     best = hits.groupBy("_name").agg(
         F.min(F.struct((-F.length("CITY")).alias("k"), F.col("CITY"))).getField("CITY")
         .alias("_word_city"))
-    out = names.join(sized_broadcast(best, size_of=names), on="_name", how="left")
+    out = names.join(sized_broadcast(best, rows_of=names), on="_name", how="left")
     return out.select(F.col("_name").alias(name_col),
                       F.coalesce(exception_city("_name", exceptions),
                                  F.col("_word_city")).alias("CITY"))

@@ -3,9 +3,10 @@ the all-pairs correlation matrix.
 
 Exact quantiles are computed without ever gathering a group's rows in one
 task: rows are first counted per distinct value (map-side combine), the
-distinct values are binned by value range to find which bins hold the
-wanted ranks, and only those bins are ordered. Work per task is bounded by
-the distinct values of one bin, not by the rows of a group.
+distinct values are binned by value range, again and again, to find the
+narrow ranges that hold the wanted ranks, and only those are ordered. Work per
+task is bounded by the distinct values of one range, not by the rows of a
+group.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..session import materialize
-from .joins import DEFAULT_BROADCAST_BYTES
+from .joins import sized_broadcast
 
 QUARTILES = (0.25, 0.5, 0.75)
 QUANTILE_BINS = 1024
@@ -54,75 +55,78 @@ def exact_quantiles(df: DataFrame, group_cols: list[str], value_col: str,
     return quantiles_from_counts(counts, list(group_cols), probs, names, bins)
 
 
+def _bin_of(bins: int) -> Column:
+    """Bin of ``_v`` in the range [_lo, _hi], in halves so that the width of
+    the widest range is finite."""
+    width = F.col("_hi") / 2 - F.col("_lo") / 2
+    place = (F.col("_v") / 2 - F.col("_lo") / 2) / width
+    return F.when(width > 0, F.least(F.floor(place * bins), F.lit(bins - 1))).otherwise(F.lit(0)).cast("long")
+
+
 def quantiles_from_counts(counts: DataFrame, group_cols: list[str], probs=QUARTILES,
                           names: list[str] | None = None, bins: int = QUANTILE_BINS,
                           max_bin_values: int = MAX_BIN_VALUES) -> DataFrame:
     """Exact quantiles from per-value counts (see ``value_counts``).
 
-    Distinct values are binned by value range per group; a bin that still
-    holds more than ``max_bin_values`` distinct values (outliers stretch the
-    range and crowd the rest into few bins) is split again over its own
-    range, so the ordered work per task stays bounded.
+    Every wanted rank starts with its group's whole value range. As long as
+    some rank's range holds more than ``max_bin_values`` distinct values, the
+    ranges are cut into bins and each rank goes on in the bin that holds it,
+    narrowed to the bin's own least and greatest value; so outliers on any
+    number of scales only cost further rounds (a range shrinks to a
+    ``bins``-th of its width, or to fewer values, in each). Then only those
+    ranges are ordered: the ordered work per task stays bounded.
     """
     g = list(group_cols)
     names = names or [_qname(p) for p in probs]
-    # One row per group, written once: its row count decides the broadcasts
-    # below (a checkpointed frame carries no size estimate of its own).
-    ranges = materialize(counts.groupBy(*g).agg(
-        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_c").alias("_n")))
-    n_groups = ranges.count()
-    row_bytes = 32 + 16 * len(g)
-
-    def bc(frame, rows_per_group=1):
-        fits = n_groups * rows_per_group * row_bytes <= DEFAULT_BROADCAST_BYTES
-        return F.broadcast(frame) if fits else frame
-
-    def bin_of(lo, hi):
-        width = hi - lo
-        return F.when(width > 0, F.least(F.floor((F.col("_v") - lo) / width * bins),
-                                         F.lit(bins - 1))).otherwise(F.lit(0)).cast("long")
-
-    first = counts.join(bc(ranges), on=g).withColumn("_b1", bin_of(F.col("_lo"), F.col("_hi")))
-    crowded = (first.groupBy(*g, "_b1")
-               .agg(F.min("_v").alias("_blo"), F.max("_v").alias("_bhi"),
-                    F.count(F.lit(1)).alias("_bd"))
-               .filter(F.col("_bd") > max_bin_values).drop("_bd"))
-    # Second-level bin inside crowded bins only; (b1, b2) packed in value order.
-    binned = (first.join(bc(crowded, bins), on=g + ["_b1"], how="left")
-              .withColumn("_b", F.col("_b1") * bins + F.when(
-                  F.col("_blo").isNotNull(), bin_of(F.col("_blo"), F.col("_bhi")))
-                  .otherwise(F.lit(0)).cast("long")))
-    # Rows per bin and the rank at which each bin starts.
-    per_bin = binned.groupBy(*g, "_b").agg(F.sum("_c").alias("_bc"))
-    wb = Window.partitionBy(*g).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    per_bin = per_bin.withColumn("_bend", F.sum("_bc").over(wb)).withColumn(
-        "_bstart", F.col("_bend") - F.col("_bc"))
-    # Ranks needed per group: floor and ceil of p*(n-1) for every p.
+    ranges = counts.groupBy(*g).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
+                                    F.sum("_c").alias("_n"), F.count(F.lit(1)).alias("_d"))
     pos = [F.lit(p) * (F.col("_n") - 1) for p in probs]
     ranks = F.array_distinct(F.array(*[F.floor(r).cast("long") for r in pos],
                                      *[F.ceil(r).cast("long") for r in pos]))
-    need = (bc(ranges.select(*g, F.explode(ranks).alias("_k")), 2 * len(probs))
-            .join(per_bin, on=g)
-            .filter((F.col("_k") >= F.col("_bstart")) & (F.col("_k") < F.col("_bend")))
-            .select(*g, "_b", "_k", "_bstart"))
-    needed_bins = need.select(*g, "_b").distinct()
-    # Order only the needed bins; cumulative counts give each value's ranks.
-    wv = Window.partitionBy(*g, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ordered = (binned.join(bc(needed_bins, 2 * len(probs)), on=g + ["_b"], how="left_semi")
-               .withColumn("_vend", F.sum("_c").over(wv))
-               .withColumn("_vstart", F.col("_vend") - F.col("_c")))
-    hits = (bc(need, 2 * len(probs)).join(ordered, on=g + ["_b"])
-            .filter((F.col("_k") >= F.col("_bstart") + F.col("_vstart"))
-                    & (F.col("_k") < F.col("_bstart") + F.col("_vend")))
-            .groupBy(*g).agg(F.map_from_entries(F.collect_list(F.struct("_k", "_v"))).alias("_m")))
-    out = hits.join(bc(ranges.select(*g, "_n")), on=g)
+    # (group, rank) with the value range that holds the rank, the rows before
+    # that range and its distinct values; a few rows per group.
+    need = materialize(ranges.select(*g, "_n", F.explode(ranks).alias("_k"), "_lo", "_hi",
+                                     F.lit(0).cast("long").alias("_before"), "_d"), "quantile-ranks")
+    while not need.filter((F.col("_d") > max_bin_values) & (F.col("_lo") < F.col("_hi"))).isEmpty():
+        need = materialize(_narrowed(counts, need, g, bins), "quantile-ranks")
+    spans = need.select(*g, "_lo", "_hi").distinct()
+    inside = _inside(counts, spans, g)
+    w = Window.partitionBy(*g, "_lo", "_hi").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ordered = inside.withColumn("_end", F.sum("_c").over(w))
+    hits = (ordered.join(sized_broadcast(need), on=g + ["_lo", "_hi"])
+            .filter((F.col("_k") < F.col("_before") + F.col("_end"))
+                    & (F.col("_k") >= F.col("_before") + F.col("_end") - F.col("_c")))
+            .groupBy(*g).agg(F.first("_n").alias("_n"),
+                             F.map_from_entries(F.collect_list(F.struct("_k", "_v"))).alias("_m")))
     cols = []
     for p, name in zip(probs, names):
         r = F.lit(p) * (F.col("_n") - 1)
         lo, hi = F.floor(r).cast("long"), F.ceil(r).cast("long")
         vlo, vhi = F.col("_m")[lo], F.col("_m")[hi]
         cols.append((vlo + (vhi - vlo) * (r - lo)).alias(name))
-    return out.select(*g, *cols)
+    return hits.select(*g, *cols)
+
+
+def _inside(counts: DataFrame, spans: DataFrame, g: list[str]) -> DataFrame:
+    """The counted values of each group that lie in one of its spans."""
+    return counts.join(sized_broadcast(spans), on=g).filter(
+        (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
+
+
+def _narrowed(counts: DataFrame, need: DataFrame, g: list[str], bins: int) -> DataFrame:
+    """Each rank's range replaced by the bin of it that holds the rank."""
+    key = g + ["_lo", "_hi"]
+    spans = need.select(*key).distinct()
+    per_bin = (_inside(counts, spans, g).groupBy(*key, _bin_of(bins).alias("_b"))
+               .agg(F.sum("_c").alias("_bc"), F.count(F.lit(1)).alias("_bd"),
+                    F.min("_v").alias("_blo"), F.max("_v").alias("_bhi")))
+    w = Window.partitionBy(*key).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    ended = per_bin.withColumn("_end", F.sum("_bc").over(w))
+    start = F.col("_before") + F.col("_end") - F.col("_bc")
+    return (ended.join(sized_broadcast(need), on=key)
+            .filter((F.col("_k") >= start) & (F.col("_k") < F.col("_before") + F.col("_end")))
+            .select(*g, "_n", "_k", F.col("_blo").alias("_lo"), F.col("_bhi").alias("_hi"),
+                    start.alias("_before"), F.col("_bd").alias("_d")))
 
 
 def box_statistics(df: DataFrame, group_cols: list[str], value_col: str,
@@ -156,18 +160,15 @@ def box_statistics(df: DataFrame, group_cols: list[str], value_col: str,
     v, c = F.col("_v"), F.col("_c")
     outside = (v < F.col("_lf")) | (v > F.col("_uf"))
     # ``fences`` has one row per group; broadcast while the group count allows.
-    fits = q.count() * (32 + 16 * len(g)) <= DEFAULT_BROADCAST_BYTES
-    stats = (counts.join(F.broadcast(fences) if fits else fences, on=g)
+    stats = (counts.join(sized_broadcast(fences, rows_of=q), on=g)
              .groupBy(*g)
              .agg(F.sum(c).alias("n"), F.min(v).alias("min"), F.max(v).alias("max"),
                   F.min(F.when(v >= F.col("_lf"), v)).alias("lower_whisker"),
                   F.max(F.when(v <= F.col("_uf"), v)).alias("upper_whisker"),
                   F.coalesce(F.sum(F.when(outside, c)), F.lit(0)).cast("bigint")
                   .alias("n_outliers")))
-    return stats.join(F.broadcast(q) if fits else q, on=g).select(
-        *g, "n", *[F.round(col, 6).alias(col) for col in
-                   ["min", "q1", "median", "q3", "max", "lower_whisker", "upper_whisker"]],
-        "n_outliers")
+    return stats.join(sized_broadcast(q, rows_of=q), on=g).select(
+        *g, "n", "min", "q1", "median", "q3", "max", "lower_whisker", "upper_whisker", "n_outliers")
 
 
 def yearly_box_of_station_means(df_grouped: DataFrame, temp_col: str = "TAVG") -> DataFrame:
@@ -227,5 +228,4 @@ def correlation_matrix(df: DataFrame, columns: list[str], impute: bool = True) -
     full = wide.select(*[F.col(f"`{key(a, b)}`").alias(f"{a}|{b}#") for a, b in cells])
     long = full.unpivot([], [f"{a}|{b}#" for a, b in cells], "PAIR", "CORR")
     parts = F.split(F.regexp_replace("PAIR", "#$", ""), r"\|")
-    return long.select(parts[0].alias("COL_A"), parts[1].alias("COL_B"),
-                       F.round("CORR", 6).alias("CORR"))
+    return long.select(parts[0].alias("COL_A"), parts[1].alias("COL_B"), "CORR")

@@ -7,6 +7,7 @@ Each run writes under a fresh folder of the shared checkpoint folder.
 from __future__ import annotations
 
 import os
+import time
 
 from pyspark.sql import functions as F
 
@@ -91,15 +92,133 @@ def csv_roundtrip(spark, sf_dir):
 
 @register("incremental_ingest", _CLEAN_ORACLE)
 def incremental_ingest(spark, sf_dir):
+    """Two folders whose files hold the columns in opposite orders, taken in
+    by one stream; a second run finds nothing new."""
+    table, again = _ingested(spark, sf_dir)
+    if again.files or again.rows:
+        raise RuntimeError("second ingest run picked up files already processed")
+    return ST.read_observations(spark, table).select(*_CLEAN_COLS)
+
+
+def _ingested(spark, sf_dir):
     root = scratch_path(spark, "stream")
     raw_dir, table, ckpt = (os.path.join(root, x) for x in ("raw", "table", "ckpt"))
-    _write_raw_files(spark, sf_dir, raw_dir, two_layouts=False)
-    files_dir = os.path.join(raw_dir, "a")
-    IN.ingest(spark, files_dir, table, ckpt, floor=CLEAN_FLOOR)
-    again = IN.ingest(spark, files_dir, table, ckpt, floor=CLEAN_FLOOR)
-    if IN.rows_written(again):
-        raise RuntimeError("second ingest run picked up files already processed")
-    return IN.read_ingested(spark, table).select(*_CLEAN_COLS)
+    _write_raw_files(spark, sf_dir, raw_dir, two_layouts=True)
+    IN.ingest(spark, os.path.join(raw_dir, "*"), table, ckpt, floor=CLEAN_FLOOR)
+    return table, IN.ingest(spark, os.path.join(raw_dir, "*"), table, ckpt, floor=CLEAN_FLOOR)
+
+
+def _undated(obs):
+    """The observations with every ninth part's date lost."""
+    return obs.withColumn("DATE", F.when(F.col("TSUN") % 9 != 0, F.col("DATE")))
+
+
+_UNDATED = "case when TSUN % 9 <> 0 then DATE end"
+
+
+@register("ingest_then_append_then_purge", with_views(
+    "select " + ", ".join(_CLEAN_COLS) + " from (select " + ", ".join(_CLEAN_COLS)
+    + " from k where not e and not nd and not bd and not bf and not ol union all select "
+    + ", ".join(f"{_UNDATED} as DATE" if c == "DATE" else c for c in _CLEAN_COLS)
+    + f" from obs where {_UNDATED} is not null) where not ({_SUSPECT})",
+    raw=True, ctes=_clean_ctes(CLEAN_FLOOR)))
+def ingest_then_append_then_purge(spark, sf_dir):
+    """One table that the stream, the batch append and the purge all write."""
+    table, _ = _ingested(spark, sf_dir)
+    ST.append_observations(_undated(_obs(spark, sf_dir)), table)
+    removed = ST.purge_suspect_temperatures(spark, table)
+    if not removed.rows or ST.purge_suspect_temperatures(spark, table).rows:
+        raise RuntimeError("the purge must remove its rows, once")
+    return ST.read_observations(spark, table).select(*_CLEAN_COLS)
+
+
+@register("count_before_floor", with_views(
+    f"select count(*) as n_rows from obs where DATE < DATE '{PURGE_FLOOR}'"))
+def count_before_floor(spark, sf_dir):
+    return ST.count_before(spark, _stored_copy(spark, sf_dir, "count-floor"), PURGE_FLOOR)
+
+
+@register("append_dedupe", with_views(
+    "select STATION, DATE, count(*) as n_rows from (select distinct STATION, DATE from obs) group by all"))
+def append_dedupe(spark, sf_dir):
+    """The same rows appended three times, deduplicated by station and date."""
+    path = scratch_path(spark, "dedupe")
+    for _ in range(3):
+        ST.append_observations(_obs(spark, sf_dir), path, dedupe_keys=("STATION", "DATE"))
+    return ST.read_observations(spark, path).groupBy("STATION", "DATE").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+_N_CLEAN = "(select count(*) from k where not e and not nd and not bd and not bf and not ol)"
+
+
+def _statuses(spark, rows):
+    return spark.createDataFrame([(n, r.ok, r.rows) for n, r in rows], "STEP string, OK boolean, ROWS bigint")
+
+
+@register("import_latest_result", with_views(
+    f"select * from (values ('import', true, {_N_CLEAN}), ('empty', false, 0), ('stored', true, {_N_CLEAN})) "
+    "as t(STEP, OK, ROWS)", raw=True, ctes=_clean_ctes(CLEAN_FLOOR)))
+def import_latest_result(spark, sf_dir):
+    """Status of importing the newest raw file, and of one whose rows all go."""
+    root = scratch_path(spark, "import")
+    table = os.path.join(root, "table")
+    raw = raw_observations(spark, sf_dir)
+    CSV.write_csv(raw.coalesce(1), os.path.join(root, "raw"))  # one file is the newest file
+    CSV.write_csv(raw.withColumn("DATE", F.lit("no date")).coalesce(1), os.path.join(root, "bad"))
+    done = ST.import_latest(spark, os.path.join(root, "raw"), table, CLEAN_FLOOR, os.path.join(root, "clean"))
+    empty = ST.import_latest(spark, os.path.join(root, "bad"), table, CLEAN_FLOOR, os.path.join(root, "clean-bad"))
+    stored = ST.WriteResult(True, ST.read_observations(spark, table).count(), "")
+    return _statuses(spark, [("import", done), ("empty", empty), ("stored", stored)])
+
+
+@register("rebuild_result", with_views(
+    f"select * from (values ('rebuild', true, {_N_CLEAN}), ('empty', false, 0), ('kept', true, {_N_CLEAN})) "
+    "as t(STEP, OK, ROWS)", raw=True, ctes=_clean_ctes(CLEAN_FLOOR)))
+def rebuild_result(spark, sf_dir):
+    """Status of rebuilding a filled table from clean files, and from none that count."""
+    root, table = scratch_path(spark, "rebuild"), _stored_copy(spark, sf_dir, "rebuild-table")
+    CSV.write_csv(C.clean_observations(raw_observations(spark, sf_dir), CLEAN_FLOOR), os.path.join(root, "clean"))
+    done = ST.rebuild_from_clean_files(spark, os.path.join(root, "clean"), table)
+    empty = ST.rebuild_from_clean_files(spark, os.path.join(root, "clean"), table, floor="2200-01-01")
+    kept = ST.WriteResult(True, ST.read_observations(spark, table).count(), "")
+    return _statuses(spark, [("rebuild", done), ("empty", empty), ("kept", kept)])
+
+
+@register("union_of_layouts", with_views(
+    "select STATION, DATE, nullif(TMAX, '') as TMAX, cast(null as string) as TMIN from raw_obs union all "
+    "select STATION, DATE, cast(null as string), nullif(TMIN, '') from raw_obs", raw=True))
+def union_of_layouts(spark, sf_dir):
+    """Files with different columns, combined by name."""
+    root = scratch_path(spark, "layouts")
+    raw = raw_observations(spark, sf_dir)
+    CSV.write_csv(raw.select("STATION", "DATE", "TMAX"), os.path.join(root, "a"))
+    CSV.write_csv(raw.select("TMIN", "DATE", "STATION"), os.path.join(root, "b"))
+    out = CSV.read_raw_dir(spark, os.path.join(root, "*", "*.csv")).select("STATION", "DATE", "TMAX", "TMIN")
+    return out.withColumns({c: F.nullif(c, F.lit("")) for c in ("TMAX", "TMIN")})
+
+
+@register("latest_file", with_views(
+    "select 'new' as FOLDER, count(*) as n_rows from obs"))
+def latest_file(spark, sf_dir):
+    """Rows of the newest of two files."""
+    root = scratch_path(spark, "latest")
+    obs = _obs(spark, sf_dir).select("STATION", "DATE", "TMAX")
+    CSV.write_csv(obs.limit(1).coalesce(1), os.path.join(root, "old"))
+    time.sleep(0.01)  # file times are kept in milliseconds
+    CSV.write_csv(obs.coalesce(1), os.path.join(root, "new"))
+    newest = CSV.latest_csv(spark, os.path.join(root, "*", "*.csv"))
+    return CSV.read_raw(spark, newest).agg(
+        F.lit(newest.split("/")[-2]).alias("FOLDER"), F.count(F.lit(1)).alias("n_rows"))
+
+
+@register("file_manifest", "with n as (select count(*) as n_rows from lineitem) select 1 as n_names, n_rows from n")
+def file_manifest(spark, sf_dir):
+    """Distinct file names behind a table, written as text."""
+    path = scratch_path(spark, "manifest")
+    table = spark.read.parquet(os.path.join(sf_dir, "lineitem.parquet"))
+    CSV.write_manifest(table, path)
+    return table.agg(F.count(F.lit(1)).alias("n_rows")).select(
+        F.lit(spark.read.text(path).distinct().count()).alias("n_names"), "n_rows")
 
 
 REPORT_YEAR = 2000
@@ -132,6 +251,31 @@ _EVENTS = ("e as (select cast(year(DATE) as bigint) as YEAR, "
     f"('correlation_matrix', {len(S.CORRELATION_MEASURES) ** 2})"
     ') as t("TABLE", ROWS)', ctes=[_A3, _SNOW, _EVENTS]))
 def batch_report(spark, sf_dir):
-    out = scratch_path(spark, "report")
-    paths = R.write_report(_obs(spark, sf_dir), out, REPORT_YEAR)
-    return R.report_summary(spark, paths)
+    return R.report_summary(spark, _report(spark, sf_dir))
+
+
+def _report(spark, sf_dir):
+    return R.write_report(_obs(spark, sf_dir), scratch_path(spark, "report"), REPORT_YEAR)
+
+
+@register("batch_report_contents", with_views(
+    "select 'snow_ranking' as \"TABLE\", NAME as KEY, round(SNOW, 6) as VALUE from s "
+    f"where SNOW >= {S.SNOW_RANK_MIN} union all "
+    "select 'max_temp_trend', NAME || ' ' || YEAR, round(TMAX, 6) from g "
+    f"where NAME in {_FIRST20} union all "
+    "select 'null_profile', 'TMAX', cast((select count(TMAX) from obs) as double) union all "
+    f"select 'event_frequencies', cast(YEAR as varchar), cast(total as double) from e where total >= {S.MIN_EVENT_TOTAL}",
+    ctes=[_A3, _SNOW, _EVENTS]))
+def batch_report_contents(spark, sf_dir):
+    """Values of four of the written report tables."""
+    t = {name: spark.read.parquet(p) for name, p in _report(spark, sf_dir).items()}
+
+    def part(name, key, value, rows=None):
+        return (rows if rows is not None else t[name]).select(
+            F.lit(name).alias("TABLE"), key.cast("string").alias("KEY"), F.round(value.cast("double"), 6).alias("VALUE"))
+    events = [c for c in t["event_frequencies"].columns if c != "YEAR"]
+    return (part("snow_ranking", F.col("NAME"), F.col("SNOW"))
+            .union(part("max_temp_trend", F.concat_ws(" ", "NAME", "PERIOD_LABEL"), F.col("TMAX")))
+            .union(part("null_profile", F.col("COLUMN_NAME"), F.col("NON_NULL"),
+                        t["null_profile"].filter("COLUMN_NAME = 'TMAX'")))
+            .union(part("event_frequencies", F.col("YEAR"), sum([F.col(f"`{c}`") for c in events], F.lit(0)))))

@@ -3,6 +3,9 @@ distribution statistics and station names (build steps 4 and 6–9)."""
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import schema as S
@@ -13,7 +16,8 @@ from ..operators import names as NM
 from ..operators import stats as ST
 from ..operators.joins import sized_broadcast
 from ..session import materialize
-from ..sources.adapter import city_dimension, raw_observations, read_table, with_views
+from ..sources.adapter import (city_dimension, first_station, observations, raw_observations, read_table,
+                               station_names, with_views)
 from . import series as G
 from .catalog import _obs, register
 
@@ -115,14 +119,12 @@ def plausible_rows(spark, sf_dir):
 # ---------------------------------------------------------------------------
 
 SERIES_START, SERIES_END, SERIES_FLOOR = "1997-03-15", "2000-06-30", "1998-01-01"
-_W = ("w as (select * from obs where NAME = (select min(NAME) from obs) "
+_FIRST = ("(select min(concat(n_name, ' AIRPORT ', cast(s_suppkey as string), ', ', r_name, ' US')) from supplier "
+          "join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey)")
+_W = (f"w as (select * from obs where NAME = {_FIRST} "
       f"and DATE >= DATE '{SERIES_FLOOR}' and DATE <= DATE '{SERIES_END}')")
 
 
-def _first_station(obs):
-    return obs.select(F.min("NAME")).scalar()
-
-
 def _station_sql(body: str) -> str:
     return with_views(body, ctes=[_W])
 
@@ -148,8 +150,8 @@ def snow_trend(spark, sf_dir):
 
 def _series(fn, *extra):
     def run(spark, sf_dir):
-        obs = _obs(spark, sf_dir)
-        return fn(obs, _first_station(obs), SERIES_START, SERIES_END, *extra,
+        station = first_station(spark, sf_dir)
+        return fn(observations(spark, sf_dir, station), station, SERIES_START, SERIES_END, *extra,
                   floor=SERIES_FLOOR)
     return run
 
@@ -177,7 +179,8 @@ register("sunny_days", _station_sql("select DATE, TSUN from w where TSUN > 0"))(
 @register("precip_inches", with_views(
     "select NAME, DATE, round(PRCP / 10 * 0.03937, 6) as PRCP_IN from obs"))
 def precip_inches(spark, sf_dir):
-    return G.precipitation_inches(_obs(spark, sf_dir))
+    out = G.precipitation_inches(_obs(spark, sf_dir))
+    return out.withColumn("PRCP_IN", F.round("PRCP_IN", 6))
 
 
 @register("filtered_summary", with_views(
@@ -200,6 +203,14 @@ _G = ("g as (select NAME, cast(year(DATE) as varchar) as PERIOD_LABEL, avg(SNOW)
       "from obs where NAME is not null and DATE is not null group by all)")
 
 
+_BOX = ["min", "q1", "median", "q3", "max", "lower_whisker", "upper_whisker"]
+
+
+def _rounded(df, *columns):
+    """Six digits on both sides of a comparison; the operators do not round."""
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
 def _conditions(spark, sf_dir, materialized: bool = False):
     """Station-year conditions (A3). Charts that read it in several branches
     (a total or means as scalar subqueries next to the main plan) get it
@@ -218,15 +229,16 @@ def _conditions(spark, sf_dir, materialized: bool = False):
         f"o as (select case when s.SNOW / t.total < {SHARE_MIN} then 'Others' else NAME end "
         "as NAME, sum(s.SNOW) as SNOW, any_value(t.total) as total from s, t group by 1)"]))
 def snow_share(spark, sf_dir):
-    out = A.snowfall_share(_conditions(spark, sf_dir, materialized=True), SNOW_YEAR, SHARE_MIN)
-    return out.select("NAME", F.round("SNOW", 6).alias("SNOW"), "SHARE")
+    # One narrow row per station of the year, read by the shares and their total.
+    yearly = materialize(A.station_year_snow(_obs(spark, sf_dir), SNOW_YEAR), "station-snow")
+    return _rounded(A.snowfall_share(yearly, SNOW_YEAR, SHARE_MIN), "SNOW", "SHARE")
 
 
 @register("snow_ranking", with_views(
     f"select NAME, sum(SNOW) as SNOW from g where PERIOD_LABEL = '{SNOW_YEAR}' group by NAME "
     f"having sum(SNOW) >= {S.SNOW_RANK_MIN} order by SNOW desc, NAME", ctes=[_G]))
 def snow_ranking(spark, sf_dir):
-    return A.snowfall_ranking(_conditions(spark, sf_dir), SNOW_YEAR)
+    return A.snowfall_ranking(A.station_year_snow(_obs(spark, sf_dir), SNOW_YEAR), SNOW_YEAR)
 
 
 def _flag_sum(c: str) -> str:
@@ -281,7 +293,7 @@ def _box_sql(sources: list[str], keys: list[str]) -> str:
     "where NAME is not null and DATE is not null group by all)",
     "v as (select YEAR, TAVG as x from g where TAVG is not null)"], ["YEAR"]))
 def temp_box_by_year(spark, sf_dir):
-    return ST.yearly_box_of_station_means(_conditions(spark, sf_dir), "TAVG")
+    return _rounded(ST.yearly_box_of_station_means(_conditions(spark, sf_dir), "TAVG"), *_BOX)
 
 
 @register("yearly_distributions", _box_sql([
@@ -290,7 +302,7 @@ def temp_box_by_year(spark, sf_dir):
         f"where DATE is not null and {c} is not null" for c in S.DISTRIBUTION_COLS) + ")"],
     ["MEASURE", "YEAR"]))
 def yearly_distributions(spark, sf_dir):
-    return ST.yearly_distributions(_obs(spark, sf_dir), S.DISTRIBUTION_COLS)
+    return _rounded(ST.yearly_distributions(_obs(spark, sf_dir), S.DISTRIBUTION_COLS), *_BOX)
 
 
 _A3_SQL = [
@@ -327,8 +339,8 @@ def _corr_sql() -> str:
 
 @register("correlation_matrix", _corr_sql())
 def correlation_matrix(spark, sf_dir):
-    return ST.correlation_matrix(_conditions(spark, sf_dir, materialized=True),
-                                 S.CORRELATION_MEASURES)
+    return _rounded(ST.correlation_matrix(_conditions(spark, sf_dir, materialized=True),
+                                          S.CORRELATION_MEASURES), "CORR")
 
 
 # ---------------------------------------------------------------------------
@@ -475,16 +487,22 @@ def null_profile_labeled(spark, sf_dir):
     return with_element_meaning(with_labels(prof, "COLUMN_NAME"), "COLUMN_NAME")
 
 
-@register("station_temperature_metrics", with_views(
-    "select PERIOD_START, TMIN, TAVG, TMAX from g where NAME = (select min(NAME) from obs) "
-    "order by PERIOD_START", ctes=[
-        "g as (select NAME, cast(date_trunc('year', DATE) as date) as PERIOD_START, "
-        "avg(TMIN) as TMIN, avg(TAVG) as TAVG, avg(TMAX) as TMAX from obs "
-        "where NAME is not null and DATE is not null group by all)"]))
-def station_temperature_metrics(spark, sf_dir):
-    obs = _obs(spark, sf_dir)
-    return G.station_metrics(A.station_period_conditions(obs, "Y"), _first_station(obs),
-                             "temperature")
+def _metrics(kind: str, columns: dict[str, str]):
+    aggs = ", ".join(f"{fn} as {c}" for c, fn in columns.items())
+
+    @register(f"station_{kind}_metrics", with_views(
+        f"select PERIOD_START, {', '.join(columns)} from g where NAME = {_FIRST} order by PERIOD_START", ctes=[
+            f"g as (select NAME, cast(date_trunc('year', DATE) as date) as PERIOD_START, {aggs} from obs "
+            "where NAME is not null and DATE is not null group by all)"]))
+    def run(spark, sf_dir):
+        station = first_station(spark, sf_dir)
+        rows = observations(spark, sf_dir, station)
+        return G.station_metrics(A.station_period_conditions(rows, "Y"), station, kind)
+
+
+_metrics("temperature", {c: f"avg({c})" for c in ("TMIN", "TAVG", "TMAX")})
+_metrics("precipitation", {c: f"avg({c})" for c in ("PRCP", "SNOW")})
+_metrics("events", {c: f"coalesce(sum({c}), 0.0)" for c in ("WT16", "WT08", "WT01")})
 
 
 @register("control_summary", with_views(
@@ -502,7 +520,8 @@ def control_summary(spark, sf_dir):
         "where NAME is not null and DATE is not null group by all)",
         "s as (select YEAR, NAME, sum(SNOW) as SNOW from g group by all having sum(SNOW) > 0)"]))
 def snow_share_all_years(spark, sf_dir):
-    return A.snowfall_shares_all_years(_conditions(spark, sf_dir, materialized=True))
+    yearly = materialize(A.station_year_snow(_obs(spark, sf_dir)), "station-snow")
+    return _rounded(A.snowfall_shares_all_years(yearly), "SNOW", "SHARE")
 
 
 @register("snow_trend_total", with_views(
@@ -537,8 +556,6 @@ def complete_station_years(spark, sf_dir):
     """Station-years, and those with every correlation measure present (P18),
     in one aggregate."""
     grouped = _conditions(spark, sf_dir)
-    complete = F.lit(True)
-    for c in S.CORRELATION_MEASURES:
-        complete = complete & F.col(c).isNotNull()
+    complete = reduce(Column.__and__, [F.col(c).isNotNull() for c in S.CORRELATION_MEASURES])
     return grouped.agg(F.count(F.lit(1)).alias("n_station_years"),
                        F.count_if(complete).alias("n_complete"))

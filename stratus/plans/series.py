@@ -100,12 +100,14 @@ def measure_series(df, station, start, end, data_type: str, floor=None) -> DataF
     """(DATE, first usable measure column) of a data type at one station.
 
     Which column is "usable" (present with a value) is decided per column
-    with one aggregate over the selected rows.
+    over the selected rows. They are one station's days, so with several
+    columns to choose from they are staged first: the input is read once.
     """
     rows = station_window(df, station, start, end, floor)
     cols = [c for c in P.columns_for(data_type) if c in rows.columns]
     if not cols:
         return rows.select("DATE").limit(0)
+    rows = materialize(rows.select("DATE", *cols), "station-window")
     usable = P.usable_columns(rows, cols).first()
     chosen = next((c for c in cols if usable[c]), None)
     if chosen is None:
@@ -122,7 +124,7 @@ def occurrences(df, station, start, end, column: str, floor=None) -> DataFrame:
 def precipitation_inches(df, station=None, start=None, end=None, floor=None) -> DataFrame:
     """Precipitation converted to inches."""
     rows = df if station is None else station_window(df, station, start, end, floor)
-    return rows.select("NAME", "DATE", F.round(prcp_inches("PRCP"), 6).alias("PRCP_IN"))
+    return rows.select("NAME", "DATE", prcp_inches("PRCP").alias("PRCP_IN"))
 
 
 def filtered_observations(df: DataFrame, start=None, end=None) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import contextlib
+import re
 import tempfile
 import uuid
 
@@ -41,21 +43,49 @@ def get_session(master: str | None = None, app_name: str = "stratus",
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the setting names a shared filesystem folder and is used as
-    is. Only when it is unset (local runs, tests) a private folder is made.
+    On a cluster the setting must name a folder that every executor shares
+    and is used as is. Only a local master, where there is one machine, gets
+    a private folder when it is unset; any other master raises.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError(
+                f"spark.checkpoint.dir is unset: with master {master} it must name a folder "
+                "that the driver and every executor share")
         current = tempfile.mkdtemp(prefix="stratus-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
-    spark.sparkContext.setCheckpointDir(current)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(current)
+        atexit.register(_clean_at_exit, spark)
     return current
 
 
+def scratch_root(spark: SparkSession) -> str:
+    """This application's own folder inside the shared checkpoint folder."""
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    return f"{root}/stratus-{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh sub-folder of the shared checkpoint folder for staged writes."""
-    root = ensure_checkpoint_dir(spark)
-    return os.path.join(root, f"{label}-{uuid.uuid4().hex}")
+    """A fresh sub-folder for staged writes."""
+    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def clean_scratch(spark: SparkSession) -> None:
+    """Delete everything this application has staged.
+
+    Frames that read staged tables are void afterwards: call it when the
+    results have been written or collected. It also runs when the program ends.
+    """
+    from .sources import files
+    files.delete(spark, scratch_root(spark))
+
+
+def _clean_at_exit(spark: SparkSession) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended already
+        clean_scratch(spark)
 
 
 def materialize(df, label: str = "stage"):
@@ -68,7 +98,8 @@ def materialize(df, label: str = "stage"):
     executor re-reads files), and the written files give the optimizer a
     real size for its broadcast decisions. Unlike ``checkpoint()`` the plan
     is computed once (an RDD checkpoint re-runs it to write the files).
+    ``clean_scratch`` removes the files.
     """
     path = scratch_path(df.sparkSession, label)
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -17,7 +17,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from ..operators.joins import spread_small_input
 from . import files as FS
 
 # Reader/writer options that keep cells as written: no whitespace trimming,
@@ -40,7 +39,7 @@ def raw_schema_for(columns: list[str]):
 
 
 def read_raw(spark: SparkSession, paths: list[str] | str,
-             columns: list[str] | None = None, spread: bool = True) -> DataFrame:
+             columns: list[str] | None = None) -> DataFrame:
     """Read CSV files that share one header as all-text columns.
 
     ``columns`` is the header in file order; read from the first file when
@@ -49,46 +48,42 @@ def read_raw(spark: SparkSession, paths: list[str] | str,
     paths = [paths] if isinstance(paths, str) else list(paths)
     if columns is None:
         columns = parse_header(FS.read_first_line(spark, paths[0]))
-    df = spark.read.options(**READ_OPTIONS).schema(S.raw_schema(columns)).csv(paths)
-    # Compressed CSV files cannot be split: spread few large files over the cluster.
-    return spread_small_input(df) if spread else df
+    return spark.read.options(**READ_OPTIONS).schema(S.raw_schema(columns)).csv(paths)
 
 
 HEADER_READERS = 32
 
 
-def header_groups(spark: SparkSession, pattern: str) -> dict[tuple[str, ...], list[str]]:
-    """CSV files under ``pattern`` grouped by their header.
+def header_groups(spark: SparkSession, paths: list[str]) -> dict[tuple[str, ...], list[str]]:
+    """CSV files grouped by their header; files without one are left out.
 
     Only the first line of each file is read, by a pool of driver threads
     (the reads are latency-bound on object stores; many station files would
     otherwise be opened one after another).
     """
-    files = [f for f in FS.list_files(spark, pattern, ".csv") if f.size > 0]
     with ThreadPoolExecutor(max_workers=HEADER_READERS) as pool:
-        headers = list(pool.map(lambda f: FS.read_first_line(spark, f.path), files))
+        headers = list(pool.map(lambda p: FS.read_first_line(spark, p), paths))
     groups: dict[tuple[str, ...], list[str]] = {}
-    for f, line in zip(files, headers):
+    for path, line in zip(paths, headers):
         cols = tuple(parse_header(line))
         if cols:
-            groups.setdefault(cols, []).append(f.path)
+            groups.setdefault(cols, []).append(path)
     return groups
 
 
-def read_raw_dir(spark: SparkSession, pattern: str) -> DataFrame | None:
-    """All CSV files of a directory (or glob) as one all-text frame (S3).
-
-    One read per distinct header, then ``unionByName`` with missing columns
-    filled by NULL. Returns None when there is no file.
-    """
-    groups = header_groups(spark, pattern)
+def read_raw_files(spark: SparkSession, paths: list[str]) -> DataFrame | None:
+    """CSV files as one all-text frame (S3): one read per distinct header,
+    combined by column name, missing columns NULL. None when there is none."""
+    groups = header_groups(spark, paths)
     if not groups:
         return None
-    frames = [read_raw(spark, paths, list(cols), spread=False) for cols, paths in groups.items()]
-    union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-    # Spread once over all groups (not per group: many header groups would
-    # otherwise multiply the partition count).
-    return spread_small_input(union)
+    frames = [read_raw(spark, group, list(cols)) for cols, group in groups.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
+def read_raw_dir(spark: SparkSession, pattern: str) -> DataFrame | None:
+    """All CSV files of a directory (or glob) as one all-text frame (S3)."""
+    return read_raw_files(spark, [f.path for f in FS.list_files(spark, pattern, ".csv") if f.size > 0])
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -127,4 +122,4 @@ def file_manifest(df: DataFrame) -> DataFrame:
 
 def write_manifest(df: DataFrame, path: str) -> None:
     """Write the file manifest as text, one name per line."""
-    file_manifest(df).coalesce(1).write.mode("overwrite").text(path)
+    file_manifest(df).write.mode("overwrite").text(path)

@@ -34,6 +34,24 @@ def delete(spark: SparkSession, path: str) -> bool:
     return bool(fs.delete(hpath, True))
 
 
+def create_new(spark: SparkSession, path: str) -> bool:
+    """Create an empty file; False when it exists already (atomic)."""
+    fs, hpath, _ = _fs_and_path(spark, path)
+    return bool(fs.createNewFile(hpath))
+
+
+def make_dirs(spark: SparkSession, path: str) -> None:
+    fs, hpath, _ = _fs_and_path(spark, path)
+    fs.mkdirs(hpath)
+
+
+def rename(spark: SparkSession, source: str, target: str) -> None:
+    """Move a file or folder; raises when the file system refuses."""
+    fs, hpath, jvm = _fs_and_path(spark, source)
+    if not fs.rename(hpath, jvm.org.apache.hadoop.fs.Path(target)):
+        raise OSError(f"cannot move {source} to {target}")
+
+
 def list_files(spark: SparkSession, pattern: str, suffix: str = ".csv") -> list[FileInfo]:
     """Files matching a directory or glob pattern, ending with ``suffix``.
 

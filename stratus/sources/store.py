@@ -1,27 +1,31 @@
 """The observation table: a Parquet dataset partitioned by ``YEAR``.
 
-Appends are parallel file writes under Spark's commit protocol. Deletes
-(purges) never overwrite the path being read: the kept rows of the affected
-year partitions are first written to a staging folder inside the shared
-checkpoint folder, then those partitions alone are replaced from the staged
-copy (dynamic partition overwrite); partitions left without rows are removed.
+Every writer (append, streaming ingest, purge, rebuild) goes through this
+module, holds the table's lock file while it changes the table, and keeps
+the same rules: no row without a date is stored, the rows of a year are
+brought together before they are written (a hot year is split into several
+files by adaptive execution), and a result that counts rows counts the rows
+that were really written or removed.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schema as S
-from ..functions.periods import year_of
 from ..operators.filters import _as_date, suspect_temperature_condition
-from ..session import scratch_path
 from . import files as FS
 
 PARTITION_COL = "YEAR"
+NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"
 TABLE_SCHEMA = T.StructType(list(S.OBSERVATION_SCHEMA.fields)
                             + [T.StructField(PARTITION_COL, T.IntegerType())])
 
@@ -33,6 +37,22 @@ class WriteResult:
     message: str
 
 
+@contextmanager
+def table_lock(spark: SparkSession, path: str) -> Iterator[None]:
+    """One writer at a time: an atomically created file beside the table.
+
+    A writer that was killed leaves the file; remove it by hand after making
+    sure that no writer runs (every operation here can then be run again).
+    """
+    lock = f"{path.rstrip('/')}.lock"
+    if not FS.create_new(spark, lock):
+        raise RuntimeError(f"the table is being written by another job ({lock} exists)")
+    try:
+        yield
+    finally:
+        FS.delete(spark, lock)
+
+
 def ensure_table(spark: SparkSession, path: str) -> None:
     """Create an empty table with the fixed schema if the path is absent."""
     if FS.exists(spark, path):
@@ -48,9 +68,10 @@ def read_observations(spark: SparkSession, path: str) -> DataFrame:
 
 
 def to_stored(df: DataFrame, floor=None) -> DataFrame:
-    """Rows as stored: date floor, missing columns as NULL, fixed column set."""
+    """Rows as stored: dated rows from the floor on, missing columns as NULL,
+    fixed column set."""
     floor = _as_date(floor)
-    out = df.filter(F.col("DATE") >= F.lit(floor)) if floor is not None else df
+    out = df.filter(F.col("DATE").isNotNull() if floor is None else F.col("DATE") >= F.lit(floor))
     cols = []
     for f in S.OBSERVATION_SCHEMA.fields:
         cols.append(F.col(f.name).cast(f.dataType).alias(f.name) if f.name in out.columns
@@ -58,34 +79,84 @@ def to_stored(df: DataFrame, floor=None) -> DataFrame:
     return out.select(*cols, F.year("DATE").alias(PARTITION_COL))
 
 
+def _write(rows: DataFrame, path: str, mode: str) -> int:
+    """Write stored rows by year; the number of rows written."""
+    obs = Observation("written")
+    # Rebalance: a year's rows come together (few files), a hot year is split.
+    out = rows.hint("rebalance", PARTITION_COL).observe(obs, F.count(F.lit(1)).alias("rows"))
+    writer = out.write.mode(mode).partitionBy(PARTITION_COL)
+    if mode == "overwrite":
+        writer = writer.option("partitionOverwriteMode", "dynamic")
+    writer.parquet(path)
+    return int(obs.get.get("rows", 0))
+
+
+def without_repeats(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per key (NULL keys compare equal): the least under the order of
+    all other columns, so the choice does not depend on the partitioning."""
+    others = [c for c in rows.columns if c not in keys]
+    return (rows.groupBy(*keys).agg(F.min(F.struct(*others)).alias("_row"))
+            .select(*[F.col(c) if c in keys else F.col("_row")[c].alias(c) for c in rows.columns]))
+
+
 def append_observations(df: DataFrame, path: str, floor=None,
-                        dedupe_keys: tuple[str, ...] | None = None,
-                        mode: str = "append") -> WriteResult:
-    """Append cleaned rows to the table (S8); ``mode='overwrite'`` rebuilds.
+                        dedupe_keys: tuple[str, ...] | None = None) -> WriteResult:
+    """Append cleaned rows to the table.
 
     ``dedupe_keys`` (e.g. ``("STATION", "DATE")``) drops rows whose key is
-    already stored or repeated in the batch, by an anti-join on the key.
-    The row count comes from an observation on the written rows (no second
-    pass over the data).
+    already stored or repeated in the batch. The row count comes from an
+    observation on the written rows (no second pass over the data). An empty
+    batch is reported as not ok and creates nothing.
     """
     spark = df.sparkSession
-    rows = to_stored(df, floor)
-    if dedupe_keys:
-        keys = list(dedupe_keys)
-        # Both deduplications are aggregations with map-side combine, so many
-        # copies of one key collapse before any shuffle.
-        rows = rows.dropDuplicates(keys)
-        if mode == "append" and FS.exists(spark, path):
-            stored = read_observations(spark, path).select(*keys).distinct()
-            rows = rows.join(stored, on=keys, how="left_anti")
-    obs = Observation("append")
-    rows = rows.observe(obs, F.count(F.lit(1)).alias("rows"))
-    writer = rows.write.mode(mode).partitionBy(PARTITION_COL)
-    if mode == "overwrite":
-        writer = writer.option("partitionOverwriteMode", "static")
-    writer.parquet(path)
-    n = int(obs.get.get("rows", 0))
-    return WriteResult(True, n, f"Successfully imported {n} rows.")
+    with table_lock(spark, path):
+        new_table = not FS.exists(spark, path)
+        rows = to_stored(df, floor)
+        if dedupe_keys:
+            keys = list(dedupe_keys)
+            rows = without_repeats(rows, keys)
+            if not new_table:
+                stored = read_observations(spark, path).select(
+                    *[F.col(k).alias(f"_stored_{k}") for k in keys]).distinct()
+                same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_stored_{k}")) for k in keys])
+                rows = rows.join(stored, same, "left_anti")
+        n = _write(rows, path, "append")
+        if n == 0 and new_table:
+            FS.delete(spark, path)
+    return _imported(n)
+
+
+def _imported(n: int) -> WriteResult:
+    return WriteResult(n > 0, n, f"Successfully imported {n} rows." if n else "No rows to import.")
+
+
+def append_batch(df: DataFrame, path: str, tag: str, floor=None) -> WriteResult:
+    """Append one batch so that a replay lands once (ST1).
+
+    The batch is written to a hidden folder of the table and its files are
+    moved into the year folders under names that begin with ``tag``; a replay
+    removes the files of that tag first. The driver moves a few files per
+    year of the batch and reads none.
+    """
+    spark = df.sparkSession
+    root = path.rstrip("/")
+    staging = f"{root}/_batch-{tag}"
+    with table_lock(spark, path):
+        n = _write(to_stored(df, floor), staging, "overwrite")
+        for f in FS.list_files(spark, f"{root}/{PARTITION_COL}=*/{tag}-*", ".parquet"):
+            FS.delete(spark, f.path)
+        for year in FS.partition_values(spark, staging, PARTITION_COL):
+            folder = f"{PARTITION_COL}={year}"
+            FS.make_dirs(spark, f"{root}/{folder}")
+            for f in FS.list_files(spark, f"{staging}/{folder}", ".parquet"):
+                FS.rename(spark, f.path, f"{root}/{folder}/{tag}-{f.name}")
+        FS.delete(spark, staging)
+    return _imported(n)
+
+
+def _drop_year(spark: SparkSession, path: str, year: int | None) -> None:
+    value = NULL_PARTITION if year is None else year
+    FS.delete(spark, f"{path.rstrip('/')}/{PARTITION_COL}={value}")
 
 
 def purge(spark: SparkSession, path: str, condition: Column,
@@ -93,32 +164,32 @@ def purge(spark: SparkSession, path: str, condition: Column,
     """Delete rows matching ``condition`` (NULL counts as no match).
 
     ``scope`` is an optional predicate on ``YEAR`` that bounds the
-    partitions examined (partition pruning). One grouped count finds the
-    partitions holding matching rows and how many (at most one row per year
-    reaches the driver); only those partitions are rewritten.
+    partitions examined (partition pruning). One grouped count tells, per
+    year, how many rows go and whether any stay (one row per year reaches the
+    driver). Years that lose all rows are dropped; the others are rewritten by
+    one dynamic partition overwrite, which stages the new files and replaces a
+    year only when all of them are written. Run again after an interruption:
+    it finishes what is left.
     """
-    table = read_observations(spark, path)
-    cond = F.coalesce(condition, F.lit(False))
-    examined = table.filter(scope) if scope is not None else table
-    per_year = examined.filter(cond).groupBy(PARTITION_COL).count().collect()
-    years = [r[0] for r in per_year]
-    removed = int(sum(r[1] for r in per_year))
-    if not years:
-        return WriteResult(True, 0, "No rows matched.")
-    kept = table.filter(F.col(PARTITION_COL).isin(years)).filter(~cond)
-    staging = scratch_path(spark, "purge-staging")
-    kept.write.mode("overwrite").partitionBy(PARTITION_COL).parquet(staging)
-    staged = read_observations(spark, staging)
-    staged_years = {int(v) for v in FS.partition_values(spark, staging, PARTITION_COL)
-                    if v.lstrip("-").isdigit()}
-    if staged_years:
-        (staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy(PARTITION_COL).parquet(path))
-    for y in years:
-        if y not in staged_years:
-            FS.delete(spark, f"{path.rstrip('/')}/{PARTITION_COL}={y}")
-    FS.delete(spark, staging)
-    return WriteResult(True, removed, f"Deleted {removed} rows.")
+    with table_lock(spark, path):
+        table = read_observations(spark, path)
+        cond = F.coalesce(condition, F.lit(False))
+        examined = table.filter(scope) if scope is not None else table
+        per_year = (examined.groupBy(PARTITION_COL)
+                    .agg(F.count_if(cond).alias("gone"), F.count(F.lit(1)).alias("rows"))
+                    .filter("gone > 0").collect())
+        rewritten = [r[PARTITION_COL] for r in per_year if r["gone"] < r["rows"]]
+        if rewritten:
+            year = F.col(PARTITION_COL)
+            chosen = year.isin([y for y in rewritten if y is not None])
+            if None in rewritten:
+                chosen = F.coalesce(chosen, F.lit(False)) | year.isNull()
+            _write(table.filter(chosen).filter(~cond), path, "overwrite")
+        for r in per_year:
+            if r["gone"] == r["rows"]:
+                _drop_year(spark, path, r[PARTITION_COL])
+    removed = sum(r["gone"] for r in per_year)
+    return WriteResult(True, removed, f"Deleted {removed} rows." if removed else "No rows matched.")
 
 
 def purge_suspect_temperatures(spark: SparkSession, path: str) -> WriteResult:
@@ -127,34 +198,53 @@ def purge_suspect_temperatures(spark: SparkSession, path: str) -> WriteResult:
 
 
 def purge_before(spark: SparkSession, path: str, floor) -> WriteResult:
-    """Delete rows dated before ``floor`` (P8); only partitions up to the
-    floor's year are examined."""
-    floor = _as_date(floor)
-    return purge(spark, path, F.col("DATE") < F.lit(floor),
-                 scope=F.col(PARTITION_COL) <= floor.year)
-
+    """Delete rows dated before ``floor``.
 
-def count_before(spark: SparkSession, path: str, floor) -> int:
-    """Rows dated before ``floor`` (P8 count), pruned to the early partitions."""
+    Years wholly before the floor are counted from the file footers and
+    dropped; only the floor's own year is examined and rewritten.
+    """
+    floor = _as_date(floor)
+    with table_lock(spark, path):
+        early = (read_observations(spark, path).filter(F.col(PARTITION_COL) < floor.year)
+                 .groupBy(PARTITION_COL).count().collect())
+        for r in early:
+            _drop_year(spark, path, r[PARTITION_COL])
+    dropped = sum(r["count"] for r in early)
+    rest = purge(spark, path, F.col("DATE") < F.lit(floor), scope=F.col(PARTITION_COL) == floor.year)
+    removed = dropped + rest.rows
+    return WriteResult(True, removed, f"Deleted {removed} rows." if removed else "No rows matched.")
+
+
+def count_before(spark: SparkSession, path: str, floor) -> DataFrame:
+    """Rows dated before ``floor`` as a one-row frame (P8 count), pruned to
+    the early partitions."""
     floor = _as_date(floor)
     return (read_observations(spark, path).filter(F.col(PARTITION_COL) <= floor.year)
-            .filter(F.col("DATE") < F.lit(floor)).count())
-
-
-def year_rows(spark: SparkSession, path: str, year: int) -> DataFrame:
-    """Rows of one year, read from that partition only."""
-    return read_observations(spark, path).filter(
-        (F.col(PARTITION_COL) == year) & (year_of("DATE") == year))
+            .filter(F.col("DATE") < F.lit(floor)).agg(F.count(F.lit(1)).alias("n_rows")))
 
 
 def rebuild_from_clean_files(spark: SparkSession, clean_pattern: str, path: str,
                              floor=None, fallback: str | None = None) -> WriteResult:
     """Rebuild the table from every cleaned CSV file (S9); ``fallback`` is
-    read when the main location holds no file."""
+    read when the main location holds no file.
+
+    The new table is written beside the old one and takes its place only when
+    it holds rows; an empty result leaves the old table as it was.
+    """
     clean = _csv().read_clean_dir(spark, clean_pattern, fallback)
     if clean is None:
         return WriteResult(False, 0, "No CSV files found.")
-    return append_observations(clean, path, floor, mode="overwrite")
+    root = path.rstrip("/")
+    fresh, old = (f"{root}.{kind}-{uuid.uuid4().hex}" for kind in ("new", "old"))
+    result = append_observations(clean, fresh, floor)
+    if not result.ok:
+        return WriteResult(False, 0, "No rows in the CSV files: the table is unchanged.")
+    with table_lock(spark, path):
+        if FS.exists(spark, path):
+            FS.rename(spark, root, old)
+        FS.rename(spark, fresh, root)
+        FS.delete(spark, old)
+    return result
 
 
 def import_latest(spark: SparkSession, raw_pattern: str, path: str, floor=None,
@@ -171,6 +261,8 @@ def import_latest(spark: SparkSession, raw_pattern: str, path: str, floor=None,
         return WriteResult(False, 0, f"Missing required columns: {sorted(missing_required(raw))}")
     clean = clean_observations(raw, floor)
     if clean_out:
+        if clean.isEmpty():  # reads until the first row only
+            return _imported(0)
         csvmod.write_csv(clean, clean_out)
         clean = csvmod.read_clean_dir(spark, clean_out)
     return append_observations(clean, path, floor)

@@ -2,6 +2,7 @@ import datetime as dt
 import os
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from stratus.operators import clean as C
@@ -58,7 +59,7 @@ def test_append_purge_roundtrip(spark, tmp_path):
     assert not os.path.exists(os.path.join(path, "YEAR=1999"))   # emptied partition removed
     assert ST.purge_before(spark, path, "2001-01-01").rows == 1
     assert [r.DATE.year for r in ST.read_observations(spark, path).collect()] == [2001]
-    assert ST.count_before(spark, path, "2002-01-01") == 1
+    assert ST.count_before(spark, path, "2002-01-01").first().n_rows == 1
 
 
 def test_append_dedupe(spark, tmp_path):
@@ -89,21 +90,126 @@ def test_stream_ingest_once(spark, tmp_path):
     header = "STATION,DATE,LATITUDE,LONGITUDE,ELEVATION,NAME,TMAX,TMIN\n"
     _write(os.path.join(raw, "f1.csv"), header + "A,2020-01-01,1,2,3,N,10,4\n")
     table, ckpt = str(tmp_path / "t"), str(tmp_path / "ck")
-    q = IN.ingest(spark, raw, table, ckpt)
-    assert IN.rows_written(q) == 1
+    assert IN.ingest(spark, raw, table, ckpt) == IN.IngestResult(1, 1, 1)
     _write(os.path.join(raw, "f2.csv"), header + "B,2020-01-02,1,2,3,M,bad,\nB,x,1,2,3,M,1,\n")
-    q = IN.ingest(spark, raw, table, ckpt)
-    assert IN.rows_written(q) == 2
-    q = IN.ingest(spark, raw, table, ckpt)
-    assert IN.rows_written(q) == 0
-    got = IN.read_ingested(spark, table).select("STATION", "TAVG").collect()
+    assert IN.ingest(spark, raw, table, ckpt) == IN.IngestResult(1, 1, 1)
+    assert IN.ingest(spark, raw, table, ckpt).files == 0
+    got = ST.read_observations(spark, table).select("STATION", "TAVG").collect()
     # 'bad' is text in a data column: the row survives the no-data check and
     # the value becomes NULL; the row with date 'x' is dropped.
     assert sorted((r.STATION, str(r.TAVG)) for r in got) == [("A", "7.0"), ("B", "None")]
     # the streamed table equals the batch cleaning of the same files
     batch = C.clean_observations(CSV.read_raw_dir(spark, raw))
     assert sorted(batch.select("STATION", "DATE").collect()) == sorted(
-        IN.read_ingested(spark, table).select("STATION", "DATE").collect())
+        ST.read_observations(spark, table).select("STATION", "DATE").collect())
+
+
+def test_stream_reads_columns_by_name(spark, tmp_path):
+    raw = str(tmp_path / "in")
+    _write(os.path.join(raw, "a.csv"), "STATION,DATE,LATITUDE,LONGITUDE,ELEVATION,NAME,TMAX,TMIN\nA,2020-01-01,1,2,3,N,100,10\n")
+    _write(os.path.join(raw, "b.csv"), "STATION,DATE,LATITUDE,LONGITUDE,ELEVATION,NAME,TMIN,TMAX\nB,2020-01-01,1,2,3,N,10,100\n")
+    IN.ingest(spark, raw, str(tmp_path / "t"), str(tmp_path / "ck"))
+    rows = ST.read_observations(spark, str(tmp_path / "t")).collect()
+    assert [(r.TMIN, r.TMAX) for r in rows] == [(10.0, 100.0)] * 2
+
+
+def test_stream_then_append_then_purge_share_one_table(spark, tmp_path):
+    raw, table = str(tmp_path / "in"), str(tmp_path / "t")
+    header = "STATION,DATE,LATITUDE,LONGITUDE,ELEVATION,NAME,TMAX,TMIN\n"
+    _write(os.path.join(raw, "f.csv"), header + "A,1999-01-01,1,2,3,N,10,4\n")
+    IN.ingest(spark, raw, table, str(tmp_path / "ck"))
+    assert ST.append_observations(_obs(spark), table).rows == 4
+    assert ST.read_observations(spark, table).count() == 5
+    assert ST.purge_suspect_temperatures(spark, table).rows == 2
+    _write(os.path.join(raw, "g.csv"), header + "B,1999-02-01,1,2,3,N,10,4\n")
+    IN.ingest(spark, raw, table, str(tmp_path / "ck"))
+    assert sorted(r.STATION for r in ST.read_observations(spark, table).filter("YEAR = 1999").collect()) == ["A", "B"]
+
+
+def test_replayed_batch_lands_once(spark, tmp_path):
+    table = str(tmp_path / "t")
+    for _ in range(3):
+        assert ST.append_batch(_obs(spark), table, "src-0").rows == 4
+    ST.append_batch(_obs(spark), table, "src-1")
+    assert ST.read_observations(spark, table).count() == 8
+    assert not [f for f in os.listdir(table) if f.startswith("_batch")]
+
+
+def test_ingest_timeout_raises(spark, tmp_path):
+    raw = str(tmp_path / "in")
+    _write(os.path.join(raw, "f.csv"), "STATION,DATE,LATITUDE,LONGITUDE,ELEVATION,NAME,TMAX\nA,2020-01-01,1,2,3,N,5\n")
+    with pytest.raises(TimeoutError):
+        IN.ingest(spark, raw, str(tmp_path / "t"), str(tmp_path / "ck"), timeout_s=0.001)
+
+
+def test_rows_without_date_are_never_stored(spark, tmp_path):
+    path = str(tmp_path / "t")
+    undated = _obs(spark).withColumn("DATE", F.when(F.col("NAME") == "N1", F.col("DATE")))
+    assert ST.append_observations(undated, path).rows == 2
+    assert ST.purge_suspect_temperatures(spark, path).rows == 2
+    assert ST.purge_suspect_temperatures(spark, path).rows == 0
+
+
+def test_purge_of_an_undated_partition(spark, tmp_path):
+    path = str(tmp_path / "t")
+    old = ST.to_stored(_obs(spark)).withColumn("DATE", F.lit(None).cast("date")).withColumn("YEAR", F.lit(None).cast("int"))
+    old.write.partitionBy("YEAR").parquet(path)
+    assert ST.purge_suspect_temperatures(spark, path).rows == 2
+    assert ST.read_observations(spark, path).count() == 2
+    assert ST.purge(spark, path, F.lit(True)).rows == 2 and ST.read_observations(spark, path).count() == 0
+
+
+def test_one_writer_at_a_time(spark, tmp_path):
+    path = str(tmp_path / "t")
+    with ST.table_lock(spark, path):
+        with pytest.raises(RuntimeError, match="another job"):
+            ST.append_observations(_obs(spark), path)
+    assert ST.append_observations(_obs(spark), path).ok
+
+
+def test_a_year_is_few_files_and_a_hot_year_is_split(spark, tmp_path):
+    rows = spark.range(0, 20_000, 1, 8).select(
+        F.col("id").cast("string").alias("STATION"), F.date_add(F.lit("1990-01-01"), (F.col("id") % 3650).cast("int")).alias("DATE"),
+        F.lit("N").alias("NAME"), F.col("id").cast("double").alias("TMAX"))
+    ST.append_observations(rows, str(tmp_path / "t"))
+    files = [f for _, _, names in os.walk(str(tmp_path / "t")) for f in names if f.endswith(".parquet")]
+    assert len(files) <= 20  # ten years, written by eight tasks
+    hot = spark.range(0, 200_000, 1, 8).select(F.uuid().alias("STATION"), F.lit(dt.date(2000, 1, 1)).alias("DATE"), F.uuid().alias("NAME"))
+    size = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
+    try:
+        ST.append_observations(hot, str(tmp_path / "h"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", size)
+    assert len([f for f in os.listdir(str(tmp_path / "h" / "YEAR=2000")) if f.endswith(".parquet")]) > 1
+
+
+def test_empty_rebuild_keeps_the_table(spark, tmp_path):
+    path = str(tmp_path / "t")
+    ST.append_observations(_obs(spark), path)
+    CSV.write_csv(_obs(spark), str(tmp_path / "clean"))
+    res = ST.rebuild_from_clean_files(spark, str(tmp_path / "clean"), path, floor="2100-01-01")
+    assert not res.ok and ST.read_observations(spark, path).count() == 4
+    assert sorted(os.listdir(str(tmp_path))) == ["clean", "t"]
+
+
+def test_dedupe_picks_the_same_row_and_compares_null_keys(spark, tmp_path):
+    rows = [("A", dt.date(2000, 1, 1), None, v) for v in (3.0, 1.0, 2.0)] + [(None, dt.date(2000, 1, 1), None, 5.0)] * 2
+    df = spark.createDataFrame(rows, "STATION string, DATE date, NAME string, TMAX double")
+    path = str(tmp_path / "t")
+    keys = ("STATION", "DATE", "NAME")
+    assert ST.append_observations(df.repartition(3), path, dedupe_keys=keys).rows == 2
+    assert not ST.append_observations(df, path, dedupe_keys=keys).ok
+    assert sorted((str(r.STATION), r.TMAX) for r in ST.read_observations(spark, path).collect()) == [("A", 1.0), ("None", 5.0)]
+
+
+def test_empty_import_is_not_ok_and_writes_nothing(spark, tmp_path):
+    raw = str(tmp_path / "raw")
+    _write(os.path.join(raw, "x.csv"), "STATION,DATE,LATITUDE,LONGITUDE,ELEVATION,NAME,TMAX\nA,bad,1,2,3,N,10\n")
+    for clean_out in (None, str(tmp_path / "clean")):
+        res = ST.import_latest(spark, raw, str(tmp_path / "t"), clean_out=clean_out)
+        assert not res.ok and res.rows == 0
+    assert os.listdir(str(tmp_path)) == ["raw"]
 
 
 def test_rebuild_fallback_and_required_check(spark, tmp_path):
@@ -122,9 +228,8 @@ def test_stream_backlog_in_bounded_batches(spark, tmp_path):
     header = "STATION,DATE,LATITUDE,LONGITUDE,ELEVATION,NAME,TMAX\n"
     for i in range(3):
         _write(os.path.join(raw, f"f{i}.csv"), header + f"S{i},2020-01-0{i + 1},1,2,3,N,5\n")
-    q = IN.ingest(spark, raw, str(tmp_path / "t"), str(tmp_path / "ck"), max_files_per_trigger=1)
-    assert IN.rows_written(q) == 3
-    assert len([p for p in q.recentProgress if p.numInputRows > 0]) == 3
+    done = IN.ingest(spark, raw, str(tmp_path / "t"), str(tmp_path / "ck"), max_files_per_trigger=1)
+    assert done == IN.IngestResult(3, 3, 3)
 
 
 def test_purge_edge_cases(spark, tmp_path):
@@ -140,6 +245,6 @@ def test_purge_edge_cases(spark, tmp_path):
 def test_append_empty_frame(spark, tmp_path):
     empty = C.clean_observations(spark.createDataFrame([("A",)], "STATION string"))
     res = ST.append_observations(empty, str(tmp_path / "t"))
-    assert res.ok and res.rows == 0
+    assert not res.ok and res.rows == 0
     floor_all = ST.append_observations(_obs(spark), str(tmp_path / "t2"), floor="2100-01-01")
-    assert floor_all.rows == 0
+    assert not floor_all.ok and os.listdir(str(tmp_path)) == []

@@ -39,10 +39,80 @@ def test_cleaning_filter_is_not_pushed_into_the_scan(spark, tmp_path):
     assert out.count() == 1
 
 
-def test_exact_quantiles_never_sort_a_whole_group(spark):
-    from stratus.operators import stats as ST
-    df = spark.range(0, 20000).select(F.lit("hot").alias("g"), (F.col("id") % 997).cast("double")
-                                      .alias("v"))
-    q = ST.exact_quantiles(df, ["g"], "v", (0.5,), ["m"])
+def test_exact_quantiles_never_sort_a_whole_group(spark, monkeypatch):
+    """Ranks are narrowed until their ranges hold few values; only those are sorted."""
     import numpy as np
-    assert q.first().m == float(np.median(np.arange(20000) % 997))
+
+    from stratus.operators import stats as ST
+    values = np.concatenate([np.arange(3000) / 1000, [1e100, 1e300, -1e300]])
+    df = spark.createDataFrame([("hot", float(v)) for v in values], "g string, v double")
+    sizes = []
+    inside = ST._inside
+
+    def spy(counts, spans, g):
+        out = inside(counts, spans, g)
+        sizes.append(max(r["count"] for r in out.groupBy("_lo", "_hi").count().collect()))
+        return out
+    monkeypatch.setattr(ST, "_inside", spy)
+    counts = ST.value_counts(df, ["g"], "v")
+    q = ST.quantiles_from_counts(counts, ["g"], (0.25, 0.5), ["a", "b"], bins=16, max_bin_values=40).first()
+    assert [q.a, q.b] == [float(x) for x in np.quantile(values, (0.25, 0.5))]
+    assert sizes[0] == len(values) and sizes[-1] <= 40  # the last ones are those that are sorted
+
+
+def _scans(df) -> list[str]:
+    return [ln for ln in _plan(df).splitlines() if "FileScan parquet" in ln]
+
+
+def test_queries_read_only_the_columns_they_use(spark, sf_small):
+    import __spark_entry__ as E
+    for name, columns in (("filtered_summary", {"l_suppkey", "l_shipdate"}),
+                          ("rain_days", {"l_suppkey", "l_shipdate", "l_linestatus"})):
+        facts = [s for s in _scans(E.queries()[name](spark, sf_small)) if "l_suppkey" in s]
+        assert len(facts) == 1
+        read = facts[0].split("ReadSchema: struct<")[1].split(">")[0]
+        assert {c.split(":")[0] for c in read.split(",")} == columns
+
+
+def test_station_series_scan_the_facts_once_by_key(spark, sf_small):
+    import __spark_entry__ as E
+    for name in ("rain_days", "snow_days", "temp_lines_long", "sunny_days", "station_temperature_metrics"):
+        facts = [s for s in _scans(E.queries()[name](spark, sf_small)) if "l_suppkey" in s]
+        assert len(facts) == 1 and "EqualTo(l_suppkey" in facts[0]
+
+
+def test_snow_charts_push_the_year(spark, sf_small):
+    from stratus.operators import aggregates as A
+    facts = [s for s in _scans(A.station_year_snow(AD.observations(spark, sf_small), 2000)) if "l_suppkey" in s]
+    assert len(facts) == 1 and "l_shipdate" in facts[0].split("PushedFilters: ")[1].split("ReadSchema")[0]
+    assert "l_extendedprice" not in facts[0]
+
+
+def test_scratch_needs_a_shared_folder_off_local(spark, monkeypatch):
+    import pytest
+
+    from stratus import session
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Fake:
+        conf = Conf()
+
+        class sparkContext:
+            master = "spark://host:7077"
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.ensure_checkpoint_dir(Fake())
+
+
+def test_a_finished_query_leaves_nothing(spark, sf_small):
+    import os
+
+    import __spark_entry__ as E
+    from stratus import session
+    for name in ("snow_share", "append_roundtrip"):
+        E.queries()[name](spark, sf_small).collect()
+    assert os.listdir(session.scratch_root(spark))
+    session.clean_scratch(spark)
+    assert not os.path.exists(session.scratch_root(spark))
