@@ -41,9 +41,3 @@ def period_label(date_col: str | Column = "DATE", freq: str = "Y") -> Column:
         start = F.to_date(F.date_trunc("week", d))
         return F.concat(start.cast("string"), F.lit("/"), F.date_add(start, 6).cast("string"))
     return d.cast("date").cast("string")
-
-
-def with_period(df, date_col: str = "DATE", freq: str = "Y"):
-    """Add ``PERIOD_START`` and ``PERIOD_LABEL`` columns."""
-    return df.withColumns({"PERIOD_START": period_start(date_col, freq),
-                           "PERIOD_LABEL": period_label(date_col, freq)})

@@ -32,15 +32,6 @@ def strip(c: str | Column) -> Column:
     return F.btrim(_c(c), F.lit(WHITESPACE))
 
 
-def blank_to_null(c: str | Column, na_tokens: bool = True) -> Column:
-    """NULL for a blank cell or (optionally) a missing-value token."""
-    col = _c(c)
-    missing = strip(col) == ""
-    if na_tokens:
-        missing = missing | col.isin(S.NA_TOKENS)
-    return F.when(missing, F.lit(None).cast("string")).otherwise(col)
-
-
 def clean_text(c: str | Column, na_tokens: bool = True) -> Column:
     """Stripped text; NULL for a blank cell or a missing-value token.
 

@@ -171,7 +171,3 @@ def fill_average_temperature(df: DataFrame) -> DataFrame:
     fill = row_mean("TMAX", "TMIN")
     return df.withColumn("TAVG", F.coalesce(F.col("TAVG"), fill) if "TAVG" in df.columns
                          else fill)
-
-
-def parse_floor(value) -> _dt.date | None:
-    return _as_date(value)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.measures import any_positive
-from ..functions.periods import period_start, year_of
+from ..functions.periods import period_start
 
 
 def _as_date(value) -> _dt.date | None:
@@ -117,14 +117,6 @@ def any_event(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.filter(any_positive(present))
 
 
-def year_equals(df: DataFrame, year: int) -> DataFrame:
-    """Rows of one calendar year; also prunes a YEAR-partitioned table."""
-    out = df.filter(year_of("DATE") == year)
-    if "YEAR" in df.columns:
-        out = out.filter(F.col("YEAR") == year)
-    return out
-
-
 def usable_columns(df: DataFrame, cols: list[str]) -> DataFrame:
     """One row: for each listed column present, whether it has a value."""
     present = [c for c in cols if c in df.columns]
@@ -143,11 +135,6 @@ def missing_columns(df: DataFrame, required) -> set[str]:
     return set(required) - set(df.columns)
 
 
-def complete_rows(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Rows with every listed column present."""
-    return df.na.drop(subset=[c for c in cols if c in df.columns])
-
-
 def columns_for(data_type: str) -> list[str]:
     """Measure columns behind a data-type code (P21); unknown code -> itself."""
     return list(S.DATA_TYPE_COLUMNS.get(data_type, ([data_type], "line"))[0])

@@ -12,6 +12,7 @@ from .. import schema as S
 from ..functions import names as N
 from ..operators import aggregates as A
 from ..operators import clean as C
+from ..operators import filters as P
 from ..operators import names as NM
 from ..operators import stats as ST
 from ..operators.joins import sized_broadcast
@@ -559,3 +560,128 @@ def complete_station_years(spark, sf_dir):
     complete = reduce(Column.__and__, [F.col(c).isNotNull() for c in S.CORRELATION_MEASURES])
     return grouped.agg(F.count(F.lit(1)).alias("n_station_years"),
                        F.count_if(complete).alias("n_complete"))
+
+
+# ---------------------------------------------------------------------------
+# Branches that the plain view never reaches: rows and names made to fire them
+# ---------------------------------------------------------------------------
+
+@register("station_day_mean", with_views(
+    "select NAME, DATE as PERIOD_START, strftime(DATE, '%Y-%m-%d') as PERIOD_LABEL, avg(TMAX) as TMAX from obs "
+    "where NAME is not null and DATE is not null group by all"))
+def station_day_mean(spark, sf_dir):
+    """Daily periods."""
+    return A.station_period_means(_obs(spark, sf_dir), "D", ["TMAX"])
+
+
+@register("clean_empty_rows", with_views(
+    "select count(*) as rows_in, count(*) filter (where l_partkey % 5 = 0) as dropped_empty from lineitem"))
+def clean_empty_rows(spark, sf_dir):
+    """Rows whose every cell is blank or missing (C4): every fifth part's."""
+    line = read_table(spark, sf_dir, "lineitem")
+    blank = F.col("l_partkey") % 5 == 0
+    cell = lambda v: F.when(blank, F.lit(" ")).otherwise(F.lit(v))
+    raw = line.select(cell("S").alias("STATION"), cell("2000-01-01").alias("DATE"), cell("1").alias("LATITUDE"),
+                      cell("2").alias("LONGITUDE"), cell("3").alias("ELEVATION"), cell("N").alias("NAME"),
+                      F.when(~blank, F.lit("5")).alias("TMAX"))
+    return C.clean_report(raw, floor=CLEAN_FLOOR).select("rows_in", "dropped_empty")
+
+
+@register("missing_required_columns", with_views(
+    "select count(*) as n_rows, false as ok, true as names_date from obs"))
+def missing_required_columns(spark, sf_dir):
+    """A table without a base column is refused."""
+    obs = _obs(spark, sf_dir)
+    ok, why = C.check_required(obs.drop("DATE"))
+    return obs.agg(F.count(F.lit(1)).alias("n_rows"), F.lit(ok).alias("ok"), F.lit("DATE" in why).alias("names_date"))
+
+
+def _exception_names():
+    """Each supplier's name becomes one that holds a station of the exception list."""
+    keys = [k for k, _ in S.CITY_EXCEPTIONS]
+    return keys, F.element_at(F.array(*[F.lit(k) for k in keys]), (F.col("s_suppkey") % len(keys) + 1).cast("int"))
+
+
+_EXC_KEYS = "[" + ", ".join("'" + k.replace("'", "''") + "'" for k, _ in S.CITY_EXCEPTIONS) + "]"
+
+
+@register("exception_city_match", _match_sql(
+    f"select distinct 'Station ' || {_EXC_KEYS}[s_suppkey % {len(S.CITY_EXCEPTIONS)} + 1] || ' ' || s_suppkey as NAME "
+    "from supplier", "NAME", "select NAME, CITY from r"))
+def exception_city_match(spark, sf_dir):
+    """Station names of the exception list get their city from it."""
+    _, key = _exception_names()
+    named = read_table(spark, sf_dir, "supplier").select(
+        F.concat_ws(" ", F.lit("Station"), key, F.col("s_suppkey").cast("string")).alias("NAME"))
+    return NM.match_cities(named, _cities(spark, sf_dir))
+
+
+@register("preferred_station_choice", with_views(
+    "select QUERY, CANDIDATE as CHOSEN, POSITION, case r when 0 then 'preferred' when 1 then 'city' else 'first' end as RULE "
+    "from (select *, row_number() over (partition by QUERY order by r, POSITION, CANDIDATE) as rn from c) where rn = 1",
+    ctes=["q as (select * from (values " + ", ".join(
+        f"('{c}, ST', '{c.lower()}')" for c in dict.fromkeys(c for _, c in S.CITY_EXCEPTIONS)) + ") as t(QUERY, city))",
+          f"s as (select 'P' || s_suppkey as STATION, {_EXC_KEYS}[s_suppkey % {len(S.CITY_EXCEPTIONS)} + 1] || ' ' || s_suppkey "
+          "as NAME from supplier)",
+          f"c as (select QUERY, STATION as POSITION, NAME as CANDIDATE, case when {_pref_sql()} then 0 "
+          "when contains(lower(NAME), city) then 1 else 2 end as r from q, s)"]))
+def preferred_station_choice(spark, sf_dir):
+    """The preferred station of a city wins over all others."""
+    cities = list(dict.fromkeys(c for _, c in S.CITY_EXCEPTIONS))
+    _, key = _exception_names()
+    stations = read_table(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("P"), F.col("s_suppkey").cast("string")).alias("POSITION"),
+        F.concat_ws(" ", key, F.col("s_suppkey").cast("string")).alias("CANDIDATE"))
+    queries = F.explode(F.array(*[F.lit(f"{c}, ST") for c in cities]))  # the list's few cities
+    return NM.choose_station(stations.select(queries.alias("QUERY"), "POSITION", "CANDIDATE"))
+
+
+@register("screen_columns", with_views(
+    "select count(*) as n_rows, count(DATE) as n_dates, min(strftime(DATE, '%Y-%m-%d')) as first_day, "
+    "'STATION,NAME' as text_columns, cast(0 as double) as missing_total from obs"))
+def screen_columns(spark, sf_dir):
+    """Columns as the results page prepares them: date column resolved (P23),
+    absent measures filled (P16), text columns named (P22), dates formatted (F14)."""
+    obs = _obs(spark, sf_dir).withColumnRenamed("DATE", "date").drop("PRCP")
+    rows = P.fill_missing_columns(P.resolve_date_column(obs), ["PRCP"], fill=0.0)
+    text = ",".join(P.string_columns(rows))
+    return rows.agg(F.count(F.lit(1)).alias("n_rows"), F.count("DATE").alias("n_dates"),
+                    F.min(P.iso_date("DATE")).alias("first_day"), F.lit(text).alias("text_columns"),
+                    F.sum("PRCP").alias("missing_total"))
+
+
+@register("validated_series", _station_sql("select DATE, TMAX from w"))
+def validated_series(spark, sf_dir):
+    """A series whose inputs are checked first."""
+    if not P.validate_dates(SERIES_START, SERIES_END) or not P.validate_inputs("X", S.DATA_TYPE_LABELS[0][0]) \
+            or P.validate_dates(SERIES_END, SERIES_START) or P.validate_inputs("", S.DATA_TYPE_LABELS[0][0]):
+        raise RuntimeError("the input checks are wrong")
+    station = first_station(spark, sf_dir)
+    return G.station_window(observations(spark, sf_dir, station), station, SERIES_START, SERIES_END,
+                            SERIES_FLOOR).select("DATE", "TMAX")
+
+
+@register("table_catalogue", with_views(
+    "select 'stations_view' as TABLE_NAME, 'STATION,NAME' as COLUMNS, count(*) as n_rows from supplier"))
+def table_catalogue(spark, sf_dir):
+    """Catalogue entry, column listing and row count of a named table."""
+    from ..operators import audit as AU
+    table = station_names(spark, sf_dir)
+    table.createOrReplaceTempView("stations_view")
+    name = next(t for t in AU.list_tables(spark) if t == "stations_view")
+    return AU.row_count(table).select(F.lit(name).alias("TABLE_NAME"),
+                                      F.lit(",".join(AU.column_names(table))).alias("COLUMNS"), "n_rows")
+
+
+@register("preferred_station_counts", with_views(
+    "select upper(c) as CITY, count(*) as n_stations from (values "
+    + ", ".join("('{}', '{}')".format(k.replace("'", "''").upper(), c) for k, c in S.CITY_EXCEPTIONS)
+    + f") as t(k, c) join supplier on upper({_EXC_KEYS}[s_suppkey % {len(S.CITY_EXCEPTIONS)} + 1]) = k group by 1"))
+def preferred_station_counts(spark, sf_dir):
+    """Stations of the table that a city prefers, by the exception list turned round."""
+    from ..sources.dimensions import preferred_stations
+    _, key = _exception_names()
+    preferred = preferred_stations(spark).select("CITY", F.explode("STATIONS").alias("KEY"))
+    stations = read_table(spark, sf_dir, "supplier").select(F.upper(key).alias("KEY"))
+    # A fixed list of a few rows: a bounded broadcast.
+    return stations.join(F.broadcast(preferred), "KEY").groupBy("CITY").agg(F.count(F.lit(1)).alias("n_stations"))

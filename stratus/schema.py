@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 # ---------------------------------------------------------------------------
-# Column groups
+# Column groups (must equal the original application's)
 # ---------------------------------------------------------------------------
 
 BASE_COLS = ["STATION", "DATE", "LATITUDE", "LONGITUDE", "ELEVATION", "NAME"]
@@ -144,18 +144,6 @@ DATA_TYPE_COLUMNS = {
     "WT01": (["WT01", "WT02"], "scatter"),
 }
 
-# Chart names offered by the analysis page -> readable titles.
-CHART_OPTIONS = [
-    ("Max Temp Trends", "Yearly Max Temperature Trends (Line chart)"),
-    ("Temp Boxplot", "Avg Temperature Over Years (Boxplot)"),
-    ("Snowfall Pie", "Snowfall Contribution by Station (Pie)"),
-    ("Snowfall Bar", "Total Snowfall by Station (Bar)"),
-    ("Snowfall Trends", "Snowfall Max Snowfalls Trends (Line chart)"),
-    ("Weather Events", "Event Frequencies Fog, Smoke, Rain, Wind (Bar)"),
-    ("Yearly Distributions", "Yearly Distributions Temp, Precip, Snow (Boxplot)"),
-    ("Correlation Heatmap", "Correlation Heatmap"),
-]
-
 # Element dictionary: code, group, meaning.
 ELEMENTS = [
     ("STATION", "Location", "Unique Station ID"),
@@ -221,9 +209,3 @@ ELEMENTS = [
     ("FRGT", "Other Variables", "Freezing rain trace"),
 ]
 
-# Attribute flag kinds of the *_ATTRIBUTES columns.
-ATTRIBUTE_FLAGS = [
-    ("M", "Measurement flag (e.g., estimated, missing)"),
-    ("Q", "Quality flag (e.g., failed check)"),
-    ("S", "Source flag (e.g., sensor type)"),
-]
