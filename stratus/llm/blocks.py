@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 #: Odd, so every power has an inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
