@@ -13,7 +13,8 @@ use one shuffle of the texts:
    is one bit per anchor: does another chunk have it too;
 2. around the anchors that other documents have too, the text of their
    windows goes to the anchor's bucket, once per chunk with the chunk's least
-   document id. There the window suffixes are put in order by a mergesort
+   document id (the windows of a very common anchor go to buckets by their own
+   hashes instead, so that no bucket gathers them all). There the window suffixes are put in order by a mergesort
    whose comparisons find the common extension of two suffixes by binary
    search over prefix polynomial hashes; the order is verified byte by byte,
    and equal neighbours give every window its least document id;
@@ -41,13 +42,15 @@ from . import blocks
 
 WIDTH, GRAM = 50, 16
 #: Bytes of text in a chunk, and of text that a bucket's anchors stand for.
-CHUNK_BYTES, BUCKET_BYTES = 4 << 20, 2 << 20
+CHUNK_BYTES, BUCKET_BYTES = 2 << 20, 1 << 20
+#: Windows around an anchor that more chunks than this have are dealt one by one.
+HOT_CHUNKS = 1_000
 #: Windows that are sorted at once.
-SORT_WINDOWS = 200_000
+SORT_WINDOWS = 100_000
 
 _POSITION_BITS = 26
 #: Bytes that anchors are searched in at once, and rows compared at once.
-_SEGMENT, _ROWS = 1 << 20, 20_000
+_SEGMENT, _ROWS = 1 << 18, 10_000
 
 
 def anchor_runs(raw: np.ndarray, offsets: np.ndarray, powers: blocks.Powers, width: int = WIDTH, gram: int = GRAM
@@ -78,7 +81,9 @@ def anchor_runs(raw: np.ndarray, offsets: np.ndarray, powers: blocks.Powers, wid
         first = np.flatnonzero(fresh)
         last = np.append(first[1:] - 1, len(window) - 1)
         text = prefix.span(window[first], window[last] + width)
-        found.append(np.stack([h[at[first]].view(np.int64), text.view(np.int64), base + at[first],
+        # Least hashes crowd the low end of their range: mixed again, they deal evenly.
+        key = blocks.mix(h[at[first]] * np.uint64(blocks.BASE))
+        found.append(np.stack([key.view(np.int64), text.view(np.int64), base + at[first],
                                base + window[first], base + window[last]]))
     runs = np.concatenate(found, axis=1)
     return runs[0].view(np.uint64), runs[1].view(np.uint64), runs[2], runs[3], runs[4]
@@ -128,8 +133,15 @@ def _emit_anchors(n_buckets: int, width: int, gram: int):
     return emit
 
 
-def _mark_shared(table: pa.Table) -> pa.Table:
-    """Per chunk a bit for each of its anchors: another chunk has it too."""
+def _mark_shared(hot_chunks: int):
+    def mark(table: pa.Table) -> pa.Table:
+        return _marks(table, hot_chunks)
+    return mark
+
+
+def _marks(table: pa.Table, hot_chunks: int) -> pa.Table:
+    """Per chunk two bits for each of its anchors: another chunk has it too,
+    and more than ``hot_chunks`` have it."""
     blobs = table.column("anchors").to_pylist()
     sizes = np.array([len(b) // 5 for b in blobs])
     short = np.zeros((sizes.sum(), 8), np.uint8)
@@ -137,12 +149,14 @@ def _mark_shared(table: pa.Table) -> pa.Table:
     values = short.view("<u8")[:, 0]
     order = np.argsort(values, kind="stable")
     edges = _group_edges(values[order])
-    shared = np.zeros(len(values), bool)
-    shared[order] = np.repeat(np.diff(edges) > 1, np.diff(edges))
     stops = np.concatenate([[0], np.cumsum(sizes)])
-    return pa.table({
-        "chunk": table.column("chunk"), "bucket": table.column("bucket"),
-        "shared": pa.array([np.packbits(shared[a:b]).tobytes() for a, b in zip(stops[:-1], stops[1:])], pa.binary())})
+
+    def bits(least: int) -> pa.Array:
+        flags = np.zeros(len(values), bool)
+        flags[order] = np.repeat(np.diff(edges) > least, np.diff(edges))
+        return pa.array([np.packbits(flags[a:b]).tobytes() for a, b in zip(stops[:-1], stops[1:])], pa.binary())
+    return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"),
+                     "shared": bits(1), "hot": bits(hot_chunks)})
 
 
 _REQUEST = ("bucket bigint, chunk bigint, n int, contexts binary, lengths binary, anchors binary, least binary,"
@@ -159,10 +173,11 @@ def _emit_contexts(n_buckets: int, width: int, gram: int):
         powers = blocks.Powers()
         anchor, text, at, first, last, doc = chunk.runs(powers, width, gram)
         keys, inverse = np.unique(anchor, return_inverse=True)
-        replies = sorted(zip(right.column("bucket").to_pylist(), right.column("shared").to_pylist()))
+        right = right.sort_by("bucket")
         edges = _group_edges(_bucket(keys, n_buckets))
-        shared = np.concatenate([np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a)
-                                 for (_, bits), a, b in zip(replies, edges[:-1], edges[1:])]).astype(bool)
+        shared, hot = (np.concatenate([
+            np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a) for bits, a, b in
+            zip(right.column(name).to_pylist(), edges[:-1], edges[1:])]).astype(bool) for name in ("shared", "hot"))
         ids = chunk.ids[doc]
         low, high = np.full(len(keys), 2 ** 63 - 1), np.full(len(keys), -2 ** 63)
         np.minimum.at(low, inverse, ids)
@@ -170,10 +185,22 @@ def _emit_contexts(n_buckets: int, width: int, gram: int):
         wanted = np.flatnonzero((shared | (low != high))[inverse])
         if not len(wanted):
             return empty
+        hot = hot[inverse][wanted]
         anchor, text, at, first, last, doc, ids = (x[wanted] for x in (anchor, text, at, first, last, doc, ids))
+        route = anchor
+        if hot.any():  # the windows of a hot anchor go their own ways, by their own hashes
+            n = np.where(hot, last - first + 1, 1)
+            inner = _spread(np.zeros(len(n), np.int64), n)
+            anchor, text, at, first, last, doc, ids, hot = (np.repeat(x, n) for x in (anchor, text, at, first, last, doc, ids, hot))
+            first = first + inner
+            last = np.where(hot, first, last)
+            single = np.flatnonzero(hot)
+            text[single] = blocks.PrefixHash(chunk.raw, powers).span(first[single], first[single] + width)
+            route = np.where(hot, blocks.mix(text), anchor)
         length, lead = last - first + width, at - first
-        order = np.lexsort((ids, lead, length, text, anchor))
-        anchor, first, length, lead, doc, ids, text = (x[order] for x in (anchor, first, length, lead, doc, ids, text))
+        order = np.lexsort((ids, lead, length, text, anchor, route))
+        anchor, first, length, lead, doc, ids, text, route = (
+            x[order] for x in (anchor, first, length, lead, doc, ids, text, route))
         fresh = np.ones(len(order), bool)
         fresh[1:] = ((anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1]) | (length[1:] != length[:-1])
                      | (lead[1:] != lead[:-1]))
@@ -182,12 +209,12 @@ def _emit_contexts(n_buckets: int, width: int, gram: int):
         heads = np.flatnonzero(fresh)
         uses = np.diff(np.append(heads, len(order)))
         later = ids > np.repeat(ids[heads], uses)
-        edges = _group_edges(_bucket(anchor[heads], n_buckets))
+        edges = _group_edges(_bucket(route[heads], n_buckets))
         stops = np.append(heads, len(order))[edges]
         gather = lambda a, b: chunk.raw[_spread(first[heads[a:b]], length[heads[a:b]])].tobytes()
         pack = lambda x, kind, e: [x[a:b].astype(kind).tobytes() for a, b in zip(e[:-1], e[1:])]
         return pa.table({
-            "bucket": pa.array(_bucket(anchor[heads], n_buckets)[edges[:-1]], pa.int64()),
+            "bucket": pa.array(_bucket(route[heads], n_buckets)[edges[:-1]], pa.int64()),
             "chunk": pa.array(np.full(len(edges) - 1, key[0].as_py()), pa.int64()),
             "n": pa.array(np.diff(edges), pa.int32()),
             "contexts": pa.array([gather(a, b) for a, b in zip(edges[:-1], edges[1:])], pa.binary()),
@@ -221,9 +248,8 @@ def _equal_bytes(raw: np.ndarray, x: np.ndarray, y: np.ndarray, length: np.ndarr
 class SuffixOrder:
     """Order of ``width``-byte suffix prefixes of ``raw`` within groups."""
 
-    def __init__(self, raw: np.ndarray, powers: blocks.Powers, width: int):
-        self.raw, self.width = raw, width
-        self.hash = blocks.PrefixHash(raw, powers)
+    def __init__(self, raw: np.ndarray, hashes: blocks.PrefixHash, width: int):
+        self.raw, self.width, self.hash = raw, width, hashes
 
     def common(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Length of the common extension, by binary search over prefix hashes."""
@@ -297,6 +323,12 @@ class SuffixOrder:
         return order, equal
 
 
+def _batches(numbers: np.ndarray) -> list[np.ndarray]:
+    """Positions of equal neighbours."""
+    edges = _group_edges(numbers)
+    return [np.arange(a, b) for a, b in zip(edges[:-1], edges[1:])]
+
+
 def _least_ids(order: np.ndarray, equal: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Per suffix the least id among the equal ones."""
     out = np.empty(len(ids), np.int64)
@@ -307,7 +339,7 @@ def _least_ids(order: np.ndarray, equal: np.ndarray, ids: np.ndarray) -> np.ndar
     return out
 
 
-def _resolve_bucket(width: int, gram: int):
+def _resolve_bucket(width: int, gram: int, sort_windows: int = SORT_WINDOWS):
     def resolve(table: pa.Table) -> pa.Table:
         powers = blocks.Powers()
         join = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
@@ -333,24 +365,28 @@ def _resolve_bucket(width: int, gram: int):
         many = firsts[np.repeat(np.diff(edges) > 1, np.diff(edges))]
         base = np.cumsum(n_windows) - n_windows
         hit = np.zeros(int(n_windows.sum()), bool)
-        suffixes = SuffixOrder(raw, powers, width)
-        group_edges = _group_edges(anchor[many])
-        done = 0
-        while done < len(group_edges) - 1:
-            stop = done + 1
-            while stop < len(group_edges) - 1 and n_windows[many[group_edges[done]:group_edges[stop + 1]]].sum() <= SORT_WINDOWS:
-                stop += max(1, min((stop - done) // 2, len(group_edges) - 2 - stop))
-                stop = min(stop, len(group_edges) - 1)
-            part = many[group_edges[done]:group_edges[stop]]
-            done = stop
-            n = n_windows[part]
-            offset = _spread(np.zeros(len(part), np.int64), n)
-            owner = np.repeat(part, n)
+        suffixes = SuffixOrder(raw, hashes, width)
+
+        def settle(owner: np.ndarray, offset: np.ndarray) -> None:
+            """Mark the windows that also start in a document of smaller id."""
             group = np.unique(anchor[owner], return_inverse=True)[1] * 256 + (lead[owner] - offset)
             by = np.argsort(group, kind="stable")
             offset, owner, group = offset[by], owner[by], group[by]
-            order_, equal = suffixes.verified(start[owner] + offset, group)
-            hit[base[owner] + offset] = _least_ids(order_, equal, least[owner]) < least[owner]
+            place, equal = suffixes.verified(start[owner] + offset, group)
+            hit[base[owner] + offset] = _least_ids(place, equal, least[owner]) < least[owner]
+
+        edges = _group_edges(anchor[many])
+        load = np.add.reduceat(n_windows[many], edges[:-1]) if len(many) else np.zeros(0, np.int64)
+        batch = np.cumsum(load) // sort_windows
+        for lot in _batches(batch):
+            part = many[edges[lot[0]]:edges[lot[-1] + 1]]
+            if load[lot].sum() <= 2 * sort_windows:
+                settle(np.repeat(part, n_windows[part]), _spread(np.zeros(len(part), np.int64), n_windows[part]))
+                continue
+            for ahead in range(width):  # many contexts: windows of one offset at a time
+                chosen = part[(lead[part] >= ahead) & (lead[part] - ahead < n_windows[part])]
+                if len(chosen):
+                    settle(chosen, lead[chosen] - ahead)
         # Back to the documents: a context's windows are hit when its head's are,
         # or when its chunk's least id is above the head's; a use that is not of
         # its chunk's least id is hit throughout.
@@ -420,7 +456,8 @@ def _cut(keep_text: bool):
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, chunk_bytes: int = CHUNK_BYTES,
-                   bucket_bytes: int = BUCKET_BYTES, keep_text: bool = False) -> DataFrame:
+                   bucket_bytes: int = BUCKET_BYTES, hot_chunks: int = HOT_CHUNKS, sort_windows: int = SORT_WINDOWS,
+                   keep_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document.
 
     ``keep_text`` adds the remaining bytes as ``kept`` (a cut may fall inside
@@ -440,9 +477,10 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, chunk_
     chunks = chunked.repartition(int(n_parts), "chunk")
     anchors = chunks.groupBy("chunk").applyInArrow(
         _emit_anchors(n_buckets, width, gram), "bucket bigint, chunk bigint, anchors binary")
-    shared = anchors.groupBy("bucket").applyInArrow(_mark_shared, "chunk bigint, bucket bigint, shared binary")
+    shared = anchors.groupBy("bucket").applyInArrow(
+        _mark_shared(hot_chunks), "chunk bigint, bucket bigint, shared binary, hot binary")
     requests = chunks.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(
         _emit_contexts(n_buckets, width, gram), _REQUEST)
-    ranges = requests.groupBy("bucket").applyInArrow(_resolve_bucket(width, gram), "chunk bigint, ranges binary")
+    ranges = requests.groupBy("bucket").applyInArrow(_resolve_bucket(width, gram, sort_windows), "chunk bigint, ranges binary")
     return chunks.groupBy("chunk").cogroup(ranges.groupBy("chunk")).applyInArrow(
         _cut(keep_text), _RESULT + (", kept binary" if keep_text else ""))

@@ -50,7 +50,8 @@ def some_docs():
     return out
 
 
-@pytest.mark.parametrize("options", [{}, {"chunk_bytes": 2_000, "bucket_bytes": 3_000}, {"width": 20, "gram": 9}])
+@pytest.mark.parametrize("options", [{}, {"chunk_bytes": 2_000, "bucket_bytes": 3_000}, {"width": 20, "gram": 9},
+                                     {"chunk_bytes": 2_000, "bucket_bytes": 3_000, "hot_chunks": 2, "sort_windows": 40}])
 def test_equals_brute_force(spark, docs_of, options):
     docs = some_docs()
     assert result(docs_of(docs), **options) == brute(docs, options.get("width", 50))
@@ -77,7 +78,7 @@ def test_suffix_order_equals_sorting_the_bytes():
     raw = np.frombuffer(bytes(rng.choice(b"ab") for _ in range(2_000)), np.uint8)
     starts = np.array(rng.sample(range(1_950), 700))
     groups = np.sort(np.array([rng.randrange(9) for _ in starts]))
-    order, equal = S.SuffixOrder(raw, blocks.Powers(), 50).verified(starts, groups)
+    order, equal = S.SuffixOrder(raw, blocks.PrefixHash(raw, blocks.Powers()), 50).verified(starts, groups)
     text = lambda k: (groups[k], raw[starts[k]:starts[k] + 50].tobytes())
     assert [text(k) for k in order] == sorted(text(k) for k in range(len(starts)))
     assert equal.tolist() == [False] + [text(a) == text(b) for a, b in zip(order[:-1], order[1:])]
@@ -86,7 +87,7 @@ def test_suffix_order_equals_sorting_the_bytes():
 def test_colliding_hashes_fall_back_to_the_bytes(monkeypatch):
     raw = np.frombuffer(b"abcabdabcabe" * 20, np.uint8)
     starts, groups = np.arange(0, 180, 3), np.zeros(60, np.int64)
-    order_of = S.SuffixOrder(raw, blocks.Powers(), 50)
+    order_of = S.SuffixOrder(raw, blocks.PrefixHash(raw, blocks.Powers()), 50)
     monkeypatch.setattr(order_of, "common", lambda x, y: np.full(len(x), 50))
     order, equal = order_of.verified(starts, groups)
     texts = [raw[starts[k]:starts[k] + 50].tobytes() for k in order]
