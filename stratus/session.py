@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import os
 import re
+import shutil
 import tempfile
 import uuid
 
@@ -62,6 +64,27 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application.
+
+    Operators that run Python on the executors import it there; a cluster
+    whose executors have it installed, or get it by ``--py-files``, does not
+    need this.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="stratus-ship-")
+    archive = shutil.make_archive(os.path.join(folder, "stratus"), "zip", os.path.dirname(package),
+                                  os.path.basename(package))
+    spark.sparkContext.addPyFile(archive)
+    _SHIPPED.add(app)
+
+
 def scratch_root(spark: SparkSession) -> str:
     """This application's own folder inside the shared checkpoint folder."""
     root = ensure_checkpoint_dir(spark).rstrip("/")
