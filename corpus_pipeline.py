@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from stratus.llm import decontaminate, packing, quality, secrets, simhash
 from stratus.llm.queries import vocabulary_path
 from stratus.llm.stage import staged
+from stratus.session import ship_package
 
 #: No SQL can express a trained classifier or the tokenizer: the stages are
 #: tested against brute force instead.
@@ -21,26 +22,31 @@ ORACLE_SQL = None
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
+    ship_package(spark)
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash near-duplicate group stays."""
+    ship_package(spark)
     return simhash.keep_first(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the benchmark contaminates go."""
+    ship_package(spark)
     return decontaminate.remove_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are masked in the text; every document stays."""
+    ship_package(spark)
     return secrets.redact(docs, length_column="n_chars")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' tokens, packed into sequences."""
+    ship_package(spark)
     return packing.pack_documents(docs, vocabulary_path())
 
 

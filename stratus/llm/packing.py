@@ -33,6 +33,8 @@ CAPACITY = 2048
 CLOSING_ID = 1
 #: Pieces that one task ranks, about.
 SLICE_ROWS = 200_000
+#: Bytes of text tokenised at once: larger slices share more repeated words.
+SLICE_BYTES = 2 << 20
 
 
 class Slot(NamedTuple):
@@ -151,7 +153,7 @@ def _token_column(text: Column, vocabulary: str, capacity: int, closing_id: int,
         encoder = tokens.encoder(vocabulary)
         for column in columns:
             sizes, per_doc, crcs, kept = [], [], [], []
-            for _, _, raw, offsets in blocks.byte_slices(column):
+            for _, _, raw, offsets in blocks.byte_slices(column, SLICE_BYTES):
                 ids, edges = encoder.encode(raw, offsets, closing_id)
                 view = memoryview(ids.astype("<u4").tobytes())
                 n = np.diff(edges)

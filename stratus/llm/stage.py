@@ -2,28 +2,24 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import ensure_checkpoint_dir
+from ..session import scratch_path
 
 
-def staged(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
+def staged(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the cluster's shared folder and read it back.
 
     A lost executor re-reads files instead of repeating the work, and later
     plans start from real sizes.
     """
     path = staged_path(df.sparkSession, label)
-    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-    writer.parquet(path)
+    df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def staged_path(spark: SparkSession, label: str) -> str:
-    root = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{root}/{label}-{uuid.uuid4().hex}"
+    return scratch_path(spark, label)
 
 
 def drop(*frames: DataFrame) -> None:

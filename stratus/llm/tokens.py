@@ -20,7 +20,7 @@ from . import blocks
 #: Longer chunks are tokenised but not kept.
 MAX_CHUNK = 64
 #: The table is emptied when it holds more chunks than this.
-MAX_KEPT = 400_000
+MAX_KEPT = 800_000
 
 _SOLID = np.zeros(256, bool)  # last byte of a character that is no white space
 _SOLID[0x21:0x7F] = True
