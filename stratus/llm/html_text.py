@@ -1,10 +1,16 @@
 """HTML main-text extraction with host-wide consensus on content containers.
 
-Pass one scores the containers of every page and names the best one by its
-generalised tag-class path. Spark counts these votes per host; paths with at
-least ``min_share`` of a host's votes win, so a host keeps a bounded number of
-them. Pass two re-extracts every page from the first winning path that holds
-text there; a page with none uses its own best container.
+Pass one names the best container of every page, the least one that holds all
+of the main text (or the article or main around it), by its generalised
+tag-class path. Spark counts these votes per host; paths with at least
+``min_share`` of a host's votes win, so a host keeps a bounded number of them.
+Pass two re-extracts every page from the first winning path that holds all of
+its main text; a page with none uses its own best container. Main text is
+every unskipped block of which at most half is links.
+
+A host outvotes a page in one case only: the page's texts share no container
+below the body, none outside the host's container is in an article or main,
+and the path has ``CONSENSUS`` of the host's votes.
 
 Defined cases: null, empty or text-free html gives an empty text; a null or
 odd url votes under the empty host; repeated rows keep their own rows; markup
@@ -25,9 +31,8 @@ from .stage import staged
 
 #: A path wins when it has this share of its host's votes (so at most 20 win).
 MIN_SHARE = 0.05
-#: A container is a page's best when this share of the text is inside it and
-#: no smaller one holds as much.
-MIN_TEXT_SHARE = 0.75
+#: The share of its host's votes with which a path can outvote a page.
+CONSENSUS = 0.9
 #: Winning paths are broadcast up to this many characters, else joined by host.
 MAX_BROADCAST_CHARS = 16_000_000
 
@@ -36,6 +41,7 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 RAW = set("script style textarea title xmp iframe noembed noframes noscript template".split())
 SKIPPED = set("nav header footer aside form button select menu dialog svg math object canvas audio video head".split())
 CONTAINERS = set("article main section div td body center".split())
+ARTICLES = {"article", "main"}
 BLOCKS = CONTAINERS | set("html p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr th caption "
                           "blockquote pre figure figcaption address fieldset details summary hr hgroup".split())
 CLOSES = {  # an element that ends an open one of these kinds
@@ -69,6 +75,7 @@ class Page:
     def __init__(self) -> None:
         self.blocks: list[tuple[str, int, int]] = []  # text, container, characters in links
         self.paths: list[str] = ["html"]
+        self.tags: list[str] = ["html"]
         self.parents: list[int] = [-1]
 
 
@@ -172,6 +179,7 @@ def parse(html: str) -> Page:
             if path.rpartition(">")[2] != step:  # the same element nested again is one step
                 path = f"{path}>{step}"
             page.paths.append(path)
+            page.tags.append(tag)
             page.parents.append(container)
             container = len(page.paths) - 1
         stack.append(_Open(tag, container, top.skipped or _is_boilerplate(tag, attrs), top.link or tag == "a"))
@@ -179,34 +187,55 @@ def parse(html: str) -> Page:
     return page
 
 
+def _main_containers(page: Page) -> list[int]:
+    """The container of every block of main text; of every block when all are links."""
+    return ([container for text, container, linked in page.blocks if 2 * linked <= len(text)]
+            or [container for _, container, _ in page.blocks])
+
+
 def best_container(page: Page) -> int:
-    """The smallest container with most of the page's text that is no link."""
-    weight = [0.0] * len(page.paths)
-    for text, container, linked in page.blocks:
-        weight[container] += max(len(text) - linked, 0) + 0.1 * linked
-    for k in range(len(weight) - 1, 0, -1):  # children come after their parents
-        weight[page.parents[k]] += weight[k]
-    best = 0
-    for k in range(1, len(weight)):
-        if weight[k] >= MIN_TEXT_SHARE * weight[0] > 0:
-            best = k
+    """The least container with all main text, or the outermost article or main around it."""
+    holds = [0] * len(page.paths)
+    for k in _main_containers(page):
+        holds[k] += 1
+    for k in range(len(holds) - 1, 0, -1):  # children come after their parents
+        holds[page.parents[k]] += holds[k]
+    best = max((k for k in range(len(holds)) if holds[k] == holds[0] > 0), default=0)
+    up = best
+    while up >= 0:
+        if page.tags[up] in ARTICLES:
+            best = up
+        up = page.parents[up]
     return best
 
 
-def _under(page: Page, roots: set[int]) -> list[str]:
+def _inside(page: Page, roots: set[int]) -> list[bool]:
+    """Of every container whether it is one of ``roots`` or in one."""
     inside = [False] * len(page.paths)
     for k in range(len(page.paths)):
         inside[k] = k in roots or (page.parents[k] >= 0 and inside[page.parents[k]])
-    return [text for text, container, _ in page.blocks if inside[container]]
+    return inside
 
 
-def extract(html: str, winners: list[str]) -> str:
+def extract(html: str, winners: list[str], agreed: bool = False) -> str:
+    """The main text; ``agreed``: the first of ``winners`` has the host's consensus."""
     page = parse(html)
+    main = set(_main_containers(page))
+    best = best_container(page)
+    chosen = None
     for path in winners:
-        found = _under(page, {k for k, p in enumerate(page.paths) if p == path})
-        if found:
-            return "\n\n".join(found)
-    return "\n\n".join(_under(page, {best_container(page)}))
+        inside = _inside(page, {k for k, p in enumerate(page.paths) if p == path})
+        if main and all(inside[k] for k in main):
+            chosen = inside
+            break
+    if chosen is None and agreed and page.tags[best] in ("html", "body"):
+        inside = _inside(page, {k for k, p in enumerate(page.paths) if p == winners[0]})
+        kept = _inside(page, {k for k, tag in enumerate(page.tags) if tag in ARTICLES})
+        if any(inside[k] for _, k, _ in page.blocks) and not any(kept[k] and not inside[k] for k in main):
+            chosen = inside
+    if chosen is None:
+        chosen = _inside(page, {best})
+    return "\n\n".join(text for text, container, _ in page.blocks if chosen[container])
 
 
 def best_path(html: Column) -> Column:
@@ -221,11 +250,11 @@ def best_path(html: Column) -> Column:
     return F.arrow_udf(compute, "string").asNondeterministic()(html.cast("string"))
 
 
-def text_of(html: Column, winners: Column) -> Column:
-    def compute(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for pages, paths in columns:
-            yield pa.array([extract(h or "", p or []) for h, p in zip(pages.to_pylist(), paths.to_pylist())], pa.string())
-    return F.arrow_udf(compute, "string").asNondeterministic()(html.cast("string"), winners)
+def text_of(html: Column, winners: Column, agreed: Column) -> Column:
+    def compute(columns: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for rows in columns:
+            yield pa.array([extract(h or "", p or [], bool(p and a)) for h, p, a in zip(*(c.to_pylist() for c in rows))], pa.string())
+    return F.arrow_udf(compute, "string").asNondeterministic()(html.cast("string"), winners, agreed)
 
 
 def host_of(url: Column) -> Column:
@@ -233,14 +262,16 @@ def host_of(url: Column) -> Column:
 
 
 def winning_paths(pages: DataFrame, min_share: float = MIN_SHARE) -> DataFrame:
-    """``(host, paths)``: the paths that win a host, most votes first."""
+    """``(host, paths, agreed)``: the paths that win a host, most votes first,
+    and whether the first has the host's consensus."""
     votes = (pages.select(host_of(F.col("url")).alias("host"), best_path(F.col("html")).alias("path"))
              .where(F.col("path").isNotNull()).groupBy("host", "path").agg(F.count("*").alias("votes")))
     votes = staged(votes, "html-votes")
     all_votes = votes.groupBy("host").agg(F.sum("votes").alias("all_votes"))
     won = votes.join(all_votes, "host").where(F.col("votes") >= min_share * F.col("all_votes"))
-    ranked = won.groupBy("host").agg(F.array_sort(F.collect_list(F.struct((-F.col("votes")).alias("order"), "path"))).alias("r"))
-    return ranked.select("host", F.transform("r", lambda x: x["path"]).alias("paths"))
+    ranked = won.groupBy("host").agg(F.array_sort(F.collect_list(F.struct((-F.col("votes")).alias("order"), "path"))).alias("r"),
+                                    (F.max("votes") >= CONSENSUS * F.max("all_votes")).alias("agreed"))
+    return ranked.select("host", F.transform("r", lambda x: x["path"]).alias("paths"), "agreed")
 
 
 def extract_pages(pages: DataFrame, min_share: float = MIN_SHARE,
@@ -251,5 +282,5 @@ def extract_pages(pages: DataFrame, min_share: float = MIN_SHARE,
     small = F.broadcast(winners) if size <= max_broadcast_chars else winners
     rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("__host"))
     texts = rows.join(small, "__host", "left").select(
-        "page_id", "url", text_of(F.col("html"), F.col("paths")).alias("text"))
+        "page_id", "url", text_of(F.col("html"), F.col("paths"), F.col("agreed")).alias("text"))
     return texts.withColumn("n_chars", F.length("text").cast("bigint"))

@@ -39,6 +39,25 @@ def test_hosts_outvote_a_page(spark):
     assert run(spark, rows)[99].text == "Short."
 
 
+def test_whole_article_beside_its_largest_part(spark):
+    lead, rest = "The lead of the article. " * 8, "The content of the article. " * 32
+    whole = f"<article><h1>Title</h1><div class='lead'>{lead}</div><div class='content'>{rest}</div></article>"
+    plain = whole.replace("article>", "div>", 2)
+    rows = [(i, f"http://a.org/{i}", BODY.format(whole)) for i in range(5)]
+    rows += [(10 + i, f"http://b.org/{i}", BODY.format(plain)) for i in range(5)]
+    got = run(spark, rows)
+    assert {r.text for r in got.values()} == {f"Title\n\n{lead.strip()}\n\n{rest.strip()}"}
+
+
+def test_a_winning_path_keeps_the_main_text_of_a_page(spark):
+    post, long = "<div class='content'><p>Post.</p></div>", "Main text of another template. " * 30
+    rows = [(i, f"http://h.org/{i}", BODY.format(f"<div class='page'>{post}</div>")) for i in range(30)]
+    rows += [(50, "http://h.org/a", BODY.format(f"<div class='page'>{post}<div class='story'>{long}</div></div>")),
+             (51, "http://h.org/b", BODY.format(f"<div class='page'>{post}</div><article>{long}</article>"))]
+    got = run(spark, rows)
+    assert got[0].text == "Post." and got[50].text == got[51].text == f"Post.\n\n{long.strip()}"
+
+
 def test_empty_table_and_join_without_broadcast(spark):
     assert run(spark, []) == {}
     rows = [(i, f"http://h{i % 3}.org/{i}", BODY.format(ARTICLE)) for i in range(9)]
