@@ -8,6 +8,13 @@ Pass two re-extracts every page from the first winning path that holds all of
 its main text; a page with none uses its own best container. Main text is
 every unskipped block of which at most half is links.
 
+Navigation, notices, comments and the like are skipped by tag, role, class or
+id. A skipped element is read after all when it holds a main, when it holds an
+article and no article or main with text is left outside the skipped elements,
+or when most of the page's text that is no link is in it (not counted: comments;
+not for nav, header, footer and aside). Skipped elements inside it are judged
+in the same way.
+
 A host outvotes a page in one case only: the page's texts share no container
 below the body, none outside the host's container is in an article or main,
 and the path has ``CONSENSUS`` of the host's votes.
@@ -40,6 +47,8 @@ MAX_BROADCAST_CHARS = 16_000_000
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title xmp iframe noembed noframes noscript template".split())
 SKIPPED = set("nav header footer aside form button select menu dialog svg math object canvas audio video head".split())
+EMBEDDED = set("button select svg math object canvas audio video".split())  # never read after all
+NOT_MAIN = set("nav header footer aside menu dialog".split())  # never read after all for their share of the text
 CONTAINERS = set("article main section div td body center".split())
 ARTICLES = {"article", "main"}
 BLOCKS = CONTAINERS | set("html p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr th caption "
@@ -52,6 +61,12 @@ BOILERPLATE = set(
     "consent gdpr notice notification alert popup modal overlay newsletter subscribe subscription paywall login signup "
     "nav navbar navigation menu breadcrumb breadcrumbs sidebar side rail widget toolbar footer masthead topbar "
     "comment comments respond disqus replies share sharing social related recommended pagination pager".split())
+COMMENTS = set("comment comments respond disqus replies".split())
+#: Last words of a name that say what a thing is laid out as, not what it is.
+LAYOUT = set("container wrapper wrap box area block section region panel slot unit list item items inner outer body "
+             "content left right top bottom main primary secondary bar text links buttons icons posts articles".split())
+#: First words of a name that tell of a state of the page, not of what is inside.
+STATES = set("has no with without is not show hide".split())
 HEADERS = {"header", "site-header", "page-header", "top-header", "global-header"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu", "form"}
 
@@ -63,10 +78,19 @@ _WORDS = re.compile(r"[a-z]+")
 
 class _Open:
     """An element that is open while the page is read."""
-    __slots__ = ("tag", "container", "skipped", "link")
+    __slots__ = ("tag", "container", "zone", "link")
+
+    def __init__(self, tag: str, container: int, zone: int, link: bool):
+        self.tag, self.container, self.zone, self.link = tag, container, zone, link
+
 
-    def __init__(self, tag: str, container: int, skipped: bool, link: bool):
-        self.tag, self.container, self.skipped, self.link = tag, container, skipped, link
+class _Zone:
+    """A skipped element outside EMBEDDED, with the zone around it."""
+    __slots__ = ("parent", "container", "tag", "comments", "weight", "has_main", "has_article")
+
+    def __init__(self, parent: int, container: int, tag: str, comments: bool):
+        self.parent, self.container, self.tag, self.comments = parent, container, tag, comments
+        self.weight, self.has_main, self.has_article = 0, False, False
 
 
 class Page:
@@ -83,6 +107,20 @@ def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): (m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(text)} if text.strip(" /") else {}
 
 
+def _head_word(name: str) -> str:
+    """The word of a class or id that says what is inside; empty when it tells of a state."""
+    words = _WORDS.findall(name)
+    if len(words) > 1 and words[0] in STATES:
+        return ""
+    while len(words) > 1 and words[-1] in LAYOUT:
+        words.pop()
+    return words[-1] if words else ""
+
+
+def _head_words(attrs: dict[str, str]) -> set[str]:
+    return {_head_word(name) for name in (attrs.get("class", "") + " " + attrs.get("id", "")).lower().split()}
+
+
 def _is_boilerplate(tag: str, attrs: dict[str, str]) -> bool:
     if tag in SKIPPED:
         return True
@@ -90,10 +128,9 @@ def _is_boilerplate(tag: str, attrs: dict[str, str]) -> bool:
         return False
     if "hidden" in attrs or attrs.get("role", "").lower() in ROLES or "display:none" in attrs.get("style", "").replace(" ", ""):
         return True
-    for name in (attrs.get("class", "") + " " + attrs.get("id", "")).lower().split():
-        if name in HEADERS or not BOILERPLATE.isdisjoint(_WORDS.findall(name)):
-            return True
-    return False
+    if not HEADERS.isdisjoint((attrs.get("class", "") + " " + attrs.get("id", "")).lower().split()):
+        return True
+    return not BOILERPLATE.isdisjoint(_head_words(attrs))
 
 
 def _step(tag: str, attrs: dict[str, str]) -> str:
@@ -104,27 +141,22 @@ def _step(tag: str, attrs: dict[str, str]) -> str:
 
 def parse(html: str) -> Page:
     page = Page()
-    stack = [_Open("html", 0, False, False)]
-    parts: list[str] = []
-    linked = 0
+    stack = [_Open("html", 0, 0, False)]
+    zones = [_Zone(-1, 0, "html", False)]  # the first is what is not skipped; -1 is in EMBEDDED
+    rows: list[tuple[list[tuple[str, int, bool]], int]] = []  # pieces of a block with zone and link, container
+    article = {0: (-1, "")}  # the zone and tag of the article or main around a container
+    parts: list[tuple[str, int, bool]] = []
     at = 0
 
     def end_block() -> None:
-        nonlocal linked
         if parts:
-            text = " ".join("".join(parts).split())
-            if text:
-                page.blocks.append((text, stack[-1].container, linked))
+            rows.append((parts.copy(), stack[-1].container))
             parts.clear()
-            linked = 0
 
     def add(raw: str) -> None:
-        nonlocal linked
-        if raw and not stack[-1].skipped:
-            text = unescape(raw) if "&" in raw else raw
-            parts.append(text)
-            if stack[-1].link:
-                linked += len(text)
+        top = stack[-1]
+        if raw and top.zone >= 0:
+            parts.append((unescape(raw) if "&" in raw else raw, top.zone, top.link))
 
     def close(kinds: set[str], stop: set[str]) -> None:
         for k in range(len(stack) - 1, 0, -1):
@@ -174,7 +206,14 @@ def parse(html: str) -> Page:
         attrs = _attributes(m[3])
         top = stack[-1]
         container = top.container
-        if tag in CONTAINERS and not top.skipped:
+        zone = top.zone
+        if zone >= 0 and _is_boilerplate(tag, attrs):
+            if tag in EMBEDDED:
+                zone = -1
+            else:
+                zones.append(_Zone(zone, container, tag, zones[zone].comments or not COMMENTS.isdisjoint(_head_words(attrs))))
+                zone = len(zones) - 1
+        if tag in CONTAINERS and zone >= 0:
             step, path = _step(tag, attrs), page.paths[container]
             if path.rpartition(">")[2] != step:  # the same element nested again is one step
                 path = f"{path}>{step}"
@@ -182,11 +221,49 @@ def parse(html: str) -> Page:
             page.tags.append(tag)
             page.parents.append(container)
             container = len(page.paths) - 1
-        stack.append(_Open(tag, container, top.skipped or _is_boilerplate(tag, attrs), top.link or tag == "a"))
+            marked = tag in ARTICLES and COMMENTS.isdisjoint(_head_words(attrs))
+            article[container] = (zone, tag) if marked else article[top.container]
+        stack.append(_Open(tag, container, zone, top.link or tag == "a"))
     end_block()
+    read = _read_zones(rows, zones, article)
+    for pieces, container in rows:
+        kept = [(raw, link) for raw, zone, link in pieces if read[zone]]
+        text = " ".join("".join(raw for raw, _ in kept).split())
+        if text:
+            page.blocks.append((text, container, sum(len(raw) for raw, link in kept if link)))
     return page
 
 
+def _read_zones(rows: list[tuple[list[tuple[str, int, bool]], int]], zones: list[_Zone],
+                article: dict[int, tuple[int, str]]) -> list[bool]:
+    """Of every zone whether it is read: the first, and those that hold the page's article."""
+    if len(zones) == 1:
+        return [True]
+    total, outside = 0, False
+    for pieces, container in rows:
+        around, tag = article[container]
+        for raw, zone, link in pieces:
+            weight = len(" ".join(raw.split()))
+            if weight and zone == around:
+                outside = outside or zone == 0
+                zones[zone].has_article = True
+                zones[zone].has_main |= tag == "main"
+            if not link and not zones[zone].comments:
+                total += weight
+                zones[zone].weight += weight
+    for zone in reversed(zones[1:]):  # children come after their parents
+        parent = zones[zone.parent]
+        parent.weight += zone.weight
+        parent.has_main |= zone.has_main
+        parent.has_article |= zone.has_article
+    read = [True]
+    for zone in zones[1:]:
+        mostly = (2 * zone.weight > total and zone.tag not in NOT_MAIN
+                  and (not outside or article[zone.container][0] >= 0))
+        read.append(read[zone.parent] and (zone.has_main or mostly or (zone.has_article and not outside)))
+    return read
+
+
 def _main_containers(page: Page) -> list[int]:
     """The container of every block of main text; of every block when all are links."""
     return ([container for text, container, linked in page.blocks if 2 * linked <= len(text)]

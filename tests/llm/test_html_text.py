@@ -58,6 +58,29 @@ def test_a_winning_path_keeps_the_main_text_of_a_page(spark):
     assert got[0].text == "Post." and got[50].text == got[51].text == f"Post.\n\n{long.strip()}"
 
 
+def test_layout_elements_around_the_article(spark):
+    text = "<h1>Title</h1><p>" + "Text of the article. " * 20 + "</p>"
+    want = "Title\n\n" + ("Text of the article. " * 20).strip()
+    wraps = ["<div class='has-sidebar'>{}</div>", "<div class='no-sidebar'>{}</div>", "<div class='comments-open'>{}</div>",
+             "<div class='with-ads'>{}</div>", "<div class='social-post'>{}</div>", "<form id='all'>{}</form>",
+             "<div class='sidebar'>{}</div>", "<div hidden>{}</div>", "<main><form>{}</form></main>"]
+    rows = [(10 * i + j, f"http://h{i}-{j}.org/", BODY.format(w.format(inner.format(text))))
+            for i, w in enumerate(wraps) for j, inner in enumerate(["<article>{}</article>", "<div class='post'>{}</div>"])]
+    ad = "<div class='ad-container'><p>Buy</p></div><div class='related-posts'><article>Teaser.</article></div>"
+    rows += [(500, "http://r.org/", BODY.format(f"<article>{text}</article>{ad}")),
+             (501, "http://s.org/", f"<form><nav>Home</nav><div class='post'>{text}</div><p class='ad-container'>Buy</p><div id='comments'>{'Nice. ' * 200}</div></form>")]
+    got = run(spark, rows)
+    assert {i: r.text for i, r in got.items() if r.text != want} == {}
+    assert H.extract("<div><p>Text <span class='ad'>Buy</span>and more.</p></div>", []) == "Text and more."
+
+
+def test_boilerplate_names():
+    skipped = ["ad", "ads", "cookie-notice", "comments", "comments-area", "left-sidebar", "sidebar-wrapper", "ad-container", "share-buttons", "site-header"]
+    kept = ["has-sidebar", "no-sidebar", "comments-open", "with-ads", "social-post", "menu-open", "post", "is-modal", "12"]
+    assert [n for n in skipped if not H._is_boilerplate("div", {"class": n})] == []
+    assert [n for n in kept if H._is_boilerplate("div", {"class": n})] == []
+
+
 def test_empty_table_and_join_without_broadcast(spark):
     assert run(spark, []) == {}
     rows = [(i, f"http://h{i % 3}.org/{i}", BODY.format(ARTICLE)) for i in range(9)]
