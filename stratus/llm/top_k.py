@@ -76,7 +76,7 @@ def exact_scores(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
 
 
 class _Best:
-    """The k best (score, id) of every query, and the score to beat."""
+    """The k best ids of every query with their best scores, and the score to beat."""
 
     def __init__(self, floor: np.ndarray, k: int):
         self.k, self.floor = k, floor
@@ -92,7 +92,11 @@ class _Best:
 
     def settle(self) -> None:
         rows = np.concatenate([self.rows, *self.waiting], axis=1)
-        rows = rows[:, np.lexsort((rows[1], ~rows[2], rows[0]))]  # ~score: falling, without overflow
+        rows = rows[:, np.lexsort((~rows[2], rows[1], rows[0]))]  # ~score: falling, without overflow
+        again = np.zeros(rows.shape[1], bool)
+        again[1:] = (rows[0, 1:] == rows[0, :-1]) & (rows[1, 1:] == rows[1, :-1])
+        rows = rows[:, ~again]  # the best row of every query and id
+        rows = rows[:, np.lexsort((rows[1], ~rows[2], rows[0]))]
         rank = np.arange(rows.shape[1]) - np.searchsorted(rows[0], rows[0], "left")
         self.rows = rows[:, rank < self.k]
         last = rows[:, rank == self.k - 1]
@@ -188,8 +192,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: float = SCALE
                                  blocked.withColumn("shard", home).withColumn("floor", lowest), k), "top-k-first")
     found = first
     if n_shards > 1:
-        kth = (first.withColumn("n", F.row_number().over(_best_first())).where(F.col("n") == k)
-               .groupBy("query_id").agg(F.min("score").alias("kth")))
+        ids = first.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))  # a query id can have several vectors
+        kth = (ids.withColumn("n", F.row_number().over(_best_first())).where(F.col("n") == k)
+               .select("query_id", F.col("score").alias("kth")))
         again = blocked.join(kth, "query_id", "left").withColumn("floor", F.coalesce("kth", lowest)).drop("kth")
         again = again.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1)))).where(F.col("shard") != home)
         found = first.union(_search_cells(cells.where(F.col("shard") != home), again, k))

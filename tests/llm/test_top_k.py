@@ -52,6 +52,21 @@ def test_many_shards_and_blocks(spark):
     assert run(spark, some_rows(), shard_rows=40, block_rows=3) == brute(some_rows())
 
 
+def test_many_strong_vectors_of_one_id(spark):
+    rng = random.Random(11)
+    rows = [(i, [f32(abs(rng.gauss(0, 1))) for _ in range(4)]) for i in range(100)]
+    rows += [(7, [f32(50 + n)] * 4) for n in range(25)]
+    assert run(spark, rows) == brute(rows)
+    assert run(spark, rows, shard_rows=30, block_rows=3) == brute(rows)
+
+
+def test_queries_with_several_vectors(spark):
+    rng = random.Random(12)
+    rows = [(i, [f32(rng.gauss(0, 1)) for _ in range(4)]) for i in range(200)]
+    rows += [(i, [f32(x + 0.1 * n) for x in v]) for i, v in rows if i % 20 == 0 for n in range(1, 10)]
+    assert run(spark, rows, shard_rows=50, block_rows=4) == brute(rows)
+
+
 def test_huge_components_and_empty_table(spark):
     rows = [(0, [f32(3e30), 1.0]), (1, [f32(2e30), -1.0]), (2, [f32(-1e30), 1.0]), (3, [0.0, 0.0])]
     assert run(spark, rows) == brute(rows)
