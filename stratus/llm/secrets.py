@@ -5,7 +5,9 @@ access-key id, a long lower-case hex run). The entropy method adds spans of
 kind ``entropy``: in every candidate string the Shannon entropy of each window
 is kept by incremental character counts, and the candidate is reported when
 its highest window reaches the threshold of its character class, unless the
-allow-list suppresses it. Base spans always stay.
+allow-list suppresses it. A placeholder word takes out only its own part
+between separators; what is left on either side is a candidate of its own.
+Letters alone are allowed when they look like words. Base spans always stay.
 
 Defined cases: a null text is empty and has no span; spans are code-point
 ranges, end exclusive; repeated rows each keep their own result.
@@ -38,12 +40,18 @@ _ALNUM = re.compile(r"[A-Za-z0-9]+")
 #: Strings that are random-looking but no secrets, or not random at all.
 ALLOW = (
     re.compile(r"[0-9]+"),                                        # plain numbers
-    re.compile(r"[A-Za-z]+"),                                     # words
-    re.compile(r"[A-Za-z]+(?:[-_/+=]+[A-Za-z]+)*[-_/+=]*"),       # compound words, paths
     re.compile(r"[0-9]+(?:[-_/+=]+[0-9]+)*[-_/+=]*"),             # dates, phone numbers
     re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}"),  # UUIDs
-    re.compile(r".*(?:example|placeholder|changeme|xxxxx|00000|12345).*", re.I),
 )
+#: Letters alone, also joined: allowed when they look like words, compound words or paths.
+LETTERS = re.compile(r"[A-Za-z]+(?:[-_/+=]+[A-Za-z]+)*[-_/+=]*")
+PLACEHOLDER = re.compile(r"example|placeholder|changeme|xxxxx|00000|12345", re.I)
+_PART = re.compile(r"[A-Za-z0-9]+")
+_PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")  # the words of a mixed-case string
+_CONSONANTS = re.compile(r"(?:sch|ch|ck|ph|sh|st|th|tz|ng|[b-df-hj-np-tv-xz])+")
+_SOUND = re.compile(r"sch|ch|ck|ph|sh|st|th|tz|ng|[a-z]")
+#: What words have: letters between changes of case, share of vowels, consonants in a row.
+MIN_PIECE, MIN_VOWELS, MAX_VOWELS, MAX_CONSONANTS = 3, 0.25, 0.75, 5
 
 _SPANS = "array<struct<kind:int,start:int,end:int>>"
 _C_LOG_C = [0.0] + [c * math.log2(c) for c in range(1, 1024)]
@@ -79,19 +87,52 @@ def char_class(text: str) -> str:
     return "alnum" if _ALNUM.fullmatch(text) else "base64"
 
 
-def is_random(text: str) -> bool:
-    """Whether the entropy method reports a candidate string."""
+def looks_like_words(text: str) -> bool:
+    """Whether letters have the case pattern and the vowels of words."""
+    letters = "".join(_PART.findall(text)).lower()
+    if len(letters) < MIN_PIECE * len(_PIECE.findall(text)):
+        return False
+    if not MIN_VOWELS <= sum(c in "aeiouy" for c in letters) / max(len(letters), 1) <= MAX_VOWELS:
+        return False
+    return all(len(_SOUND.findall(m[0])) <= MAX_CONSONANTS for m in _CONSONANTS.finditer(text.lower()))
+
+
+def _is_random(text: str) -> bool:
     if any(rule.fullmatch(text) for rule in ALLOW):
         return False
+    if LETTERS.fullmatch(text):
+        parts = [text, *(part for part in _PART.findall(text) if WINDOW <= len(part) < len(text))]
+        return any(not looks_like_words(part) and window_entropy(part) >= THRESHOLDS[char_class(part)] for part in parts)
     return window_entropy(text) >= THRESHOLDS[char_class(text)]
 
 
+def random_spans(text: str) -> list[tuple[int, int]]:
+    """What the entropy method reports of a candidate string."""
+    if not PLACEHOLDER.search(text):
+        return [(0, len(text))] if _is_random(text) else []
+    runs, start, end = [], None, 0
+    for m in _PART.finditer(text):
+        if not PLACEHOLDER.search(m[0]):
+            start, end = m.start() if start is None else start, m.end()
+        elif start is not None:
+            runs.append((start, end))
+            start = None
+    if start is not None:
+        runs.append((start, len(text)))  # with its padding
+    return [(a, b) for a, b in runs if b - a >= WINDOW and _is_random(text[a:b])]
+
+
+def is_random(text: str) -> bool:
+    """Whether the entropy method reports a candidate string or a part of it."""
+    return bool(random_spans(text))
+
+
 def find_spans(text: str) -> list[tuple[int, int, int]]:
     """All ``(kind number, start, end)`` by start, then kind."""
     spans = [(0, m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= MIN_ASSIGNED]
     spans += [(1, m.start(), m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= MIN_ACCESS]
     spans += [(2, m.start(), m.end()) for m in HEX.finditer(text)]
-    spans += [(3, m.start(), m.end()) for m in CANDIDATE.finditer(text) if is_random(m[0])]
+    spans += [(3, m.start() + a, m.start() + b) for m in CANDIDATE.finditer(text) for a, b in random_spans(m[0])]
     spans.sort(key=lambda s: (s[1], s[0]))
     return spans
 
