@@ -7,8 +7,11 @@ non-negative unbiased risk
     prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives))
 
 with logistic loss. The class prior is estimated from the label counts of the
-training folds. The fit runs on bounded samples (``max_positives``,
-``max_unlabelled``); every whole text is scored.
+training folds. The positives are a bounded sample (``max_positives``). The
+unlabelled part is the risk over all documents: every ``EVERY`` steps Spark
+sums its loss and gradient over the staged features of all of them, and a
+sample (``max_unlabelled``) only tells how both change until the next sum.
+Every whole text is scored.
 
 Defined cases: a null or empty text has all-zero statistics and a score like
 any other; labels other than 0 and 1 are no labels; without any positive or
@@ -17,7 +20,7 @@ unlabelled row the score is the class prior (0.5 without labels).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +33,10 @@ from .stage import drop, staged
 
 FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.3
-#: Bounds of the samples that the model is fitted on.
+#: Positives that the model is fitted on, and documents that steer it between sums over all, at most.
 MAX_POSITIVES = MAX_UNLABELLED = 6_000
+#: Steps of the fit from one sum over all documents to the next.
+EVERY = 25
 
 _BASE = np.array([ord(c) for c in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"])
 _CLASSES = [list(range(65, 91)), list(range(97, 123)), list(range(48, 58)), [32, 9, 11, 12, 13], [10], list(range(128, 256))]
@@ -117,11 +122,52 @@ def _feature_column(text: Column) -> Column:
     return F.arrow_udf(compute, "array<float>").asNondeterministic()(text)
 
 
+class Unlabelled:
+    """Sums over the staged features ``x`` of all documents, one pass each."""
+
+    def __init__(self, rows: DataFrame):
+        self.rows = rows
+
+    def _sum(self, part: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+        def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = 0.0
+            for batch in batches:
+                if batch.num_rows:
+                    x = batch.column(0).flatten().to_numpy(zero_copy_only=False)
+                    total = total + part(x.astype(np.float64).reshape(-1, N_FEATURES))
+            if np.ndim(total):
+                yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], names=["s"])
+        return np.sum([r["s"] for r in self.rows.select("x").mapInArrow(compute, "s array<double>").collect()], axis=0)
+
+    def moments(self) -> tuple[float, np.ndarray, np.ndarray]:
+        """Number, sums and sums of squares."""
+        s = self._sum(lambda x: np.concatenate([[len(x)], x.sum(0), (x * x).sum(0)]))
+        return s[0], s[1:1 + N_FEATURES], s[1 + N_FEATURES:]
+
+    def risk(self, mean: np.ndarray, spread: np.ndarray, w: np.ndarray) -> tuple[float, np.ndarray]:
+        """Mean loss as negatives, and its gradient."""
+        def part(x: np.ndarray) -> np.ndarray:
+            u = np.c_[np.clip((x - mean) / spread, -8, 8), np.ones(len(x))]
+            z = u @ w
+            return np.concatenate([[len(x), np.logaddexp(0, z).sum()], u.T @ (0.5 * (1 + np.tanh(z / 2)))])
+        s = self._sum(part)
+        return s[1] / s[0], s[2:] / s[0]
+
+
 def fit_pu(positives: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 600,
-           rate: float = 0.05, decay: float = 1e-4) -> dict[str, np.ndarray]:
-    """Linear scorer by non-negative PU risk, full-batch Adam."""
-    both = np.concatenate([positives, unlabelled])
-    mean, spread = both.mean(0), both.std(0) + 1e-3
+           rate: float = 0.05, decay: float = 1e-4, whole: Unlabelled | None = None) -> dict[str, np.ndarray]:
+    """Linear scorer by non-negative PU risk, full-batch Adam.
+
+    ``whole``: all documents, when ``unlabelled`` is a sample of them.
+    """
+    if whole is None:
+        both = np.concatenate([positives, unlabelled])
+        mean, spread = both.mean(0), both.std(0) + 1e-3
+    else:
+        n, sums, squares = whole.moments()
+        n += len(positives)
+        mean = (sums + positives.sum(0)) / n
+        spread = np.sqrt(np.maximum((squares + (positives ** 2).sum(0)) / n - mean ** 2, 0)) + 1e-3
     p = np.clip((positives - mean) / spread, -8, 8)
     u = np.clip((unlabelled - mean) / spread, -8, 8)
     w = np.zeros(p.shape[1] + 1)
@@ -129,12 +175,19 @@ def fit_pu(positives: np.ndarray, unlabelled: np.ndarray, prior: float, steps: i
     p, u = np.c_[p, np.ones(len(p))], np.c_[u, np.ones(len(u))]
     m = v = np.zeros_like(w)
     sigmoid = lambda z: 0.5 * (1 + np.tanh(z / 2))
+    base, loss_shift, grad_shift = w, 0.0, np.zeros_like(w)  # from the sample to all documents
     for step in range(1, steps + 1):
         zp, zu = p @ w, u @ w
         loss_u, loss_p = np.logaddexp(0, zu).mean(), np.logaddexp(0, zp).mean()
+        grad_u = u.T @ sigmoid(zu) / len(u)
+        if whole is not None:
+            if step % EVERY == 1:
+                loss, grad = whole.risk(mean, spread, w)
+                base, loss_shift, grad_shift = w, loss - loss_u, grad - grad_u
+            loss_u, grad_u = loss_u + loss_shift + grad_shift @ (w - base), grad_u + grad_shift
         negative = loss_u - prior * loss_p
         grad_plus = -prior * (p.T @ sigmoid(-zp)) / len(p)
-        grad_minus = u.T @ sigmoid(zu) / len(u) - prior * (p.T @ sigmoid(zp)) / len(p)
+        grad_minus = grad_u - prior * (p.T @ sigmoid(zp)) / len(p)
         # Below zero the negative part is over-fitted: step back on it alone.
         grad = grad_plus + grad_minus if negative >= 0 else -grad_minus
         grad[:-1] += decay * w[:-1]
@@ -153,20 +206,24 @@ def train(docs: DataFrame, labels: DataFrame, max_positives: int = MAX_POSITIVES
     """The fitted model: a few dozen numbers."""
     sample, counts = labelled_sample(docs, labels, "quality", FOLDS, HELD_OUT, max_positives, "quality")
     positives = sample.where("label = 1").select(_feature_column(F.col("text")).alias("x"))
-    # Unlabelled text: any document, its label not looked at, chosen by hash.
-    ids = staged(docs.select("doc_id").where("doc_id IS NOT NULL").distinct()
+    # Unlabelled text: all documents, their labels not looked at; those of the sample are chosen by hash.
+    everything = staged(docs.where("doc_id IS NOT NULL")
+                        .select("doc_id", _feature_column(F.col("text").cast("string")).alias("x")), "quality-features")
+    ids = staged(everything.select("doc_id").distinct()
                  .orderBy(F.xxhash64("doc_id", F.lit("unlabelled")), "doc_id").limit(max_unlabelled), "quality-web")
-    web = docs.join(F.broadcast(ids), "doc_id").select(_feature_column(F.col("text").cast("string")).alias("x"))
+    web = everything.join(F.broadcast(ids), "doc_id").select("x")
     stack = lambda df: np.array([r["x"] for r in df.collect()], float).reshape(-1, N_FEATURES)
     p, u = stack(positives), stack(web)
-    drop(sample, ids)
     total = sum(counts.values())
     prior = (counts.get(1, 0.0) + 1) / (total + 2)
     if not len(p) or not len(u):
+        drop(sample, ids, everything)
         flat = np.zeros(N_FEATURES + 1)
         flat[-1] = np.log(prior / (1 - prior))
         return {"mean": np.zeros(N_FEATURES), "spread": np.ones(N_FEATURES), "weights": flat}
-    return fit_pu(p, u, prior)
+    model = fit_pu(p, u, prior, whole=Unlabelled(everything) if everything.count() > len(u) else None)
+    drop(sample, ids, everything)
+    return model
 
 
 def score_column(text: Column, model: dict) -> Column:

@@ -79,6 +79,17 @@ def test_pu_risk_is_not_driven_negative():
     assert Q.scores(good, model).mean() > 0.8 and Q.scores(bad, model).mean() < 0.2
 
 
+def test_unlabelled_risk_takes_in_every_document(spark, docs_of):
+    rng = random.Random(5)
+    docs = docs_of([(i, prose(rng, 20 + i % 30) if i % 50 else "### $$$ !!! " * 20) for i in range(2000)])
+    labels = spark.createDataFrame([(i, int(i % 50 > 0), 0) for i in range(0, 2000, 5)], LABELS)
+    few, every = Q.train(docs, labels, max_unlabelled=200), Q.train(docs, labels)
+    for part in ("mean", "spread"):
+        assert np.allclose(few[part], every[part], atol=1e-6)
+    rows = np.array([r.x for r in docs.select(Q._feature_column(docs["text"]).alias("x")).collect()], float)
+    assert np.abs(Q.scores(rows, few) - Q.scores(rows, every)).max() < 0.02
+
+
 def test_counterfactual_pairs_swap_one_term():
     pairs = list(T.counterfactual_pairs("Women walk home. Nothing here! Jewish and blind readers"))
     assert all(a != b for a, b in pairs)
