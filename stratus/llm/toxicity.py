@@ -17,6 +17,7 @@ labels other than 0 and 1 are no labels; without labels every score is 0.5.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +37,7 @@ MAX_FEATURES = 20_000
 BUCKET_BITS = 20
 PREFIXES = (4, 5, 6)
 
-# Identity terms by kind; the first of each is the neutral word.
+# Identity terms by kind, unless the caller has a list of their own.
 IDENTITY_TERMS = {
     "en": ("people women men girls boys muslims christians jews hindus buddhists atheists blacks whites asians "
            "latinos africans europeans arabs gays lesbians immigrants refugees foreigners disabled elderly").split(),
@@ -46,8 +47,6 @@ IDENTITY_TERMS = {
     "fr": "gens femmes hommes musulmans chrétiens juifs étrangers réfugiés noirs blancs arabes africains".split(),
     "es": "gente mujeres hombres musulmanes cristianos judíos extranjeros refugiados negros blancos árabes".split(),
 }
-_KIND = {term: group for group in IDENTITY_TERMS.values() for term in group}
-_TERM = re.compile(r"\b(" + "|".join(sorted(map(re.escape, _KIND), key=len, reverse=True)) + r")\b")
 _SENTENCE = re.compile(r"[^.!?\n]+")
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -139,42 +138,47 @@ def _slot_column(text: Column, selected) -> Column:
     return F.arrow_udf(compute, "array<int>").asNondeterministic()(text)
 
 
-def counterfactual_pairs(text: str) -> Iterator[tuple[str, str]]:
-    """``(sentence, sentence with one identity term swapped)``."""
+def counterfactual_pairs(text: str, terms: dict[str, list[str]] = IDENTITY_TERMS) -> Iterator[tuple[str, str]]:
+    """``(sentence, sentence with one identity term swapped)``, for every other term of its kind."""
+    kind = {term: group for group in terms.values() for term in group}
+    if not kind:
+        return
+    mention = re.compile(r"\b(" + "|".join(sorted(map(re.escape, kind), key=len, reverse=True)) + r")\b")
     for sentence in _SENTENCE.findall(text.lower()):
-        for m in _TERM.finditer(sentence):
-            group = _KIND[m[1]]
-            k = group.index(m[1])
-            for other in {group[0], group[(k + 1) % len(group)]} - {m[1]}:
-                yield sentence, sentence[:m.start()] + other + sentence[m.end():]
+        for m in mention.finditer(sentence):
+            for other in kind[m[1]]:
+                if other != m[1]:
+                    yield sentence, sentence[:m.start()] + other + sentence[m.end():]
 
 
-def _pair_column(text: Column, selected) -> Column:
-    """Per counterfactual pair the selected features it gains and loses."""
-    kind = "array<struct<gained:array<int>,lost:array<int>>>"
+def _pair_column(text: Column, selected, terms: dict[str, list[str]]) -> Column:
+    """The selected features that counterfactual pairs gain and lose, and the number of such pairs."""
+    kind = "array<struct<gained:array<int>,lost:array<int>,n:int>>"
 
     def compute(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         slot = {f: k for k, f in enumerate(selected.value.tolist())}
         powers = blocks.Powers()
-        schema = pa.list_(pa.struct([("gained", pa.list_(pa.int32())), ("lost", pa.list_(pa.int32()))]))
+        schema = pa.list_(pa.struct([("gained", pa.list_(pa.int32())), ("lost", pa.list_(pa.int32())), ("n", pa.int32())]))
         for column in columns:
             out = []
             for value in column.to_pylist():
-                pairs = []
-                for a, b in counterfactual_pairs(value or ""):
+                pairs: Counter = Counter()
+                for a, b in counterfactual_pairs(value or "", terms):
                     fa, fb = _of_text(a, powers), _of_text(b, powers)
-                    gained = sorted(slot[f] for f in fb - fa if f in slot)
-                    lost = sorted(slot[f] for f in fa - fb if f in slot)
+                    gained = tuple(sorted(slot[f] for f in fb - fa if f in slot))
+                    lost = tuple(sorted(slot[f] for f in fa - fb if f in slot))
                     if gained or lost:
-                        pairs.append({"gained": gained, "lost": lost})
-                out.append(pairs)
+                        pairs[gained, lost] += 1
+                out.append([{"gained": g, "lost": d, "n": n} for (g, d), n in pairs.items()])
             yield pa.array(out, schema)
     return F.arrow_udf(compute, kind).asNondeterministic()(text)
 
 
 def fit(slots: list[list[int]], labels: np.ndarray, weights: np.ndarray, pairs: list[tuple[list[int], list[int]]],
-        n_features: int, penalty: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-3) -> np.ndarray:
-    """Weights (the last is the base) by full-batch Adam on the penalised loss."""
+        n_features: int, penalty: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-3,
+        times: np.ndarray | None = None) -> np.ndarray:
+    """Weights (the last is the base) by full-batch Adam on the penalised loss; a pair counts ``times``."""
+    times = np.ones(len(pairs)) if times is None else times
     sizes = np.array([len(s) for s in slots])
     row = np.repeat(np.arange(len(slots)), sizes)
     col = np.concatenate([np.array(s, np.int64) for s in slots]) if sizes.sum() else np.zeros(0, np.int64)
@@ -191,28 +195,36 @@ def fit(slots: list[list[int]], labels: np.ndarray, weights: np.ndarray, pairs:
         g = weights * (0.5 * (1 + np.tanh(z / 2)) - labels) / total
         grad = np.append(np.bincount(col, g[row], n_features) + decay / max(len(slots), 1) * w[:-1], g.sum())
         if len(pairs):
-            change = np.bincount(pair_row, sign * w[pair_col], len(pairs))
-            grad[:-1] += 2 * penalty / len(pairs) * np.bincount(pair_col, sign * change[pair_row], n_features)
+            change = times * np.bincount(pair_row, sign * w[pair_col], len(pairs))
+            grad[:-1] += 2 * penalty / times.sum() * np.bincount(pair_col, sign * change[pair_row], n_features)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         w = w - rate * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-9)
     return w
 
 
 def train(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS,
-          max_features: int = MAX_FEATURES, penalty: float = 1.0) -> dict:
-    """``{"features", "weights", "base"}``; its size is bounded by max_features."""
+          max_features: int = MAX_FEATURES, penalty: float = 1.0,
+          terms: dict[str, list[str]] = IDENTITY_TERMS) -> dict:
+    """``{"features", "weights", "base", "pairs"}``; its size is bounded by max_features.
+
+    ``terms``: lower-case identity terms by kind; ``pairs``: how many the fit had.
+    """
     sample, _ = labelled_sample(docs, labels, "toxic", FOLDS, HELD_OUT, max_per_class, "toxicity")
     features = select_features(sample, max_features)
     shared = docs.sparkSession.sparkContext.broadcast(features)
     rows = sample.select("label", "weight", _slot_column(F.col("text"), shared).alias("slots"),
-                         _pair_column(F.col("text"), shared).alias("pairs")).collect()
+                         _pair_column(F.col("text"), shared, terms).alias("pairs")).collect()
     drop(sample)
     if not rows:
-        return {"features": features, "weights": np.zeros(len(features)), "base": 0.0}
-    pairs = [(p["gained"], p["lost"]) for r in rows for p in r["pairs"]]
+        return {"features": features, "weights": np.zeros(len(features)), "base": 0.0, "pairs": 0}
+    pairs: Counter = Counter()
+    for r in rows:
+        for p in r["pairs"]:
+            pairs[tuple(p["gained"]), tuple(p["lost"])] += p["n"]
     w = fit([r["slots"] for r in rows], np.array([r["label"] for r in rows], float),
-            np.array([r["weight"] for r in rows]), pairs, len(features), penalty)
-    return {"features": features, "weights": w[:-1], "base": float(w[-1])}
+            np.array([r["weight"] for r in rows]), list(pairs), len(features), penalty,
+            times=np.array(list(pairs.values()), float))
+    return {"features": features, "weights": w[:-1], "base": float(w[-1]), "pairs": sum(pairs.values())}
 
 
 def score_column(text: Column, shared) -> Column:

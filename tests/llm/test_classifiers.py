@@ -98,6 +98,13 @@ def test_counterfactual_pairs_swap_one_term():
     assert list(T.counterfactual_pairs("")) == []
 
 
+def test_counterfactual_pairs_swap_with_every_term():
+    for terms in T.IDENTITY_TERMS.values():
+        swapped = {b for _, b in T.counterfactual_pairs(terms[1] + " walk home")}
+        assert swapped >= {term + " walk home" for term in terms if term != terms[1]}
+    assert list(T.counterfactual_pairs("a Blue one", {"x": ["red", "blue"]})) == [("a blue one", "a red one")]
+
+
 def test_penalty_lowers_scores_of_neutral_mentions(spark, docs_of):
     rng = random.Random(4)
     rows, labels = [], []
