@@ -159,10 +159,40 @@ SELECT doc_id, leaf, low.digest AS subroot, root, sha256(proof) AS proof_sha256,
 FROM ids JOIN done USING (id) JOIN low ON low.g = ids.g AND low.n = 1 JOIN root ON true
 """
 
+OP12 = f"""
+WITH pieces AS (
+  SELECT rid, coalesce(lang, 'und') AS lang, unnest(range(len(p))) AS pid, unnest(p) AS piece
+  FROM (SELECT row_number() OVER () AS rid, lang, string_split_regex({_LOWERED}, '[.,;:!?\\x0A-\\x0D]') AS p FROM documents)),
+split AS (SELECT rid, pid, lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+grams AS (
+  SELECT lang, k, w[i:i + k - 1] AS g, count(*) AS f
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM split, range(1, 6) AS t(k) WHERE len(w) >= k)
+  GROUP BY ALL),
+total AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM grams WHERE k = 1 GROUP BY lang),
+cands AS (SELECT * FROM grams WHERE k >= 2 AND f >= 100),
+cuts AS (SELECT lang, k, g, f, unnest(range(1, k)) AS c FROM cands),
+scored AS (
+  SELECT cuts.lang, cuts.k, cuts.g, cuts.f AS a, x.f AS l, y.f AS r, n, c,
+         CAST((CAST(1000 AS HUGEINT) * cuts.f * n) // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+  FROM cuts JOIN total ON total.lang = cuts.lang
+  JOIN grams x ON x.lang = cuts.lang AND x.k = c AND x.g = cuts.g[1:c]
+  JOIN grams y ON y.lang = cuts.lang AND y.k = cuts.k - c AND y.g = cuts.g[c + 1:]),
+worst AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, c) = 1),
+inside AS (
+  SELECT DISTINCT w.lang, w.g FROM worst w JOIN cands b ON b.lang = w.lang AND b.k > w.k AND b.f >= w.a
+    AND contains(' ' || array_to_string(b.g, ' ') || ' ', ' ' || array_to_string(w.g, ' ') || ' ')),
+kept AS (SELECT * FROM worst ANTI JOIN inside USING (lang, g)),
+ranked AS (
+  SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, n, score,
+         row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+"""
+
 ORACLES = {
     "op2_top_k_search": OP2,
     "op7_benchmark_decontamination": OP7,
     "op8_warc_revisits": OP8,
     "op9_suffix_array_dedup": OP9,
+    "op12_phrase_mining": OP12,
     "op13_merkle_manifest": OP13,
 }

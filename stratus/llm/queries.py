@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import decontaminate, html_text, merkle, packing, quality, revisits, secrets, simhash, suffix_dedup, top_k, toxicity
+from . import decontaminate, html_text, merkle, packing, phrases, quality, revisits, secrets, simhash, suffix_dedup, top_k, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -104,6 +104,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(_table(spark, sf_dir, "documents"))
 
 
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return merkle.manifest(docs, merkle.without_line_feeds(F.col("doc_id"), F.col("text")))
@@ -112,5 +116,5 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_packing, op2_top_k_search, op3_simhash_near_dedup, op4_toxicity, op5_quality_classifier, op6_html_extraction,
     op7_benchmark_decontamination, op8_warc_revisits, op9_suffix_array_dedup, op10_secret_scan,
-    op13_merkle_manifest,
+    op12_phrase_mining, op13_merkle_manifest,
 )}
