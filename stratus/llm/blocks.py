@@ -42,6 +42,22 @@ def byte_slices(column: pa.Array, max_bytes: int = SLICE_BYTES
         lo = hi
 
 
+def lowered_words(raw: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The runs of ``inside`` bytes within each text, A-Z lower-cased, and where they start.
+
+    ``inside`` must be cut at ASCII bytes only, so a run is valid text.
+    """
+    lowered = raw + np.uint8(32) * ((raw >= 0x41) & (raw <= 0x5A))
+    change = np.ones(len(raw) + 1, bool)
+    change[1:-1] = inside[1:] != inside[:-1]
+    change[offsets] = True
+    starts = np.flatnonzero(change[:-1] & inside)
+    ends = np.flatnonzero(change[1:] & inside) + 1
+    cuts = pa.py_buffer(np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int32))
+    data = pa.py_buffer(np.ascontiguousarray(lowered[inside]))
+    return pa.StringArray.from_buffers(len(starts), cuts, data).dictionary_encode(), starts
+
+
 class Powers:
     """Powers of an odd base and of its inverse modulo 2**64, grown on demand."""
 

@@ -64,23 +64,14 @@ _PHRASES = f"lang string, ats binary, ids binary, groups array<struct<{_GROUP}>>
 
 def _words(raw: np.ndarray, offsets: np.ndarray) -> tuple[pa.DictionaryArray, np.ndarray]:
     """The lower-cased words of a slice and their positions; pieces lie a position apart."""
-    lowered = raw + np.uint8(32) * ((raw >= 0x41) & (raw <= 0x5A))
     kind = _KIND[raw]
-    inside = kind == 0
-    edge = np.zeros(len(raw) + 1, bool)
-    edge[offsets] = True
-    change = np.ones(len(raw) + 1, bool)
-    change[1:-1] = inside[1:] != inside[:-1]
-    change |= edge
-    starts = np.flatnonzero(change[:-1] & inside)
-    ends = np.flatnonzero(change[1:] & inside) + 1
-    piece = np.cumsum(edge[:-1] | (kind == 2))[starts]
+    words, starts = blocks.lowered_words(raw, offsets, kind == 0)
+    edge = kind == 2
+    edge[offsets[:-1][offsets[:-1] < len(raw)]] = True
+    piece = np.cumsum(edge)[starts]
     apart = np.zeros(len(starts), np.int64)
     apart[1:] = piece[1:] != piece[:-1]
-    cuts = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int32)
-    data = pa.py_buffer(np.ascontiguousarray(lowered[inside]))
-    array = pa.StringArray.from_buffers(len(starts), pa.py_buffer(cuts), data)
-    return array.dictionary_encode(), np.arange(len(starts)) + np.cumsum(apart)
+    return words, np.arange(len(starts)) + np.cumsum(apart)
 
 
 def _bits(h: np.ndarray) -> np.ndarray:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import decontaminate, html_text, merkle, packing, phrases, quality, revisits, secrets, simhash, suffix_dedup, top_k, toxicity
+from . import decontaminate, html_text, lm_scoring, merkle, packing, phrases, quality, revisits, secrets, simhash, suffix_dedup, top_k, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The id of the end of a text in the vocabulary.
+END_OF_TEXT = 50_256
+
+
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     """The place of a public vocabulary file: the environment's, or the installed one."""
     folder = os.environ.get("TOKENIZER_FOLDER")
@@ -104,6 +108,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(_table(spark, sf_dir, "documents"))
 
 
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(_table(spark, sf_dir, "documents"), vocabulary_path(), END_OF_TEXT)
+
+
 def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(_table(spark, sf_dir, "documents"))
 
@@ -116,5 +124,5 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_packing, op2_top_k_search, op3_simhash_near_dedup, op4_toxicity, op5_quality_classifier, op6_html_extraction,
     op7_benchmark_decontamination, op8_warc_revisits, op9_suffix_array_dedup, op10_secret_scan,
-    op12_phrase_mining, op13_merkle_manifest,
+    op11_lm_scoring, op12_phrase_mining, op13_merkle_manifest,
 )}
