@@ -43,9 +43,9 @@ MAX_WORDS = 5
 TOP = 2000
 #: A candidate goes if a longer one around it has this share of its count, in percent.
 COVERED_PERCENT = 100
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 #: Blocks in one file, so that a reader's batch of rows is bounded in bytes.
-BLOCKS_PER_FILE = 32
+BLOCKS_PER_FILE = 16
 #: Bits of the semi-join's bitmap per frequent phrase, and at most in all (128 MB).
 BITS_PER_PHRASE = 64
 MAX_BITS = 1 << 30
@@ -58,8 +58,9 @@ _KIND[list(_BLANK)] = 1
 _KIND[list(_SPLIT)] = 2
 
 _GROUP = "key:binary,n:bigint,h:bigint"
-_WORDS = f"lang string, ats binary, ids binary, groups array<struct<word:string,{_GROUP}>>"
-_PHRASES = f"lang string, ats binary, ids binary, groups array<struct<{_GROUP}>>"
+_BLOCK = "lang string, ats binary, ids binary, keys binary"
+_WORDS = f"{_BLOCK}, groups array<struct<word:string,{_GROUP}>>"
+_PHRASES = f"{_BLOCK}, groups array<struct<{_GROUP}>>"
 
 
 def _words(raw: np.ndarray, offsets: np.ndarray) -> tuple[pa.DictionaryArray, np.ndarray]:
@@ -74,10 +75,6 @@ def _words(raw: np.ndarray, offsets: np.ndarray) -> tuple[pa.DictionaryArray, np
     return words, np.arange(len(starts)) + np.cumsum(apart)
 
 
-def _bits(h: np.ndarray) -> np.ndarray:
-    return h.view(np.int64)
-
-
 def _lang_salt(lang: str) -> np.uint64:
     return np.uint64(xxhash.xxh64_intdigest(lang.encode(), 7))
 
@@ -90,24 +87,23 @@ def _key_hash(keys: np.ndarray, salt: np.uint64) -> np.ndarray:
     return out
 
 
-def _groups(keys: np.ndarray, counts: np.ndarray, salt: np.uint64, words: pa.Array | None = None) -> pa.ListArray:
-    """One row's list of phrases: the key is the words' hashes, highest byte first."""
+def _row(lang: str, ats: np.ndarray, ids: np.ndarray, keys: np.ndarray, counts: np.ndarray, words: pa.Array | None = None
+         ) -> pa.RecordBatch:
+    """A block: its occurrences, and its phrases once as bytes for the next length
+    and once as a list to count. A key is the words' hashes, highest byte first."""
     n, width = keys.shape
     body = np.ascontiguousarray(keys.astype(">u8"))
     edges = (np.arange(n + 1) * 8 * width).astype(np.int32)
     key = pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer(edges), pa.py_buffer(body)])
-    fields = [key, pa.array(counts, pa.int64()), pa.array(_bits(_key_hash(keys, salt)), pa.int64())]
+    fields = [key, pa.array(counts, pa.int64()), pa.array(_key_hash(keys, _lang_salt(lang)).view(np.int64), pa.int64())]
     names = ["key", "n", "h"]
     if words is not None:
         fields, names = [words, *fields], ["word", *names]
-    return blocks.list_array(np.array([0, n]), pa.StructArray.from_arrays(fields, names=names))
-
-
-def _row(lang: str, ats: np.ndarray, ids: np.ndarray, groups: pa.ListArray) -> pa.RecordBatch:
-    steps = np.diff(ats, prepend=0).astype("<i4").tobytes()
+    groups = blocks.list_array(np.array([0, n]), pa.StructArray.from_arrays(fields, names=names))
+    parts = [np.diff(ats, prepend=0).astype("<i4"), ids.astype("<i4"), body]
     return pa.RecordBatch.from_arrays(
-        [pa.array([lang], pa.string()), pa.array([steps], pa.binary()),
-         pa.array([ids.astype("<i4").tobytes()], pa.binary()), groups], names=["lang", "ats", "ids", "groups"])
+        [pa.array([lang], pa.string()), *(pa.array([x.tobytes()], pa.binary()) for x in parts), groups],
+        names=["lang", "ats", "ids", "keys", "groups"])
 
 
 def _occurrences(docs: DataFrame, seed: int, block_bytes: int) -> DataFrame:
@@ -124,7 +120,7 @@ def _occurrences(docs: DataFrame, seed: int, block_bytes: int) -> DataFrame:
                     ids = words.indices.to_numpy()
                     hashes = np.array([xxhash.xxh64_intdigest(w, seed) for w in
                                        words.dictionary.cast(pa.binary()).to_pylist()], np.uint64)
-                    yield _row(lang, ats, ids, _groups(hashes[:, None], np.bincount(ids), _lang_salt(lang), words.dictionary))
+                    yield _row(lang, ats, ids, hashes[:, None], np.bincount(ids), words.dictionary)
     named = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"),
                         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return named.mapInArrow(blocks_of, _WORDS)
@@ -139,8 +135,9 @@ def _extended(relation: DataFrame, width: int, frequent: bytes) -> DataFrame:
         bitmap = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
             for i in range(batch.num_rows):
-                groups = batch.column("groups").slice(i, 1).flatten()
-                h = groups.field("h").to_numpy().view(np.uint64) & np.uint64(n_bits - 1)
+                lang = batch.column("lang")[i].as_py()
+                keys = np.frombuffer(batch.column("keys")[i].as_buffer(), ">u8").reshape(-1, width).astype(np.uint64)
+                h = _key_hash(keys, _lang_salt(lang)) & np.uint64(n_bits - 1)
                 listed = (bitmap[(h >> np.uint64(3)).astype(np.int64)] >> (h & np.uint64(7)).astype(np.uint8)) & 1 == 1
                 ats = np.cumsum(np.frombuffer(batch.column("ats")[i].as_buffer(), "<i4"))
                 ids = np.frombuffer(batch.column("ids")[i].as_buffer(), "<i4").astype(np.int64)
@@ -149,15 +146,12 @@ def _extended(relation: DataFrame, width: int, frequent: bytes) -> DataFrame:
                 joined = np.flatnonzero(ats[1:] == ats[:-1] + 1)
                 if not len(joined):
                     continue
-                pairs, numbers, counts = np.unique(ids[joined] * len(groups) + ids[joined + 1],
+                pairs, numbers, counts = np.unique(ids[joined] * len(keys) + ids[joined + 1],
                                                    return_inverse=True, return_counts=True)
-                keys = np.frombuffer(b"".join(groups.field("key").to_pylist()), ">u8").reshape(-1, width)
-                left, right = np.divmod(pairs, len(groups))
-                longer = np.concatenate([keys[left], keys[right, -1:]], axis=1).astype(np.uint64)
-                lang = batch.column("lang")[i].as_py()
-                yield _row(lang, ats[joined], numbers, _groups(longer, counts, _lang_salt(lang)))
-    return relation.select("lang", "ats", "ids", F.expr("transform(groups, g -> named_struct('key', g.key, 'h', g.h))")
-                           .alias("groups")).mapInArrow(blocks_of, _PHRASES)
+                left, right = np.divmod(pairs, len(keys))
+                longer = np.concatenate([keys[left], keys[right, -1:]], axis=1)
+                yield _row(lang, ats[joined], numbers, longer, counts)
+    return relation.select("lang", "ats", "ids", "keys").mapInArrow(blocks_of, _PHRASES)
 
 
 def _persisted(df: DataFrame, label: str) -> DataFrame:

@@ -73,6 +73,7 @@ def test_words_that_share_a_hash_are_hashed_anew(spark, monkeypatch):
         seeds.append(seed)
         made = real(docs, seed, size)
         if seed == 1:
+            # every word of every block gets the same key
             return made.withColumn("groups", F.expr(
                 "transform(groups, g -> named_struct('word', g.word, 'key', X'0000000000000001', 'n', g.n, 'h', g.h))"))
         return made
