@@ -36,6 +36,31 @@ def test_ids_equal_the_tokenizer():
     assert encode(texts, tokens.Encoder(vocabulary_path(), max_kept=50)) == plain_ids(texts)
 
 
+def thue_morse(n):
+    text = "a"
+    while len(text) < n:
+        text += text.translate(str.maketrans("ab", "ba"))
+    return text
+
+
+def test_chunks_with_equal_polynomial_hashes_keep_their_own_ids():
+    swap = str.maketrans("ab", "ba")
+    texts = [t for n in (1024, 2048) for t in (thue_morse(n), thue_morse(n).translate(swap))]
+    texts += ["x " + t + " y" for t in texts]
+    assert encode(texts) == plain_ids(texts)
+
+
+def test_special_token_strings_and_words_of_every_script():
+    rng = random.Random(9)
+    letters = [chr(c) for c in [*range(0x20, 0x7F), 0xA0, 0xAD, 0xDF, 0xE9, 0x300, 0x661, 0x4E2D, 0x200D, 0x1F600]]
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y z"]
+    texts += ["".join(rng.choices(letters, k=rng.randrange(300))) for _ in range(500)]
+    assert encode(texts) == plain_ids(texts)
+    slow = tokens.Encoder(vocabulary_path())
+    slow.fast = None
+    assert encode(texts, slow) == plain_ids(texts)
+
+
 def test_best_fill_is_the_least_slack():
     rng = random.Random(6)
     for _ in range(200):
