@@ -132,6 +132,34 @@ def ingest_then_append_then_purge(spark, sf_dir):
     return ST.read_observations(spark, table).select(*_CLEAN_COLS)
 
 
+@register("batch_replay_after_purge", with_views(
+    "select " + ", ".join(_TABLE_COLS) + f" from obs where not ({_SUSPECT})"))
+def batch_replay_after_purge(spark, sf_dir):
+    """A landed batch is replayed before and after a purge: it changes nothing (ST1)."""
+    path = scratch_path(spark, "replayed")
+    obs = _obs(spark, sf_dir)
+    ST.append_batch(obs, path, "source-0")
+    ST.append_batch(obs, path, "source-0")
+    ST.purge_suspect_temperatures(spark, path)
+    ST.append_batch(obs, path, "source-0")
+    return ST.read_observations(spark, path).select(*_TABLE_COLS)
+
+
+DEDUPE_YEAR = 1998
+
+
+@register("append_dedupe_year", with_views(
+    "select STATION, DATE, count(*) as n_rows from (select STATION, DATE from obs union all "
+    f"select distinct STATION || '-new', DATE from obs where year(DATE) = {DEDUPE_YEAR}) group by STATION, DATE"))
+def append_dedupe_year(spark, sf_dir):
+    """A batch of one year, half of its keys stored already, appended without repeats."""
+    path = _stored_copy(spark, sf_dir, "dedupe-year")
+    year = _obs(spark, sf_dir).filter(F.year("DATE") == DEDUPE_YEAR)
+    new = year.withColumn("STATION", F.concat("STATION", F.lit("-new")))
+    ST.append_observations(year.unionByName(new), path, dedupe_keys=("STATION", "DATE"))
+    return ST.read_observations(spark, path).groupBy("STATION", "DATE").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 @register("count_before_floor", with_views(
     f"select count(*) as n_rows from obs where DATE < DATE '{PURGE_FLOOR}'"))
 def count_before_floor(spark, sf_dir):

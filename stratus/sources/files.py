@@ -72,6 +72,12 @@ def list_files(spark: SparkSession, pattern: str, suffix: str = ".csv") -> list[
     return sorted(out, key=lambda f: f.path)
 
 
+def list_folders(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths of the folders matching a glob pattern, in order."""
+    fs, hpath, _ = _fs_and_path(spark, pattern)
+    return sorted(st.getPath().toString() for st in fs.globStatus(hpath) or [] if st.isDirectory())
+
+
 def read_first_line(spark: SparkSession, path: str) -> str | None:
     """First text line of a file (a CSV header), read by the driver."""
     fs, hpath, jvm = _fs_and_path(spark, path)

@@ -22,7 +22,9 @@ from pyspark.sql import types as T
 
 from .. import schema as S
 from ..operators.filters import _as_date, suspect_temperature_condition
+from ..session import materialize
 from . import files as FS
+from . import keyindex
 
 PARTITION_COL = "YEAR"
 NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"
@@ -42,17 +44,59 @@ def table_lock(spark: SparkSession, path: str) -> Iterator[None]:
     """One writer at a time: an atomically created file beside the table.
 
     A writer that was killed leaves the file; remove it by hand after making
-    sure that no writer runs (every operation here can then be run again).
+    sure that no writer runs. The next writer first settles what the killed
+    one left (``_settle``); every operation here can then be run again.
     """
     lock = f"{path.rstrip('/')}.lock"
     if not FS.create_new(spark, lock):
         raise RuntimeError(f"the table is being written by another job ({lock} exists)")
     try:
+        _settle(spark, path)
         yield
     finally:
         FS.delete(spark, lock)
 
 
+def _settle(spark: SparkSession, path: str) -> None:
+    """Undo or finish what a stopped writer left, with the lock held.
+
+    A rebuild stopped between its two moves gets the old table back. A purge
+    keeps each year's old folder until the new one is in its place: a year
+    without a folder gets the old one back. A batch that did not reach the
+    ledger is taken out, so that its replay lands it whole.
+    """
+    root = path.rstrip("/")
+    for old in FS.list_folders(spark, f"{root}.old-*"):
+        if FS.exists(spark, root):
+            FS.delete(spark, old)
+        else:
+            FS.rename(spark, old, root)
+    for old in FS.list_folders(spark, f"{root}/_old-*"):
+        for folder in FS.list_folders(spark, f"{old}/{PARTITION_COL}=*"):
+            place = f"{root}/{folder.rsplit('/', 1)[1]}"
+            if not FS.exists(spark, place):
+                FS.rename(spark, folder, place)
+        FS.delete(spark, old)
+    for staged in FS.list_folders(spark, f"{root}/_purge-*"):
+        FS.delete(spark, staged)
+    for staged in FS.list_folders(spark, f"{root}/_batch-*"):
+        tag = staged.rsplit("/_batch-", 1)[1]
+        if _landed(spark, path, tag) is None:
+            for f in FS.list_files(spark, f"{root}/{PARTITION_COL}=*/{tag}-*", ".parquet"):
+                FS.delete(spark, f.path)
+        FS.delete(spark, staged)
+
+
+def _ledger(path: str) -> str:
+    return f"{path.rstrip('/')}/_ledger"
+
+
+def _landed(spark: SparkSession, path: str, tag: str) -> int | None:
+    """How many rows a batch landed; None when it is not in the ledger."""
+    found = FS.list_files(spark, f"{_ledger(path)}/{tag}.rows-*", "")
+    return int(found[0].name.rsplit("-", 1)[1]) if found else None
+
+
 def ensure_table(spark: SparkSession, path: str) -> None:
     """Create an empty table with the fixed schema if the path is absent."""
     if FS.exists(spark, path):
@@ -84,10 +128,7 @@ def _write(rows: DataFrame, path: str, mode: str) -> int:
     obs = Observation("written")
     # Rebalance: a year's rows come together (few files), a hot year is split.
     out = rows.hint("rebalance", PARTITION_COL).observe(obs, F.count(F.lit(1)).alias("rows"))
-    writer = out.write.mode(mode).partitionBy(PARTITION_COL)
-    if mode == "overwrite":
-        writer = writer.option("partitionOverwriteMode", "dynamic")
-    writer.parquet(path)
+    out.write.mode(mode).partitionBy(PARTITION_COL).parquet(path)
     return int(obs.get.get("rows", 0))
 
 
@@ -104,28 +145,63 @@ def append_observations(df: DataFrame, path: str, floor=None,
     """Append cleaned rows to the table.
 
     ``dedupe_keys`` (e.g. ``("STATION", "DATE")``) drops rows whose key is
-    already stored or repeated in the batch. The row count comes from an
-    observation on the written rows (no second pass over the data). An empty
-    batch is reported as not ok and creates nothing.
+    already stored or repeated in the batch. With ``DATE`` among the keys only
+    the batch's years are looked at: their Bloom filters (``keyindex``) tell
+    which rows are certainly new, and only the years of the others are read.
+    The row count comes from an observation on the written rows (no second
+    pass over the data). An empty batch is reported as not ok and creates
+    nothing.
     """
     spark = df.sparkSession
     with table_lock(spark, path):
         new_table = not FS.exists(spark, path)
         rows = to_stored(df, floor)
         if dedupe_keys:
-            keys = list(dedupe_keys)
-            rows = without_repeats(rows, keys)
+            rows = without_repeats(rows, list(dedupe_keys))
             if not new_table:
-                stored = read_observations(spark, path).select(
-                    *[F.col(k).alias(f"_stored_{k}") for k in keys]).distinct()
-                same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_stored_{k}")) for k in keys])
-                rows = rows.join(stored, same, "left_anti")
+                rows = _not_stored(rows, path, list(dedupe_keys))
         n = _write(rows, path, "append")
         if n == 0 and new_table:
             FS.delete(spark, path)
     return _imported(n)
 
 
+def stored_keys(spark: SparkSession, path: str, keys: list[str], years: list[int] | None = None) -> DataFrame:
+    """The distinct stored keys; ``years`` prunes the partitions that are read."""
+    table = read_observations(spark, path)
+    if years is not None:
+        table = table.filter(F.col(PARTITION_COL).isin(years))
+    return table.select(*keys, PARTITION_COL).distinct()
+
+
+def _not_stored(rows: DataFrame, path: str, keys: list[str]) -> DataFrame:
+    """The rows whose key is not stored yet."""
+    spark = rows.sparkSession
+    if "DATE" not in keys:
+        stored = stored_keys(spark, path, keys).drop(PARTITION_COL)
+        return _without(rows, stored, keys)
+    rows = materialize(rows, "append-rows")
+    years = _years(rows)
+    keyindex.refresh(spark, path, TABLE_SCHEMA, PARTITION_COL, keys, years)
+    rows = keyindex.with_maybe_stored(rows, path, PARTITION_COL, keys, years)
+    maybe = rows.filter("_maybe").drop("_maybe")
+    fresh = rows.filter("not _maybe").drop("_maybe")
+    years = _years(maybe)
+    if not years:
+        return fresh
+    return fresh.unionByName(_without(maybe, stored_keys(spark, path, keys, years), [*keys, PARTITION_COL]))
+
+
+def _years(rows: DataFrame) -> list[int]:
+    return sorted(r[0] for r in rows.select(PARTITION_COL).distinct().collect())
+
+
+def _without(rows: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
+    stored = stored.select(*[F.col(k).alias(f"_stored_{k}") for k in keys])
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_stored_{k}")) for k in keys])
+    return rows.join(stored, same, "left_anti")
+
+
 def _imported(n: int) -> WriteResult:
     return WriteResult(n > 0, n, f"Successfully imported {n} rows." if n else "No rows to import.")
 
@@ -133,27 +209,46 @@ def _imported(n: int) -> WriteResult:
 def append_batch(df: DataFrame, path: str, tag: str, floor=None) -> WriteResult:
     """Append one batch so that a replay lands once (ST1).
 
-    The batch is written to a hidden folder of the table and its files are
-    moved into the year folders under names that begin with ``tag``; a replay
-    removes the files of that tag first. The driver moves a few files per
-    year of the batch and reads none.
+    The batch is written to a hidden folder of the table, its files are moved
+    into the year folders under names that begin with ``tag``, and its entry
+    is made in the table's ledger, all under the table's lock. A replay of a
+    batch in the ledger changes nothing, whatever has happened to its rows
+    since (a purge rewrites files); it reports the rows that the batch landed.
+    The driver moves a few files per year of the batch and reads none.
     """
     spark = df.sparkSession
     root = path.rstrip("/")
     staging = f"{root}/_batch-{tag}"
     with table_lock(spark, path):
+        before = _landed(spark, path, tag)
+        if before is not None:
+            return _imported(before)
         n = _write(to_stored(df, floor), staging, "overwrite")
-        for f in FS.list_files(spark, f"{root}/{PARTITION_COL}=*/{tag}-*", ".parquet"):
-            FS.delete(spark, f.path)
         for year in FS.partition_values(spark, staging, PARTITION_COL):
             folder = f"{PARTITION_COL}={year}"
             FS.make_dirs(spark, f"{root}/{folder}")
             for f in FS.list_files(spark, f"{staging}/{folder}", ".parquet"):
                 FS.rename(spark, f.path, f"{root}/{folder}/{tag}-{f.name}")
+        FS.make_dirs(spark, _ledger(path))
+        FS.create_new(spark, f"{_ledger(path)}/{tag}.rows-{n}")
         FS.delete(spark, staging)
     return _imported(n)
 
 
+def _replace_years(rows: DataFrame, path: str) -> None:
+    """Put ``rows`` in place of their years; the old folders stay until the new ones are in place."""
+    spark, root, mark = rows.sparkSession, path.rstrip("/"), uuid.uuid4().hex
+    staged, old = f"{root}/_purge-{mark}", f"{root}/_old-{mark}"
+    _write(rows, staged, "overwrite")
+    FS.make_dirs(spark, old)
+    for year in FS.partition_values(spark, staged, PARTITION_COL):
+        folder = f"{PARTITION_COL}={year}"
+        FS.rename(spark, f"{root}/{folder}", f"{old}/{folder}")
+        FS.rename(spark, f"{staged}/{folder}", f"{root}/{folder}")
+    FS.delete(spark, old)
+    FS.delete(spark, staged)
+
+
 def _drop_year(spark: SparkSession, path: str, year: int | None) -> None:
     value = NULL_PARTITION if year is None else year
     FS.delete(spark, f"{path.rstrip('/')}/{PARTITION_COL}={value}")
@@ -166,10 +261,10 @@ def purge(spark: SparkSession, path: str, condition: Column,
     ``scope`` is an optional predicate on ``YEAR`` that bounds the
     partitions examined (partition pruning). One grouped count tells, per
     year, how many rows go and whether any stay (one row per year reaches the
-    driver). Years that lose all rows are dropped; the others are rewritten by
-    one dynamic partition overwrite, which stages the new files and replaces a
-    year only when all of them are written. Run again after an interruption:
-    it finishes what is left.
+    driver). Years that lose all rows are dropped; the others are written to a
+    hidden folder first, and a year's old folder is kept until the new one is
+    in its place. After an interruption the next writer puts back a year that
+    was moved away; run the purge again and it finishes what is left.
     """
     with table_lock(spark, path):
         table = read_observations(spark, path)
@@ -184,7 +279,7 @@ def purge(spark: SparkSession, path: str, condition: Column,
             chosen = year.isin([y for y in rewritten if y is not None])
             if None in rewritten:
                 chosen = F.coalesce(chosen, F.lit(False)) | year.isNull()
-            _write(table.filter(chosen).filter(~cond), path, "overwrite")
+            _replace_years(table.filter(chosen).filter(~cond), path)
         for r in per_year:
             if r["gone"] == r["rows"]:
                 _drop_year(spark, path, r[PARTITION_COL])
@@ -243,6 +338,8 @@ def rebuild_from_clean_files(spark: SparkSession, clean_pattern: str, path: str,
         if FS.exists(spark, path):
             FS.rename(spark, root, old)
         FS.rename(spark, fresh, root)
+        if FS.exists(spark, _ledger(old)):  # landed batches stay landed
+            FS.rename(spark, _ledger(old), _ledger(root))
         FS.delete(spark, old)
     return result
 

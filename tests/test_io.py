@@ -1,5 +1,6 @@
 import datetime as dt
 import os
+import re
 import time
 
 import pytest
@@ -248,3 +249,92 @@ def test_append_empty_frame(spark, tmp_path):
     assert not res.ok and res.rows == 0
     floor_all = ST.append_observations(_obs(spark), str(tmp_path / "t2"), floor="2100-01-01")
     assert not floor_all.ok and os.listdir(str(tmp_path)) == []
+
+
+def test_batch_replay_after_a_purge_lands_once(spark, tmp_path):
+    table = str(tmp_path / "t")
+    assert ST.append_batch(_obs(spark), table, "src-0").rows == 4
+    assert ST.append_batch(_obs(spark), table, "src-0").rows == 4
+    assert ST.purge_suspect_temperatures(spark, table).rows == 2
+    assert ST.append_batch(_obs(spark), table, "src-0").rows == 4
+    assert ST.read_observations(spark, table).count() == 2
+
+
+def test_an_unfinished_batch_is_taken_out_before_the_next_change(spark, tmp_path, monkeypatch):
+    table = str(tmp_path / "t")
+    ST.append_batch(_obs(spark), table, "src-0")
+    real = ST.FS.create_new
+
+    def stopped(sp, path):
+        if "_ledger" in path:
+            raise RuntimeError("stopped")
+        return real(sp, path)
+    monkeypatch.setattr(ST.FS, "create_new", stopped)
+    with pytest.raises(RuntimeError, match="stopped"):
+        ST.append_batch(_obs(spark), table, "src-1")
+    monkeypatch.undo()
+    assert ST.purge_suspect_temperatures(spark, table).rows == 2
+    assert ST.append_batch(_obs(spark), table, "src-1").rows == 4
+    assert ST.read_observations(spark, table).count() == 6
+    assert not [f for f in os.listdir(table) if f.startswith(("_batch", "_purge", "_old"))]
+
+
+@pytest.mark.parametrize("at", [1, 2])
+def test_a_purge_stopped_between_its_moves_loses_nothing(spark, tmp_path, monkeypatch, at):
+    table = str(tmp_path / "t")
+    ST.append_observations(_obs(spark), table)
+    real, calls = ST.FS.rename, []
+
+    def stopped(sp, source, target):
+        calls.append(source)
+        if len(calls) == at + 1:
+            raise OSError("stopped")
+        real(sp, source, target)
+    monkeypatch.setattr(ST.FS, "rename", stopped)
+    some = F.col("TMAX") > 500
+    affected = ST.read_observations(spark, table).filter(some).count()
+    assert affected
+    if ST.read_observations(spark, table).select("YEAR").distinct().count() >= at:
+        try:
+            ST.purge(spark, table, some)
+        except OSError:
+            pass
+    monkeypatch.undo()
+    ST.purge(spark, table, some)
+    kept = ST.read_observations(spark, table)
+    assert kept.count() == 4 - affected and kept.filter(some).count() == 0
+
+
+def test_dedupe_reads_only_the_years_that_may_hold_a_key(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    day = F.date_add(F.lit("1999-01-01"), (F.col("id") % 900).cast("int"))
+    rows = spark.range(3000).select(F.concat(F.lit("S"), (F.col("id") % 7).cast("string")).alias("STATION"), day.alias("DATE"),
+                                    F.lit("N").alias("NAME"), F.col("id").cast("double").alias("TMAX"))
+    ST.append_observations(rows, path, dedupe_keys=("STATION", "DATE"))
+    n = ST.read_observations(spark, path).count()
+    assert n == rows.select("STATION", "DATE").distinct().count()
+    batch = rows.filter("DATE >= '2000-03-01' and DATE < '2000-04-01'")
+    extra = batch.limit(9).withColumn("STATION", F.concat("STATION", F.lit("-new")))
+    asked = []
+    real = ST.stored_keys
+    monkeypatch.setattr(ST, "stored_keys", lambda *a: asked.append(a[3]) or real(*a))
+    assert ST.append_observations(extra, path, dedupe_keys=("STATION", "DATE")).rows == 9
+    assert ST.append_observations(batch.union(extra), path, dedupe_keys=("STATION", "DATE")).rows == 0
+    assert asked[-1] == [2000] and all(a == [2000] for a in asked)
+    plan = real(spark, path, ["STATION", "DATE"], [2000])._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[isnotnull\(YEAR#\d+\), \(YEAR#\d+ = 2000\)\]", plan)
+    # Files of another writer are covered too, and a purge leaves only harmless bits.
+    plain = spark.sql("select 'P' as STATION, date'2000-05-05' as DATE, 'N' as NAME, 1d as TMAX")
+    ST.append_observations(plain, path)
+    assert ST.append_observations(plain, path, dedupe_keys=("STATION", "DATE")).rows == 0
+    ST.purge(spark, path, F.col("STATION") == "P")
+    assert ST.append_observations(plain, path, dedupe_keys=("STATION", "DATE")).rows == 1
+
+
+def test_keys_without_a_date_look_at_the_whole_table(spark, tmp_path):
+    path = str(tmp_path / "t")
+    row = lambda s, d: spark.sql(f"select {s} as STATION, date'{d}' as DATE, 'N' as NAME, 1d as TMAX")
+    ST.append_observations(row("'A'", "1999-01-01"), path)
+    assert ST.append_observations(row("'A'", "2001-01-01").union(row("null", "2001-01-02")), path, dedupe_keys=("STATION",)).rows == 1
+    assert ST.append_observations(row("null", "2002-01-02"), path, dedupe_keys=("STATION",)).rows == 0
+    assert ST.append_observations(row("null", "2001-01-02"), path, dedupe_keys=("STATION", "DATE")).rows == 0
