@@ -2,11 +2,13 @@
 the all-pairs correlation matrix.
 
 Exact quantiles are computed without ever gathering a group's rows in one
-task: rows are first counted per distinct value (map-side combine), the
-distinct values are binned by value range, again and again, to find the
-narrow ranges that hold the wanted ranks, and only those are ordered. Work per
-task is bounded by the distinct values of one range, not by the rows of a
-group.
+task. A first pass makes a mergeable quantile sketch of each group; it bounds
+the value at every wanted rank. A second pass counts the rows below those bounds
+and keeps, per distinct value, only the rows inside them, a few per cent of the
+input however its values are spread. These are binned by value range, again and
+again, until the ranges that hold the ranks are narrow, and only those are
+ordered. Work per task is bounded by the distinct values of one range, not by
+the rows of a group.
 """
 
 from __future__ import annotations
@@ -21,6 +23,11 @@ from .joins import sized_broadcast
 QUARTILES = (0.25, 0.5, 0.75)
 QUANTILE_BINS = 1024
 MAX_BIN_VALUES = 1_000_000
+#: Size of the quantile sketches, and how far from a rank their answers are taken
+#: to lie: about three times the sketch's own rank error (2.296 / k ** 0.9723). A
+#: rank that a sketch misses all the same is found in its group's whole range.
+SKETCH_K = 800
+SKETCH_SLACK = 0.01
 
 
 def _qname(p: float) -> str:
@@ -48,11 +55,77 @@ def exact_quantiles(df: DataFrame, group_cols: list[str], value_col: str,
     v[floor r] + (v[ceil r] − v[floor r])·(r − floor r). Groups with only
     NULL values yield no row. Group keys must be non-NULL.
 
-    Eager: the per-value counts (small next to the input) are written once
-    under ``spark.checkpoint.dir`` before the returned plan is built.
+    Eager: reads ``df`` twice; the sketches (one per group) and the counts of
+    the values near the wanted ranks are written under
+    ``spark.checkpoint.dir`` before the returned plan is built.
     """
-    counts = materialize(value_counts(df, list(group_cols), value_col))
-    return quantiles_from_counts(counts, list(group_cols), probs, names, bins)
+    g = list(group_cols)
+    return _from_sketches(df, materialize(value_sketches(df, g, value_col), "quantile-sketches"), g, value_col,
+                          probs, names or [_qname(p) for p in probs], bins)
+
+
+def value_sketches(df: DataFrame, group_cols: list[str], value_col: str, k: int = SKETCH_K) -> DataFrame:
+    """Per group the sketch of its non-NULL values, their number and range."""
+    v = F.col(value_col).cast("double")
+    return df.filter(v.isNotNull()).groupBy(*group_cols).agg(
+        F.kll_sketch_agg_double(v, F.lit(k)).alias("_s"), F.count(F.lit(1)).alias("_n"),
+        F.min(v).alias("_min"), F.max(v).alias("_max"))
+
+
+def sketched_quantiles(sketches: DataFrame, group_cols: list[str], probs, names: list[str]) -> DataFrame:
+    """Approximate quantiles: the sketches' own answers."""
+    return sketches.select(*group_cols, *[F.kll_sketch_get_quantile_double("_s", F.lit(float(p))).alias(n)
+                                          for p, n in zip(probs, names)])
+
+
+def _from_sketches(df: DataFrame, sketches: DataFrame, g: list[str], value_col: str, probs, names: list[str],
+                   bins: int = QUANTILE_BINS, max_bin_values: int = MAX_BIN_VALUES, slack: float = SKETCH_SLACK) -> DataFrame:
+    # In a small group a rank is more than a little off its fraction: it is searched whole.
+    small = F.col("_n") < 4 / abs(slack)
+
+    def bound(p: float, edge: str) -> Column:
+        return F.when(small, F.col(edge)).otherwise(
+            F.kll_sketch_get_quantile_double("_s", F.lit(float(p))) if 0 < p < 1 else F.col(edge))
+    wanted = []
+    for p in probs:
+        pos = F.lit(p) * (F.col("_n") - 1)
+        wanted.append(F.struct(bound(p - slack, "_min").alias("_lo"), bound(p + slack, "_max").alias("_hi"),
+                               F.array_distinct(F.array(F.floor(pos).cast("long"), F.ceil(pos).cast("long"))).alias("_ks")))
+    spans = materialize(sketches.select(*g, "_n", "_min", "_max", F.explode(F.array(*wanted)).alias("_w"))
+                        .select(*g, "_n", "_min", "_max", "_w.*"), "quantile-spans")
+    need, counts = _near(df, spans, g, value_col)
+    missed = need.filter(~_holds_rank())
+    if not missed.isEmpty():
+        whole = missed.select(*g, "_n", F.col("_min").alias("_lo"), F.col("_max").alias("_hi"), "_min", "_max",
+                              F.array("_k").alias("_ks"))
+        again, more = _near(df, materialize(whole.distinct(), "quantile-spans"), g, value_col)
+        need, counts = need.filter(_holds_rank()).unionByName(again), counts.unionByName(more).distinct()
+    need = materialize(need.select(*g, "_n", "_k", "_lo", "_hi", "_before", "_d").distinct(), "quantile-ranks")
+    return _ranked(counts, need, g, probs, names, bins, max_bin_values)
+
+
+def _holds_rank() -> Column:
+    return (F.col("_k") >= F.col("_before")) & (F.col("_k") < F.col("_before") + F.col("_inside"))
+
+
+def _near(df: DataFrame, spans: DataFrame, g: list[str], value_col: str) -> tuple[DataFrame, DataFrame]:
+    """One pass over ``df``: per wanted rank the rows below its span and in it,
+    and the counts of the distinct values inside any span."""
+    v, per_group = F.col(value_col).cast("double"), spans.groupBy(*g).agg(
+        F.collect_set(F.struct("_lo", "_hi")).alias("_spans"))  # one entry per wanted quantile
+    rows = (df.filter(v.isNotNull()).select(*g, v.alias("_x"))
+            .join(sized_broadcast(per_group, rows_of=spans), on=g)
+            .select(*g, "_x", F.explode("_spans").alias("_w")).filter(F.col("_x") <= F.col("_w._hi")))
+    # Rows below a span meet in one group of the partial aggregation.
+    picked = materialize(rows.groupBy(*g, "_w", F.when(F.col("_x") >= F.col("_w._lo"), F.col("_x")).alias("_v")).agg(
+        F.count(F.lit(1)).alias("_c")).select(*g, "_w.*", "_v", "_c"), "quantile-values")
+    inside = F.col("_v").isNotNull()
+    sums = picked.groupBy(*g, "_lo", "_hi").agg(
+        F.coalesce(F.sum(F.when(~inside, F.col("_c"))), F.lit(0)).alias("_before"),
+        F.coalesce(F.sum(F.when(inside, F.col("_c"))), F.lit(0)).alias("_inside"), F.count("_v").alias("_d"))
+    need = spans.select(*g, "_n", "_min", "_max", "_lo", "_hi", F.explode("_ks").alias("_k")).join(
+        sums, on=[*g, "_lo", "_hi"], how="left").fillna(0, ["_before", "_inside", "_d"])
+    return materialize(need, "quantile-need"), picked.filter(inside).select(*g, "_v", "_c").distinct()
 
 
 def _bin_of(bins: int) -> Column:
@@ -87,6 +160,12 @@ def quantiles_from_counts(counts: DataFrame, group_cols: list[str], probs=QUARTI
     # that range and its distinct values; a few rows per group.
     need = materialize(ranges.select(*g, "_n", F.explode(ranks).alias("_k"), "_lo", "_hi",
                                      F.lit(0).cast("long").alias("_before"), "_d"), "quantile-ranks")
+    return _ranked(counts, need, g, probs, names, bins, max_bin_values)
+
+
+def _ranked(counts: DataFrame, need: DataFrame, g: list[str], probs, names: list[str], bins: int,
+            max_bin_values: int) -> DataFrame:
+    """The quantiles from the ranks' value ranges and the counted values inside them."""
     while not need.filter((F.col("_d") > max_bin_values) & (F.col("_lo") < F.col("_hi"))).isEmpty():
         need = materialize(_narrowed(counts, need, g, bins), "quantile-ranks")
     spans = need.select(*g, "_lo", "_hi").distinct()
@@ -130,50 +209,39 @@ def _narrowed(counts: DataFrame, need: DataFrame, g: list[str], bins: int) -> Da
 
 
 def box_statistics(df: DataFrame, group_cols: list[str], value_col: str,
-                   whisker: float = 1.5, approximate: bool = False,
-                   accuracy: int = 10000) -> DataFrame:
+                   whisker: float = 1.5, approximate: bool = False) -> DataFrame:
     """Quartiles, whiskers and outlier counts per group.
 
-    ``approximate=True`` takes the quartiles from ``percentile_approx`` (a
-    mergeable sketch with relative rank error 1/accuracy, one aggregate) for
-    continuous data with very many distinct values per group.
+    ``approximate=True`` takes the quartiles from the sketches (one pass less).
 
     Lower whisker: smallest value >= q1 − whisker·IQR; upper whisker: largest
-    value <= q3 + whisker·IQR. The input is read once, into per-value counts
-    (written to the shared checkpoint folder); quartiles, whiskers and
-    counts all come from that table, the quartiles joined back on the group
-    key (one row per group, size-checked broadcast).
+    value <= q3 + whisker·IQR. The last pass counts and compares every value
+    against its group's fences (one row per group, size-checked broadcast).
     """
-    g = list(group_cols)
-    counts = materialize(value_counts(df, g, value_col))
-    if approximate:
-        # Sketches merge across partitions; the raw values are the input
-        # (the sketch cannot take the per-value counts as weights).
-        pq = F.percentile_approx(value_col, list(QUARTILES), accuracy)
-        q = materialize(df.filter(F.col(value_col).isNotNull()).groupBy(*g).agg(pq.alias("_q")).select(
-            *g, *[F.col("_q")[i].alias(n) for i, n in enumerate(["q1", "median", "q3"])]))
-    else:
-        q = materialize(quantiles_from_counts(counts, g, QUARTILES, ["q1", "median", "q3"]))
+    g, names = list(group_cols), ["q1", "median", "q3"]
+    sketches = materialize(value_sketches(df, g, value_col), "quantile-sketches")
+    q = materialize(sketched_quantiles(sketches, g, QUARTILES, names) if approximate
+                    else _from_sketches(df, sketches, g, value_col, QUARTILES, names), "quartiles")
     iqr = F.col("q3") - F.col("q1")
     fences = q.select(*g, (F.col("q1") - whisker * iqr).alias("_lf"),
                       (F.col("q3") + whisker * iqr).alias("_uf"))
-    v, c = F.col("_v"), F.col("_c")
+    v = F.col("_v")
     outside = (v < F.col("_lf")) | (v > F.col("_uf"))
-    # ``fences`` has one row per group; broadcast while the group count allows.
-    stats = (counts.join(sized_broadcast(fences, rows_of=q), on=g)
+    values = df.filter(F.col(value_col).isNotNull()).select(*g, F.col(value_col).cast("double").alias("_v"))
+    stats = (values.join(sized_broadcast(fences, rows_of=q), on=g)
              .groupBy(*g)
-             .agg(F.sum(c).alias("n"), F.min(v).alias("min"), F.max(v).alias("max"),
+             .agg(F.count(F.lit(1)).alias("n"), F.min(v).alias("min"), F.max(v).alias("max"),
                   F.min(F.when(v >= F.col("_lf"), v)).alias("lower_whisker"),
                   F.max(F.when(v <= F.col("_uf"), v)).alias("upper_whisker"),
-                  F.coalesce(F.sum(F.when(outside, c)), F.lit(0)).cast("bigint")
-                  .alias("n_outliers")))
+                  F.count_if(outside).alias("n_outliers")))
     return stats.join(sized_broadcast(q, rows_of=q), on=g).select(
         *g, "n", "min", "q1", "median", "q3", "max", "lower_whisker", "upper_whisker", "n_outliers")
 
 
 def yearly_box_of_station_means(df_grouped: DataFrame, temp_col: str = "TAVG") -> DataFrame:
     """Box statistics by year of station-year means (A14 over A1/A3 output)."""
-    keyed = df_grouped.withColumn("YEAR", F.year("PERIOD_START").cast("bigint"))
+    # The passes of the statistics read the means (a row per station and year), not their input.
+    keyed = materialize(df_grouped.select(F.year("PERIOD_START").cast("bigint").alias("YEAR"), temp_col), "station-means")
     return box_statistics(keyed, ["YEAR"], temp_col)
 
 

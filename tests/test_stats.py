@@ -107,3 +107,38 @@ def test_exact_quantiles_split_crowded_bins(spark):
     for g, vals in groups.items():
         for name, e in zip(names, np.quantile(vals, probs)):
             assert got[g][name] == pytest.approx(e, abs=1e-9), (g, name)
+
+
+def test_all_distinct_values_keep_few_rows(spark, monkeypatch):
+    """No per-value table: the second pass keeps only values near the wanted ranks."""
+    rng = np.random.default_rng(5)
+    groups = {"a": rng.normal(0, 1e6, 60_000), "b": rng.exponential(3, 900), "c": [1.5]}
+    kept = {}
+    real = ST.materialize
+
+    def counted(df, label="stage"):
+        out = real(df, label)
+        kept.setdefault(label, []).append(out.count())
+        return out
+    monkeypatch.setattr(ST, "materialize", counted)
+    df = spark.createDataFrame([(g, float(v)) for g, vals in groups.items() for v in vals], "g string, v double")
+    got = {r.g: r for r in ST.box_statistics(df, ["g"], "v").collect()}
+    for g, vals in groups.items():
+        q1, q2, q3 = np.quantile(vals, [0.25, 0.5, 0.75])
+        assert (got[g].q1, got[g].median, got[g].q3) == pytest.approx((q1, q2, q3), rel=1e-12)
+        fence = [v for v in vals if q1 - 1.5 * (q3 - q1) <= v <= q3 + 1.5 * (q3 - q1)]
+        assert (got[g].lower_whisker, got[g].upper_whisker) == (min(fence), max(fence))
+        assert got[g].n == len(vals) and got[g].n_outliers == len(vals) - len(fence)
+    assert max(kept["quantile-values"]) < 0.12 * 61_000
+
+
+def test_ranks_that_a_sketch_misses_are_found(spark):
+    """With bounds that hold no rank the whole range is searched; the result stays exact."""
+    rng = np.random.default_rng(6)
+    vals = rng.normal(0, 5, 4000)
+    df = _frame(spark, {"a": vals, "n": [float("nan"), 1.0, 2.0]})
+    sketches = ST.materialize(ST.value_sketches(df, ["g"], "v", 8))
+    out = ST._from_sketches(df, sketches, ["g"], "v", (0.1, 0.5), ["a", "b"], bins=16, max_bin_values=50, slack=-0.4)
+    got = {r.g: r for r in out.collect()}
+    assert (got["a"].a, got["a"].b) == pytest.approx(tuple(np.quantile(vals, [0.1, 0.5])), rel=1e-12)
+    assert got["n"].b == 2.0
