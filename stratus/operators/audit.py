@@ -6,7 +6,9 @@ that the original ran as separate statements are folded into single passes.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.periods import year_of
@@ -97,3 +99,38 @@ def sample_rows(df: DataFrame, order_by: list[str], n: int = 5) -> DataFrame:
 def page(df: DataFrame, order_by: list[str], page_no: int, size: int = 10) -> DataFrame:
     """Page ``page_no`` (0-based) of a totally ordered result."""
     return df.orderBy(*order_by).offset(page_no * size).limit(size)
+
+
+@dataclass(frozen=True)
+class Place:
+    """Where a page ended: the key of its last row, and how many rows with that key were shown."""
+    key: tuple
+    shown: int
+
+
+def _at_or_after(order_by: list[str], key: tuple) -> Column:
+    """Rows whose key is not less than ``key`` in the order of ``orderBy`` (NULL first)."""
+    out = F.lit(True)
+    for c, v in reversed(list(zip(order_by, key))):
+        after = F.col(c).isNotNull() if v is None else F.coalesce(F.col(c) > F.lit(v), F.lit(False))
+        out = after | (F.col(c).eqNullSafe(F.lit(v)) & out)
+    return out
+
+
+def page_after(df: DataFrame, order_by: list[str], place: Place | None, size: int = 10) -> DataFrame:
+    """The page behind ``place`` (None: the first).
+
+    The rows before the place are filtered out, so any page is one top-``size``
+    of the rest; only rows equal to the last one shown are skipped by count.
+    """
+    rest = df if place is None else df.filter(_at_or_after(order_by, place.key))
+    return rest.orderBy(*order_by).offset(place.shown if place else 0).limit(size)
+
+
+def place_after(rows: list[Row], order_by: list[str], place: Place | None) -> Place | None:
+    """The place behind a collected page (``place``: the one it was read from)."""
+    if not rows:
+        return place
+    key = tuple(rows[-1][c] for c in order_by)
+    shown = sum(tuple(r[c] for c in order_by) == key for r in rows)
+    return Place(key, shown + (place.shown if place and place.key == key else 0))

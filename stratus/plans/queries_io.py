@@ -191,8 +191,8 @@ def import_latest_result(spark, sf_dir):
     root = scratch_path(spark, "import")
     table = os.path.join(root, "table")
     raw = raw_observations(spark, sf_dir)
-    CSV.write_csv(raw.coalesce(1), os.path.join(root, "raw"))  # one file is the newest file
-    CSV.write_csv(raw.withColumn("DATE", F.lit("no date")).coalesce(1), os.path.join(root, "bad"))
+    CSV.write_csv(raw, os.path.join(root, "raw"))  # the newest import is a folder of part files
+    CSV.write_csv(raw.withColumn("DATE", F.lit("no date")), os.path.join(root, "bad"))
     done = ST.import_latest(spark, os.path.join(root, "raw"), table, CLEAN_FLOOR, os.path.join(root, "clean"))
     empty = ST.import_latest(spark, os.path.join(root, "bad"), table, CLEAN_FLOOR, os.path.join(root, "clean-bad"))
     stored = ST.WriteResult(True, ST.read_observations(spark, table).count(), "")
@@ -228,15 +228,15 @@ def union_of_layouts(spark, sf_dir):
 @register("latest_file", with_views(
     "select 'new' as FOLDER, count(*) as n_rows from obs"))
 def latest_file(spark, sf_dir):
-    """Rows of the newest of two files."""
+    """Rows of the newest of two imports, each a folder of part files."""
     root = scratch_path(spark, "latest")
     obs = _obs(spark, sf_dir).select("STATION", "DATE", "TMAX")
-    CSV.write_csv(obs.limit(1).coalesce(1), os.path.join(root, "old"))
+    CSV.write_csv(obs.filter("TMAX > 0"), os.path.join(root, "old"))
     time.sleep(0.01)  # file times are kept in milliseconds
-    CSV.write_csv(obs.coalesce(1), os.path.join(root, "new"))
-    newest = CSV.latest_csv(spark, os.path.join(root, "*", "*.csv"))
+    CSV.write_csv(obs, os.path.join(root, "new"))
+    newest = CSV.latest_import(spark, os.path.join(root, "*", "*.csv"))
     return CSV.read_raw(spark, newest).agg(
-        F.lit(newest.split("/")[-2]).alias("FOLDER"), F.count(F.lit(1)).alias("n_rows"))
+        F.lit(newest[0].split("/")[-2]).alias("FOLDER"), F.count(F.lit(1)).alias("n_rows"))
 
 
 @register("file_manifest", "with n as (select count(*) as n_rows from lineitem) select 1 as n_names, n_rows from n")

@@ -110,9 +110,25 @@ def read_clean_dir(spark: SparkSession, pattern: str,
 
 
 def latest_csv(spark: SparkSession, pattern: str) -> str | None:
-    """Path of the most recently modified CSV file."""
-    f = FS.latest_file(spark, pattern, ".csv")
-    return f.path if f else None
+    """Path of the most recently modified CSV file (S11); ties broken by path.
+
+    Spark lists the files; their contents are not read.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "false").option(
+        "pathGlobFilter", "*.csv").load(pattern).select("path", "modificationTime")
+    return listed.agg(F.max_by("path", F.struct("modificationTime", "path"))).first()[0]
+
+
+def latest_import(spark: SparkSession, pattern: str) -> list[str]:
+    """The files of the newest import (S11): the newest file, with all part
+    files of its folder when a Spark job wrote it (its success marker is there)."""
+    newest = latest_csv(spark, pattern)
+    if newest is None:
+        return []
+    folder = newest.rsplit("/", 1)[0]
+    if not FS.exists(spark, f"{folder}/_SUCCESS"):
+        return [newest]
+    return [f.path for f in FS.list_files(spark, folder, ".csv") if f.size > 0]
 
 
 def file_manifest(df: DataFrame) -> DataFrame:

@@ -128,7 +128,12 @@ def _write(rows: DataFrame, path: str, mode: str) -> int:
     obs = Observation("written")
     # Rebalance: a year's rows come together (few files), a hot year is split.
     out = rows.hint("rebalance", PARTITION_COL).observe(obs, F.count(F.lit(1)).alias("rows"))
-    out.write.mode(mode).partitionBy(PARTITION_COL).parquet(path)
+    # A station's rows lie together, so its series reads few row groups of a year.
+    out = out.sortWithinPartitions(PARTITION_COL, "NAME", "DATE")
+    writer = out.write.mode(mode).partitionBy(PARTITION_COL)
+    for column in ("NAME", "STATION"):
+        writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
+    writer.parquet(path)
     return int(obs.get.get("rows", 0))
 
 
@@ -346,12 +351,13 @@ def rebuild_from_clean_files(spark: SparkSession, clean_pattern: str, path: str,
 
 def import_latest(spark: SparkSession, raw_pattern: str, path: str, floor=None,
                   clean_out: str | None = None) -> WriteResult:
-    """Clean the newest raw file and append it (S10); optionally keep the
-    cleaned copy as CSV (S6). Writes nothing when cleaning yields no rows."""
+    """Clean the newest raw import, one file or a folder of part files, and
+    append it (S10); optionally keep the cleaned copy as CSV (S6). Writes
+    nothing when cleaning yields no rows."""
     from ..operators.clean import clean_observations, missing_required
     csvmod = _csv()
-    latest = csvmod.latest_csv(spark, raw_pattern)
-    if latest is None:
+    latest = csvmod.latest_import(spark, raw_pattern)
+    if not latest:
         return WriteResult(False, 0, "No CSV files found.")
     raw = csvmod.read_raw(spark, latest)
     if missing_required(raw):

@@ -69,3 +69,14 @@ def test_control_summary_and_station_metrics(spark):
     r = G.control_summary(df).first()
     assert (r.min_date, r.max_date, r.n_stations, r.first_city) == (
         D(2020, 6, 1), D(2021, 4, 1), 2, "B")
+
+
+def test_pages_by_key_equal_pages_by_offset(spark):
+    from stratus.operators.audit import page, page_after, place_after
+    rows = [(None, 1), (None, 1), ("a", None), ("a", 2), ("a", 2), ("a", 2), ("a", 2), ("b", None), ("b", 0), ("c", 5), ("c", 5)]
+    df = spark.createDataFrame(rows, "x string, y int")
+    place = None
+    for number in range(5):
+        got = page_after(df, ["x", "y"], place, 3).collect()
+        assert got == page(df, ["x", "y"], number, 3).collect()
+        place = place_after(got, ["x", "y"], place)

@@ -338,3 +338,43 @@ def test_keys_without_a_date_look_at_the_whole_table(spark, tmp_path):
     assert ST.append_observations(row("'A'", "2001-01-01").union(row("null", "2001-01-02")), path, dedupe_keys=("STATION",)).rows == 1
     assert ST.append_observations(row("null", "2002-01-02"), path, dedupe_keys=("STATION",)).rows == 0
     assert ST.append_observations(row("null", "2001-01-02"), path, dedupe_keys=("STATION", "DATE")).rows == 0
+
+
+def test_the_newest_import_may_be_a_folder(spark, tmp_path):
+    raw = str(tmp_path / "in")
+    rows = spark.range(40).selectExpr("cast(id as string) as STATION", "'2020-01-01' as DATE").repartition(4)
+    _write(os.path.join(raw, "old", "x.csv"), "STATION,DATE\nA,2020-01-01\n")
+    os.utime(os.path.join(raw, "old", "x.csv"), (1, 1))
+    CSV.write_csv(rows, os.path.join(raw, "new"))
+    found = CSV.latest_import(spark, os.path.join(raw, "*", "*.csv"))
+    assert len(found) == 4 and CSV.read_raw(spark, found).count() == 40
+    assert CSV.latest_import(spark, os.path.join(raw, "old"))[0].endswith("x.csv")
+    os.makedirs(os.path.join(raw, "none"))
+    assert CSV.latest_import(spark, os.path.join(raw, "none")) == []
+
+
+def test_a_station_reads_few_row_groups(spark, tmp_path):
+    import pyarrow.parquet as pq
+    path = str(tmp_path / "t")
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    conf.set("parquet.block.size", "60000")
+    try:
+        rows = spark.range(0, 60_000, 1, 4).select(
+            F.format_string("S%03d", F.col("id") % 300).alias("STATION"), F.format_string("N%03d", F.col("id") % 300).alias("NAME"),
+            F.date_add(F.lit("2001-01-01"), (F.col("id") % 360).cast("int")).alias("DATE"), F.rand(1).alias("TMAX"))
+        ST.append_observations(rows, path)
+    finally:
+        conf.unset("parquet.block.size")
+    files = [os.path.join(d, f) for d, _, names in os.walk(path) for f in names if f.endswith(".parquet")]
+    groups, holding = 0, 0
+    for f in files:
+        meta = pq.ParquetFile(f).metadata
+        name = meta.schema.names.index("NAME")
+        for g in range(meta.num_row_groups):
+            stats = meta.row_group(g).column(name).statistics
+            groups += 1
+            holding += stats.min <= "N150" <= stats.max
+    assert groups >= 8 and holding <= 2
+    one = ST.read_observations(spark, path).filter("YEAR = 2001 and NAME = 'N150'")
+    assert one.count() == 200
+    assert "PushedFilters: [IsNotNull(NAME), EqualTo(NAME,N150)]" in one._jdf.queryExecution().executedPlan().toString()
