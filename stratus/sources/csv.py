@@ -1,22 +1,24 @@
 """Raw and clean station CSV files.
 
 Spark maps CSV columns to a schema by position, so files whose headers list
-the columns in different orders must not be read in one pass. Files are
-grouped by header; each group is one (parallel) read with the header's own
-column order, and the groups are combined by column name.
+the columns in different orders need a mapping. The files' first lines are read
+in tasks; they make a small table of layouts, one row a file: where each column
+stands in it. All files are then one scan with columns by position, joined with
+the layouts, and each cell is taken from the place that its file's layout names.
 """
 
 from __future__ import annotations
 
 import csv as _csv
 import io
-from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
+import re
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from ..operators.joins import sized_broadcast
 from . import files as FS
 
 # Reader/writer options that keep cells as written: no whitespace trimming,
@@ -51,34 +53,56 @@ def read_raw(spark: SparkSession, paths: list[str] | str,
     return spark.read.options(**READ_OPTIONS).schema(S.raw_schema(columns)).csv(paths)
 
 
-HEADER_READERS = 32
+#: Files whose first lines one job reads.
+HEADER_BATCH = 10_000
 
 
-def header_groups(spark: SparkSession, paths: list[str]) -> dict[tuple[str, ...], list[str]]:
-    """CSV files grouped by their header; files without one are left out.
+def first_lines(spark: SparkSession, paths: list[str]) -> list[str]:
+    """The first line of each (non-empty) file, read by one task a file.
 
-    Only the first line of each file is read, by a pool of driver threads
-    (the reads are latency-bound on object stores; many station files would
-    otherwise be opened one after another).
+    A task stops after its line. Whole files are one split each, so the
+    partitions follow the order of the paths.
     """
-    with ThreadPoolExecutor(max_workers=HEADER_READERS) as pool:
-        headers = list(pool.map(lambda p: FS.read_first_line(spark, p), paths))
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for path, line in zip(paths, headers):
-        cols = tuple(parse_header(line))
-        if cols:
-            groups.setdefault(cols, []).append(path)
-    return groups
+    text = "org.apache.hadoop.mapreduce.lib.input.TextInputFormat"
+    lines: dict[int, str] = {}
+    for start in range(0, len(paths), HEADER_BATCH):
+        # The characters of file patterns and of Hadoop's lists are escaped.
+        names = [re.sub(r"([\\*?\[\]{}])", r"\\\1", p) for p in paths[start:start + HEADER_BATCH]]
+        names = [p.replace("\\", "\\\\").replace(",", "\\,") for p in names]
+        conf = {"mapreduce.input.fileinputformat.split.minsize": str(1 << 62),
+                "mapreduce.input.fileinputformat.inputdir": ",".join(names)}
+        rows = spark.sparkContext.newAPIHadoopRDD(text, "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.Text",
+                                                  conf=conf)
+        found = rows.mapPartitionsWithIndex(lambda i, it: [(i, line) for _, line in islice(it, 1)]).collect()
+        lines.update((start + i, line) for i, line in found)
+    return [lines.get(i, "").removeprefix("\ufeff") for i in range(len(paths))]
+
+
+_SCHEME = r"^([a-zA-Z][a-zA-Z0-9+.-]*):/+"
 
 
 def read_raw_files(spark: SparkSession, paths: list[str]) -> DataFrame | None:
-    """CSV files as one all-text frame (S3): one read per distinct header,
-    combined by column name, missing columns NULL. None when there is none."""
-    groups = header_groups(spark, paths)
-    if not groups:
+    """CSV files as one all-text frame (S3, U1): columns by name in the order
+    in which they are first met, missing ones NULL. None when no file has a header.
+
+    One scan, whatever the number of layouts; the join has one row per file.
+    """
+    headers = {p: parse_header(line) for p, line in zip(paths, first_lines(spark, paths))}
+    headers = {p: h for p, h in headers.items() if h}
+    if not headers:
         return None
-    frames = [read_raw(spark, group, list(cols)) for cols, group in groups.items()]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    columns = list(dict.fromkeys(c for h in headers.values() for c in h))
+    if all(h == columns for h in headers.values()):
+        return read_raw(spark, list(headers), columns)
+    layouts = spark.createDataFrame(
+        [(FS.uri(spark, p), [h.index(c) if c in h else -1 for c in columns]) for p, h in headers.items()],
+        "__file string, __places array<int>").withColumn("__file", F.regexp_replace("__file", _SCHEME, "$1:/"))
+    cells = [f"__c{i}" for i in range(max(len(h) for h in headers.values()))]
+    scan = read_raw(spark, list(headers), cells).select(
+        F.array(*cells).alias("__cells"), F.regexp_replace("_metadata.file_path", _SCHEME, "$1:/").alias("__file"))
+    joined = scan.join(sized_broadcast(layouts), "__file")
+    # A place of -1 is outside the array: NULL.
+    return joined.select(*[F.get("__cells", F.get("__places", F.lit(i))).alias(c) for i, c in enumerate(columns)])
 
 
 def read_raw_dir(spark: SparkSession, pattern: str) -> DataFrame | None:

@@ -72,6 +72,11 @@ def list_files(spark: SparkSession, pattern: str, suffix: str = ".csv") -> list[
     return sorted(out, key=lambda f: f.path)
 
 
+def uri(spark: SparkSession, path: str) -> str:
+    """The path as Spark's file metadata writes it (escaped)."""
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).toUri().toString()
+
+
 def list_folders(spark: SparkSession, pattern: str) -> list[str]:
     """Paths of the folders matching a glob pattern, in order."""
     fs, hpath, _ = _fs_and_path(spark, pattern)

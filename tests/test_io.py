@@ -378,3 +378,25 @@ def test_a_station_reads_few_row_groups(spark, tmp_path):
     one = ST.read_observations(spark, path).filter("YEAR = 2001 and NAME = 'N150'")
     assert one.count() == 200
     assert "PushedFilters: [IsNotNull(NAME), EqualTo(NAME,N150)]" in one._jdf.queryExecution().executedPlan().toString()
+
+
+def test_many_layouts_are_one_scan(spark, tmp_path, monkeypatch):
+    import random
+    rng = random.Random(4)
+    names = ["STATION", "DATE", "NAME", "TMAX", "TMIN", "PRCP", "X Y"]
+    want = []
+    for i in range(120):
+        header = rng.sample(names, rng.randint(2, 7))
+        rows = [{c: rng.choice(["", " a ", "1,5", 'q"t', f"{c}{i}"]) for c in header} for _ in range(rng.randint(0, 3))]
+        quote = lambda v: '"' + v.replace('"', '""') + '"' if "," in v else v.replace('"', "")
+        lines = [",".join(header)] + [",".join(quote(r[c]) for c in header) for r in rows]
+        _write(str(tmp_path / "in" / f"d {i % 3}" / f"f,{i}.csv"), ("\ufeff" if i % 9 == 0 else "") + "\n".join(lines) + "\n")
+        want += [tuple((r.get(c) or "").replace('"', "") if "," not in (r.get(c) or "") else r[c] for c in names) for r in rows]
+    _write(str(tmp_path / "in" / "d 0" / "empty.csv"), "")
+    monkeypatch.setattr(CSV.FS, "read_first_line", lambda *a: pytest.fail("the driver opened a file"))
+    df = CSV.read_raw_dir(spark, str(tmp_path / "in" / "*" / "*.csv"))
+    assert sorted(df.columns) == sorted(names)
+    got = [tuple(r[c] or "" for c in names) for r in df.collect()]
+    assert sorted(got) == sorted(want)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1 and "Union" not in plan
