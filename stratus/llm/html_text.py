@@ -15,9 +15,7 @@ or when most of the page's text that is no link is in it (not counted: comments;
 not for nav, header, footer and aside). Skipped elements inside it are judged
 in the same way.
 
-A host outvotes a page in one case only: the page's texts share no container
-below the body, none outside the host's container is in an article or main,
-and the path has ``CONSENSUS`` of the host's votes.
+A host's vote never takes main text from a page.
 
 Defined cases: null, empty or text-free html gives an empty text; a null or
 odd url votes under the empty host; repeated rows keep their own rows; markup
@@ -38,8 +36,6 @@ from .stage import staged
 
 #: A path wins when it has this share of its host's votes (so at most 20 win).
 MIN_SHARE = 0.05
-#: The share of its host's votes with which a path can outvote a page.
-CONSENSUS = 0.9
 #: Winning paths are broadcast up to this many characters, else joined by host.
 MAX_BROADCAST_CHARS = 16_000_000
 
@@ -167,8 +163,13 @@ def parse(html: str) -> Page:
             if stack[k].tag in stop:
                 return
 
+    # Behind the last closing bracket there is no tag; what opens a comment there hides the rest.
+    last = html.rfind(">") + 1
+    hidden = html.find("<!--", last)
+    if hidden >= 0:
+        html = html[:hidden]
     while True:
-        m = _TOKEN.search(html, at)
+        m = _TOKEN.search(html, at, last) if at < last else None
         if m is None:
             add(html[at:])
             break
@@ -176,6 +177,8 @@ def parse(html: str) -> Page:
         at = m.end()
         tag = m[2]
         if tag is None:
+            if m[0].startswith("<!--") and not m[0].endswith("-->"):
+                break
             continue
         tag = tag.lower()
         if m[1]:
@@ -294,8 +297,8 @@ def _inside(page: Page, roots: set[int]) -> list[bool]:
     return inside
 
 
-def extract(html: str, winners: list[str], agreed: bool = False) -> str:
-    """The main text; ``agreed``: the first of ``winners`` has the host's consensus."""
+def extract(html: str, winners: list[str]) -> str:
+    """The main text: in the first of ``winners`` that holds all of it, else in the page's own container."""
     page = parse(html)
     main = set(_main_containers(page))
     best = best_container(page)
@@ -305,11 +308,6 @@ def extract(html: str, winners: list[str], agreed: bool = False) -> str:
         if main and all(inside[k] for k in main):
             chosen = inside
             break
-    if chosen is None and agreed and page.tags[best] in ("html", "body"):
-        inside = _inside(page, {k for k, p in enumerate(page.paths) if p == winners[0]})
-        kept = _inside(page, {k for k, tag in enumerate(page.tags) if tag in ARTICLES})
-        if any(inside[k] for _, k, _ in page.blocks) and not any(kept[k] and not inside[k] for k in main):
-            chosen = inside
     if chosen is None:
         chosen = _inside(page, {best})
     return "\n\n".join(text for text, container, _ in page.blocks if chosen[container])
@@ -327,11 +325,11 @@ def best_path(html: Column) -> Column:
     return F.arrow_udf(compute, "string").asNondeterministic()(html.cast("string"))
 
 
-def text_of(html: Column, winners: Column, agreed: Column) -> Column:
-    def compute(columns: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+def text_of(html: Column, winners: Column) -> Column:
+    def compute(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for rows in columns:
-            yield pa.array([extract(h or "", p or [], bool(p and a)) for h, p, a in zip(*(c.to_pylist() for c in rows))], pa.string())
-    return F.arrow_udf(compute, "string").asNondeterministic()(html.cast("string"), winners, agreed)
+            yield pa.array([extract(h or "", p or []) for h, p in zip(*(c.to_pylist() for c in rows))], pa.string())
+    return F.arrow_udf(compute, "string").asNondeterministic()(html.cast("string"), winners)
 
 
 def host_of(url: Column) -> Column:
@@ -339,16 +337,14 @@ def host_of(url: Column) -> Column:
 
 
 def winning_paths(pages: DataFrame, min_share: float = MIN_SHARE) -> DataFrame:
-    """``(host, paths, agreed)``: the paths that win a host, most votes first,
-    and whether the first has the host's consensus."""
+    """``(host, paths)``: the paths that win a host, most votes first."""
     votes = (pages.select(host_of(F.col("url")).alias("host"), best_path(F.col("html")).alias("path"))
              .where(F.col("path").isNotNull()).groupBy("host", "path").agg(F.count("*").alias("votes")))
     votes = staged(votes, "html-votes")
     all_votes = votes.groupBy("host").agg(F.sum("votes").alias("all_votes"))
     won = votes.join(all_votes, "host").where(F.col("votes") >= min_share * F.col("all_votes"))
-    ranked = won.groupBy("host").agg(F.array_sort(F.collect_list(F.struct((-F.col("votes")).alias("order"), "path"))).alias("r"),
-                                    (F.max("votes") >= CONSENSUS * F.max("all_votes")).alias("agreed"))
-    return ranked.select("host", F.transform("r", lambda x: x["path"]).alias("paths"), "agreed")
+    ranked = won.groupBy("host").agg(F.array_sort(F.collect_list(F.struct((-F.col("votes")).alias("order"), "path"))).alias("r"))
+    return ranked.select("host", F.transform("r", lambda x: x["path"]).alias("paths"))
 
 
 def extract_pages(pages: DataFrame, min_share: float = MIN_SHARE,
@@ -359,5 +355,5 @@ def extract_pages(pages: DataFrame, min_share: float = MIN_SHARE,
     small = F.broadcast(winners) if size <= max_broadcast_chars else winners
     rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("__host"))
     texts = rows.join(small, "__host", "left").select(
-        "page_id", "url", text_of(F.col("html"), F.col("paths"), F.col("agreed")).alias("text"))
+        "page_id", "url", text_of(F.col("html"), F.col("paths")).alias("text"))
     return texts.withColumn("n_chars", F.length("text").cast("bigint"))

@@ -1,4 +1,5 @@
 import re
+import time
 from html import unescape
 
 from stratus.llm import html_text as H
@@ -32,11 +33,12 @@ def test_article_without_the_rest(spark):
     assert len(got) == len(rows)
 
 
-def test_hosts_outvote_a_page(spark):
+def test_a_host_never_takes_main_text_from_a_page(spark):
     normal = BODY.format("<div class='post-12'><p>" + "Real text of the article. " * 10 + "</p></div>")
-    odd = BODY.format("<div class='post-7'><p>Short.</p></div><div class='box'><p>" + "Something else entirely. " * 30 + "</p></div>")
+    more = ("Something else entirely. " * 30).strip()
+    odd = BODY.format(f"<div class='post-7'><p>Short.</p></div><div class='box'><p>{more}</p></div>")
     rows = [(i, f"http://h.org/{i}", normal) for i in range(30)] + [(99, "http://h.org/odd", odd)]
-    assert run(spark, rows)[99].text == "Short."
+    assert run(spark, rows)[99].text == f"Short.\n\n{more}"
 
 
 def test_whole_article_beside_its_largest_part(spark):
@@ -81,6 +83,14 @@ def test_boilerplate_names():
     assert [n for n in kept if H._is_boilerplate("div", {"class": n})] == []
 
 
+def test_unclosed_markup_is_read_in_linear_time():
+    start = time.process_time()
+    for bad in ("<a ", "<a '", "<p class=\"x", "<", "<!-- x ", "<a <"):
+        H.extract("<p>Text</p>" + bad * (1_000_000 // len(bad)), [])
+    assert time.process_time() - start < 20
+    assert H.extract("<p>Text</p><!-- <p>hidden</p> ", []) == H.extract("<p>Text</p><!-- hidden", []) == "Text"
+
+
 def test_empty_table_and_join_without_broadcast(spark):
     assert run(spark, []) == {}
     rows = [(i, f"http://h{i % 3}.org/{i}", BODY.format(ARTICLE)) for i in range(9)]
