@@ -57,10 +57,8 @@ _KIND = np.zeros(256, np.uint8)
 _KIND[list(_BLANK)] = 1
 _KIND[list(_SPLIT)] = 2
 
-_GROUP = "key:binary,n:bigint,h:bigint"
-_BLOCK = "lang string, ats binary, ids binary, keys binary"
-_WORDS = f"{_BLOCK}, groups array<struct<word:string,{_GROUP}>>"
-_PHRASES = f"{_BLOCK}, groups array<struct<{_GROUP}>>"
+_BLOCK = "lang string, ats binary, ids binary, keys binary, counts binary"
+_COUNTED = "lang string, key binary, n bigint, h bigint"
 
 
 def _words(raw: np.ndarray, offsets: np.ndarray) -> tuple[pa.DictionaryArray, np.ndarray]:
@@ -89,21 +87,37 @@ def _key_hash(keys: np.ndarray, salt: np.uint64) -> np.ndarray:
 
 def _row(lang: str, ats: np.ndarray, ids: np.ndarray, keys: np.ndarray, counts: np.ndarray, words: pa.Array | None = None
          ) -> pa.RecordBatch:
-    """A block: its occurrences, and its phrases once as bytes for the next length
-    and once as a list to count. A key is the words' hashes, highest byte first."""
-    n, width = keys.shape
-    body = np.ascontiguousarray(keys.astype(">u8"))
-    edges = (np.arange(n + 1) * 8 * width).astype(np.int32)
-    key = pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer(edges), pa.py_buffer(body)])
-    fields = [key, pa.array(counts, pa.int64()), pa.array(_key_hash(keys, _lang_salt(lang)).view(np.int64), pa.int64())]
-    names = ["key", "n", "h"]
+    """A block: its occurrences, its phrases' keys (the words' hashes, highest byte first) and counts."""
+    parts = [np.diff(ats, prepend=0).astype("<i4"), ids.astype("<i4"), keys.astype(">u8"), counts.astype("<i4")]
+    columns = [pa.array([lang], pa.string()), *(pa.array([x.tobytes()], pa.binary()) for x in parts)]
+    names = ["lang", "ats", "ids", "keys", "counts"]
     if words is not None:
-        fields, names = [words, *fields], ["word", *names]
-    groups = blocks.list_array(np.array([0, n]), pa.StructArray.from_arrays(fields, names=names))
-    parts = [np.diff(ats, prepend=0).astype("<i4"), ids.astype("<i4"), body]
-    return pa.RecordBatch.from_arrays(
-        [pa.array([lang], pa.string()), *(pa.array([x.tobytes()], pa.binary()) for x in parts), groups],
-        names=["lang", "ats", "ids", "keys", "groups"])
+        columns, names = [*columns, blocks.list_array(np.array([0, len(words)]), words)], [*names, "words"]
+    return pa.RecordBatch.from_arrays(columns, names=names)
+
+
+def _keys(batch: pa.RecordBatch, i: int, width: int) -> np.ndarray:
+    return np.frombuffer(batch.column("keys")[i].as_buffer(), ">u8").reshape(-1, width).astype(np.uint64)
+
+
+def _counted(relation: DataFrame, width: int) -> DataFrame:
+    """A row per block and phrase: lang, key, n, the hash for the semi-join, and the word if the relation has words."""
+    named = "words" in relation.columns
+
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                lang, keys = batch.column("lang")[i].as_py(), _keys(batch, i, width)
+                n = np.frombuffer(batch.column("counts")[i].as_buffer(), "<i4").astype(np.int64)
+                edges = (np.arange(len(n) + 1) * 8 * width).astype(np.int32)
+                key = pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(edges), batch.column("keys")[i].as_buffer()])
+                columns = [pa.repeat(lang, len(n)), key, pa.array(n), pa.array(_key_hash(keys, _lang_salt(lang)).view(np.int64))]
+                names = ["lang", "key", "n", "h"]
+                if named:
+                    columns, names = [*columns, batch.column("words")[i].values], [*names, "word"]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+    read = relation.select("lang", "keys", "counts", *(["words"] if named else []))
+    return read.mapInArrow(rows_of, _COUNTED + (", word string" if named else ""))
 
 
 def _occurrences(docs: DataFrame, seed: int, block_bytes: int) -> DataFrame:
@@ -123,7 +137,7 @@ def _occurrences(docs: DataFrame, seed: int, block_bytes: int) -> DataFrame:
                     yield _row(lang, ats, ids, hashes[:, None], np.bincount(ids), words.dictionary)
     named = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"),
                         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return named.mapInArrow(blocks_of, _WORDS)
+    return named.mapInArrow(blocks_of, f"{_BLOCK}, words array<string>")
 
 
 def _extended(relation: DataFrame, width: int, frequent: bytes) -> DataFrame:
@@ -136,7 +150,7 @@ def _extended(relation: DataFrame, width: int, frequent: bytes) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 lang = batch.column("lang")[i].as_py()
-                keys = np.frombuffer(batch.column("keys")[i].as_buffer(), ">u8").reshape(-1, width).astype(np.uint64)
+                keys = _keys(batch, i, width)
                 h = _key_hash(keys, _lang_salt(lang)) & np.uint64(n_bits - 1)
                 listed = (bitmap[(h >> np.uint64(3)).astype(np.int64)] >> (h & np.uint64(7)).astype(np.uint8)) & 1 == 1
                 ats = np.cumsum(np.frombuffer(batch.column("ats")[i].as_buffer(), "<i4"))
@@ -151,12 +165,12 @@ def _extended(relation: DataFrame, width: int, frequent: bytes) -> DataFrame:
                 left, right = np.divmod(pairs, len(keys))
                 longer = np.concatenate([keys[left], keys[right, -1:]], axis=1)
                 yield _row(lang, ats[joined], numbers, longer, counts)
-    return relation.select("lang", "ats", "ids", "keys").mapInArrow(blocks_of, _PHRASES)
+    return relation.select("lang", "ats", "ids", "keys").mapInArrow(blocks_of, _BLOCK)
 
 
 def _persisted(df: DataFrame, label: str) -> DataFrame:
     path = staged_path(df.sparkSession, label)
-    df.write.option("maxRecordsPerFile", BLOCKS_PER_FILE).parquet(path)
+    df.write.option("maxRecordsPerFile", BLOCKS_PER_FILE).option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -181,8 +195,8 @@ def frequent_phrases(docs: DataFrame, min_count: int, max_words: int, block_byte
     occurs ``min_count`` times, with ``word`` for single words; ``(lang, n)`` of all words."""
     for seed in range(1, 100):
         relation = _persisted(_occurrences(docs, seed, block_bytes), "phrase-relation")
-        counted = relation.select("lang", F.explode("groups").alias("g")).groupBy("lang", "g.word").agg(
-            F.sum("g.n").alias("n"), F.first("g.key").alias("key"), F.first("g.h").alias("h"))
+        counted = _counted(relation, 1).groupBy("lang", "word").agg(
+            F.sum("n").alias("n"), F.first("key").alias("key"), F.first("h").alias("h"))
         vocabulary = staged(counted, "phrase-words")
         shared = vocabulary.groupBy("lang", "key").count().where("count > 1").limit(1).count()
         if not shared:
@@ -196,8 +210,8 @@ def frequent_phrases(docs: DataFrame, min_count: int, max_words: int, block_byte
             break
         longer = _persisted(_extended(relation, width, _bitmap(found[-1], size)), "phrase-relation")
         drop(relation)
-        counted = longer.select("lang", F.explode("groups").alias("g")).groupBy("lang", "g.key").agg(
-            F.sum("g.n").alias("n"), F.first("g.h").alias("h")).where(F.col("n") >= min_count)
+        counted = _counted(longer, width + 1).groupBy("lang", "key").agg(
+            F.sum("n").alias("n"), F.first("h").alias("h")).where(F.col("n") >= min_count)
         found.append(staged(counted, "phrase-counts").withColumn("words", F.lit(width + 1)))
         relation = longer
     drop(relation)
