@@ -11,9 +11,11 @@ A block holds the texts of one language from one Arrow batch, up to
 ``BLOCK_BYTES`` or one longer text; its phrases are numbered within the block,
 so a pair of numbers names the longer phrase exactly. Between blocks a phrase is
 the sequence of its words' 64-bit hashes. Words are counted by their text, and
-the hashes are seeded anew if two different words share one. The semi-join sees
-the frequent phrases as a bitmap of a bounded size. A phrase that passes it by
-chance is dropped by its own count, so the bitmap's size never changes a result.
+the hashes are seeded anew if two different words share one. A length is counted
+twice: by one hash a phrase, which gives an upper bound in 16 bytes, and exactly
+by keys for the phrases whose bound is high enough. The semi-join sees these as a
+bitmap of a bounded size. A phrase that passes it by chance is dropped by its own
+exact count, so neither the hash nor the bitmap's size ever changes a result.
 
 Scores compare a phrase with its two parts at the worst cut: its count times all
 words over the product of the parts' counts, in decimals of 38 digits.
@@ -32,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,8 +60,7 @@ _KIND = np.zeros(256, np.uint8)
 _KIND[list(_BLANK)] = 1
 _KIND[list(_SPLIT)] = 2
 
-_BLOCK = "lang string, ats binary, ids binary, keys binary, counts binary"
-_COUNTED = "lang string, key binary, n bigint, h bigint"
+_BLOCK = "lang string, ats binary, ids binary, keys binary, phrases binary, counts binary"
 
 
 def _words(raw: np.ndarray, offsets: np.ndarray) -> tuple[pa.DictionaryArray, np.ndarray]:
@@ -77,47 +79,90 @@ def _lang_salt(lang: str) -> np.uint64:
     return np.uint64(xxhash.xxh64_intdigest(lang.encode(), 7))
 
 
-def _key_hash(keys: np.ndarray, salt: np.uint64) -> np.ndarray:
-    """One hash per row of word hashes, for the semi-join."""
-    out = np.full(len(keys), salt, np.uint64)
-    for j in range(keys.shape[1]):
-        out = blocks.mix(out * np.uint64(blocks.BASE) + keys[:, j])
+def _key_hash(hashes: np.ndarray, phrases: np.ndarray, salt: np.uint64) -> np.ndarray:
+    """One hash per phrase, from its words' hashes."""
+    out = np.full(phrases.shape[1], salt, np.uint64)
+    for numbers in phrases:
+        out = blocks.mix(out * np.uint64(blocks.BASE) + hashes[numbers])
     return out
 
 
-def _row(lang: str, ats: np.ndarray, ids: np.ndarray, keys: np.ndarray, counts: np.ndarray, words: pa.Array | None = None
-         ) -> pa.RecordBatch:
-    """A block: its occurrences, its phrases' keys (the words' hashes, highest byte first) and counts."""
-    parts = [np.diff(ats, prepend=0).astype("<i4"), ids.astype("<i4"), keys.astype(">u8"), counts.astype("<i4")]
+def _row(lang: str, ats: np.ndarray, ids: np.ndarray, hashes: np.ndarray, phrases: np.ndarray, counts: np.ndarray,
+         words: pa.Array | None = None) -> pa.RecordBatch:
+    """A block: its occurrences, its words' hashes (highest byte first), its phrases and their counts.
+
+    A phrase is the numbers of its words in the block; phrases come in ascending order, so the
+    steps from one to the next in each column are small."""
+    parts = [np.diff(ats, prepend=0).astype("<i4"), ids.astype("<i4"), hashes.astype(">u8"),
+             np.diff(phrases, axis=1, prepend=0).astype("<i4"), counts.astype("<i4")]
     columns = [pa.array([lang], pa.string()), *(pa.array([x.tobytes()], pa.binary()) for x in parts)]
-    names = ["lang", "ats", "ids", "keys", "counts"]
+    names = ["lang", "ats", "ids", "keys", "phrases", "counts"]
     if words is not None:
         columns, names = [*columns, blocks.list_array(np.array([0, len(words)]), words)], [*names, "words"]
     return pa.RecordBatch.from_arrays(columns, names=names)
 
 
-def _keys(batch: pa.RecordBatch, i: int, width: int) -> np.ndarray:
-    return np.frombuffer(batch.column("keys")[i].as_buffer(), ">u8").reshape(-1, width).astype(np.uint64)
+def _ints(batch: pa.RecordBatch, name: str, i: int) -> np.ndarray:
+    return np.frombuffer(batch.column(name)[i].as_buffer(), "<i4").astype(np.int64)
+
+
+def _phrases(batch: pa.RecordBatch, i: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """A block's word hashes, and its phrases as word numbers, a row per place in the phrase."""
+    hashes = np.frombuffer(batch.column("keys")[i].as_buffer(), ">u8").astype(np.uint64)
+    return hashes, np.cumsum(_ints(batch, "phrases", i).reshape(width, -1), axis=1)
+
+
+def _key_array(keys: np.ndarray) -> pa.Array:
+    """The rows of a matrix of word hashes as binary keys, highest byte first."""
+    raw, width = np.ascontiguousarray(keys).astype(">u8"), 8 * keys.shape[1]
+    edges = (np.arange(len(keys) + 1) * width).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(keys), [None, pa.py_buffer(edges), pa.py_buffer(raw.tobytes())])
+
 
+def _listed(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
+    place = h & np.uint64(len(bitmap) * 8 - 1)
+    return (bitmap[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
-def _counted(relation: DataFrame, width: int) -> DataFrame:
-    """A row per block and phrase: lang, key, n, the hash for the semi-join, and the word if the relation has words."""
-    named = "words" in relation.columns
 
+def _word_counts(relation: DataFrame) -> DataFrame:
+    """A row per block and word: lang, key, n, the hash for the semi-join, and the word."""
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                lang, keys = batch.column("lang")[i].as_py(), _keys(batch, i, width)
-                n = np.frombuffer(batch.column("counts")[i].as_buffer(), "<i4").astype(np.int64)
-                edges = (np.arange(len(n) + 1) * 8 * width).astype(np.int32)
-                key = pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(edges), batch.column("keys")[i].as_buffer()])
-                columns = [pa.repeat(lang, len(n)), key, pa.array(n), pa.array(_key_hash(keys, _lang_salt(lang)).view(np.int64))]
-                names = ["lang", "key", "n", "h"]
-                if named:
-                    columns, names = [*columns, batch.column("words")[i].values], [*names, "word"]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
-    read = relation.select("lang", "keys", "counts", *(["words"] if named else []))
-    return read.mapInArrow(rows_of, _COUNTED + (", word string" if named else ""))
+                lang = batch.column("lang")[i].as_py()
+                hashes, phrases = _phrases(batch, i, 1)
+                h = _key_hash(hashes, phrases, _lang_salt(lang)).view(np.int64)
+                columns = [pa.repeat(lang, len(h)), _key_array(hashes[phrases].T), pa.array(_ints(batch, "counts", i)),
+                           pa.array(h), batch.column("words")[i].values]
+                yield pa.RecordBatch.from_arrays(columns, names=["lang", "key", "n", "h", "word"])
+    return relation.select("lang", "keys", "phrases", "counts", "words").mapInArrow(
+        rows_of, "lang string, key binary, n bigint, h bigint, word string")
+
+
+def _hash_counts(relation: DataFrame, width: int) -> DataFrame:
+    """A row per block and phrase: the hash for the semi-join (of its language too) and n."""
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                h = _key_hash(*_phrases(batch, i, width), _lang_salt(batch.column("lang")[i].as_py()))
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(_ints(batch, "counts", i))],
+                                                 names=["h", "n"])
+    return relation.select("lang", "keys", "phrases", "counts").mapInArrow(rows_of, "h bigint, n bigint")
+
+
+def _listed_counts(relation: DataFrame, width: int, frequent: Broadcast) -> DataFrame:
+    """A row per block and phrase of the bitmap: lang, key, n."""
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = np.frombuffer(frequent.value, np.uint8)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                lang = batch.column("lang")[i].as_py()
+                hashes, phrases = _phrases(batch, i, width)
+                kept = _listed(bitmap, _key_hash(hashes, phrases, _lang_salt(lang)))
+                keys = _key_array(hashes[phrases[:, kept]].T)
+                yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(keys)), keys, pa.array(_ints(batch, "counts", i)[kept])],
+                                                 names=["lang", "key", "n"])
+    return relation.select("lang", "keys", "phrases", "counts").mapInArrow(rows_of, "lang string, key binary, n bigint")
 
 
 def _occurrences(docs: DataFrame, seed: int, block_bytes: int) -> DataFrame:
@@ -134,38 +179,36 @@ def _occurrences(docs: DataFrame, seed: int, block_bytes: int) -> DataFrame:
                     ids = words.indices.to_numpy()
                     hashes = np.array([xxhash.xxh64_intdigest(w, seed) for w in
                                        words.dictionary.cast(pa.binary()).to_pylist()], np.uint64)
-                    yield _row(lang, ats, ids, hashes[:, None], np.bincount(ids), words.dictionary)
+                    numbers = np.arange(len(hashes))[None, :]
+                    yield _row(lang, ats, ids, hashes, numbers, np.bincount(ids, minlength=len(hashes)), words.dictionary)
     named = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"),
                         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return named.mapInArrow(blocks_of, f"{_BLOCK}, words array<string>")
 
 
-def _extended(relation: DataFrame, width: int, frequent: bytes) -> DataFrame:
+def _extended(relation: DataFrame, width: int, frequent: Broadcast) -> DataFrame:
     """The relation one word longer than ``relation``, whose phrases have ``width`` words."""
-    n_bits = len(frequent) * 8
-    shared = relation.sparkSession.sparkContext.broadcast(frequent)
-
     def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = np.frombuffer(shared.value, np.uint8)
+        bitmap = np.frombuffer(frequent.value, np.uint8)
         for batch in batches:
             for i in range(batch.num_rows):
                 lang = batch.column("lang")[i].as_py()
-                keys = _keys(batch, i, width)
-                h = _key_hash(keys, _lang_salt(lang)) & np.uint64(n_bits - 1)
-                listed = (bitmap[(h >> np.uint64(3)).astype(np.int64)] >> (h & np.uint64(7)).astype(np.uint8)) & 1 == 1
-                ats = np.cumsum(np.frombuffer(batch.column("ats")[i].as_buffer(), "<i4"))
-                ids = np.frombuffer(batch.column("ids")[i].as_buffer(), "<i4").astype(np.int64)
-                kept = listed[ids]
-                ats, ids = ats[kept], ids[kept]
+                hashes, phrases = _phrases(batch, i, width)
+                ids = _ints(batch, "ids", i)
+                kept = _listed(bitmap, _key_hash(hashes, phrases, _lang_salt(lang)))[ids]
+                ats, ids = np.cumsum(_ints(batch, "ats", i))[kept], ids[kept]
                 joined = np.flatnonzero(ats[1:] == ats[:-1] + 1)
                 if not len(joined):
                     continue
-                pairs, numbers, counts = np.unique(ids[joined] * len(keys) + ids[joined + 1],
+                size = phrases.shape[1]
+                pairs, numbers, counts = np.unique(ids[joined] * size + ids[joined + 1],
                                                    return_inverse=True, return_counts=True)
-                left, right = np.divmod(pairs, len(keys))
-                longer = np.concatenate([keys[left], keys[right, -1:]], axis=1)
-                yield _row(lang, ats[joined], numbers, longer, counts)
-    return relation.select("lang", "ats", "ids", "keys").mapInArrow(blocks_of, _BLOCK)
+                left, right = np.divmod(pairs, size)
+                longer = np.concatenate([phrases[:, left], phrases[-1:, right]])
+                used = np.zeros(len(hashes), bool)
+                used[longer] = True
+                yield _row(lang, ats[joined], numbers, hashes[used], (np.cumsum(used) - 1)[longer], counts)
+    return relation.select("lang", "ats", "ids", "keys", "phrases").mapInArrow(blocks_of, _BLOCK)
 
 
 def _persisted(df: DataFrame, label: str) -> DataFrame:
@@ -174,8 +217,8 @@ def _persisted(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _bitmap(frequent: DataFrame, count: int) -> bytes:
-    """The frequent phrases' hashes as a bitmap; at most ``MAX_BITS`` bits reach the driver."""
+def _bitmap(frequent: DataFrame, count: int) -> Broadcast:
+    """The frequent phrases' hashes as a bitmap for the tasks; at most ``MAX_BITS`` bits reach the driver."""
     n_bits = 1 << 15
     while n_bits < min(count * BITS_PER_PHRASE, MAX_BITS):
         n_bits *= 2
@@ -186,7 +229,7 @@ def _bitmap(frequent: DataFrame, count: int) -> bytes:
     for row in rows.toLocalIterator():
         first = (row.bucket - 1) * 4096
         out[first:first + 4096] = row.bits
-    return bytes(out)
+    return frequent.sparkSession.sparkContext.broadcast(bytes(out))
 
 
 def frequent_phrases(docs: DataFrame, min_count: int, max_words: int, block_bytes: int = BLOCK_BYTES
@@ -195,25 +238,38 @@ def frequent_phrases(docs: DataFrame, min_count: int, max_words: int, block_byte
     occurs ``min_count`` times, with ``word`` for single words; ``(lang, n)`` of all words."""
     for seed in range(1, 100):
         relation = _persisted(_occurrences(docs, seed, block_bytes), "phrase-relation")
-        counted = _counted(relation, 1).groupBy("lang", "word").agg(
+        counted = _word_counts(relation).groupBy("lang", "word").agg(
             F.sum("n").alias("n"), F.first("key").alias("key"), F.first("h").alias("h"))
         vocabulary = staged(counted, "phrase-words")
-        shared = vocabulary.groupBy("lang", "key").count().where("count > 1").limit(1).count()
-        if not shared:
+        clash = vocabulary.groupBy("lang", "key").count().where("count > 1").limit(1).count()
+        if not clash:
             break
         drop(relation, vocabulary)
     totals = vocabulary.groupBy("lang").agg(F.sum("n").alias("n"))
-    found = [staged(vocabulary.where(F.col("n") >= min_count), "phrase-counts").withColumn("words", F.lit(1))]
-    for width in range(1, max_words):
-        size = found[-1].count()
+    frequent = staged(vocabulary.where(F.col("n") >= min_count), "phrase-counts")
+    found = [frequent.withColumn("words", F.lit(1))]
+    for width in range(2, max_words + 1):
+        size = frequent.count()
         if not size:
             break
-        longer = _persisted(_extended(relation, width, _bitmap(found[-1], size)), "phrase-relation")
+        if width == 2:
+            shared = _bitmap(frequent, size)
+        longer = _persisted(_extended(relation, width - 1, shared), "phrase-relation")
         drop(relation)
-        counted = _counted(longer, width + 1).groupBy("lang", "key").agg(
-            F.sum("n").alias("n"), F.first("h").alias("h")).where(F.col("n") >= min_count)
-        found.append(staged(counted, "phrase-counts").withColumn("words", F.lit(width + 1)))
         relation = longer
+        # Hashes first: their sums are upper bounds, so only phrases that may be frequent travel with their keys.
+        hashes = staged(_hash_counts(relation, width).groupBy("h").agg(F.sum("n").alias("n")).where(
+            F.col("n") >= min_count).select("h"), "phrase-hashes")
+        size = hashes.count()
+        if not size:
+            drop(hashes)
+            break
+        shared.destroy()
+        shared = _bitmap(hashes, size)
+        drop(hashes)
+        frequent = staged(_listed_counts(relation, width, shared).groupBy("lang", "key").agg(
+            F.sum("n").alias("n")).where(F.col("n") >= min_count), "phrase-counts")
+        found.append(frequent.withColumn("words", F.lit(width)))
     drop(relation)
     phrases = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found)
     return phrases.select("lang", "key", "words", "n", "word"), totals
