@@ -17,7 +17,9 @@ Defined cases: a revisit without an earlier response is ``orphan``; one whose
 validators disagree is ``mismatch`` (both keep only their own headers and no
 body); a record without URL or time is never a target and is an orphan as a
 revisit; at equal times the smaller record id is the earlier; repeated rows
-are resolved each by itself; null headers are empty.
+are resolved each by itself; a revisit without a record id is an orphan; null
+headers are empty; of header names that differ in case only the last in order
+counts (maps keep no order of their own).
 """
 
 from __future__ import annotations
@@ -46,12 +48,19 @@ def canonical_url(url: Column) -> Column:
     return F.concat(host, path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(F.lit("")))
 
 
+def lowered_headers(headers: Column) -> Column:
+    """Headers by lower-case name; of names that differ in case only the last in order counts."""
+    entries = F.map_entries(F.coalesce(headers, F.create_map().cast("map<string,string>")))
+    entries = F.sort_array(entries)
+    names = F.array_distinct(F.transform(entries, lambda e: F.lower(e["key"])))
+    last = lambda n: F.element_at(F.filter(entries, lambda e: F.lower(e["key"]) == n), -1)["value"]
+    return F.map_from_arrays(names, F.transform(names, last))
+
+
 def merged_headers(response: Column, revisit: Column) -> Column:
     """The response's headers, updated by the revisit's permitted ones."""
-    none = F.create_map().cast("map<string,string>")
-    lower = lambda m: F.transform_keys(F.coalesce(m, none), lambda k, v: F.lower(k))
-    allowed = F.map_filter(lower(revisit), lambda k, v: k.isin(*PERMITTED_HEADERS) & v.isNotNull())
-    rest = F.map_filter(lower(response), lambda k, v: ~F.array_contains(F.map_keys(allowed), k))
+    allowed = F.map_filter(lowered_headers(revisit), lambda k, v: k.isin(*PERMITTED_HEADERS) & v.isNotNull())
+    rest = F.map_filter(lowered_headers(response), lambda k, v: ~F.array_contains(F.map_keys(allowed), k))
     return F.map_concat(rest, allowed)
 
 
@@ -111,7 +120,7 @@ def resolve(records: DataFrame) -> DataFrame:
     merged = checked.alias("c").join(
         s, (F.col("c.status") == "resolved") & (F.col("s.record_id") == F.col("c.target.record_id"))
         & (F.col("s.time") == F.col("c.target.time")) & (F.col("s.canonical") == F.col("c.canonical")), "left")
-    own = F.transform_keys(F.coalesce(F.col("c.headers"), F.create_map().cast("map<string,string>")), lambda k, v: F.lower(k))
+    own = lowered_headers(F.col("c.headers"))
     resolved = F.col("c.status") == "resolved"
     return merged.select(
         "c.record_id", "c.canonical", "c.time", "c.status",

@@ -80,3 +80,16 @@ def test_empty_and_derived_tables(spark, sf_small):
     rows = [tuple(r) for r in records.collect()]
     got = run(records)
     assert sort_headers(got) == sort_headers(brute(rows)) and {r[2] for r in got} == {"orphan", "resolved", "mismatch"}
+
+
+def test_header_names_that_differ_in_case_only(spark):
+    response = {"ETag": '"a"', "etag": '"b"', "X": "1", "x": "2"}
+    revisit = {"Date": "d1", "date": "d2", "DATE": "d3", "X": "9"}
+    rows = [(1, "http://a/", 1, "response", None, None, None, response),
+            (2, "http://a/", 2, "revisit", None, None, None, revisit),
+            (3, "http://b/", 2, "revisit", None, None, None, revisit),
+            (None, "http://a/", 3, "revisit", None, None, None, None)]
+    found = {r.record_id: r for r in R.resolve(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert found[2].status == "resolved" and found[2].headers == {"etag": '"b"', "x": "2", "date": "d2"}
+    assert found[3].status == "orphan" and found[3].headers == {"date": "d2", "x": "9"}
+    assert found[None].status == "orphan" and found[None].headers == {}
