@@ -211,7 +211,8 @@ def train(docs: DataFrame, labels: DataFrame, max_positives: int = MAX_POSITIVES
                         .select("doc_id", _feature_column(F.col("text").cast("string")).alias("x")), "quality-features")
     ids = staged(everything.select("doc_id").distinct()
                  .orderBy(F.xxhash64("doc_id", F.lit("unlabelled")), "doc_id").limit(max_unlabelled), "quality-web")
-    web = everything.join(F.broadcast(ids), "doc_id").select("x")
+    # One row of each id, so that the sample is bounded by the number of ids.
+    web = everything.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("x").alias("x")).select("x")
     stack = lambda df: np.array([r["x"] for r in df.collect()], float).reshape(-1, N_FEATURES)
     p, u = stack(positives), stack(web)
     total = sum(counts.values())

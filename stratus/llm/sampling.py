@@ -27,7 +27,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     restores the class shares of all training labels, which are counted over
     the whole table. The sample's ids are bounded by the two limits, so they
     are broadcast; the documents are only filtered, never shuffled. A document
-    id with contradicting labels or several rows is one training row.
+    id with contradicting labels or several rows is one training row: the larger
+    label, and the least text.
     """
     known = (labels.where(~held_out(F.col("doc_id"), folds, fold_no))
              .select("doc_id", F.col(label).cast("int").alias("label"))
@@ -43,6 +44,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
         picked = part if picked is None else picked.union(part)
     picked = staged(picked, f"{tag}-picked")
     sample = (docs.select("doc_id", F.col("text").cast("string").alias("text"))
-              .join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
-              .select("text", "label", "weight"))
+              .join(F.broadcast(picked), "doc_id")
+              .groupBy("doc_id").agg(F.min(F.struct("text", "label", "weight")).alias("row")).select("row.*"))
     return staged(sample, f"{tag}-sample"), {k: float(v) for k, v in counts.items()}

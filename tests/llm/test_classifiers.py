@@ -122,3 +122,16 @@ def test_penalty_lowers_scores_of_neutral_mentions(spark, docs_of):
         return [r[0] for r in neutral.orderBy("doc_id").select(T.score_column(neutral["text"], shared)).collect()]
     free, held = scores(0.0), scores(10.0)
     assert held[0] < 0.5 * free[0] and held[1] > 0.8
+
+
+def test_many_rows_of_one_id_stay_within_the_sample(spark, monkeypatch):
+    rows = [(1, f"row {i} of one document. " * (1 + i % 7)) for i in range(400)]
+    rows += [(i, f"text {i}. " * (1 + i % 5)) for i in range(2, 60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(1, 60)], LABELS)
+    seen = []
+    fit = Q.fit_pu
+    monkeypatch.setattr(Q, "fit_pu", lambda p, u, *a, **k: seen.append((len(p), len(u))) or fit(p, u, *a, **k))
+    Q.train(docs, labels, max_positives=5, max_unlabelled=20)
+    Q.train(docs, labels, max_positives=50, max_unlabelled=100)
+    assert seen[0] == (5, 20) and seen[1][0] <= 50 and seen[1][1] == 59
