@@ -262,12 +262,15 @@ class SuffixOrder:
             step >>= 1
         return length
 
-    def before(self, x: np.ndarray, y: np.ndarray, or_equal: bool) -> np.ndarray:
+    def before(self, x: np.ndarray, y: np.ndarray, or_equal: np.ndarray) -> np.ndarray:
         """Whether the suffix at x comes before (or equals) the one at y."""
-        n = self.common(x, y)
-        end = n >= self.width
-        at = np.minimum(n, self.width - 1)
-        return np.where(end, or_equal, self.raw[x + at] < self.raw[y + at])
+        out = or_equal.copy()
+        # Most pairs that are still compared are equal: the whole length is tried first.
+        some = np.flatnonzero(self.hash.span(x, x + self.width) != self.hash.span(y, y + self.width))
+        x, y = x[some], y[some]
+        at = self.common(x, y)
+        out[some] = self.raw[x + at] < self.raw[y + at]
+        return out
 
     def sort(self, starts: np.ndarray, groups: np.ndarray) -> np.ndarray:
         """Bottom-up mergesort of each group's suffixes; ``groups`` is sorted."""
@@ -290,7 +293,7 @@ class SuffixOrder:
             while len(open_):  # how many of the other run come first
                 mid = (lo[open_] + hi[open_]) >> 1
                 other = starts[order[mid]]
-                first = np.where(left[open_], self.before(other, own[open_], False), self.before(other, own[open_], True))
+                first = self.before(other, own[open_], ~left[open_])
                 lo[open_] = np.where(first, mid + 1, lo[open_])
                 hi[open_] = np.where(first, hi[open_], mid)
                 open_ = open_[lo[open_] < hi[open_]]
@@ -323,6 +326,14 @@ class SuffixOrder:
         return order, equal
 
 
+def _words(raw: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """The ``n`` (up to 8) bytes at each position as one number, in byte order."""
+    out = np.zeros(len(at), np.uint64)
+    for i in range(n):
+        out = (out << np.uint64(8)) | raw[at + i]
+    return out
+
+
 def _batches(numbers: np.ndarray) -> list[np.ndarray]:
     """Positions of equal neighbours."""
     edges = _group_edges(numbers)
@@ -369,9 +380,19 @@ def _resolve_bucket(width: int, gram: int, sort_windows: int = SORT_WINDOWS):
 
         def settle(owner: np.ndarray, offset: np.ndarray) -> None:
             """Mark the windows that also start in a document of smaller id."""
-            group = np.unique(anchor[owner], return_inverse=True)[1] * 256 + (lead[owner] - offset)
-            by = np.argsort(group, kind="stable")
-            offset, owner, group = offset[by], owner[by], group[by]
+            ahead = lead[owner] - offset
+            group = np.unique(anchor[owner], return_inverse=True)[1] * 256 + ahead
+            # Around one anchor most suffixes differ in their first bytes or next to
+            # the anchor: dealt by those, few are left to compare by hashes.
+            n = min(8, width)
+            beside = np.minimum(np.where(ahead <= n, ahead + gram, n), width - n)
+            begin = start[owner] + offset
+            keys = group, _words(raw, begin, n), _words(raw, begin + beside, n)
+            by = np.lexsort(keys[::-1])
+            offset, owner = offset[by], owner[by]
+            fresh = np.zeros(len(by), bool)
+            fresh[1:] = np.logical_or.reduce([k[by[1:]] != k[by[:-1]] for k in keys])
+            group = np.cumsum(fresh)
             place, equal = suffixes.verified(start[owner] + offset, group)
             hit[base[owner] + offset] = _least_ids(place, equal, least[owner]) < least[owner]
 
