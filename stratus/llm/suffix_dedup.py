@@ -9,8 +9,9 @@ equal windows always meet at their anchor, while a text has an anchor only
 about every eighteenth byte. Three passes over hash chunks of the documents
 use one shuffle of the texts:
 
-1. the distinct anchors of each chunk are dealt to buckets by hash; the answer
-   is one bit per anchor: does another chunk have it too;
+1. the distinct anchors of each chunk are dealt to buckets by hash, with the
+   number of their contexts; the answer is two bits per anchor: does another
+   chunk have it too, and are its contexts too many for one bucket;
 2. around the anchors that other documents have too, the text of their
    windows goes to the anchor's bucket, once per chunk with the chunk's least
    document id (the windows of a very common anchor go to buckets by their own
@@ -43,14 +44,17 @@ from . import blocks
 WIDTH, GRAM = 50, 16
 #: Bytes of text in a chunk, and of text that a bucket's anchors stand for.
 CHUNK_BYTES, BUCKET_BYTES = 2 << 20, 1 << 20
-#: Windows around an anchor that more chunks than this have are dealt one by one.
-HOT_CHUNKS = 1_000
+#: Windows around an anchor that more chunks than this have, or whose contexts
+#: have more bytes than this, are dealt one by one.
+HOT_CHUNKS, HOT_BYTES = 1_000, 8 << 20
 #: Windows that are sorted at once.
 SORT_WINDOWS = 100_000
 
 _POSITION_BITS = 26
 #: Bytes that anchors are searched in at once, and rows compared at once.
 _SEGMENT, _ROWS = 1 << 18, 10_000
+#: Places of a context that take the room of another context.
+_USES = 8
 
 
 def anchor_runs(raw: np.ndarray, offsets: np.ndarray, powers: blocks.Powers, width: int = WIDTH, gram: int = GRAM
@@ -122,26 +126,40 @@ class _Chunk:
 
 def _emit_anchors(n_buckets: int, width: int, gram: int):
     def emit(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        keys = np.unique(_Chunk(table).runs(blocks.Powers(), width, gram)[0])
+        found = _Chunk(table).runs(blocks.Powers(), width, gram)
+        keys, loads = anchor_loads(found[0], found[1])
         edges = _group_edges(_bucket(keys, n_buckets))
         # Inside a bucket forty bits tell anchors apart; a clash only costs a comparison.
         short = keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
         return pa.table({
             "bucket": pa.array(_bucket(keys, n_buckets)[edges[:-1]], pa.int64()),
             "chunk": pa.array(np.full(len(edges) - 1, key[0].as_py()), pa.int64()),
-            "anchors": pa.array([short[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])], pa.binary())})
+            "anchors": pa.array([short[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])], pa.binary()),
+            "loads": pa.array([loads[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])], pa.binary())})
     return emit
 
 
-def _mark_shared(hot_chunks: int):
+def anchor_loads(anchor: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct anchors of a chunk, and what each sends to its bucket: one
+    for every different context, and one for every ``_USES`` places of them."""
+    order = np.lexsort((text, anchor))
+    anchor, text = anchor[order], text[order]
+    edges = _group_edges(anchor)
+    fresh = np.ones(len(order), np.int64)
+    fresh[1:] = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])
+    loads = (np.add.reduceat(fresh, edges[:-1]) if len(order) else fresh) + np.diff(edges) // _USES
+    return anchor[edges[:-1]], np.minimum(loads, 0xFFFF).astype("<u2")
+
+
+def _mark_shared(hot_chunks: int, hot_load: int):
     def mark(table: pa.Table) -> pa.Table:
-        return _marks(table, hot_chunks)
+        return _marks(table, hot_chunks, hot_load)
     return mark
 
 
-def _marks(table: pa.Table, hot_chunks: int) -> pa.Table:
+def _marks(table: pa.Table, hot_chunks: int, hot_load: int) -> pa.Table:
     """Per chunk two bits for each of its anchors: another chunk has it too,
-    and more than ``hot_chunks`` have it."""
+    and more than ``hot_chunks`` have it or their loads are above ``hot_load``."""
     blobs = table.column("anchors").to_pylist()
     sizes = np.array([len(b) // 5 for b in blobs])
     short = np.zeros((sizes.sum(), 8), np.uint8)
@@ -150,13 +168,16 @@ def _marks(table: pa.Table, hot_chunks: int) -> pa.Table:
     order = np.argsort(values, kind="stable")
     edges = _group_edges(values[order])
     stops = np.concatenate([[0], np.cumsum(sizes)])
+    loads = np.frombuffer(b"".join(table.column("loads").to_pylist()), "<u2").astype(np.int64)
+    load = np.add.reduceat(loads[order], edges[:-1]) if len(order) else loads
+    chunks = np.diff(edges)
 
-    def bits(least: int) -> pa.Array:
+    def bits(anchors: np.ndarray) -> pa.Array:
         flags = np.zeros(len(values), bool)
-        flags[order] = np.repeat(np.diff(edges) > least, np.diff(edges))
+        flags[order] = np.repeat(anchors, chunks)
         return pa.array([np.packbits(flags[a:b]).tobytes() for a, b in zip(stops[:-1], stops[1:])], pa.binary())
     return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"),
-                     "shared": bits(1), "hot": bits(hot_chunks)})
+                     "shared": bits(chunks > 1), "hot": bits((chunks > hot_chunks) | (load > hot_load))})
 
 
 _REQUEST = ("bucket bigint, chunk bigint, n int, contexts binary, lengths binary, anchors binary, least binary,"
@@ -477,8 +498,8 @@ def _cut(keep_text: bool):
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, chunk_bytes: int = CHUNK_BYTES,
-                   bucket_bytes: int = BUCKET_BYTES, hot_chunks: int = HOT_CHUNKS, sort_windows: int = SORT_WINDOWS,
-                   keep_text: bool = False) -> DataFrame:
+                   bucket_bytes: int = BUCKET_BYTES, hot_chunks: int = HOT_CHUNKS, hot_bytes: int = HOT_BYTES,
+                   sort_windows: int = SORT_WINDOWS, keep_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document.
 
     ``keep_text`` adds the remaining bytes as ``kept`` (a cut may fall inside
@@ -497,9 +518,9 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, chunk_
     n_parts = max(min(n_chunks, 20_000), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     chunks = chunked.repartition(int(n_parts), "chunk")
     anchors = chunks.groupBy("chunk").applyInArrow(
-        _emit_anchors(n_buckets, width, gram), "bucket bigint, chunk bigint, anchors binary")
+        _emit_anchors(n_buckets, width, gram), "bucket bigint, chunk bigint, anchors binary, loads binary")
     shared = anchors.groupBy("bucket").applyInArrow(
-        _mark_shared(hot_chunks), "chunk bigint, bucket bigint, shared binary, hot binary")
+        _mark_shared(hot_chunks, hot_bytes // (2 * width - gram)), "chunk bigint, bucket bigint, shared binary, hot binary")
     requests = chunks.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(
         _emit_contexts(n_buckets, width, gram), _REQUEST)
     ranges = requests.groupBy("bucket").applyInArrow(_resolve_bucket(width, gram, sort_windows), "chunk bigint, ranges binary")

@@ -92,3 +92,23 @@ def test_colliding_hashes_fall_back_to_the_bytes(monkeypatch):
     order, equal = order_of.verified(starts, groups)
     texts = [raw[starts[k]:starts[k] + 50].tobytes() for k in order]
     assert texts == sorted(texts) and equal.sum() == len(texts) - len(set(texts))
+
+
+def test_few_long_documents_that_share_a_templated_line(spark, docs_of):
+    rng = random.Random(5)
+    line = lambda: f"{rng.randrange(10 ** 6)} the request was answered within the time of {rng.randrange(50)} ms\n"
+    docs = [(i, "".join(line() for _ in range(120))) for i in range(4)]
+    options = {"chunk_bytes": 4_000, "bucket_bytes": 4_000, "hot_bytes": 2_000}
+    assert result(docs_of(docs), **options) == brute(docs)
+
+
+def test_an_anchor_is_hot_by_what_it_sends():
+    anchors = np.repeat(np.arange(1, 4, dtype=np.uint64), (1, 40, 70_000))
+    texts = np.concatenate([[0], np.arange(40), np.zeros(70_000)]).astype(np.uint64)
+    keys, loads = S.anchor_loads(anchors, texts)
+    assert keys.tolist() == [1, 2, 3] and loads.tolist() == [1, 45, 1 + 70_000 // 8]
+    blob = keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+    table = S.pa.table({"bucket": [0, 0], "chunk": [0, 1], "anchors": [blob, blob], "loads": [loads.tobytes()] * 2})
+    bits = lambda name, limit: [list(np.unpackbits(np.frombuffer(b, np.uint8))[:3])
+                                for b in S._marks(table, 1_000, limit).column(name).to_pylist()]
+    assert bits("shared", 89) == [[1, 1, 1]] * 2 and bits("hot", 89) == [[0, 1, 1]] * 2 and bits("hot", 90) == [[0, 0, 1]] * 2
