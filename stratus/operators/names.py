@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.names import city_part, exception_city, name_tokens, preferred_station_keys
+from ..functions.text import strip
 from ..session import materialize
 from .joins import sized_broadcast
+from .substrings import contained_keys
 
 
 def prepare_cities(cities: DataFrame, column: str = "city") -> DataFrame:
@@ -24,12 +26,28 @@ def prepare_cities(cities: DataFrame, column: str = "city") -> DataFrame:
             .filter(F.col("CITY").isNotNull() & (F.col("CITY") != "")).distinct())
 
 
+def exception_cities(names: DataFrame, exceptions: DataFrame, name_col: str = "NAME") -> DataFrame:
+    """``(name_col, CITY)`` of the names that contain an exception key.
+
+    ``exceptions``: PRIORITY, STATION_KEY and CITY, any number of rows. The key
+    of least priority (ties: the least city) counts; null and empty keys are
+    ignored. Equal to the first match of an ordered list.
+    """
+    upper = names.select(name_col, F.upper(name_col).alias("TEXT")).distinct()
+    keyed = exceptions.select("PRIORITY", F.upper("STATION_KEY").alias("KEY"), "CITY")
+    best = keyed.groupBy("KEY").agg(F.min(F.struct("PRIORITY", "CITY")).alias("best"))
+    found = (contained_keys(upper, keyed).join(sized_broadcast(best), "KEY")
+             .groupBy("TEXT").agg(F.min("best")["CITY"].alias("CITY")))
+    return upper.join(found, "TEXT").select(name_col, "CITY")
+
+
 def match_cities(stations: DataFrame, cities: DataFrame, name_col: str = "NAME",
                  exceptions=S.CITY_EXCEPTIONS) -> DataFrame:
     """City of each distinct station name (N5): exception list first, else the
     longest city (ties: alphabetical) that appears as whole words; else NULL.
 
     ``cities`` has one column ``CITY`` (see ``prepare_cities``).
+    ``exceptions`` is a short list of pairs or a table (see ``exception_cities``).
     Returns (name_col, CITY).
     """
     # One row per distinct name, written once: both the n-gram side and the
@@ -50,6 +68,10 @@ def match_cities(stations: DataFrame, cities: DataFrame, name_col: str = "NAME",
         F.min(F.struct((-F.length("CITY")).alias("k"), F.col("CITY"))).getField("CITY")
         .alias("_word_city"))
     out = names.join(sized_broadcast(best, rows_of=names), on="_name", how="left")
+    if isinstance(exceptions, DataFrame):
+        special = exception_cities(names, exceptions, "_name").withColumnRenamed("CITY", "_special")
+        return out.join(sized_broadcast(special, rows_of=names), on="_name", how="left").select(
+            F.col("_name").alias(name_col), F.coalesce("_special", "_word_city").alias("CITY"))
     return out.select(F.col("_name").alias(name_col),
                       F.coalesce(exception_city("_name", exceptions),
                                  F.col("_word_city")).alias("CITY"))
@@ -87,12 +109,21 @@ def choose_station(candidates: DataFrame, query_col: str = "QUERY",
     A candidate whose text holds a preferred station of the city wins; else
     the first whose text holds the city text (the query before its comma);
     else the first candidate. "First" is by ``position_col``. One grouped
-    min over a struct: no sort of whole groups.
+    min over a struct: no sort of whole groups. ``exceptions`` is a short list
+    of pairs or a table (see ``exception_cities``).
     """
     city = F.lower(strip_city(F.col(query_col)))
     text = F.lower(F.col(text_col))
-    prefs = preferred_station_keys(F.upper(city), exceptions)
-    is_pref = F.exists(prefs, lambda p: text.contains(p))
+    if isinstance(exceptions, DataFrame):
+        keys = exceptions.select(F.lower("CITY").alias("_city"),
+                                 strip(F.lower(F.split("STATION_KEY", ",", -1).getItem(0))).alias("KEY")).distinct()
+        held = contained_keys(candidates.select(text.alias("TEXT")), keys).join(keys, "KEY")
+        held = held.select(F.col("TEXT").alias("_text"), "_city").distinct().withColumn("_held", F.lit(True))
+        candidates = candidates.withColumns({"_city": city, "_text": text}).join(held, ["_city", "_text"], "left")
+        is_pref = F.col("_held").isNotNull()
+    else:
+        prefs = preferred_station_keys(F.upper(city), exceptions)
+        is_pref = F.exists(prefs, lambda p: text.contains(p))
     is_city = text.contains(city)
     rule = (F.when(is_pref, F.lit(0)).when(is_city, F.lit(1)).otherwise(F.lit(2)))
     ranked = candidates.select(F.col(query_col), rule.alias("_r"), F.col(position_col),

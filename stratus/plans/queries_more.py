@@ -640,6 +640,24 @@ def preferred_station_choice(spark, sf_dir):
     return NM.choose_station(stations.select(queries.alias("QUERY"), "POSITION", "CANDIDATE"))
 
 
+_DESK = "'Desk of ' || lower('Customer#' || lpad(o_custkey::varchar, 9, '0')) || ' for CUSTOMER#' || lpad((o_custkey // 2)::varchar, 9, '0')"
+
+
+@register("exception_table_match", "with e as (select c_custkey as p, upper(c_name) as k, 'City ' || c_nationkey as CITY from customer), "
+          f"n as (select distinct {_DESK} as NAME from orders) "
+          "select NAME, arg_min(CITY, p) as CITY from n join e on contains(upper(NAME), k) group by NAME")
+def exception_table_match(spark, sf_dir):
+    """Names matched with a table of exceptions that grows with the data."""
+    digits = lambda c: F.lpad(c.cast("string"), 9, "0")
+    key = F.col("o_custkey")
+    names = read_table(spark, sf_dir, "orders").select(F.concat(
+        F.lit("Desk of customer#"), digits(key), F.lit(" for CUSTOMER#"), digits(F.floor(key / 2))).alias("NAME"))
+    exceptions = read_table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("PRIORITY"), F.col("c_name").alias("STATION_KEY"),
+        F.concat(F.lit("City "), F.col("c_nationkey").cast("string")).alias("CITY"))
+    return NM.exception_cities(names, exceptions)
+
+
 @register("screen_columns", with_views(
     "select count(*) as n_rows, count(DATE) as n_dates, min(strftime(DATE, '%Y-%m-%d')) as first_day, "
     "'STATION,NAME' as text_columns, cast(0 as double) as missing_total from obs"))

@@ -1,5 +1,8 @@
+import random
+
 from pyspark.sql import functions as F
 
+from stratus import schema as S
 from stratus.functions import names as N
 from stratus.operators import names as NM
 
@@ -85,3 +88,51 @@ def test_city_match_against_brute_force(spark):
         spark.createDataFrame([(n,) for n in sorted(names)], "NAME string"), cities).collect()}
     for n in names:
         assert got[n] == _brute_force_city(n, city_list, S.CITY_EXCEPTIONS), n
+
+
+def _random_names(n_names, n_keys):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("ABCDE .,'é") for _ in range(rng.randrange(1, 6)))
+    keys = [(rng.randrange(n_keys // 2), word() + rng.choice(["", " ", word()]), f"C{rng.randrange(9)}") for _ in range(n_keys)]
+    return [" ".join(word() for _ in range(rng.randrange(0, 9))) for _ in range(n_names)], keys
+
+
+def test_exceptions_from_a_table_equal_every_key_tried(spark):
+    names, keys = _random_names(300, 400)
+    filler = [(1_000 + i, f"STATION NUMBER {i} FIELD", "NOWHERE") for i in range(10_000)]
+    keys += filler + [(0, None, "X"), (0, "", "X"), (5_000, "number 77 field", "SEVEN")]
+    names += ["A Station Number 77 Field, NY", "", None]
+    got = {r.NAME: r.CITY for r in NM.exception_cities(
+        spark.createDataFrame([(n,) for n in names + names], "NAME string"),
+        spark.createDataFrame(keys, "PRIORITY int, STATION_KEY string, CITY string")).collect()}
+    want = {}
+    for n in names:
+        hits = [(p, c) for p, k, c in keys if n is not None and k and k.upper() in n.upper()]
+        if hits:
+            want[n] = min(hits)[1]
+    assert got == want and len(want) > 50
+
+
+def test_a_table_of_exceptions_equals_the_list(spark):
+    from stratus.sources.dimensions import exception_dimension
+    table = exception_dimension(spark)
+    names = spark.createDataFrame([(f"at {k.lower()} {i}",) for i, (k, _) in enumerate(S.CITY_EXCEPTIONS)]
+                                  + [("YORK", ), ("x",), (None,)], "NAME string")
+    cities = NM.prepare_cities(spark.createDataFrame([("York",)], "city string"))
+    rows = lambda e: sorted(map(tuple, NM.match_cities(names, cities, exceptions=e).collect()))
+    assert rows(table) == rows(S.CITY_EXCEPTIONS)
+    candidates = spark.createDataFrame(
+        [(f"{c.title()}, ST", p, t) for c in ("NEW YORK", "NEWARK", "MINNEAPOLIS", "OTHER") for p, t in
+         enumerate(["first one", "at Lower St. Anthony Falls", "new york city", "Ny City Central Park 3", None])]
+        + [(None, 0, "x")], "QUERY string, POSITION int, CANDIDATE string")
+    rows = lambda e: sorted(map(tuple, NM.choose_station(candidates, exceptions=e).collect()), key=repr)
+    assert rows(table) == rows(S.CITY_EXCEPTIONS)
+
+
+def test_contained_keys_meet_on_a_gram(spark):
+    from stratus.operators.substrings import contained_keys
+    texts = spark.createDataFrame([("abcdef",), ("xyz",)], "TEXT string")
+    found = contained_keys(texts, spark.createDataFrame([("cde",), ("f",), ("abcdefg",), ("yz",)], "KEY string"))
+    assert sorted(map(tuple, found.collect())) == [("abcdef", "cde"), ("abcdef", "f"), ("xyz", "yz")]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
