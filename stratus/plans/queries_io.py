@@ -307,3 +307,33 @@ def batch_report_contents(spark, sf_dir):
             .union(part("null_profile", F.col("COLUMN_NAME"), F.col("NON_NULL"),
                         t["null_profile"].filter("COLUMN_NAME = 'TMAX'")))
             .union(part("event_frequencies", F.col("YEAR"), sum([F.col(f"`{c}`") for c in events], F.lit(0)))))
+
+
+@register("stored_profile", with_views(
+    "select year(DATE)::integer as YEAR, count(*) as n_rows, min(DATE) as min_date, max(DATE) as max_date, "
+    "count(TMAX) as n_TMAX, count(TSUN) as n_TSUN from obs where DATE is not null group by 1"))
+def stored_profile(spark, sf_dir):
+    """Counts and date bounds of every stored year, from the footers."""
+    return ST.stored_profile(spark, _stored_copy(spark, sf_dir, "profiled"), ["TMAX", "TSUN"], by_year=True)
+
+
+_YEAR_RANGES = ((1992, 1993), (1994, 1996), (1992, 1998), (1900, 1901))
+
+
+@register("stored_station_counts", with_views(
+    " union all ".join(
+        f"select {a} as FROM_YEAR, {b} as TO_YEAR, count(distinct NAME) as n_stations, count(*) as n_rows, true as within "
+        f"from obs where year(DATE) between {a} and {b}" for a, b in _YEAR_RANGES)))
+def stored_station_counts(spark, sf_dir):
+    """Distinct stations of ranges of years by merged sketches (A10, D1), beside
+    the exact count: within five standard errors."""
+    path = _stored_copy(spark, sf_dir, "sketched")
+    table = ST.read_observations(spark, path)
+    out = None
+    for a, b in _YEAR_RANGES:
+        exact = table.filter(F.col("YEAR").between(a, b)).agg(F.countDistinct("NAME").alias("exact"))
+        part = ST.stored_station_count(spark, path, a, b).crossJoin(exact).select(  # one row and one row
+            F.lit(a).alias("FROM_YEAR"), F.lit(b).alias("TO_YEAR"), F.col("exact").alias("n_stations"), "n_rows",
+            (F.abs(F.col("n_stations") - F.col("exact")) <= 0.08 * F.col("exact")).alias("within"))
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -25,6 +25,7 @@ from ..operators.filters import _as_date, suspect_temperature_condition
 from ..session import materialize
 from . import files as FS
 from . import keyindex
+from . import sketches as SK
 
 PARTITION_COL = "YEAR"
 NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"
@@ -111,6 +112,34 @@ def read_observations(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(TABLE_SCHEMA).parquet(path)
 
 
+def stored_profile(spark: SparkSession, path: str, columns: list[str] | None = None,
+                   by_year: bool = False) -> DataFrame:
+    """Rows, first and last date and non-null counts of the stored table (A5, A7, A8),
+    answered from the Parquet footers: the aggregates are pushed into the scan.
+
+    ``by_year`` gives a row per stored year. An empty table has zero rows and
+    NULL dates (by year: no row).
+    """
+    # The push-down belongs to the DataSource V2 reader, so it gets a session of its own.
+    own = spark.newSession()
+    if FS.partition_values(spark, path, PARTITION_COL):  # without a file there is no footer to count by
+        own.conf.set("spark.sql.sources.useV1SourceList", "")
+        own.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+        own.conf.set("spark.sql.caseSensitive", "true")  # groups by an upper-case partition column are pushed only so
+    table = read_observations(own, path)
+    grouped = table.groupBy(*([PARTITION_COL] if by_year else []))
+    return grouped.agg(F.count(F.lit(1)).alias("n_rows"), F.min("DATE").alias("min_date"),
+                       F.max("DATE").alias("max_date"), *[F.count(c).alias(f"n_{c}") for c in columns or []])
+
+
+def stored_station_count(spark: SparkSession, path: str, first_year: int, last_year: int) -> DataFrame:
+    """About how many stations, and how many rows, the table holds in a range of
+    years (A10, D1), merged from the sketches of its data files."""
+    years = [int(y) for y in FS.partition_values(spark, path, PARTITION_COL) if y.isdigit()]
+    years = [y for y in years if first_year <= y <= last_year]
+    return SK.merged_count(SK.file_sketches(spark, path, TABLE_SCHEMA, PARTITION_COL, years))
+
+
 def to_stored(df: DataFrame, floor=None) -> DataFrame:
     """Rows as stored: dated rows from the floor on, missing columns as NULL,
     fixed column set."""

@@ -400,3 +400,41 @@ def test_many_layouts_are_one_scan(spark, tmp_path, monkeypatch):
     assert sorted(got) == sorted(want)
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [") == 1 and "Union" not in plan
+
+
+def _stations(spark, year, names):
+    return spark.createDataFrame([(n, dt.date(year, 1, 1 + i % 28), float(i)) for i, n in enumerate(names)],
+                                 "NAME string, DATE date, TMAX double")
+
+
+def test_profile_of_the_stored_table_comes_from_the_footers(spark, tmp_path):
+    path = str(tmp_path / "t")
+    ST.ensure_table(spark, path)
+    assert tuple(ST.stored_profile(spark, path, ["TMAX"]).first()) == (0, None, None, 0)
+    ST.append_observations(_stations(spark, 2001, ["A", None, "B"]).withColumn("TMAX", F.nullif("TMAX", F.lit(1.0))), path)
+    ST.append_observations(_stations(spark, 2003, ["C"]), path)
+    whole = ST.stored_profile(spark, path, ["TMAX", "NAME"])
+    assert tuple(whole.first()) == (4, dt.date(2001, 1, 1), dt.date(2003, 1, 1), 3, 3)
+    years = ST.stored_profile(spark, path, by_year=True)
+    assert sorted(map(tuple, years.collect())) == [(2001, 3, dt.date(2001, 1, 1), dt.date(2001, 1, 3)),
+                                                   (2003, 1, dt.date(2003, 1, 1), dt.date(2003, 1, 1))]
+    for frame in (whole, years):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert re.search(r"PushedAggregation: \[[^\]]*COUNT\(\*\)[^\]]*MIN\(DATE\)", plan), plan
+
+
+def test_station_sketches_follow_the_data_files(spark, tmp_path):
+    path = str(tmp_path / "t")
+    ST.ensure_table(spark, path)
+    count = lambda a, b: tuple(ST.stored_station_count(spark, path, a, b).first())
+    assert count(2000, 2010) == (0, 0)
+    ST.append_observations(_stations(spark, 2001, [f"S{i % 40}" for i in range(100)]), path)
+    ST.append_observations(_stations(spark, 2002, [f"S{i}" for i in range(20, 60)]), path)
+    assert count(2001, 2001) == (40, 100) and count(2000, 2010) == (60, 140) and count(2003, 2010) == (0, 0)
+    ST.append_observations(_stations(spark, 2002, [f"T{i}" for i in range(10)]), path)
+    assert count(2002, 2002) == (50, 50)
+    ST.purge(spark, path, F.col("NAME").startswith("T"))
+    assert count(2002, 2002) == (40, 40) and count(2001, 2002) == (60, 140)
+    ST.purge_before(spark, path, "2002-01-01")
+    assert count(2000, 2010) == (40, 40)
+    assert ST.read_observations(spark, path).count() == 40
