@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions.measures import event_flag, row_total
 from ..functions.periods import period_label, period_start, year_of
+from .audit import profile_rows
 from .filters import capped
 
 
@@ -50,13 +51,45 @@ def station_period_snow_totals(df: DataFrame, freq: str = "Y") -> DataFrame:
 
 def station_period_conditions(df: DataFrame, freq: str = "Y") -> DataFrame:
     """Mean of each measure, except rain/haze/fog flags which are summed (A3)."""
-    aggs = []
-    for c in _present(df, S.AGG_MEASURES):
-        if c in S.SUMMED_EVENTS:
-            aggs.append(F.coalesce(F.sum(c), F.lit(0.0)).alias(c))
-        else:
-            aggs.append(F.avg(c).alias(c))
-    return _grouped_by_station_period(df, freq, aggs)
+    return _grouped_by_station_period(df, freq, _condition_aggregates(df))
+
+
+def _condition_aggregates(df: DataFrame) -> list[Column]:
+    return [(F.coalesce(F.sum(c), F.lit(0.0)) if c in S.SUMMED_EVENTS else F.avg(c)).alias(c)
+            for c in _present(df, S.AGG_MEASURES)]
+
+
+def station_year_facts(df: DataFrame, event_cols: list[str]) -> DataFrame:
+    """One row per station and year (missing ones too) with all that the report
+    needs of the daily rows: conditions (A3), event days (A11) and counts (A5,
+    A7). Event days and counts add up over stations and years, so the yearly
+    events and the whole table's profile need no further pass over the days."""
+    return df.groupBy("NAME", period_start("DATE", "Y").alias("PERIOD_START")).agg(
+        *_condition_aggregates(df),
+        *[F.sum(event_flag(c)).cast("bigint").alias(f"days_{c}") for c in _present(df, event_cols)],
+        F.count(F.lit(1)).alias("n_rows"), *[F.count(c).alias(f"n_{c}") for c in df.columns])
+
+
+def conditions_of_facts(facts: DataFrame) -> DataFrame:
+    """The conditions (A3) in ``station_year_facts``."""
+    kept = facts.filter(F.col("NAME").isNotNull() & F.col("PERIOD_START").isNotNull())
+    return kept.select("NAME", "PERIOD_START", _label_from_start("Y").alias("PERIOD_LABEL"), *_present(facts, S.AGG_MEASURES))
+
+
+def events_of_facts(facts: DataFrame, event_cols: list[str], min_total: int = S.MIN_EVENT_TOTAL) -> DataFrame:
+    """The yearly event frequencies (A12) in ``station_year_facts``."""
+    cols = [c for c in event_cols if f"days_{c}" in facts.columns]
+    yearly = (facts.filter(F.col("PERIOD_START").isNotNull()).groupBy(year_of("PERIOD_START").alias("YEAR"))
+              .agg(*[F.sum(f"days_{c}").alias(c) for c in cols]))
+    return _valid_years(yearly, cols, min_total)
+
+
+def profile_of_facts(facts: DataFrame) -> DataFrame:
+    """The null profile (A7) in ``station_year_facts``."""
+    names = [c[2:] for c in facts.columns if c.startswith("n_") and c != "n_rows"]
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    wide = facts.agg(total("n_rows").alias("__rows"), *[total(f"n_{c}").alias(c) for c in names])
+    return profile_rows(wide, names)
 
 
 def heavy_precipitation_years(df: DataFrame, limit: float = S.HEAVY_PRCP_LIMIT) -> DataFrame:
@@ -113,6 +146,11 @@ def yearly_event_frequencies(df: DataFrame, event_cols: list[str] | None = None,
     yearly = (df.filter(F.col("DATE").isNotNull())
                 .groupBy(year_of("DATE").alias("YEAR"))
                 .agg(*[F.sum(event_flag(c)).cast("bigint").alias(c) for c in cols]))
+    return _valid_years(yearly, cols, min_total, year_from, year_to)
+
+
+def _valid_years(yearly: DataFrame, cols: list[str], min_total: int, year_from: int | None = None,
+                 year_to: int | None = None) -> DataFrame:
     total = row_total(cols)
     out = yearly.filter(total >= min_total)
     every_year = Window.partitionBy()  # over one row per calendar year

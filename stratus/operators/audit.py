@@ -34,6 +34,11 @@ def null_profile(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Non-null and null count per column, long form (A7), one pass."""
     cols = [c for c in (cols or df.columns) if c in df.columns]
     wide = df.agg(F.count(F.lit(1)).alias("__rows"), *[F.count(c).alias(c) for c in cols])
+    return profile_rows(wide, cols)
+
+
+def profile_rows(wide: DataFrame, cols: list[str]) -> DataFrame:
+    """One row of counts (``__rows`` and one per column) in long form."""
     long = wide.unpivot(["__rows"], cols, "COLUMN_NAME", "NON_NULL")
     return long.select("COLUMN_NAME", "NON_NULL", F.col("__rows").alias("ROWS"),
                        (F.col("__rows") - F.col("NON_NULL")).alias("NULLS"))

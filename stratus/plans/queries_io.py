@@ -8,10 +8,13 @@ from __future__ import annotations
 
 import os
 import time
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from ..operators import aggregates as AG
 from ..operators import clean as C
 from ..operators import names as NM
 from ..session import scratch_path
@@ -20,7 +23,7 @@ from ..sources import store as ST
 from ..sources.adapter import city_dimension, raw_observations, with_views
 from ..streaming import ingest as IN
 from . import report as R
-from .catalog import _obs, register
+from .catalog import ORACLES, _obs, register
 from .queries_more import CLEAN_FLOOR, _clean_ctes, _match_sql
 
 _CLEAN_COLS = ["STATION", "DATE", "LATITUDE", "LONGITUDE", "ELEVATION", "NAME",
@@ -250,7 +253,6 @@ def file_manifest(spark, sf_dir):
 
 
 REPORT_YEAR = 2000
-_REPORT_EVENTS = ["WT01", "WT02", "WT08", "WT16"]
 _A3 = ("g as (select NAME, cast(year(DATE) as bigint) as YEAR, "
        + ", ".join(f"coalesce(sum({c}), 0.0) as {c}" if c in S.SUMMED_EVENTS
                    else f"avg({c}) as {c}" for c in S.AGG_MEASURES)
@@ -261,8 +263,8 @@ _SNOW = (f"s as (select NAME, sum(SNOW) as SNOW from g where YEAR = {REPORT_YEAR
 _SHARE_GROUPS = (f"select count(distinct case when SNOW / (select sum(SNOW) from s) < "
                  f"{S.SNOW_SHARE_MIN} then 'Others' else NAME end) from s")
 _EVENTS = ("e as (select cast(year(DATE) as bigint) as YEAR, "
-           + " + ".join(f"sum(case when {c} > 0 then 1 else 0 end)" for c in _REPORT_EVENTS)
-           + " as total from obs where DATE is not null group by 1)")
+           + ", ".join(f"sum(case when {c} > 0 then 1 else 0 end) as n_{c}" for c in R.EVENTS)
+           + ", " + " + ".join(f"n_{c}" for c in R.EVENTS) + " as total from obs where DATE is not null group by 1)")
 
 
 @register("batch_report", with_views(
@@ -286,27 +288,49 @@ def _report(spark, sf_dir):
     return R.write_report(_obs(spark, sf_dir), scratch_path(spark, "report"), REPORT_YEAR)
 
 
-@register("batch_report_contents", with_views(
-    "select 'snow_ranking' as \"TABLE\", NAME as KEY, round(SNOW, 6) as VALUE from s "
-    f"where SNOW >= {S.SNOW_RANK_MIN} union all "
-    "select 'max_temp_trend', NAME || ' ' || YEAR, round(TMAX, 6) from g "
-    f"where NAME in {_FIRST20} union all "
-    "select 'null_profile', 'TMAX', cast((select count(TMAX) from obs) as double) union all "
-    f"select 'event_frequencies', cast(YEAR as varchar), cast(total as double) from e where total >= {S.MIN_EVENT_TOTAL}",
-    ctes=[_A3, _SNOW, _EVENTS]))
+_BOX_COLS = ["min", "q1", "median", "q3", "max", "lower_whisker", "upper_whisker"]
+
+
+def _report_sql() -> str:
+    """Every cell of the nine report tables, one row each."""
+    cell = lambda table, key, value, source: (
+        f"select '{table}' as \"TABLE\", {key} as KEY, cast({value} as double) as VALUE from {source}")
+    parts = [cell("snow_ranking", "NAME", "round(SNOW, 6)", f"s where SNOW >= {S.SNOW_RANK_MIN}"),
+             cell("max_temp_trend", "NAME || ' ' || YEAR", "round(TMAX, 6)", f"g where NAME in {_FIRST20}"),
+             cell("snow_trend", "NAME || ' ' || YEAR", "round(SNOW, 6)", f"g where NAME in {_FIRST20}"),
+             cell("snow_share", "NAME || ' SNOW'", "round(SNOW, 6)", "o"),
+             cell("snow_share", "NAME || ' SHARE'", "round(SNOW / total, 6)", "o"),
+             cell("correlation_matrix", "COL_A || ' ' || COL_B", "CORR", f"({ORACLES['correlation_matrix']})")]
+    parts += [cell("station_year_conditions", f"NAME || ' ' || YEAR || ' {c}'", f"round({c}, 6)", "g") for c in S.AGG_MEASURES]
+    parts += [cell("temp_box_by_year", f"YEAR || ' {c}'", f'"{c}"', f"({ORACLES['temp_box_by_year']})") for c in _BOX_COLS]
+    parts += [cell("null_profile", f"'{c}'", "n", f"(select count({c}) as n from obs)") for c in S.BASE_COLS + S.KEEP_MEASURES]
+    parts += [cell("event_frequencies", f"YEAR || ' {AG.chart_label(c)}'", f"n_{c}", f"e where total >= {S.MIN_EVENT_TOTAL}")
+              for c in R.EVENTS]
+    shares = ("t as (select sum(SNOW) as total from s), o as (select case when s.SNOW / t.total < "
+              f"{S.SNOW_SHARE_MIN} then 'Others' else NAME end as NAME, sum(s.SNOW) as SNOW, any_value(t.total) as total "
+              "from s, t group by 1)")
+    return with_views(" union all ".join(parts), ctes=[_A3, _SNOW, _EVENTS, shares])
+
+
+@register("batch_report_contents", _report_sql())
 def batch_report_contents(spark, sf_dir):
-    """Values of four of the written report tables."""
+    """Every value of the nine written report tables."""
     t = {name: spark.read.parquet(p) for name, p in _report(spark, sf_dir).items()}
 
-    def part(name, key, value, rows=None):
-        return (rows if rows is not None else t[name]).select(
-            F.lit(name).alias("TABLE"), key.cast("string").alias("KEY"), F.round(value.cast("double"), 6).alias("VALUE"))
-    events = [c for c in t["event_frequencies"].columns if c != "YEAR"]
-    return (part("snow_ranking", F.col("NAME"), F.col("SNOW"))
-            .union(part("max_temp_trend", F.concat_ws(" ", "NAME", "PERIOD_LABEL"), F.col("TMAX")))
-            .union(part("null_profile", F.col("COLUMN_NAME"), F.col("NON_NULL"),
-                        t["null_profile"].filter("COLUMN_NAME = 'TMAX'")))
-            .union(part("event_frequencies", F.col("YEAR"), sum([F.col(f"`{c}`") for c in events], F.lit(0)))))
+    def cells(name, key, columns):
+        values = F.array(*[F.struct(F.lit(label).alias("label"), F.round(F.col(f"`{c}`").cast("double"), 6).alias("VALUE"))
+                           for c, label in columns.items()])
+        return t[name].select(F.concat_ws(" ", *key).alias("key"), F.explode(values).alias("cell")).select(
+            F.lit(name).alias("TABLE"), F.concat("key", "cell.label").alias("KEY"), F.col("cell.VALUE").alias("VALUE"))
+    named = lambda columns: {c: f" {c}" for c in columns}
+    year = ["NAME", "PERIOD_LABEL"]
+    return reduce(DataFrame.unionByName, [
+        cells("snow_ranking", ["NAME"], {"SNOW": ""}), cells("max_temp_trend", year, {"TMAX": ""}),
+        cells("snow_trend", year, {"SNOW": ""}), cells("snow_share", ["NAME"], named(["SNOW", "SHARE"])),
+        cells("correlation_matrix", ["COL_A", "COL_B"], {"CORR": ""}),
+        cells("station_year_conditions", year, named(S.AGG_MEASURES)), cells("temp_box_by_year", ["YEAR"], named(_BOX_COLS)),
+        cells("null_profile", ["COLUMN_NAME"], {"NON_NULL": ""}),
+        cells("event_frequencies", ["YEAR"], named(AG.chart_label(c) for c in R.EVENTS))])
 
 
 @register("stored_profile", with_views(

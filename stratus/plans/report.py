@@ -1,10 +1,9 @@
 """Batch report: every chart's result set written as a table in one job.
 
-The station-year condition aggregate feeds most charts; it is written once
-to the output folder and every later result reads that copy, which both
-avoids recomputing it and cuts the lineage (a lost executor re-reads files
-instead of re-running the aggregation). The daily observations are read by
-three passes only: the null profile, the conditions and the event counts.
+One aggregate by station and year (conditions, event days and counts) is all
+that the report takes from the daily observations: one scan. It is written once,
+every table is made from that copy, and a lost executor re-reads files instead
+of re-running the aggregation.
 """
 
 from __future__ import annotations
@@ -17,12 +16,13 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..operators import aggregates as A
-from ..operators import audit as AU
 from ..operators import stats as ST
+from ..session import materialize
 from . import series as G
 
 
 REPORT_THREADS = 4
+EVENTS = ["WT01", "WT02", "WT08", "WT16"]
 
 
 def write_report(df: DataFrame, out_dir: str, snow_year: int,
@@ -47,11 +47,11 @@ def write_report(df: DataFrame, out_dir: str, snow_year: int,
         with ThreadPoolExecutor(max_workers=REPORT_THREADS) as pool:
             paths.update(pool.map(put, tasks))
 
-    # The three passes over the daily observations.
-    wave([("null_profile", lambda: AU.null_profile(df)),
-          ("station_year_conditions", lambda: A.station_period_conditions(df, "Y")),
-          ("event_frequencies", lambda: A.yearly_event_frequencies(
-              df, ["WT01", "WT02", "WT08", "WT16"], min_event_total))])
+    # The one pass over the daily observations.
+    facts = materialize(A.station_year_facts(df, EVENTS), "report-facts")
+    wave([("null_profile", lambda: A.profile_of_facts(facts)),
+          ("station_year_conditions", lambda: A.conditions_of_facts(facts)),
+          ("event_frequencies", lambda: A.events_of_facts(facts, EVENTS, min_event_total))])
     conditions = spark.read.parquet(paths["station_year_conditions"])
     # Everything else reads the written station-year table; TMAX and SNOW
     # there are the station-year means the trend charts plot.

@@ -3,6 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from stratus import schema as S
 from stratus.operators import aggregates as A
 
 D = dt.date(2020, 1, 1)
@@ -68,3 +69,29 @@ def test_top_positive_is_ordered_with_ties(spark):
     df = spark.createDataFrame(rows, "NAME string, TSUN double")
     out = A.top_positive_stations(df, "TSUN", 2).collect()
     assert [(r.NAME, r.records) for r in out] == [("c", 2), ("a", 1)]
+
+
+def test_report_reads_the_days_once(spark, tmp_path):
+    from stratus.operators import audit as AU
+    from stratus.plans import report as R
+    rows = [(f"S{i % 5}" if i % 11 else None, dt.date(2000 + i % 3, 1 + i % 12, 1) if i % 7 else None, float(i % 4), float(i))
+            for i in range(200)]
+    days = spark.createDataFrame(rows, "NAME string, DATE date, WT01 double, TMAX double").withColumns(
+        {c: F.lit(None).cast("double") if c in ("RHAV", "TSUN") else F.col("TMAX") / 7 for c in S.AGG_MEASURES
+         if c not in ("WT01", "TMAX")})
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(name):
+        read.add(1)
+        return name
+    counted = days.withColumn("NAME", F.udf(seen, "string").asNondeterministic()("NAME"))
+    paths = R.write_report(counted, str(tmp_path), 2000, min_event_total=1)
+    assert read.value == 200
+    rows_of = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    table = lambda name: spark.read.parquet(paths[name])
+    assert rows_of(table("null_profile")) == rows_of(AU.null_profile(days))
+    assert rows_of(table("event_frequencies")) == rows_of(A.yearly_event_frequencies(days, R.EVENTS, 1))
+    got, want = table("station_year_conditions"), A.station_period_conditions(days, "Y")
+    assert got.columns == want.columns
+    rounded = lambda df: df.select(*[F.round(c, 9).alias(c) if c in S.AGG_MEASURES else c for c in df.columns])
+    assert rows_of(rounded(got)) == rows_of(rounded(want)) and got.count() == 15
