@@ -35,7 +35,7 @@ def test_query_matches_oracle(spark, sf_small, duck, name):
     rows = [tuple(_norm(x) for x in r) for r in df.collect()]
     sql = E.oracle_sql().get(name)
     if sql is None:
-        assert len(rows) >= 0
+        assert rows  # its contract is tested in tests/llm
         return
     cur = duck.execute(sql)
     cols = [d[0] for d in cur.description]
