@@ -26,6 +26,8 @@ OVERLAP = 4
 _MOST = np.float32(60)
 #: Targets that occur less often in a call are scored choice by choice.
 _FEW = 8
+#: The heaviest nodes, nearest to the root: training takes them in one product for all targets.
+_HEAVY = 32
 _FAR = np.float32(-1e9)
 
 
@@ -93,6 +95,7 @@ class Model:
         self.back = np.maximum(i[:, None] - i, 0)
         self.ahead = np.where(i[:, None] >= i, np.float32(0), _FAR)
         self.paths = tree.first.astype(np.int32), tree.nodes, np.where(tree.turns == 1, -1, 1).astype(np.float32)
+        self.split = None
 
     def tables(self) -> np.ndarray:
         """Per id its query, key, value and own projection, side by side."""
@@ -155,6 +158,56 @@ class Model:
         result[order] = -loss
         return result
 
+    def _split_paths(self) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+        """Per id the signs of its choices at the heaviest nodes (0: not on its path), and the paths below these.
+
+        Nodes are numbered by growing weight, so the heaviest are the last and end each path."""
+        if self.split is None:
+            first, nodes, sign = self.paths
+            heavy = len(self.p["out"]) - min(_HEAVY, len(self.p["out"]))
+            ids = np.repeat(np.arange(len(first) - 1), np.diff(first))
+            low = nodes < heavy
+            signs = np.zeros((len(first) - 1, len(self.p["out"]) - heavy), np.int8)
+            signs[ids[~low], nodes[~low] - heavy] = sign[~low]
+            below = np.concatenate([[0], np.cumsum(np.bincount(ids[low], minlength=len(first) - 1))]).astype(np.int32)
+            self.split = signs, (below, nodes[low], sign[low])
+        return self.split
+
+    def _path_gradient(self, states: np.ndarray, targets: np.ndarray) -> tuple[float, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+        """The summed loss of ``targets``, its slopes by hidden row and by the touched rows of ``out``."""
+        out = self.p["out"]
+        into = _with_one(states)
+        signs, low = self._split_paths()
+        heavy = len(out) - signs.shape[1]
+        sign = signs[targets].astype(into.dtype)
+        grown = _grown((into @ out[heavy:].T) * sign)
+        # A node that is not on the path adds log 2 to the product's loss, and no slope.
+        loss = np.log1p(grown).sum() - np.log(2) * np.count_nonzero(sign == 0)
+        slope = grown / (1 + grown) * sign
+        d_states = slope @ out[heavy:, :-1]
+        at_heavy = np.flatnonzero(sign.any(axis=0))
+        g_heavy = (slope.T @ into)[at_heavy]
+        # The rest step by step, the targets with the longest paths first, so that a step takes the first rows.
+        first, nodes, signs = low
+        length = first[targets + 1] - first[targets]
+        order = np.argsort(-length.astype(np.int16), kind="stable")
+        start, into = first[targets][order], into[order]
+        d_low = np.zeros_like(into)
+        touched, parts = [at_heavy + heavy], [g_heavy]
+        left = np.cumsum(np.bincount(length)[::-1])[::-1]  # how many have so many steps
+        for step, n in enumerate(left[1:].tolist()):
+            at = nodes[start[:n] + step]
+            rows, sign = out[at], signs[start[:n] + step]
+            grown = _grown(np.einsum("ij,ij->i", into[:n], rows) * sign)
+            loss += np.log1p(grown).sum()
+            slope = (grown / (1 + grown) * sign)[:, None]
+            rows *= slope
+            d_low[:n] += rows
+            touched.append(at)
+            parts.append(into[:n] * slope)
+        d_states[order] += d_low[:, :-1]
+        return float(loss), d_states, _summed(np.concatenate(touched), np.concatenate(parts))
+
     def gradient(self, inputs: np.ndarray, targets: np.ndarray, scored: np.ndarray) -> tuple[float, dict]:
         """The summed loss and, per parameter, the rows touched and their gradient."""
         p, scale = self.p, np.float32(1 / np.sqrt(self.p["query"].shape[1]))
@@ -163,15 +216,8 @@ class Model:
         rows = p["embed"][seen]
         hidden, weights, total, q, k, v = self._hidden(place, self._projected(rows))
         weights /= total
-        which, nodes, turns = self._choices((self.tree.first.astype(np.int32), self.tree.nodes, self.tree.turns), targets[scored])
         flat = hidden[scored]
-        into = _with_one(flat)
-        logit = np.einsum("ij,ij->i", into[which], p["out"][nodes])
-        loss = np.logaddexp(0, np.where(turns == 1, -logit, logit)).sum()
-        slope = (1 / (1 + np.exp(-logit)) - turns).astype(np.float32)
-        touched, g_out = _summed(nodes, slope[:, None] * into[which])
-        starts = np.searchsorted(which, np.arange(len(flat)))
-        d_flat = np.add.reduceat(slope[:, None] * p["out"][nodes, :-1], starts, axis=0)
+        loss, d_flat, g_out = self._path_gradient(flat, targets[scored])
         d_hidden = np.zeros_like(hidden)
         d_hidden[scored] = d_flat * (1 - flat * flat)
         d_weights = d_hidden @ v.transpose(0, 2, 1)
@@ -187,8 +233,12 @@ class Model:
         grads = {name: (every, rows.T @ part) for name, part in parts.items()}
         grads["embed"] = (seen, sum(part @ p[name].T for name, part in parts.items()))
         grads["near"] = (np.arange(self.window), near.astype(np.float32))
-        grads["out"] = (touched, g_out)
-        return float(loss), grads
+        grads["out"] = g_out
+        return loss, grads
+
+
+def _grown(x: np.ndarray) -> np.ndarray:
+    return np.exp(np.minimum(x, _MOST, out=x), out=x)
 
 
 def _softplus(x: np.ndarray) -> np.ndarray:
@@ -204,7 +254,8 @@ def _with_one(rows: np.ndarray) -> np.ndarray:
 
 def _summed(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct keys and the sum of their rows."""
-    order = np.argsort(keys, kind="stable")
+    narrow = keys.astype(np.uint16) if len(keys) and keys.max() < 1 << 16 else keys  # 16 bits are sorted by radix
+    order = np.argsort(narrow, kind="stable")
     sorted_keys = keys[order]
     first = np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]]))
     return sorted_keys[first], np.add.reduceat(rows[order], first, axis=0)

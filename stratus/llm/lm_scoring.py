@@ -6,9 +6,9 @@ ids are counted over the whole corpus by grouped sums.
 
 The model (``attention``) starts from the corpus's id counts. Training is local
 descent with averaging: in each of ``ROUNDS`` rounds every task walks through
-its share of the training documents' windows, one in ``TRAIN_EVERY`` by hash (so
-the training set grows with the corpus), and the rows of the parameters that
-tasks touched are averaged in Spark, weighted by how often. What reaches the
+its share of the training documents' windows, one in ``TRAIN_EVERY`` by hash, in
+each round others (so the rounds together take every window once), and the rows
+of the parameters that tasks touched are averaged in Spark, weighted by how often. What reaches the
 driver is the parameters, whose size is the vocabulary's. Scoring splits every
 text into overlapping windows and scores each id, and the closing id, once.
 
@@ -44,13 +44,13 @@ SMOOTHING = 0.1
 #: Words whose counts are broadcast; the counts of all others come from a join.
 HEAD = 1 << 17
 ROUNDS = 2
-#: One window in so many is trained on, in each round others.
-TRAIN_EVERY = 64
+#: One window in so many is trained on in a round, in each round others: as many as rounds, so all are.
+TRAIN_EVERY = ROUNDS
 RATE = 0.15
 #: Windows computed at once.
 BATCH = 384
 #: Hidden rows that are scored at once, about.
-STATES = 1 << 20
+STATES = 1 << 18
 #: Parameter rows that travel as one row.
 CHUNK = 512
 
@@ -162,10 +162,11 @@ def _averaged(relation: DataFrame, tree: attention.Tree, params: dict, end: int,
                 ids, sizes = _ids(batch, i, end)
                 held = batch.column("held")[i].values.to_numpy(zero_copy_only=False).astype(bool)
                 chosen = _chosen(batch.column("block")[i].as_py(), sizes, held, turn, every)
-                rest += [x[:3] for x in _inputs(ids, sizes, end, chosen)]
-                if sum(len(x[0]) for x in rest) >= BATCH // 2:
-                    trainer.step(*(np.concatenate(x) for x in zip(*rest)))
-                    rest = []
+                for windows in _inputs(ids, sizes, end, chosen):
+                    rest.append(windows[:3])
+                    if sum(len(x[0]) for x in rest) >= BATCH // 2:
+                        trainer.step(*(np.concatenate(x) for x in zip(*rest)))
+                        rest = []
         if rest:
             trainer.step(*(np.concatenate(x) for x in zip(*rest)))
         for name, touched in trainer.touched.items():

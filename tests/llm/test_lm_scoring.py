@@ -129,3 +129,19 @@ def test_training_helps_held_out_texts(spark, docs_of):
         return out.where("held_out").agg(F.sum("score")).first()[0]
     before, after = total(0), total(2)
     assert after > 0.6 * before  # both negative: at least two fifths of the surprise is gone
+
+
+def test_every_training_window_is_learnt(spark, docs_of):
+    # A word of its own in each window: the rows of all their ids must move.
+    words = [f"{a}{b}" for a in "abcdefghij" for b in "klmnopqrst"]
+    rows = [(i, " ".join(f"{w} the {w}" for w in words[i % 10 * 10:i % 10 * 10 + 10])) for i in range(40)]
+    relation = L._relation(docs_of(rows), vocabulary_path(), END_OF_TEXT, L.BLOCK_BYTES)
+    tree, params = L.train(relation, END_OF_TEXT)
+    moved = (params["embed"] != A.fresh(tree)["embed"]).any(axis=1)
+    counts = L._id_counts(relation, END_OF_TEXT)
+    assert (counts > 0).sum() > 50
+    assert moved[counts > 0].all() and not moved[counts == 0].any()
+    sizes = np.array([1, 30, 500, 77])
+    held = np.array([False, True, False, False])
+    taken = np.concatenate([L._chosen(3, sizes, held, turn, L.TRAIN_EVERY) for turn in range(L.ROUNDS)])
+    assert sorted(taken) == np.flatnonzero(~held[A.windows(sizes)[0]]).tolist()
