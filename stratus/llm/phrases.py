@@ -60,6 +60,8 @@ _KIND = np.zeros(256, np.uint8)
 _KIND[list(_BLANK)] = 1
 _KIND[list(_SPLIT)] = 2
 
+_KINDS = ("i1", "<i2", "<i4")
+
 _BLOCK = "lang string, ats binary, ids binary, keys binary, phrases binary, counts binary"
 
 
@@ -87,15 +89,32 @@ def _key_hash(hashes: np.ndarray, phrases: np.ndarray, salt: np.uint64) -> np.nd
     return out
 
 
+def _packed(rows: np.ndarray) -> bytes:
+    """The rows of a matrix of integers, each in the fewest bytes a number that hold it; their kinds first."""
+    kinds = [next((i for i, k in enumerate(_KINDS) if not row.size or (np.iinfo(k).min <= row.min() and row.max() <= np.iinfo(k).max)))
+             for row in rows]
+    return bytes(kinds) + b"".join(row.astype(_KINDS[k]).tobytes() for row, k in zip(rows, kinds))
+
+
+def _unpacked(data: pa.Buffer, height: int) -> np.ndarray:
+    kinds = [np.dtype(_KINDS[k]) for k in np.frombuffer(data, np.uint8, height)]
+    size = (len(data) - height) // sum(k.itemsize for k in kinds)
+    out, at = np.empty((height, size), np.int64), height
+    for row, kind in zip(out, kinds):
+        row[:] = np.frombuffer(data, kind, size, at)
+        at += size * kind.itemsize
+    return out
+
+
 def _row(lang: str, ats: np.ndarray, ids: np.ndarray, hashes: np.ndarray, phrases: np.ndarray, counts: np.ndarray,
          words: pa.Array | None = None) -> pa.RecordBatch:
     """A block: its occurrences, its words' hashes (highest byte first), its phrases and their counts.
 
     A phrase is the numbers of its words in the block; phrases come in ascending order, so the
     steps from one to the next in each column are small."""
-    parts = [np.diff(ats, prepend=0).astype("<i4"), ids.astype("<i4"), hashes.astype(">u8"),
-             np.diff(phrases, axis=1, prepend=0).astype("<i4"), counts.astype("<i4")]
-    columns = [pa.array([lang], pa.string()), *(pa.array([x.tobytes()], pa.binary()) for x in parts)]
+    parts = [_packed(np.diff(ats, prepend=0)[None]), _packed(ids[None]), hashes.astype(">u8").tobytes(),
+             _packed(np.diff(phrases, axis=1, prepend=0)), _packed(counts[None])]
+    columns = [pa.array([lang], pa.string()), *(pa.array([x], pa.binary()) for x in parts)]
     names = ["lang", "ats", "ids", "keys", "phrases", "counts"]
     if words is not None:
         columns, names = [*columns, blocks.list_array(np.array([0, len(words)]), words)], [*names, "words"]
@@ -103,13 +122,13 @@ def _row(lang: str, ats: np.ndarray, ids: np.ndarray, hashes: np.ndarray, phrase
 
 
 def _ints(batch: pa.RecordBatch, name: str, i: int) -> np.ndarray:
-    return np.frombuffer(batch.column(name)[i].as_buffer(), "<i4").astype(np.int64)
+    return _unpacked(batch.column(name)[i].as_buffer(), 1)[0]
 
 
 def _phrases(batch: pa.RecordBatch, i: int, width: int) -> tuple[np.ndarray, np.ndarray]:
     """A block's word hashes, and its phrases as word numbers, a row per place in the phrase."""
     hashes = np.frombuffer(batch.column("keys")[i].as_buffer(), ">u8").astype(np.uint64)
-    return hashes, np.cumsum(_ints(batch, "phrases", i).reshape(width, -1), axis=1)
+    return hashes, np.cumsum(_unpacked(batch.column("phrases")[i].as_buffer(), width), axis=1)
 
 
 def _key_array(keys: np.ndarray) -> pa.Array:
@@ -125,18 +144,18 @@ def _listed(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def _word_counts(relation: DataFrame) -> DataFrame:
-    """A row per block and word: lang, key, n, the hash for the semi-join, and the word."""
+    """A row per block and word: lang, word, n, its key as a number, and the hash for the semi-join."""
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 lang = batch.column("lang")[i].as_py()
                 hashes, phrases = _phrases(batch, i, 1)
                 h = _key_hash(hashes, phrases, _lang_salt(lang)).view(np.int64)
-                columns = [pa.repeat(lang, len(h)), _key_array(hashes[phrases].T), pa.array(_ints(batch, "counts", i)),
-                           pa.array(h), batch.column("words")[i].values]
-                yield pa.RecordBatch.from_arrays(columns, names=["lang", "key", "n", "h", "word"])
+                columns = [pa.repeat(lang, len(h)), batch.column("words")[i].values, pa.array(_ints(batch, "counts", i)),
+                           pa.array(hashes[phrases[0]].view(np.int64)), pa.array(h)]
+                yield pa.RecordBatch.from_arrays(columns, names=["lang", "word", "n", "k", "h"])
     return relation.select("lang", "keys", "phrases", "counts", "words").mapInArrow(
-        rows_of, "lang string, key binary, n bigint, h bigint, word string")
+        rows_of, "lang string, word string, n bigint, k bigint, h bigint")
 
 
 def _hash_counts(relation: DataFrame, width: int) -> DataFrame:
@@ -238,9 +257,11 @@ def frequent_phrases(docs: DataFrame, min_count: int, max_words: int, block_byte
     occurs ``min_count`` times, with ``word`` for single words; ``(lang, n)`` of all words."""
     for seed in range(1, 100):
         relation = _persisted(_occurrences(docs, seed, block_bytes), "phrase-relation")
+        # A word's key and hash are the same in every block; sums and maxima of numbers are hashed, not sorted.
         counted = _word_counts(relation).groupBy("lang", "word").agg(
-            F.sum("n").alias("n"), F.first("key").alias("key"), F.first("h").alias("h"))
-        vocabulary = staged(counted, "phrase-words")
+            F.sum("n").alias("n"), F.max("k").alias("k"), F.max("h").alias("h"))
+        vocabulary = staged(counted.select("lang", "word", "n", F.unhex(F.lpad(F.hex("k"), 16, "0")).alias("key"), "h"),
+                            "phrase-words")
         clash = vocabulary.groupBy("lang", "key").count().where("count > 1").limit(1).count()
         if not clash:
             break
