@@ -170,7 +170,8 @@ def without_repeats(rows: DataFrame, keys: list[str]) -> DataFrame:
     """One row per key (NULL keys compare equal): the least under the order of
     all other columns, so the choice does not depend on the partitioning."""
     others = [c for c in rows.columns if c not in keys]
-    return (rows.groupBy(*keys).agg(F.min(F.struct(*others)).alias("_row"))
+    # Dealt by key before the rows are sorted: whole rows are then sorted once, in partitions of a shuffle's size.
+    return (rows.repartition(*keys).groupBy(*keys).agg(F.min(F.struct(*others)).alias("_row"))
             .select(*[F.col(c) if c in keys else F.col("_row")[c].alias(c) for c in rows.columns]))
 
 
@@ -181,7 +182,9 @@ def append_observations(df: DataFrame, path: str, floor=None,
     ``dedupe_keys`` (e.g. ``("STATION", "DATE")``) drops rows whose key is
     already stored or repeated in the batch. With ``DATE`` among the keys only
     the batch's years are looked at: their Bloom filters (``keyindex``) tell
-    which rows are certainly new, and only the years of the others are read.
+    which keys are certainly new, and only the years of the others are read.
+    Keys alone are compared; whole rows move when their key is new, so ``df`` is
+    read twice and must give the same rows each time.
     The row count comes from an observation on the written rows (no second
     pass over the data). An empty batch is reported as not ok and creates
     nothing.
@@ -191,9 +194,9 @@ def append_observations(df: DataFrame, path: str, floor=None,
         new_table = not FS.exists(spark, path)
         rows = to_stored(df, floor)
         if dedupe_keys:
-            rows = without_repeats(rows, list(dedupe_keys))
             if not new_table:
                 rows = _not_stored(rows, path, list(dedupe_keys))
+            rows = without_repeats(rows, list(dedupe_keys))
         n = _write(rows, path, "append")
         if n == 0 and new_table:
             FS.delete(spark, path)
@@ -214,16 +217,19 @@ def _not_stored(rows: DataFrame, path: str, keys: list[str]) -> DataFrame:
     if "DATE" not in keys:
         stored = stored_keys(spark, path, keys).drop(PARTITION_COL)
         return _without(rows, stored, keys)
-    rows = materialize(rows, "append-rows")
-    years = _years(rows)
+    batch = materialize(rows.select(*keys, PARTITION_COL).distinct(), "append-keys")
+    years = _years(batch)
     keyindex.refresh(spark, path, TABLE_SCHEMA, PARTITION_COL, keys, years)
-    rows = keyindex.with_maybe_stored(rows, path, PARTITION_COL, keys, years)
-    maybe = rows.filter("_maybe").drop("_maybe")
-    fresh = rows.filter("not _maybe").drop("_maybe")
+    batch = keyindex.with_maybe_stored(batch, path, PARTITION_COL, keys, years)
+    maybe = batch.filter("_maybe").drop("_maybe")
+    fresh = batch.filter("not _maybe").drop("_maybe")
     years = _years(maybe)
-    if not years:
-        return fresh
-    return fresh.unionByName(_without(maybe, stored_keys(spark, path, keys, years), [*keys, PARTITION_COL]))
+    if years:
+        known = _without(maybe, stored_keys(spark, path, keys, years), [*keys, PARTITION_COL])
+        fresh = materialize(fresh.unionByName(known), "new-keys")
+    if fresh.isEmpty():
+        return rows.limit(0)
+    return _with_keys(rows, fresh, keys)
 
 
 def _years(rows: DataFrame) -> list[int]:
@@ -231,9 +237,14 @@ def _years(rows: DataFrame) -> list[int]:
 
 
 def _without(rows: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
-    stored = stored.select(*[F.col(k).alias(f"_stored_{k}") for k in keys])
-    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_stored_{k}")) for k in keys])
-    return rows.join(stored, same, "left_anti")
+    return _with_keys(rows, stored, keys, "left_anti")
+
+
+def _with_keys(rows: DataFrame, keyed: DataFrame, keys: list[str], how: str = "left_semi") -> DataFrame:
+    """The rows whose key (NULL keys compare equal) is in ``keyed``; with ``left_anti`` those whose key is not."""
+    keyed = keyed.select(*[F.col(k).alias(f"_key_{k}") for k in keys])
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys])
+    return rows.join(keyed, same, how)
 
 
 def _imported(n: int) -> WriteResult:

@@ -438,3 +438,23 @@ def test_station_sketches_follow_the_data_files(spark, tmp_path):
     ST.purge_before(spark, path, "2002-01-01")
     assert count(2000, 2010) == (40, 40)
     assert ST.read_observations(spark, path).count() == 40
+
+
+def test_an_append_without_repeats_stages_keys_only(spark, tmp_path, monkeypatch):
+    path, keys = str(tmp_path / "t"), ("STATION", "DATE")
+    made = "STATION string, DATE string, NAME string, TMAX double"
+    frame = lambda rows: spark.createDataFrame(rows, made).withColumn("DATE", F.col("DATE").cast("date"))
+    ST.append_observations(frame([("s1", "2000-01-01", "a", 1.0), (None, "2000-01-01", "n", 2.0)]), path, dedupe_keys=keys)
+    staged = []
+    for module in (ST, ST.keyindex):
+        real = module.materialize
+        monkeypatch.setattr(module, "materialize", lambda df, label, real=real: staged.append(df.columns) or real(df, label))
+    batch = [("s1", "2000-01-01", "b", 0.0), (None, "2000-01-01", "m", 0.0), ("s2", "2000-01-01", "d", 5.0),
+             ("s2", "2000-01-01", "c", 6.0), (None, "2001-01-01", None, 3.0), ("s1", "1999-05-05", "a", None)]
+    assert ST.append_observations(frame(batch), path, dedupe_keys=keys).rows == 3
+    assert ST.append_observations(frame(batch), path, dedupe_keys=keys).rows == 0
+    assert staged and all(set(c) <= {*keys, "YEAR", "_maybe"} for c in staged)
+    out = ST.read_observations(spark, path).selectExpr("STATION", "cast(DATE as string)", "NAME", "TMAX").collect()
+    assert sorted(map(tuple, out), key=repr) == sorted([
+        ("s1", "2000-01-01", "a", 1.0), (None, "2000-01-01", "n", 2.0), ("s2", "2000-01-01", "c", 6.0),
+        (None, "2001-01-01", None, 3.0), ("s1", "1999-05-05", "a", None)], key=repr)
