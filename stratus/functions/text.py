@@ -28,8 +28,14 @@ def _c(c: str | Column) -> Column:
 
 
 def strip(c: str | Column) -> Column:
-    """Remove leading and trailing whitespace; NULL stays NULL."""
-    return F.btrim(_c(c), F.lit(WHITESPACE))
+    """Remove leading and trailing whitespace; NULL stays NULL.
+
+    A cell that begins and ends with a visible ASCII character is taken as it is:
+    most cells are, and trimming looks every character up in the list.
+    """
+    col = _c(c)
+    bare = F.substring(col, 1, 1).between("!", "~") & F.substring(col, -1, 1).between("!", "~")
+    return F.when(bare, col).otherwise(F.btrim(col, F.lit(WHITESPACE)))
 
 
 def clean_text(c: str | Column, na_tokens: bool = True) -> Column:

@@ -404,9 +404,14 @@ def import_latest(spark: SparkSession, raw_pattern: str, path: str, floor=None,
         return WriteResult(False, 0, f"Missing required columns: {sorted(missing_required(raw))}")
     clean = clean_observations(raw, floor)
     if clean_out:
-        if clean.isEmpty():  # reads until the first row only
+        # One pass cleans, counts and writes; the copy takes its place only when it holds rows.
+        kept, fresh = Observation("cleaned"), f"{clean_out.rstrip('/')}.new-{uuid.uuid4().hex}"
+        csvmod.write_csv(clean.observe(kept, F.count(F.lit(1)).alias("rows")), fresh)
+        if not kept.get.get("rows", 0):
+            FS.delete(spark, fresh)
             return _imported(0)
-        csvmod.write_csv(clean, clean_out)
+        FS.delete(spark, clean_out)
+        FS.rename(spark, fresh, clean_out)
         clean = csvmod.read_clean_dir(spark, clean_out)
     return append_observations(clean, path, floor)
 

@@ -458,3 +458,18 @@ def test_an_append_without_repeats_stages_keys_only(spark, tmp_path, monkeypatch
     assert sorted(map(tuple, out), key=repr) == sorted([
         ("s1", "2000-01-01", "a", 1.0), (None, "2000-01-01", "n", 2.0), ("s2", "2000-01-01", "c", 6.0),
         (None, "2001-01-01", None, 3.0), ("s1", "1999-05-05", "a", None)], key=repr)
+
+
+def test_an_import_cleans_once_and_keeps_the_old_copy_when_no_row_counts(spark, tmp_path, monkeypatch):
+    raw, clean, table = (str(tmp_path / x) for x in ("raw", "clean", "t"))
+    cells = "'S' as STATION, '{}' as DATE, '1' as LATITUDE, '2' as LONGITUDE, '3' as ELEVATION, ' N\u00a0' as NAME, '5' as TMAX"
+    # Rows are not asked for ahead of the write, which would read a file without good rows part by part.
+    monkeypatch.setattr(type(spark.range(1)), "isEmpty", None)
+    CSV.write_csv(spark.sql("select " + cells.format("2000-01-02")), raw)
+    assert ST.import_latest(spark, raw, table, "1990-01-01", clean).rows == 1
+    assert [r.NAME for r in ST.read_observations(spark, table).collect()] == ["N"]
+    before = sorted(os.listdir(clean))
+    CSV.write_csv(spark.sql("select " + cells.format("no date")), raw)
+    done = ST.import_latest(spark, raw, table, "1990-01-01", clean)
+    assert (done.ok, done.rows) == (False, 0)
+    assert sorted(os.listdir(clean)) == before and sorted(os.listdir(tmp_path)) == ["clean", "raw", "t"]
