@@ -12,10 +12,10 @@ A block holds the texts of one language from one Arrow batch, up to
 so a pair of numbers names the longer phrase exactly. Between blocks a phrase is
 the sequence of its words' 64-bit hashes. Words are counted by their text, and
 the hashes are seeded anew if two different words share one. A length is counted
-twice: by one hash a phrase, which gives an upper bound in 16 bytes, and exactly
-by keys for the phrases whose bound is high enough. The semi-join sees these as a
-bitmap of a bounded size. A phrase that passes it by chance is dropped by its own
-exact count, so neither the hash nor the bitmap's size ever changes a result.
+once, by these keys, from one row per block and phrase. The semi-join sees the
+frequent ones as a bitmap of a bounded size. A phrase that passes it by chance is
+dropped by its own count, so neither the hash nor the bitmap's size ever changes a
+result.
 
 Scores compare a phrase with its two parts at the worst cut: its count times all
 words over the product of the parts' counts, in decimals of 38 digits.
@@ -52,6 +52,8 @@ BLOCKS_PER_FILE = 16
 #: Bits of the semi-join's bitmap per frequent phrase, and at most in all (128 MB).
 BITS_PER_PHRASE = 64
 MAX_BITS = 1 << 30
+#: Bits by which a word's hash is turned more than the word's before it.
+TURN = 13
 #: Parts of a language that are ranked on their own first.
 RANK_SLICES = 64
 
@@ -78,14 +80,27 @@ def _words(raw: np.ndarray, offsets: np.ndarray) -> tuple[pa.DictionaryArray, np
 
 
 def _lang_salt(lang: str) -> np.uint64:
-    return np.uint64(xxhash.xxh64_intdigest(lang.encode(), 7))
+    return np.uint64(xxhash.xxh64_intdigest(lang.encode(), 42))
 
 
 def _key_hash(hashes: np.ndarray, phrases: np.ndarray, salt: np.uint64) -> np.ndarray:
-    """One hash per phrase, from its words' hashes."""
+    """One hash per phrase, from its words' hashes: each turned by its place, all xored (``_hash_of``)."""
     out = np.full(phrases.shape[1], salt, np.uint64)
-    for numbers in phrases:
-        out = blocks.mix(out * np.uint64(blocks.BASE) + hashes[numbers])
+    for place, numbers in enumerate(phrases):
+        turn = TURN * place % 64
+        out ^= (hashes << np.uint64(turn) | hashes >> np.uint64(-turn % 64) if turn else hashes)[numbers]
+    return out
+
+
+def _hash_of(lang: Column, key: Column, words: int) -> Column:
+    """``_key_hash`` of a language and a phrase's key."""
+    out = F.xxhash64(lang)
+    for place in range(words):
+        word = F.conv(F.hex(F.substring(key, place * 8 + 1, 8)), 16, -10).cast("bigint")
+        turn = TURN * place % 64
+        if turn:
+            word = F.shiftleft(word, turn).bitwiseOR(F.shiftrightunsigned(word, 64 - turn))
+        out = out.bitwiseXOR(word)
     return out
 
 
@@ -144,43 +159,29 @@ def _listed(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def _word_counts(relation: DataFrame) -> DataFrame:
-    """A row per block and word: lang, word, n, its key as a number, and the hash for the semi-join."""
+    """A row per block and word: lang, word, n and its key as a number."""
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 lang = batch.column("lang")[i].as_py()
                 hashes, phrases = _phrases(batch, i, 1)
-                h = _key_hash(hashes, phrases, _lang_salt(lang)).view(np.int64)
-                columns = [pa.repeat(lang, len(h)), batch.column("words")[i].values, pa.array(_ints(batch, "counts", i)),
-                           pa.array(hashes[phrases[0]].view(np.int64)), pa.array(h)]
-                yield pa.RecordBatch.from_arrays(columns, names=["lang", "word", "n", "k", "h"])
+                k = hashes[phrases[0]].view(np.int64)
+                columns = [pa.repeat(lang, len(k)), batch.column("words")[i].values, pa.array(_ints(batch, "counts", i)), pa.array(k)]
+                yield pa.RecordBatch.from_arrays(columns, names=["lang", "word", "n", "k"])
     return relation.select("lang", "keys", "phrases", "counts", "words").mapInArrow(
-        rows_of, "lang string, word string, n bigint, k bigint, h bigint")
-
-
-def _hash_counts(relation: DataFrame, width: int) -> DataFrame:
-    """A row per block and phrase: the hash for the semi-join (of its language too) and n."""
-    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                h = _key_hash(*_phrases(batch, i, width), _lang_salt(batch.column("lang")[i].as_py()))
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(_ints(batch, "counts", i))],
-                                                 names=["h", "n"])
-    return relation.select("lang", "keys", "phrases", "counts").mapInArrow(rows_of, "h bigint, n bigint")
+        rows_of, "lang string, word string, n bigint, k bigint")
 
 
-def _listed_counts(relation: DataFrame, width: int, frequent: Broadcast) -> DataFrame:
-    """A row per block and phrase of the bitmap: lang, key, n."""
+def _phrase_counts(relation: DataFrame, width: int) -> DataFrame:
+    """A row per block and phrase: lang, key, n."""
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = np.frombuffer(frequent.value, np.uint8)
         for batch in batches:
             for i in range(batch.num_rows):
-                lang = batch.column("lang")[i].as_py()
                 hashes, phrases = _phrases(batch, i, width)
-                kept = _listed(bitmap, _key_hash(hashes, phrases, _lang_salt(lang)))
-                keys = _key_array(hashes[phrases[:, kept]].T)
-                yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(keys)), keys, pa.array(_ints(batch, "counts", i)[kept])],
-                                                 names=["lang", "key", "n"])
+                keys = _key_array(hashes[phrases].T)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.repeat(batch.column("lang")[i].as_py(), len(keys)), keys, pa.array(_ints(batch, "counts", i))],
+                    names=["lang", "key", "n"])
     return relation.select("lang", "keys", "phrases", "counts").mapInArrow(rows_of, "lang string, key binary, n bigint")
 
 
@@ -257,11 +258,9 @@ def frequent_phrases(docs: DataFrame, min_count: int, max_words: int, block_byte
     occurs ``min_count`` times, with ``word`` for single words; ``(lang, n)`` of all words."""
     for seed in range(1, 100):
         relation = _persisted(_occurrences(docs, seed, block_bytes), "phrase-relation")
-        # A word's key and hash are the same in every block; sums and maxima of numbers are hashed, not sorted.
-        counted = _word_counts(relation).groupBy("lang", "word").agg(
-            F.sum("n").alias("n"), F.max("k").alias("k"), F.max("h").alias("h"))
-        vocabulary = staged(counted.select("lang", "word", "n", F.unhex(F.lpad(F.hex("k"), 16, "0")).alias("key"), "h"),
-                            "phrase-words")
+        # A word's key is the same in every block; sums and maxima of numbers are hashed, not sorted.
+        counted = _word_counts(relation).groupBy("lang", "word").agg(F.sum("n").alias("n"), F.max("k").alias("k"))
+        vocabulary = staged(counted.select("lang", "word", "n", F.unhex(F.lpad(F.hex("k"), 16, "0")).alias("key")), "phrase-words")
         clash = vocabulary.groupBy("lang", "key").count().where("count > 1").limit(1).count()
         if not clash:
             break
@@ -273,22 +272,13 @@ def frequent_phrases(docs: DataFrame, min_count: int, max_words: int, block_byte
         size = frequent.count()
         if not size:
             break
-        if width == 2:
-            shared = _bitmap(frequent, size)
+        shared = _bitmap(frequent.select(_hash_of(F.col("lang"), F.col("key"), width - 1).alias("h")), size)
         longer = _persisted(_extended(relation, width - 1, shared), "phrase-relation")
+        shared.destroy()
         drop(relation)
         relation = longer
-        # Hashes first: their sums are upper bounds, so only phrases that may be frequent travel with their keys.
-        hashes = staged(_hash_counts(relation, width).groupBy("h").agg(F.sum("n").alias("n")).where(
-            F.col("n") >= min_count).select("h"), "phrase-hashes")
-        size = hashes.count()
-        if not size:
-            drop(hashes)
-            break
-        shared.destroy()
-        shared = _bitmap(hashes, size)
-        drop(hashes)
-        frequent = staged(_listed_counts(relation, width, shared).groupBy("lang", "key").agg(
+        # Every phrase is counted by its key: the rows are the blocks' phrases, however many of them are frequent.
+        frequent = staged(_phrase_counts(relation, width).groupBy("lang", "key").agg(
             F.sum("n").alias("n")).where(F.col("n") >= min_count), "phrase-counts")
         found.append(frequent.withColumn("words", F.lit(width)))
     drop(relation)

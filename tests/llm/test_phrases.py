@@ -91,3 +91,37 @@ def test_defined_cases(spark):
     out = sorted(map(tuple, P.collocations(docs, min_count=2).collect()))
     assert out == brute(rows, 2, 2000)
     assert P.collocations(docs.limit(0)).collect() == []
+
+
+def test_rows_counted_by_keys_grow_with_the_input(spark, monkeypatch):
+    # Pairs are frequent in the larger corpus only; all words are in both.
+    rng = np.random.default_rng(5)
+    rows = [("en", " ".join(f"w{i}" for i in rng.integers(10, size=50))) for _ in range(40)]
+    found = []
+    real = type(frame(spark, rows)).mapInArrow
+
+    def kept(df, function, schema):
+        out = real(df, function, schema)
+        if "key binary" in schema:
+            found.append(out.count())
+        return out
+    monkeypatch.setattr(type(frame(spark, rows)), "mapInArrow", kept)
+    made = []
+    for copies in (1, 5):
+        found.clear()
+        out = P.collocations(frame(spark, rows * copies), min_count=50, max_words=2, block_bytes=1000)
+        assert sorted(map(tuple, out.collect())) == brute(rows * copies, 50, 2000, max_words=2)
+        made.append(sum(found))
+    assert 0 < made[1] <= 6 * made[0]
+
+
+def test_hash_of_a_key_is_the_blocks_hash(spark):
+    rng = np.random.default_rng(6)
+    hashes = rng.integers(0, 1 << 64, 9, dtype=np.uint64)
+    hashes[:2] = 0, (1 << 64) - 1
+    for width in range(1, 8):
+        phrases = rng.integers(0, 9, (width, 30))
+        keys = P._key_array(hashes[phrases].T).to_pylist()
+        df = spark.createDataFrame([(i, "en", bytearray(k)) for i, k in enumerate(keys)], "i int, lang string, key binary")
+        got = df.select("i", P._hash_of(F.col("lang"), F.col("key"), width).alias("h")).orderBy("i").collect()
+        assert [r.h for r in got] == P._key_hash(hashes, phrases, P._lang_salt("en")).view(np.int64).tolist()
