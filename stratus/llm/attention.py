@@ -98,24 +98,31 @@ class Model:
         self.split = None
 
     def tables(self) -> np.ndarray:
-        """Per id its query, key, value and own projection, side by side."""
+        """Per id its query, key, value, a one and its own projection, side by side."""
         return self._projected(self.p["embed"])
 
     def _projected(self, rows: np.ndarray) -> np.ndarray:
-        p = self.p
-        scale = np.float32(1 / np.sqrt(p["query"].shape[1]))
-        return rows @ np.concatenate([p["query"] * scale, p["key"], p["value"], p["own"]], axis=1)
+        p, d = self.p, self.p["query"].shape[1]
+        scale = np.float32(1 / np.sqrt(d))
+        out = rows @ np.concatenate([p["query"] * scale, p["key"], p["value"], np.zeros((d, 1), np.float32), p["own"]], axis=1)
+        out[:, 3 * d] = 1
+        return out
 
     def _hidden(self, inputs: np.ndarray, tables: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The hidden rows, the weighted values, the weights, their sums, and the tables' parts.
+
+        The one beside each value makes the product of weights and values hold the weights' sums too."""
         d = tables.shape[1] // 4
-        every = tables[inputs]
-        q, k, v, own = (every[:, :, i * d:(i + 1) * d] for i in range(4))
+        every = tables.take(inputs, axis=0)
+        q, k, v, own = (every[:, :, i:j] for i, j in ((0, d), (d, 2 * d), (2 * d, 3 * d + 1), (3 * d + 1, 4 * d + 1)))
         weights = q @ k.transpose(0, 2, 1)
         weights += self.p["near"][self.back, 0] + self.ahead
         np.minimum(weights, _MOST, out=weights)
         np.exp(weights, out=weights)
-        total = weights.sum(axis=2, keepdims=True)
-        return np.tanh(weights @ v / total + own), weights, total, q, k, v
+        mixed = weights @ v
+        total = mixed[:, :, d:]
+        mixed = mixed[:, :, :d] / total
+        return np.tanh(mixed + own), mixed, weights, total, q, k, v
 
     @staticmethod
     def _choices(paths: tuple[np.ndarray, ...], targets: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -133,14 +140,15 @@ class Model:
 
     def states(self, inputs: np.ndarray, scored: np.ndarray, tables: np.ndarray) -> np.ndarray:
         """The hidden rows of the scored places, each followed by a one for the biases."""
-        return _with_one(self._hidden(inputs, tables)[0][scored])
+        hidden = self._hidden(inputs, tables)[0]
+        return _with_one(hidden.reshape(-1, hidden.shape[2]).take(np.flatnonzero(scored), axis=0))
 
     def path_scores(self, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Natural-log probabilities; places with the same target take its path in one product."""
         out, (first, nodes, sign) = self.p["out"], self.paths
         narrow = np.uint16 if len(first) <= 1 << 16 else np.int32  # 16 bits are sorted by radix
         order = np.argsort(targets.astype(narrow), kind="stable")
-        states, ids = states[order], targets[order]
+        states, ids = states.take(order, axis=0), targets[order]
         edges = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1], [True]]))
         sizes = np.diff(edges)
         loss = np.empty(len(ids))
@@ -148,99 +156,115 @@ class Model:
         for i in np.flatnonzero(sizes >= _FEW).tolist():
             a, b = edges[i], edges[i + 1]
             path = slice(first[ids[a]], first[ids[a] + 1])
-            logit = states[a:b] @ (out[nodes[path]] * sign[path, None]).T
-            loss[a:b] = _softplus(logit).sum(axis=1)
+            logit = (out.take(nodes[path], axis=0) * sign[path, None]) @ states[a:b].T
+            loss[a:b] = _softplus(logit).sum(axis=0)
         if few.any():
             which, at, turned = self._choices(self.paths, ids[few])
-            logit = np.einsum("ij,ij->i", states[few][which], out[at]) * turned
+            logit = np.einsum("ij,ij->i", states[few].take(which, axis=0), out.take(at, axis=0)) * turned
             loss[few] = np.bincount(which, _softplus(logit), int(few.sum()))
         result = np.empty(len(ids))
         result[order] = -loss
         return result
 
-    def _split_paths(self) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
-        """Per id the signs of its choices at the heaviest nodes (0: not on its path), and the paths below these.
+    def _split_paths(self) -> tuple[np.ndarray, tuple[np.ndarray, ...], np.ndarray]:
+        """Per id the signs of its choices at the heaviest nodes (0: not on its path), the paths below these,
+        and the ids' places when those with the longest such paths come first.
 
         Nodes are numbered by growing weight, so the heaviest are the last and end each path."""
         if self.split is None:
             first, nodes, sign = self.paths
-            heavy = len(self.p["out"]) - min(_HEAVY, len(self.p["out"]))
-            ids = np.repeat(np.arange(len(first) - 1), np.diff(first))
+            n, heavy = len(first) - 1, len(self.p["out"]) - min(_HEAVY, len(self.p["out"]))
+            ids = np.repeat(np.arange(n), np.diff(first))
             low = nodes < heavy
-            signs = np.zeros((len(first) - 1, len(self.p["out"]) - heavy), np.int8)
+            signs = np.zeros((n, len(self.p["out"]) - heavy), np.int8)
             signs[ids[~low], nodes[~low] - heavy] = sign[~low]
-            below = np.concatenate([[0], np.cumsum(np.bincount(ids[low], minlength=len(first) - 1))]).astype(np.int32)
-            self.split = signs, (below, nodes[low], sign[low])
+            lengths = np.bincount(ids[low], minlength=n)
+            below = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+            place = np.empty(n, np.uint16 if n <= 1 << 16 else np.int32)  # 16 bits are sorted by radix
+            place[np.argsort(-lengths, kind="stable")] = np.arange(n)
+            self.split = signs, (below, nodes[low], sign[low]), place
         return self.split
 
-    def _path_gradient(self, states: np.ndarray, targets: np.ndarray) -> tuple[float, np.ndarray, tuple[np.ndarray, np.ndarray]]:
-        """The summed loss of ``targets``, its slopes by hidden row and by the touched rows of ``out``."""
+    def _path_gradient(self, states: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+        """The slopes of the loss of ``targets`` by hidden row and by the touched rows of ``out``.
+
+        A choice's slope is half of its turn plus the tangent of half its log odds."""
         out = self.p["out"]
-        into = _with_one(states)
-        signs, low = self._split_paths()
+        signs, (first, nodes, turns), place = self._split_paths()
         heavy = len(out) - signs.shape[1]
-        sign = signs[targets].astype(into.dtype)
-        grown = _grown((into @ out[heavy:].T) * sign)
-        # A node that is not on the path adds log 2 to the product's loss, and no slope.
-        loss = np.log1p(grown).sum() - np.log(2) * np.count_nonzero(sign == 0)
-        slope = grown / (1 + grown) * sign
-        d_states = slope @ out[heavy:, :-1]
-        at_heavy = np.flatnonzero(sign.any(axis=0))
-        g_heavy = (slope.T @ into)[at_heavy]
-        # The rest step by step, the targets with the longest paths first, so that a step takes the first rows.
-        first, nodes, signs = low
-        length = first[targets + 1] - first[targets]
-        order = np.argsort(-length.astype(np.int16), kind="stable")
-        start, into = first[targets][order], into[order]
-        d_low = np.zeros_like(into)
-        touched, parts = [at_heavy + heavy], [g_heavy]
-        left = np.cumsum(np.bincount(length)[::-1])[::-1]  # how many have so many steps
-        for step, n in enumerate(left[1:].tolist()):
-            at = nodes[start[:n] + step]
-            rows, sign = out[at], signs[start[:n] + step]
-            grown = _grown(np.einsum("ij,ij->i", into[:n], rows) * sign)
-            loss += np.log1p(grown).sum()
-            slope = (grown / (1 + grown) * sign)[:, None]
-            rows *= slope
-            d_low[:n] += rows
+        # Equal targets lie together, those with the longest paths first: they share the paths' rows.
+        order, edges = _grouped(place[targets])
+        into = _with_one(states.take(order, axis=0))
+        distinct = targets[order[edges]]
+        ends = np.append(edges, len(order))
+        which = np.repeat(np.arange(len(edges)), np.diff(ends))
+        of_distinct = signs[distinct].astype(into.dtype)
+        sign = of_distinct.take(which, axis=0)
+        top = out[heavy:] * out.dtype.type(0.5)
+        twice = np.tanh(into @ top.T)
+        twice *= np.abs(of_distinct).take(which, axis=0)
+        twice += sign
+        d_into = twice @ top
+        at_heavy = np.flatnonzero(of_distinct.any(axis=0))
+        touched, parts = [at_heavy + heavy], [0.5 * (twice.T @ into)[at_heavy]]
+        # The rest step by step; a step takes the first targets, whose paths are long enough.
+        start, length = first[distinct], first[distinct + 1] - first[distinct]
+        left = np.cumsum(np.bincount(length)[::-1])[::-1]  # how many distinct targets have so many steps
+        for step, u in enumerate(left[1:].tolist()):
+            n = ends[u]
+            at = nodes[start[:u] + step]
+            rows = out[at].take(which[:n], axis=0)
+            slope = np.einsum("ij,ij->i", into[:n], rows)
+            slope *= 0.5
+            np.tanh(slope, out=slope)
+            slope += turns[start[:u] + step].take(which[:n])
+            slope *= 0.5
+            rows *= slope[:, None]
+            d_into[:n] += rows
             touched.append(at)
-            parts.append(into[:n] * slope)
-        d_states[order] += d_low[:, :-1]
-        return float(loss), d_states, _summed(np.concatenate(touched), np.concatenate(parts))
-
-    def gradient(self, inputs: np.ndarray, targets: np.ndarray, scored: np.ndarray) -> tuple[float, dict]:
-        """The summed loss and, per parameter, the rows touched and their gradient."""
-        p, scale = self.p, np.float32(1 / np.sqrt(self.p["query"].shape[1]))
-        seen, place = np.unique(inputs, return_inverse=True)
-        place = place.reshape(inputs.shape)
+            parts.append(np.add.reduceat(into[:n] * slope[:, None], edges[:u], axis=0))
+        d_states = np.empty_like(states)
+        d_states[order] = d_into[:, :-1]
+        return d_states, _summed(np.concatenate(touched), np.concatenate(parts))
+
+    def gradient(self, inputs: np.ndarray, targets: np.ndarray, scored: np.ndarray, with_loss: bool = True) -> tuple[float, dict]:
+        """The summed loss (0 if not wanted) and, per parameter, the rows touched and their gradient."""
+        p, d = self.p, self.p["query"].shape[0]
+        flat_inputs = inputs.ravel()
+        order, edges = _grouped(flat_inputs)
+        seen = flat_inputs[order[edges]]
+        place = np.empty(len(order), np.int64)
+        place[order] = np.repeat(np.arange(len(edges)), np.diff(np.append(edges, len(order))))
         rows = p["embed"][seen]
-        hidden, weights, total, q, k, v = self._hidden(place, self._projected(rows))
-        weights /= total
-        flat = hidden[scored]
-        loss, d_flat, g_out = self._path_gradient(flat, targets[scored])
+        hidden, mixed, weights, total, q, k, v = self._hidden(place.reshape(inputs.shape), self._projected(rows))
+        at = np.flatnonzero(scored)
+        flat, wanted = hidden.reshape(-1, d).take(at, axis=0), targets.ravel()[at]
+        loss = -float(self.path_scores(_with_one(flat), wanted).sum()) if with_loss else 0.0
+        d_flat, g_out = self._path_gradient(flat, wanted)
         d_hidden = np.zeros_like(hidden)
-        d_hidden[scored] = d_flat * (1 - flat * flat)
-        d_weights = d_hidden @ v.transpose(0, 2, 1)
-        d_v = weights.transpose(0, 2, 1) @ d_hidden
-        d_scores = weights * (d_weights - (weights * d_weights).sum(axis=2, keepdims=True))
-        d_q, d_k = d_scores @ k, d_scores.transpose(0, 2, 1) @ q
+        d_hidden.reshape(-1, d)[at] = d_flat * (1 - flat * flat)
+        # Beside each slope less its part that goes to the weights' sum, all over that sum.
+        shared = np.concatenate([d_hidden, -np.einsum("ijk,ijk->ij", d_hidden, mixed)[:, :, None]], axis=2)
+        shared /= total
+        d_scores = shared @ v.transpose(0, 2, 1)
+        d_scores *= weights
+        per_id = np.empty((*inputs.shape, 4 * d), hidden.dtype)
+        per_id[:, :, :d] = d_scores @ k
+        per_id[:, :, d:2 * d] = d_scores.transpose(0, 2, 1) @ q
+        per_id[:, :, 2 * d:3 * d] = weights.transpose(0, 2, 1) @ shared[:, :, :d]
+        per_id[:, :, 3 * d:] = d_hidden
         near = np.bincount(self.back.ravel(), d_scores.sum(axis=0).ravel(), self.window)[:, None]
-        d = p["query"].shape[0]
-        per_id = np.concatenate([x.reshape(-1, d) for x in (d_q * scale, d_k, d_v, d_hidden)], axis=1)
-        _, by_id = _summed(place.ravel(), per_id)
+        by_id = np.add.reduceat(per_id.reshape(-1, 4 * d).take(order, axis=0), edges, axis=0)
+        by_id[:, :d] *= np.float32(1 / np.sqrt(d))
         parts = {name: by_id[:, i * d:(i + 1) * d] for i, name in enumerate(("query", "key", "value", "own"))}
         every = np.arange(d)
         grads = {name: (every, rows.T @ part) for name, part in parts.items()}
-        grads["embed"] = (seen, sum(part @ p[name].T for name, part in parts.items()))
+        grads["embed"] = (seen, by_id @ np.concatenate([p[name].T for name in parts]))
         grads["near"] = (np.arange(self.window), near.astype(np.float32))
         grads["out"] = g_out
         return loss, grads
 
 
-def _grown(x: np.ndarray) -> np.ndarray:
-    return np.exp(np.minimum(x, _MOST, out=x), out=x)
-
-
 def _softplus(x: np.ndarray) -> np.ndarray:
     x = np.minimum(x, _MOST)
     np.exp(x, out=x)
@@ -252,13 +276,18 @@ def _with_one(rows: np.ndarray) -> np.ndarray:
     return np.concatenate([rows, np.ones((len(rows), 1), np.float32)], axis=1)
 
 
-def _summed(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct keys and the sum of their rows."""
+def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which equal keys lie together, ascending, and where each key begins in it."""
     narrow = keys.astype(np.uint16) if len(keys) and keys.max() < 1 << 16 else keys  # 16 bits are sorted by radix
     order = np.argsort(narrow, kind="stable")
     sorted_keys = keys[order]
-    first = np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]]))
-    return sorted_keys[first], np.add.reduceat(rows[order], first, axis=0)
+    return order, np.flatnonzero(np.concatenate([np.ones(min(len(keys), 1), bool), sorted_keys[1:] != sorted_keys[:-1]]))
+
+
+def _summed(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys and the sum of their rows; ``take`` copies whole rows, which indexing does not."""
+    order, first = _grouped(keys)
+    return keys[order[first]], np.add.reduceat(rows.take(order, axis=0), first, axis=0)
 
 
 class Trainer:
@@ -269,10 +298,9 @@ class Trainer:
         self.squares = {name: np.full(len(x), 1e-3, np.float32) for name, x in model.p.items()}
         self.touched = {name: np.zeros(len(x), np.int64) for name, x in model.p.items()}
 
-    def step(self, inputs: np.ndarray, targets: np.ndarray, scored: np.ndarray) -> float:
-        loss, grads = self.model.gradient(inputs, targets, scored)
+    def step(self, inputs: np.ndarray, targets: np.ndarray, scored: np.ndarray) -> None:
+        _, grads = self.model.gradient(inputs, targets, scored, with_loss=False)
         for name, (rows, g) in grads.items():
             self.squares[name][rows] += (g * g).mean(axis=1)
             self.model.p[name][rows] -= self.rate * g / np.sqrt(self.squares[name][rows])[:, None]
             self.touched[name][rows] += 1
-        return loss

@@ -139,7 +139,7 @@ def _inputs(ids: np.ndarray, sizes: np.ndarray, end: int, picked: np.ndarray | N
         at = f + np.arange(attention.WINDOW)
         counts = (at < sizes[d, None]) & (at >= scores_from[i:i + BATCH, None])
         place = np.minimum(base[d, None] + at, len(ids) - 1)
-        yield before[place], ids[place], counts, place
+        yield before.take(place), ids.take(place), counts, place
 
 
 def _chosen(block: int, sizes: np.ndarray, held: np.ndarray, turn: int, every: int) -> np.ndarray:

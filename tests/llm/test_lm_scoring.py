@@ -67,6 +67,39 @@ def test_gradient_equals_differences():
             assert g[i, j] == pytest.approx((up - down) / 2e-4, rel=2e-2, abs=2e-2), name
 
 
+def test_a_step_on_equal_targets_is_the_sum_of_single_steps():
+    # Equal targets are taken together; with fewer heavy nodes more of their paths goes step by step.
+    heavy, found = A._HEAVY, []
+    try:
+        for A._HEAVY in (2, 40):
+            model, rng = small_model(5)
+            states, targets = rng.standard_normal((60, 5)), rng.integers(0, 6, 60)
+            d_states, (rows, g) = model._path_gradient(states, targets)
+            each = [model._path_gradient(states[i:i + 1], targets[i:i + 1]) for i in range(60)]
+            total = np.zeros_like(model.p["out"])
+            for _, (r, x) in each:
+                total[r] += x
+            assert np.allclose(d_states, np.concatenate([x for x, _ in each]))
+            assert len(set(rows)) == len(rows) and np.allclose(total[rows], g)
+            assert set(rows) == set(np.flatnonzero(total.any(axis=1)))
+            found.append((d_states, total))
+    finally:
+        A._HEAVY = heavy
+    assert all(np.allclose(a, b) for a, b in zip(*found))
+
+
+def test_training_takes_the_loss_only_where_it_is_wanted(monkeypatch):
+    model, rng = small_model(7)
+    inputs, targets = rng.integers(0, 23, (4, 6)), rng.integers(0, 23, (4, 6))
+    scored = np.ones((4, 6), bool)
+    loss, grads = model.gradient(inputs, targets, scored)
+    assert loss == pytest.approx(-model.score(inputs, targets, scored, model.tables()).sum())
+    monkeypatch.setattr(A.Model, "path_scores", None)
+    _, again = model.gradient(inputs, targets, scored, with_loss=False)
+    assert all((again[k][1] == grads[k][1]).all() for k in grads)
+    A.Trainer(model, 0.1).step(inputs, targets, scored)
+
+
 def test_windows_score_every_place_once():
     lengths = np.array([1, 31, 32, 33, 58, 59, 200])
     doc, first, scores_from = A.windows(lengths)
