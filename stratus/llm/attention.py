@@ -15,6 +15,7 @@ in the first window of its document or at the end of a later one.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -24,10 +25,12 @@ WINDOW = 24
 OVERLAP = 4
 #: The largest exponent that is taken.
 _MOST = np.float32(60)
-#: Targets that occur less often in a call are scored choice by choice.
-_FEW = 8
 #: The heaviest nodes, nearest to the root: training takes them in one product for all targets.
-_HEAVY = 32
+_HEAVY = 4
+#: Equal targets that share the rows of their path in one product, in training and in scoring.
+_TILE, _SCORED_TILE = 8, 32
+#: Tiles that are scored at once.
+_TILES_AT_ONCE = 256
 _FAR = np.float32(-1e9)
 
 
@@ -95,7 +98,7 @@ class Model:
         self.back = np.maximum(i[:, None] - i, 0)
         self.ahead = np.where(i[:, None] >= i, np.float32(0), _FAR)
         self.paths = tree.first.astype(np.int32), tree.nodes, np.where(tree.turns == 1, -1, 1).astype(np.float32)
-        self.split = None
+        self.split = self.whole = None
 
     def tables(self) -> np.ndarray:
         """Per id its query, key, value, a one and its own projection, side by side."""
@@ -124,16 +127,6 @@ class Model:
         mixed = mixed[:, :, :d] / total
         return np.tanh(mixed + own), mixed, weights, total, q, k, v
 
-    @staticmethod
-    def _choices(paths: tuple[np.ndarray, ...], targets: np.ndarray) -> tuple[np.ndarray, ...]:
-        """For the targets' path nodes: the target's number, the node and its turn."""
-        first, nodes, turns = paths
-        start = first[targets]
-        n = first[targets + 1] - start
-        which = np.repeat(np.arange(len(targets), dtype=np.int32), n)
-        at = np.arange(len(which), dtype=np.int32) + np.repeat(start - (np.cumsum(n, dtype=np.int32) - n), n)
-        return which, nodes[at], turns[at]
-
     def score(self, inputs: np.ndarray, targets: np.ndarray, scored: np.ndarray, tables: np.ndarray) -> np.ndarray:
         """Natural-log probabilities of ``targets[scored]``, in that order."""
         return self.path_scores(self.states(inputs, scored, tables), targets[scored])
@@ -143,90 +136,129 @@ class Model:
         hidden = self._hidden(inputs, tables)[0]
         return _with_one(hidden.reshape(-1, hidden.shape[2]).take(np.flatnonzero(scored), axis=0))
 
+    def _padded_paths(self, below: int) -> tuple[np.ndarray, ...]:
+        """Per id the nodes under ``below`` on its path and half their signs, filled up with zeros; how many they
+        are; and the ids' places when those with the most come first."""
+        first, nodes, sign = self.paths
+        n = len(first) - 1
+        at = first[:-1, None] + np.arange(np.diff(first).max(), dtype=np.int32)
+        inside = at < first[1:, None]
+        padded = nodes.take(at, mode="clip")
+        inside &= padded < below
+        lengths = inside.sum(axis=1)  # paths begin far from the root
+        at, padded, inside = (x[:, :lengths.max()] for x in (at, padded, inside))
+        halves = np.zeros(padded.shape, np.float32)
+        halves[inside] = np.float32(0.5) * sign[at[inside]]
+        padded = np.where(inside, padded, 0)
+        place = np.empty(n, np.uint16 if n <= 1 << 16 else np.int32)  # 16 bits are sorted by radix
+        place[np.argsort(-lengths, kind="stable")] = np.arange(n)
+        return padded, halves, lengths, place
+
+    @staticmethod
+    def _tiles(keys: np.ndarray, tile: int) -> tuple[np.ndarray, ...]:
+        """Places with equal keys, ascending, in tiles of ``tile`` (the rest of a tile: the place after the last).
+
+        Returns the tiles, the first place of each tile's key, and every place's slot."""
+        order, edges = _grouped(keys)
+        sizes = np.diff(np.append(edges, len(order)))
+        tiles = -(-sizes // tile)
+        slot = np.arange(len(order)) + np.repeat((np.cumsum(tiles) - tiles) * tile - edges, sizes)
+        filled = np.full(int(tiles.sum()) * tile, len(order))
+        filled[slot] = order
+        back = np.empty(len(order), np.int64)
+        back[order] = slot
+        return filled, np.repeat(order[edges], tiles), back
+
+    @staticmethod
+    def _alike(lengths: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """Runs of descending lengths that differ by less than a fourth, and the longest of each; not the zeros."""
+        a = 0
+        while a < len(lengths) and lengths[a]:
+            most = int(lengths[a])
+            b = int(np.searchsorted(-lengths, -(most - most // 4), "right"))
+            yield a, b, most
+            a = b
+
     def path_scores(self, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Natural-log probabilities; places with the same target take its path in one product."""
-        out, (first, nodes, sign) = self.p["out"], self.paths
-        narrow = np.uint16 if len(first) <= 1 << 16 else np.int32  # 16 bits are sorted by radix
-        order = np.argsort(targets.astype(narrow), kind="stable")
-        states, ids = states.take(order, axis=0), targets[order]
-        edges = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1], [True]]))
-        sizes = np.diff(edges)
-        loss = np.empty(len(ids))
-        few = np.repeat(sizes < _FEW, sizes)
-        for i in np.flatnonzero(sizes >= _FEW).tolist():
-            a, b = edges[i], edges[i + 1]
-            path = slice(first[ids[a]], first[ids[a] + 1])
-            logit = (out.take(nodes[path], axis=0) * sign[path, None]) @ states[a:b].T
-            loss[a:b] = _softplus(logit).sum(axis=0)
-        if few.any():
-            which, at, turned = self._choices(self.paths, ids[few])
-            logit = np.einsum("ij,ij->i", states[few].take(which, axis=0), out.take(at, axis=0)) * turned
-            loss[few] = np.bincount(which, _softplus(logit), int(few.sum()))
-        result = np.empty(len(ids))
-        result[order] = -loss
+        out = self.p["out"]
+        if self.whole is None:
+            self.whole = self._padded_paths(len(out))
+        padded, halves, lengths, place = self.whole
+        result = np.empty(len(targets))
+        filled, firsts, back = self._tiles(place[targets], _SCORED_TILE)
+        owner = targets[firsts]
+        loss = np.zeros((len(owner), _SCORED_TILE))
+        for a, b, most in self._alike(lengths[owner]):
+            for i in range(a, b, _TILES_AT_ONCE):
+                j = min(i + _TILES_AT_ONCE, b)
+                at, sign = (x.take(owner[i:j], axis=0)[:, :most] for x in (padded, halves))
+                rows = out.take(at.ravel(), axis=0).reshape(*at.shape, -1)
+                rows *= 2 * sign[:, :, None]
+                into = states.take(filled[i * _SCORED_TILE:j * _SCORED_TILE], axis=0, mode="clip").reshape(j - i, _SCORED_TILE, -1)
+                # A filled-up node adds the logarithm of two.
+                loss[i:j] = _softplus(into @ rows.transpose(0, 2, 1)).sum(axis=2)
+                loss[i:j] -= ((sign == 0).sum(axis=1) * np.log(2))[:, None]
+        np.negative(loss.ravel().take(back), out=result)
         return result
 
-    def _split_paths(self) -> tuple[np.ndarray, tuple[np.ndarray, ...], np.ndarray]:
-        """Per id the signs of its choices at the heaviest nodes (0: not on its path), the paths below these,
-        and the ids' places when those with the longest such paths come first.
+    def _path_gradient(self, states: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+        """The slopes of the loss of ``targets`` by hidden row and by the touched rows of ``out``.
+
+        A choice's slope is half of its turn plus the tangent of half its log odds. Equal targets lie together in
+        tiles, those with the longest paths first; a tile's targets share the rows of their path."""
+        out = self.p["out"]
+        width, half = out.shape[1], out.dtype.type(0.5)
+        signs, (padded, halves, lengths, place) = self._split_paths()
+        heavy = len(out) - signs.shape[1]
+        filled, firsts, back = self._tiles(place[targets], _TILE)
+        owner = targets[firsts]
+        source = np.zeros((len(states) + 1, width), out.dtype)  # the last row, of nothing, fills the tiles up
+        source[:-1, :-1], source[:-1, -1] = states, 1
+        into = source.take(filled, axis=0)
+        tiled = into.reshape(len(owner), _TILE, width)
+        # The heaviest nodes are taken for all targets.
+        of_tile = signs[owner].astype(out.dtype)
+        top = out[heavy:] * half
+        twice = np.tanh(into @ top.T).reshape(len(owner), _TILE, -1)
+        twice *= np.abs(of_tile)[:, None]
+        twice += of_tile[:, None]
+        twice = twice.reshape(len(into), -1)
+        d_into = (twice @ top).reshape(tiled.shape)
+        at_heavy = np.flatnonzero(of_tile.any(axis=0))
+        touched, parts = [at_heavy + heavy], [half * (twice.T @ into)[at_heavy]]
+        # The rest of the paths, tiles with paths of about a length at once.
+        for a, b, most in self._alike(lengths[owner]):
+            at, sign = (x.take(owner[a:b], axis=0)[:, :most].reshape(-1) for x in (padded, halves))
+            used = np.flatnonzero(sign)
+            sign = sign[:, None]
+            rows = out.take(at, axis=0)
+            rows *= sign
+            rows = rows.reshape(b - a, most, width)
+            twice = tiled[a:b] @ rows.transpose(0, 2, 1)
+            np.tanh(twice, out=twice)
+            twice += 1
+            d_into[a:b] += twice @ rows
+            g = (twice.transpose(0, 2, 1) @ tiled[a:b]).reshape(-1, width)
+            g *= sign
+            touched.append(at.take(used))
+            parts.append(g.take(used, axis=0))
+        d_states = d_into.reshape(into.shape).take(back, axis=0)[:, :-1]
+        return d_states, _summed(np.concatenate(touched), np.concatenate(parts))
+
+    def _split_paths(self) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+        """Per id the signs of its choices at the heaviest nodes (0: not on its path), and the paths below these.
 
         Nodes are numbered by growing weight, so the heaviest are the last and end each path."""
         if self.split is None:
             first, nodes, sign = self.paths
             n, heavy = len(first) - 1, len(self.p["out"]) - min(_HEAVY, len(self.p["out"]))
-            ids = np.repeat(np.arange(n), np.diff(first))
-            low = nodes < heavy
+            ids, top = np.repeat(np.arange(n), np.diff(first)), nodes >= heavy
             signs = np.zeros((n, len(self.p["out"]) - heavy), np.int8)
-            signs[ids[~low], nodes[~low] - heavy] = sign[~low]
-            lengths = np.bincount(ids[low], minlength=n)
-            below = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-            place = np.empty(n, np.uint16 if n <= 1 << 16 else np.int32)  # 16 bits are sorted by radix
-            place[np.argsort(-lengths, kind="stable")] = np.arange(n)
-            self.split = signs, (below, nodes[low], sign[low]), place
+            signs[ids[top], nodes[top] - heavy] = sign[top]
+            self.split = signs, self._padded_paths(heavy)
         return self.split
 
-    def _path_gradient(self, states: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
-        """The slopes of the loss of ``targets`` by hidden row and by the touched rows of ``out``.
-
-        A choice's slope is half of its turn plus the tangent of half its log odds."""
-        out = self.p["out"]
-        signs, (first, nodes, turns), place = self._split_paths()
-        heavy = len(out) - signs.shape[1]
-        # Equal targets lie together, those with the longest paths first: they share the paths' rows.
-        order, edges = _grouped(place[targets])
-        into = _with_one(states.take(order, axis=0))
-        distinct = targets[order[edges]]
-        ends = np.append(edges, len(order))
-        which = np.repeat(np.arange(len(edges)), np.diff(ends))
-        of_distinct = signs[distinct].astype(into.dtype)
-        sign = of_distinct.take(which, axis=0)
-        top = out[heavy:] * out.dtype.type(0.5)
-        twice = np.tanh(into @ top.T)
-        twice *= np.abs(of_distinct).take(which, axis=0)
-        twice += sign
-        d_into = twice @ top
-        at_heavy = np.flatnonzero(of_distinct.any(axis=0))
-        touched, parts = [at_heavy + heavy], [0.5 * (twice.T @ into)[at_heavy]]
-        # The rest step by step; a step takes the first targets, whose paths are long enough.
-        start, length = first[distinct], first[distinct + 1] - first[distinct]
-        left = np.cumsum(np.bincount(length)[::-1])[::-1]  # how many distinct targets have so many steps
-        for step, u in enumerate(left[1:].tolist()):
-            n = ends[u]
-            at = nodes[start[:u] + step]
-            rows = out[at].take(which[:n], axis=0)
-            slope = np.einsum("ij,ij->i", into[:n], rows)
-            slope *= 0.5
-            np.tanh(slope, out=slope)
-            slope += turns[start[:u] + step].take(which[:n])
-            slope *= 0.5
-            rows *= slope[:, None]
-            d_into[:n] += rows
-            touched.append(at)
-            parts.append(np.add.reduceat(into[:n] * slope[:, None], edges[:u], axis=0))
-        d_states = np.empty_like(states)
-        d_states[order] = d_into[:, :-1]
-        return d_states, _summed(np.concatenate(touched), np.concatenate(parts))
-
     def gradient(self, inputs: np.ndarray, targets: np.ndarray, scored: np.ndarray, with_loss: bool = True) -> tuple[float, dict]:
         """The summed loss (0 if not wanted) and, per parameter, the rows touched and their gradient."""
         p, d = self.p, self.p["query"].shape[0]
@@ -241,25 +273,30 @@ class Model:
         flat, wanted = hidden.reshape(-1, d).take(at, axis=0), targets.ravel()[at]
         loss = -float(self.path_scores(_with_one(flat), wanted).sum()) if with_loss else 0.0
         d_flat, g_out = self._path_gradient(flat, wanted)
-        d_hidden = np.zeros_like(hidden)
-        d_hidden.reshape(-1, d)[at] = d_flat * (1 - flat * flat)
+        slopes = np.zeros((len(at) + 1, d), hidden.dtype)  # the last row, of nothing, is that of the places not scored
+        np.multiply(d_flat, 1 - flat * flat, out=slopes[:-1])
+        of_place = np.full(scored.size, len(at))
+        of_place[at] = np.arange(len(at))
+        d_hidden = slopes.take(of_place, axis=0).reshape(hidden.shape)
         # Beside each slope less its part that goes to the weights' sum, all over that sum.
         shared = np.concatenate([d_hidden, -np.einsum("ijk,ijk->ij", d_hidden, mixed)[:, :, None]], axis=2)
         shared /= total
         d_scores = shared @ v.transpose(0, 2, 1)
         d_scores *= weights
         per_id = np.empty((*inputs.shape, 4 * d), hidden.dtype)
-        per_id[:, :, :d] = d_scores @ k
-        per_id[:, :, d:2 * d] = d_scores.transpose(0, 2, 1) @ q
-        per_id[:, :, 2 * d:3 * d] = weights.transpose(0, 2, 1) @ shared[:, :, :d]
+        np.matmul(d_scores, k, out=per_id[:, :, :d])
+        np.matmul(d_scores.transpose(0, 2, 1), q, out=per_id[:, :, d:2 * d])
+        np.matmul(weights.transpose(0, 2, 1), shared[:, :, :d], out=per_id[:, :, 2 * d:3 * d])
         per_id[:, :, 3 * d:] = d_hidden
         near = np.bincount(self.back.ravel(), d_scores.sum(axis=0).ravel(), self.window)[:, None]
-        by_id = np.add.reduceat(per_id.reshape(-1, 4 * d).take(order, axis=0), edges, axis=0)
-        by_id[:, :d] *= np.float32(1 / np.sqrt(d))
-        parts = {name: by_id[:, i * d:(i + 1) * d] for i, name in enumerate(("query", "key", "value", "own"))}
-        every = np.arange(d)
-        grads = {name: (every, rows.T @ part) for name, part in parts.items()}
-        grads["embed"] = (seen, by_id @ np.concatenate([p[name].T for name in parts]))
+        # The projections first: an id's sum is then as wide as its row.
+        scale = np.repeat(np.array([1 / np.sqrt(d), 1, 1, 1], per_id.dtype), d)
+        names, every = ("query", "key", "value", "own"), np.arange(d)
+        own = rows.take(place, axis=0).reshape(*inputs.shape, d)
+        by_name = (own.transpose(0, 2, 1) @ per_id).sum(axis=0) * scale
+        grads = {name: (every, by_name[:, i * d:(i + 1) * d]) for i, name in enumerate(names)}
+        by_place = per_id.reshape(-1, 4 * d) @ (scale[:, None] * np.concatenate([p[name].T for name in names]))
+        grads["embed"] = (seen, np.add.reduceat(by_place.take(order, axis=0), edges, axis=0))
         grads["near"] = (np.arange(self.window), near.astype(np.float32))
         grads["out"] = g_out
         return loss, grads
@@ -301,6 +338,10 @@ class Trainer:
     def step(self, inputs: np.ndarray, targets: np.ndarray, scored: np.ndarray) -> None:
         _, grads = self.model.gradient(inputs, targets, scored, with_loss=False)
         for name, (rows, g) in grads.items():
-            self.squares[name][rows] += (g * g).mean(axis=1)
-            self.model.p[name][rows] -= self.rate * g / np.sqrt(self.squares[name][rows])[:, None]
+            squares = self.squares[name].take(rows)
+            squares += np.einsum("ij,ij->i", g, g) / g.shape[1]
+            self.squares[name][rows] = squares
+            moved = g * (-self.rate / np.sqrt(squares))[:, None]
+            moved += self.model.p[name].take(rows, axis=0)
+            self.model.p[name][rows] = moved
             self.touched[name][rows] += 1

@@ -51,6 +51,8 @@ RATE = 0.15
 BATCH = 384
 #: Hidden rows that are scored at once, about.
 STATES = 1 << 18
+#: Words, of several blocks, that are counted together before they are dealt out.
+COUNTED = 1 << 19
 #: Parameter rows that travel as one row.
 CHUNK = 512
 
@@ -58,7 +60,7 @@ _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 
 _RELATION = ("doc_ids array<bigint>, held array<boolean>, n_words array<int>, codes binary,"
-             " words array<struct<word:string,n:bigint>>, n_ids array<int>, ids binary")
+             " words binary, counts binary, n_ids array<int>, ids binary")
 
 
 def _one(values: np.ndarray | pa.Array) -> pa.ListArray:
@@ -86,14 +88,15 @@ def _relation(docs: DataFrame, vocabulary: str, end: int, block_bytes: int) -> D
                 codes = words.indices.to_numpy()
                 n_words = np.diff(np.searchsorted(starts, offsets)).astype(np.int32)
                 learnt = codes[np.repeat(~held[lo:hi], n_words)]
-                counts = pa.array(np.bincount(learnt, minlength=len(words.dictionary)), pa.int64())
+                counts = np.bincount(learnt, minlength=len(words.dictionary))
                 ids, edges = encoder.encode(raw, offsets, end)
-                listed = pa.StructArray.from_arrays([words.dictionary, counts], names=["word", "n"])
+                # No word holds a blank. One value per block: lists of many words are dear to pass on.
+                joined = pc.binary_join(_one(words.dictionary), " ").cast(pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [_one(batch.column("doc_id").slice(lo, hi - lo)), _one(held[lo:hi]), _one(n_words),
-                     pa.array([_packed(codes, len(counts))], pa.binary()), _one(listed),
+                     pa.array([_packed(codes, len(counts))], pa.binary()), joined, pa.array([counts.astype("<i8").tobytes()], pa.binary()),
                      _one(np.diff(edges).astype(np.int32)), pa.array([_packed(ids, end + 1)], pa.binary())],
-                    names=["doc_ids", "held", "n_words", "codes", "words", "n_ids", "ids"])
+                    names=["doc_ids", "held", "n_words", "codes", "words", "counts", "n_ids", "ids"])
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
                        held_out(F.col("doc_id"), FOLDS, FOLD).alias("held"))
     path = staged_path(docs.sparkSession, "lm-blocks")
@@ -107,6 +110,34 @@ def _ids(batch: pa.RecordBatch, i: int, end: int) -> tuple[np.ndarray, np.ndarra
     return np.frombuffer(batch.column("ids")[i].as_buffer(), _kind(end + 1)).astype(np.int64), sizes
 
 
+def _words(batch: pa.RecordBatch, i: int) -> pa.Array:
+    """A block's distinct words."""
+    joined = batch.column("words").slice(i, 1).cast(pa.string())
+    return pc.split_pattern(joined, " ").flatten() if joined[0].as_py() else pa.array([], pa.string())
+
+
+def _word_counts(relation: DataFrame) -> DataFrame:
+    """How often every word occurs in the training documents."""
+    def summed(parts: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+        yield from pa.concat_tables(parts).group_by("word").aggregate([("n", "sum")]).rename_columns(
+            {"n_sum": "n"}).select(["word", "n"]).to_batches(max_chunksize=1 << 16)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
+        for batch in batches:
+            for i in range(batch.num_rows):
+                n = np.frombuffer(batch.column("counts")[i].as_buffer(), "<i8")
+                parts.append(pa.table({"word": _words(batch, i), "n": n}).filter(pa.array(n > 0)))
+                size += len(parts[-1])
+                if size >= COUNTED:
+                    yield from summed(parts)
+                    parts, size = [], 0
+        if parts:
+            yield from summed(parts)
+    rows = relation.select("words", "counts").mapInArrow(counted, "word string, n bigint")
+    return rows.groupBy("word").agg(F.sum("n").alias("c"))
+
+
 def _id_counts(relation: DataFrame, end: int) -> np.ndarray:
     """How often every id occurs in the training documents, the closing id included."""
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,7 +286,7 @@ def _head_part(relation: DataFrame, frequent: tuple[pa.Array, np.ndarray], below
         listed_words, listed_counts = shared.value
         for batch in batches:
             for i in range(batch.num_rows):
-                words = batch.column("words")[i].values
+                words = _words(batch, i)
                 place = pc.index_in(words, value_set=listed_words).fill_null(-1).to_numpy()
                 c = np.append(listed_counts, 0)[place]
                 codes = np.frombuffer(batch.column("codes")[i].as_buffer(), _kind(len(words)))
@@ -273,7 +304,7 @@ def _head_part(relation: DataFrame, frequent: tuple[pa.Array, np.ndarray], below
                      pa.array([_packed(doc[other], len(n_words))], pa.binary()),
                      pa.array([_packed(number[codes[other]], len(rest))], pa.binary()), _one(words.take(pa.array(rest)))],
                     names=["block", "doc_ids", "held", "n_words", "known", "scores", "at", "codes", "words"])
-    return relation.select("block", "doc_ids", "held", "n_words", "codes", F.col("words.word").alias("words")).mapInArrow(
+    return relation.select("block", "doc_ids", "held", "n_words", "codes", "words").mapInArrow(
         scored, "block bigint, " + _HEAD_PART)
 
 
@@ -326,8 +357,7 @@ def score(docs: DataFrame, vocabulary: str, end: int, rounds: int = ROUNDS, ever
     ``end``, the highest id, closes every text and stands before its first id.
     """
     relation = _relation(docs, vocabulary, end, block_bytes)
-    words = relation.select(F.explode("words").alias("w")).where("w.n > 0")
-    counts = staged(words.groupBy("w.word").agg(F.sum("w.n").alias("c")), "lm-words")
+    counts = staged(_word_counts(relation), "lm-words")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     ends = relation.agg(F.coalesce(F.sum(F.size(F.filter("held", lambda h: ~h))), F.lit(0))).first()[0]
     total, distinct = total + ends, distinct + (ends > 0)

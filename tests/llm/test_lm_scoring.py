@@ -178,3 +178,27 @@ def test_every_training_window_is_learnt(spark, docs_of):
     held = np.array([False, True, False, False])
     taken = np.concatenate([L._chosen(3, sizes, held, turn, L.TRAIN_EVERY) for turn in range(L.ROUNDS)])
     assert sorted(taken) == np.flatnonzero(~held[A.windows(sizes)[0]]).tolist()
+
+
+def test_scoring_takes_equal_targets_in_few_products(monkeypatch):
+    model, rng = small_model(9, n=600)
+    states = np.concatenate([rng.standard_normal((6000, 5)), np.ones((6000, 1))], axis=1)
+    targets = rng.integers(0, 600, 6000)
+    calls, plain = [], A._softplus
+    monkeypatch.setattr(A, "_softplus", lambda x: calls.append(len(x)) or plain(x))
+    got = model.path_scores(states, targets)
+    assert len(calls) < 30  # not one for each distinct target
+    first, nodes, sign = model.paths
+    for i in range(0, 6000, 97):
+        path = slice(first[targets[i]], first[targets[i] + 1])
+        choices = model.p["out"][nodes[path]] @ states[i] * sign[path]
+        assert got[i] == pytest.approx(-np.log1p(np.exp(choices)).sum(), abs=1e-6)
+
+
+def test_words_travel_as_one_value_a_block(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(L, "COUNTED", 3)
+    rows = [(1, "The the a"), (2, None), (3, " \x0b"), (4, "é the"), (None, "a b"), (5, "")]
+    relation = L._relation(docs_of(rows), vocabulary_path(), END_OF_TEXT, 4)
+    assert dict(relation.dtypes)["words"] == "binary"
+    learnt = Counter(w for i, t in rows if i is not None and zlib.crc32(str(i).encode()) % 10 for w in (t or "").lower().split())
+    assert {r.word: r.c for r in L._word_counts(relation).collect()} == learnt
