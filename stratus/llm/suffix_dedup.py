@@ -9,10 +9,14 @@ equal windows always meet at their anchor, while a text has an anchor only
 about every eighteenth byte. Three passes over hash chunks of the documents
 use one shuffle of the texts:
 
-1. the distinct anchors of each chunk are dealt to buckets by hash, with the
-   number of their contexts; the answer is two bits per anchor: does another
-   chunk have it too, and are its contexts too many for one bucket;
-2. around the anchors that other documents have too, the text of their
+1. an anchor's windows reach at least half of their other bytes to its left, or
+   else to its right: the anchor with those bytes is the key of that half, and
+   equal windows have equal keys. (Anchors alone are too short: in a large corpus
+   nearly each of them is met again by chance.) The distinct keys of each chunk are
+   dealt to buckets by their anchors, with the number of their contexts; the answer
+   is two bits per key: does another chunk have it too, and are the contexts of
+   its anchor too many for one bucket;
+2. for the keys that other documents have too, the text of their
    windows goes to the anchor's bucket, once per chunk with the chunk's least
    document id (the windows of a very common anchor go to buckets by their own
    hashes instead, so that no bucket gathers them all). There the window suffixes are put in order by a mergesort
@@ -21,9 +25,11 @@ use one shuffle of the texts:
    and equal neighbours give every window its least document id;
 3. the removed ranges return to the chunks, which cut the texts.
 
-Chunks and buckets hold a bounded number of bytes; the copies of a passage in
+Chunks and buckets hold a bounded number of bytes, and a bucket is settled in lots
+of whole anchors; the copies of a passage in
 one chunk are sent once, so a passage that many documents share is a row per
-chunk at most. Nothing is collected.
+chunk at most. A row is a chunk and a bucket, so rows grow faster than the text:
+both are large enough that a row holds many keys. Nothing is collected.
 
 Defined cases: a null text is empty; texts shorter than ``width`` lose
 nothing; documents with equal ids do not remove each other's bytes; a row
@@ -33,6 +39,7 @@ without an id neither loses bytes nor makes others lose them.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,10 +50,12 @@ from . import blocks
 
 WIDTH, GRAM = 50, 16
 #: Bytes of text in a chunk, and of text that a bucket's anchors stand for.
-CHUNK_BYTES, BUCKET_BYTES = 2 << 20, 1 << 20
-#: Windows around an anchor that more chunks than this have, or whose contexts
-#: have more bytes than this, are dealt one by one.
-HOT_CHUNKS, HOT_BYTES = 1_000, 8 << 20
+CHUNK_BYTES, BUCKET_BYTES = 4 << 20, 4 << 20
+#: Windows around an anchor whose contexts have more bytes than this are dealt
+#: one by one, at about 13 times the bytes: that many chunks have it is no reason.
+HOT_BYTES = 8 << 20
+#: Bytes of contexts that are settled at once.
+LOT_BYTES = 4 << 20
 #: Windows that are sorted at once.
 SORT_WINDOWS = 100_000
 
@@ -55,13 +64,18 @@ _POSITION_BITS = 26
 _SEGMENT, _ROWS = 1 << 18, 10_000
 #: Places of a context that take the room of another context.
 _USES = 8
+#: A key inside its bucket: bits of its anchor, then bits of its own.
+_ANCHOR_BITS, _KEY_BITS = 12, 20
 
 
 def anchor_runs(raw: np.ndarray, offsets: np.ndarray, powers: blocks.Powers, width: int = WIDTH, gram: int = GRAM
-                ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows with one anchor: the hashes of the anchor and of the
-    run's text, the anchor's position, the first and the last window."""
-    found = [np.zeros((5, 0), np.int64)]
+                ) -> tuple[np.ndarray, ...]:
+    """Halves of the runs of windows with one anchor: the hashes of the anchor,
+    of the half's key and of its text, the anchor's position, the first and the
+    last window. A run's left half stands before its right half."""
+    right = (width - gram) // 2  # bytes of a right key after the anchor
+    left = width - gram - right + 1  # and of a left key before it
+    found = [np.zeros((6, 0), np.int64)]
     for base in range(0, max(len(raw) - width + 1, 0), _SEGMENT):
         part = raw[base:base + _SEGMENT + width - 1]
         prefix = blocks.PrefixHash(part, powers)
@@ -82,15 +96,28 @@ def anchor_runs(raw: np.ndarray, offsets: np.ndarray, powers: blocks.Powers, wid
         at, doc = (least[window] & low).astype(np.int64), doc[window]
         fresh = np.ones(len(window), bool)
         fresh[1:] = (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])
-        first = np.flatnonzero(fresh)
-        last = np.append(first[1:] - 1, len(window) - 1)
-        text = prefix.span(window[first], window[last] + width)
+        edge = np.flatnonzero(fresh)
+        at, first, last = at[edge], window[edge], np.append(window[edge[1:] - 1], window[-1])
+        # The windows up to ``left`` bytes before the anchor hold the left key, the others the right one.
+        cut = np.clip(at - left + 1, first, last + 1)
+        first, last = np.stack([first, cut], 1), np.stack([cut - 1, last], 1)
+        some = np.flatnonzero((first <= last).ravel())
+        at, first, last, after = np.repeat(at, 2)[some], first.ravel()[some], last.ravel()[some], some % 2
+        key = prefix.span(at - left * (1 - after), at + gram + right * after)
+        text = prefix.span(first, last + width)
         # Least hashes crowd the low end of their range: mixed again, they deal evenly.
-        key = blocks.mix(h[at[first]] * np.uint64(blocks.BASE))
-        found.append(np.stack([key.view(np.int64), text.view(np.int64), base + at[first],
-                               base + window[first], base + window[last]]))
+        anchor = blocks.mix(h[at] * np.uint64(blocks.BASE))
+        found.append(np.stack([anchor.view(np.int64), blocks.mix(key + after.astype(np.uint64)).view(np.int64),
+                               text.view(np.int64), base + at, base + first, base + last]))
     runs = np.concatenate(found, axis=1)
-    return runs[0].view(np.uint64), runs[1].view(np.uint64), runs[2], runs[3], runs[4]
+    return runs[0].view(np.uint64), runs[1].view(np.uint64), runs[2].view(np.uint64), runs[3], runs[4], runs[5]
+
+
+def half_keys(anchor: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """The anchor's leading bits, by which its keys are dealt, and below them the
+    key as it is told apart inside a bucket."""
+    return ((anchor >> np.uint64(32) << np.uint64(32)) | ((anchor & np.uint64((1 << _ANCHOR_BITS) - 1)) << np.uint64(_KEY_BITS))
+            | (key >> np.uint64(64 - _KEY_BITS)))
 
 
 def _bucket(keys: np.ndarray, n_buckets: int) -> np.ndarray:
@@ -104,14 +131,34 @@ def _group_edges(values: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(values[1:] != values[:-1]) + 1, [len(values)]])
 
 
+_ZSTD = "zstd"
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as compressed bytes with their lengths; one that does not get shorter stays as it is."""
+    codec = pa.Codec(_ZSTD)
+    for batch in batches:
+        texts = batch.column("text").cast(pa.large_binary()).to_pylist()
+        packed = [min(t, codec.compress(t, asbytes=True), key=len) for t in texts]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array(packed, pa.binary()),
+             batch.column("row_key"), batch.column("chunk")], ["doc_id", "size", "packed", "row_key", "chunk"])
+
+
+def unpacked(table: pa.Table) -> list[bytes]:
+    codec = pa.Codec(_ZSTD)
+    return [p if len(p) == n else codec.decompress(p, n, asbytes=True)
+            for p, n in zip(table.column("packed").to_pylist(), table.column("size").to_pylist())]
+
+
 class _Chunk:
     """The documents of a chunk in a fixed order, as bytes."""
 
     def __init__(self, table: pa.Table):
         table = table.sort_by([("doc_id", "ascending"), ("row_key", "ascending")])
-        column = table.column("text").combine_chunks()
-        parts = list(blocks.byte_slices(column, 1 << 62))
-        self.raw, self.offsets = parts[0][2:] if parts else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
+        texts = unpacked(table)
+        self.raw = np.frombuffer(b"".join(texts), np.uint8)
+        self.offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)])
         self.doc_id = table.column("doc_id")
         known = np.asarray(self.doc_id.is_valid())
         self.ids = np.asarray(self.doc_id.fill_null(0).to_numpy(), np.int64)
@@ -119,18 +166,18 @@ class _Chunk:
 
     def runs(self, powers: blocks.Powers, width: int, gram: int):
         found = anchor_runs(self.raw, self.offsets, powers, width, gram)
-        doc = np.searchsorted(self.offsets, found[3], "right") - 1
+        doc = np.searchsorted(self.offsets, found[4], "right") - 1
         keep = self.known[doc]
         return tuple(x[keep] for x in (*found, doc))
 
 
 def _emit_anchors(n_buckets: int, width: int, gram: int):
     def emit(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        found = _Chunk(table).runs(blocks.Powers(), width, gram)
-        keys, loads = anchor_loads(found[0], found[1])
+        anchor, half, text = _Chunk(table).runs(blocks.Powers(), width, gram)[:3]
+        keys, loads = anchor_loads(half_keys(anchor, half), text)
         edges = _group_edges(_bucket(keys, n_buckets))
-        # Inside a bucket forty bits tell anchors apart; a clash only costs a comparison.
-        short = keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+        # Inside a bucket 32 bits tell keys apart; a clash only costs a comparison.
+        short = keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :4]
         return pa.table({
             "bucket": pa.array(_bucket(keys, n_buckets)[edges[:-1]], pa.int64()),
             "chunk": pa.array(np.full(len(edges) - 1, key[0].as_py()), pa.int64()),
@@ -140,7 +187,7 @@ def _emit_anchors(n_buckets: int, width: int, gram: int):
 
 
 def anchor_loads(anchor: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct anchors of a chunk, and what each sends to its bucket: one
+    """The distinct keys of a chunk, and what each sends to its bucket: one
     for every different context, and one for every ``_USES`` places of them."""
     order = np.lexsort((text, anchor))
     anchor, text = anchor[order], text[order]
@@ -151,49 +198,60 @@ def anchor_loads(anchor: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.n
     return anchor[edges[:-1]], np.minimum(loads, 0xFFFF).astype("<u2")
 
 
-def _mark_shared(hot_chunks: int, hot_load: int):
+def _mark_shared(hot_chunks: int | None, hot_load: int):
     def mark(table: pa.Table) -> pa.Table:
-        return _marks(table, hot_chunks, hot_load)
+        return _marks(table, hot_chunks, hot_load, 4, _KEY_BITS)
     return mark
 
 
-def _marks(table: pa.Table, hot_chunks: int, hot_load: int) -> pa.Table:
-    """Per chunk two bits for each of its anchors: another chunk has it too,
-    and more than ``hot_chunks`` have it or their loads are above ``hot_load``."""
+def _marks(table: pa.Table, hot_chunks: int | None, hot_load: int, key_bytes: int = 5, own_bits: int = 0) -> pa.Table:
+    """Per chunk two bits for each of its keys: another chunk has it too, and
+    what its anchor sends is above ``hot_load`` (or more than ``hot_chunks`` have
+    the key). The bits above the ``own_bits`` of a key are its anchor's."""
     blobs = table.column("anchors").to_pylist()
-    sizes = np.array([len(b) // 5 for b in blobs])
+    sizes = np.array([len(b) // key_bytes for b in blobs])
     short = np.zeros((sizes.sum(), 8), np.uint8)
-    short[:, :5] = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, 5)
+    short[:, :key_bytes] = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, key_bytes)
     values = short.view("<u8")[:, 0]
     order = np.argsort(values, kind="stable")
-    edges = _group_edges(values[order])
+    values = values[order]
+    edges = _group_edges(values)
     stops = np.concatenate([[0], np.cumsum(sizes)])
     loads = np.frombuffer(b"".join(table.column("loads").to_pylist()), "<u2").astype(np.int64)
-    load = np.add.reduceat(loads[order], edges[:-1]) if len(order) else loads
     chunks = np.diff(edges)
-
-    def bits(anchors: np.ndarray) -> pa.Array:
+    shared = chunks > 1
+    load = np.add.reduceat(loads[order], edges[:-1]) if len(order) else loads
+    load = load * (shared | (load > 1))  # the others send nothing, or one context from their chunk
+    per_anchor = _group_edges(values[edges[:-1]] >> np.uint64(own_bits))
+    crowd = np.maximum.reduceat(chunks, per_anchor[:-1]) if len(order) else chunks
+    hot = (np.add.reduceat(load, per_anchor[:-1]) if len(order) else load) > hot_load
+    if hot_chunks is not None:
+        hot |= crowd > hot_chunks
+    hot = np.repeat(hot, np.diff(per_anchor))
+
+    def bits(keys: np.ndarray) -> pa.Array:
         flags = np.zeros(len(values), bool)
-        flags[order] = np.repeat(anchors, chunks)
+        flags[order] = np.repeat(keys, chunks)
         return pa.array([np.packbits(flags[a:b]).tobytes() for a, b in zip(stops[:-1], stops[1:])], pa.binary())
     return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"),
-                     "shared": bits(chunks > 1), "hot": bits((chunks > hot_chunks) | (load > hot_load))})
+                     "shared": bits(shared), "hot": bits(hot)})
 
 
-_REQUEST = ("bucket bigint, chunk bigint, n int, contexts binary, lengths binary, anchors binary, least binary,"
-            " uses binary, docs binary, places binary, later binary")
+#: ``packed``: of n contexts, their lengths, places of their anchors, least ids and numbers
+#: of uses; their bytes; of all uses, the document, the place and whether it is a later one.
+_REQUEST = "bucket bigint, chunk bigint, n int, size bigint, packed binary"
 
 
 def _emit_contexts(n_buckets: int, width: int, gram: int):
     def emit(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
-        empty = pa.table({c.split()[0]: pa.array([], {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[c.split()[1]])
-                          for c in _REQUEST.split(", ")})
+        empty = pa.table({"bucket": pa.array([], pa.int64()), "chunk": pa.array([], pa.int64()), "n": pa.array([], pa.int32()),
+                          "size": pa.array([], pa.int64()), "packed": pa.array([], pa.binary())})
         if not left.num_rows or not right.num_rows:
             return empty
         chunk = _Chunk(left)
         powers = blocks.Powers()
-        anchor, text, at, first, last, doc = chunk.runs(powers, width, gram)
-        keys, inverse = np.unique(anchor, return_inverse=True)
+        anchor, key_of, text, at, first, last, doc = chunk.runs(powers, width, gram)
+        keys, inverse = np.unique(half_keys(anchor, key_of), return_inverse=True)
         right = right.sort_by("bucket")
         edges = _group_edges(_bucket(keys, n_buckets))
         shared, hot = (np.concatenate([
@@ -208,6 +266,15 @@ def _emit_contexts(n_buckets: int, width: int, gram: int):
             return empty
         hot = hot[inverse][wanted]
         anchor, text, at, first, last, doc, ids = (x[wanted] for x in (anchor, text, at, first, last, doc, ids))
+        # The halves of a run that meet are one context.
+        fresh = np.ones(len(at), bool)
+        fresh[1:] = (at[1:] != at[:-1]) | (doc[1:] != doc[:-1]) | (first[1:] != last[:-1] + 1)
+        heads = np.flatnonzero(fresh)
+        ends = np.append(heads[1:], len(at)) - 1
+        nth = (np.arange(len(at)) - np.repeat(heads, ends - heads + 1)).astype(np.uint64)
+        text = np.add.reduceat(text * (nth * np.uint64(blocks.BASE - 1) + np.uint64(1)), heads)
+        last = last[ends]
+        anchor, at, first, doc, ids, hot = (x[heads] for x in (anchor, at, first, doc, ids, hot))
         route = anchor
         if hot.any():  # the windows of a hot anchor go their own ways, by their own hashes
             n = np.where(hot, last - first + 1, 1)
@@ -232,23 +299,44 @@ def _emit_contexts(n_buckets: int, width: int, gram: int):
         later = ids > np.repeat(ids[heads], uses)
         edges = _group_edges(_bucket(route[heads], n_buckets))
         stops = np.append(heads, len(order))[edges]
-        gather = lambda a, b: chunk.raw[_spread(first[heads[a:b]], length[heads[a:b]])].tobytes()
-        pack = lambda x, kind, e: [x[a:b].astype(kind).tobytes() for a, b in zip(e[:-1], e[1:])]
+        codec, sizes, packed = pa.Codec(_ZSTD), [], []
+        for a, b, x, y in zip(edges[:-1], edges[1:], stops[:-1], stops[1:]):
+            parts = (length[heads[a:b]].astype("u1"), lead[heads[a:b]].astype("u1"), ids[heads[a:b]].astype("<i8"),
+                     uses[a:b].astype("<u4"), chunk.raw[_spread(first[heads[a:b]], length[heads[a:b]])],
+                     doc[x:y].astype("<u4"), (first[x:y] - chunk.offsets[doc[x:y]]).astype("<u4"), np.packbits(later[x:y]))
+            blob = b"".join(p.tobytes() for p in parts)
+            sizes.append(len(blob))
+            packed.append(min(blob, codec.compress(blob, asbytes=True), key=len))
         return pa.table({
             "bucket": pa.array(_bucket(route[heads], n_buckets)[edges[:-1]], pa.int64()),
             "chunk": pa.array(np.full(len(edges) - 1, key[0].as_py()), pa.int64()),
             "n": pa.array(np.diff(edges), pa.int32()),
-            "contexts": pa.array([gather(a, b) for a, b in zip(edges[:-1], edges[1:])], pa.binary()),
-            "lengths": pa.array(pack(length[heads], "u1", edges), pa.binary()),
-            "anchors": pa.array(pack(lead[heads], "u1", edges), pa.binary()),
-            "least": pa.array(pack(ids[heads], "<i8", edges), pa.binary()),
-            "uses": pa.array(pack(uses, "<u4", edges), pa.binary()),
-            "docs": pa.array(pack(doc, "<u4", stops), pa.binary()),
-            "places": pa.array(pack(first - chunk.offsets[doc], "<u4", stops), pa.binary()),
-            "later": pa.array([np.packbits(later[a:b]).tobytes() for a, b in zip(stops[:-1], stops[1:])], pa.binary())})
+            "size": pa.array(sizes, pa.int64()), "packed": pa.array(packed, pa.binary())})
     return emit
 
 
+def _contexts(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """What the rows of ``_REQUEST`` hold, each joined over the rows, and where each row's uses end."""
+    rows = []
+    for n, blob in zip(table.column("n").to_pylist(), unpacked(table)):
+        at, row = 0, []
+
+        def take(count: int, kind: str) -> np.ndarray:
+            nonlocal at
+            part = np.frombuffer(blob, kind, count, at)  # noqa: B023
+            at += part.nbytes
+            return part
+        row += [take(n, "u1"), take(n, "u1"), take(n, "<i8"), take(n, "<u4")]
+        row.append(take(int(row[0].sum(dtype=np.int64)), "u1"))
+        n_uses = int(row[3].sum(dtype=np.int64))
+        row += [take(n_uses, "<u4"), take(n_uses, "<u4")]
+        row.append(np.unpackbits(take(-(-n_uses // 8), "u1"), count=n_uses).astype(bool))
+        rows.append(row)
+    length, lead, least, uses, raw, docs, places, later = (np.concatenate(x) for x in zip(*rows))
+    ends = np.cumsum([len(row[5]) for row in rows])
+    return (raw, *(x.astype(np.int64) for x in (length, lead, least, uses, docs, places)), later, ends)
+
+
 def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """All positions of the given spans, one span after the other."""
     before = np.cumsum(lengths) - lengths
@@ -371,91 +459,120 @@ def _least_ids(order: np.ndarray, equal: np.ndarray, ids: np.ndarray) -> np.ndar
     return out
 
 
-def _resolve_bucket(width: int, gram: int, sort_windows: int = SORT_WINDOWS):
+def _anchor_lots(raw: np.ndarray, at: np.ndarray, gram: int, n_lots: int) -> np.ndarray:
+    """The lot of each context, by the bytes of its anchor."""
+    code = np.zeros(len(at), np.uint64)
+    for i in range(gram):
+        code = code * np.uint64(blocks.BASE) + raw[at + i]
+    return (blocks.mix(code) % np.uint64(n_lots)).astype(np.int64)
+
+
+def _hit_windows(raw: np.ndarray, length: np.ndarray, lead: np.ndarray, least: np.ndarray, width: int, gram: int,
+                 sort_windows: int) -> tuple[np.ndarray, np.ndarray]:
+    """The head of each context (of equal ones that with the least id), and for
+    every window whether it also starts in a document of smaller id: of heads only."""
+    powers = blocks.Powers()
+    start = np.cumsum(length) - length
+    n_windows = length - width + 1
+    hashes = blocks.PrefixHash(raw, powers)
+    anchor, text = hashes.span(start + lead, start + lead + gram), hashes.span(start, start + length)
+    order = np.lexsort((least, lead, length, text, anchor))
+    same = np.zeros(len(order), bool)
+    s = (anchor[order], text[order], length[order], lead[order])
+    same[1:] = np.logical_and.reduce([x[1:] == x[:-1] for x in s])
+    at = np.flatnonzero(same)
+    same[at] = _equal_bytes(raw, start[order[at - 1]], start[order[at]], length[order[at]])
+    heads = np.flatnonzero(~same)  # the first of equal contexts has the least id
+    head_of = np.empty(len(order), np.int64)
+    head_of[order] = np.repeat(order[heads], np.diff(np.append(heads, len(order))))
+    # Windows of different contexts around one anchor, at one offset, may be equal.
+    firsts = order[heads]
+    edges = _group_edges(anchor[firsts])
+    many = firsts[np.repeat(np.diff(edges) > 1, np.diff(edges))]
+    base = np.cumsum(n_windows) - n_windows
+    hit = np.zeros(int(n_windows.sum()), bool)
+    suffixes = SuffixOrder(raw, hashes, width)
+
+    def settle(owner: np.ndarray, offset: np.ndarray) -> None:
+        """Mark the windows that also start in a document of smaller id."""
+        ahead = lead[owner] - offset
+        group = np.unique(anchor[owner], return_inverse=True)[1] * 256 + ahead
+        # Around one anchor most suffixes differ in their first bytes or next to
+        # the anchor: dealt by those, few are left to compare by hashes.
+        n = min(8, width)
+        beside = np.minimum(np.where(ahead <= n, ahead + gram, n), width - n)
+        begin = start[owner] + offset
+        keys = group, _words(raw, begin, n), _words(raw, begin + beside, n)
+        by = np.lexsort(keys[::-1])
+        offset, owner = offset[by], owner[by]
+        fresh = np.zeros(len(by), bool)
+        fresh[1:] = np.logical_or.reduce([k[by[1:]] != k[by[:-1]] for k in keys])
+        group = np.cumsum(fresh)
+        place, equal = suffixes.verified(start[owner] + offset, group)
+        hit[base[owner] + offset] = _least_ids(place, equal, least[owner]) < least[owner]
+
+    edges = _group_edges(anchor[many])
+    load = np.add.reduceat(n_windows[many], edges[:-1]) if len(many) else np.zeros(0, np.int64)
+    batch = np.cumsum(load) // sort_windows
+    for lot in _batches(batch):
+        part = many[edges[lot[0]]:edges[lot[-1] + 1]]
+        if load[lot].sum() <= 2 * sort_windows:
+            settle(np.repeat(part, n_windows[part]), _spread(np.zeros(len(part), np.int64), n_windows[part]))
+            continue
+        for ahead in range(width):  # many contexts: windows of one offset at a time
+            chosen = part[(lead[part] >= ahead) & (lead[part] - ahead < n_windows[part])]
+            if len(chosen):
+                settle(chosen, lead[chosen] - ahead)
+    return head_of, hit
+
+
+def _use_ranges(head_of: np.ndarray, hit: np.ndarray, length: np.ndarray, least: np.ndarray, width: int,
+                context: np.ndarray, later: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The removed ranges of the uses of contexts: the use, begin and end of each.
+
+    A context's windows are hit when its head's are, or when its chunk's least
+    id is above the head's; a use that is not of its chunk's least id is hit
+    throughout."""
+    n_windows = length - width + 1
+    base = np.cumsum(n_windows) - n_windows
+    whole = later | (least[context] > least[head_of[context]])
+    some = np.flatnonzero(~whole)
+    some = some[np.add.reduceat(hit, base)[head_of[context[some]]] > 0] if len(hit) else some[:0]
+    n = n_windows[context[some]]
+    inner = _spread(np.zeros(len(some), np.int64), n)
+    user = np.repeat(some, n)
+    flag = hit[base[head_of[context[user]]] + inner]
+    opens = flag.copy()
+    opens[1:] &= ~(flag[:-1] & (user[1:] == user[:-1]))
+    closes = flag.copy()
+    closes[:-1] &= ~(flag[1:] & (user[1:] == user[:-1]))
+    a, b = np.flatnonzero(opens), np.flatnonzero(closes)
+    full = np.flatnonzero(whole)
+    return (np.concatenate([full, user[a]]), np.concatenate([places[full], places[user[a]] + inner[a]]),
+            np.concatenate([places[full] + length[context[full]], places[user[a]] + inner[b] + width]))
+
+
+def _resolve_bucket(width: int, gram: int, sort_windows: int = SORT_WINDOWS, lot_bytes: int = LOT_BYTES):
     def resolve(table: pa.Table) -> pa.Table:
-        powers = blocks.Powers()
-        join = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
-        raw = join("contexts", np.uint8)
-        length, lead = join("lengths", "u1").astype(np.int64), join("anchors", "u1").astype(np.int64)
-        least, uses = join("least", "<i8").astype(np.int64), join("uses", "<u4").astype(np.int64)
+        raw, length, lead, least, uses, docs, places, later, use_ends = _contexts(table)
         start = np.cumsum(length) - length
-        n_windows = length - width + 1
-        hashes = blocks.PrefixHash(raw, powers)
-        anchor, text = hashes.span(start + lead, start + lead + gram), hashes.span(start, start + length)
-        order = np.lexsort((least, lead, length, text, anchor))
-        same = np.zeros(len(order), bool)
-        s = (anchor[order], text[order], length[order], lead[order])
-        same[1:] = np.logical_and.reduce([x[1:] == x[:-1] for x in s])
-        at = np.flatnonzero(same)
-        same[at] = _equal_bytes(raw, start[order[at - 1]], start[order[at]], length[order[at]])
-        heads = np.flatnonzero(~same)  # the first of equal contexts has the least id
-        head_of = np.empty(len(order), np.int64)
-        head_of[order] = np.repeat(order[heads], np.diff(np.append(heads, len(order))))
-        # Windows of different contexts around one anchor, at one offset, may be equal.
-        firsts = order[heads]
-        edges = _group_edges(anchor[firsts])
-        many = firsts[np.repeat(np.diff(edges) > 1, np.diff(edges))]
-        base = np.cumsum(n_windows) - n_windows
-        hit = np.zeros(int(n_windows.sum()), bool)
-        suffixes = SuffixOrder(raw, hashes, width)
-
-        def settle(owner: np.ndarray, offset: np.ndarray) -> None:
-            """Mark the windows that also start in a document of smaller id."""
-            ahead = lead[owner] - offset
-            group = np.unique(anchor[owner], return_inverse=True)[1] * 256 + ahead
-            # Around one anchor most suffixes differ in their first bytes or next to
-            # the anchor: dealt by those, few are left to compare by hashes.
-            n = min(8, width)
-            beside = np.minimum(np.where(ahead <= n, ahead + gram, n), width - n)
-            begin = start[owner] + offset
-            keys = group, _words(raw, begin, n), _words(raw, begin + beside, n)
-            by = np.lexsort(keys[::-1])
-            offset, owner = offset[by], owner[by]
-            fresh = np.zeros(len(by), bool)
-            fresh[1:] = np.logical_or.reduce([k[by[1:]] != k[by[:-1]] for k in keys])
-            group = np.cumsum(fresh)
-            place, equal = suffixes.verified(start[owner] + offset, group)
-            hit[base[owner] + offset] = _least_ids(place, equal, least[owner]) < least[owner]
-
-        edges = _group_edges(anchor[many])
-        load = np.add.reduceat(n_windows[many], edges[:-1]) if len(many) else np.zeros(0, np.int64)
-        batch = np.cumsum(load) // sort_windows
-        for lot in _batches(batch):
-            part = many[edges[lot[0]]:edges[lot[-1] + 1]]
-            if load[lot].sum() <= 2 * sort_windows:
-                settle(np.repeat(part, n_windows[part]), _spread(np.zeros(len(part), np.int64), n_windows[part]))
-                continue
-            for ahead in range(width):  # many contexts: windows of one offset at a time
-                chosen = part[(lead[part] >= ahead) & (lead[part] - ahead < n_windows[part])]
-                if len(chosen):
-                    settle(chosen, lead[chosen] - ahead)
-        # Back to the documents: a context's windows are hit when its head's are,
-        # or when its chunk's least id is above the head's; a use that is not of
-        # its chunk's least id is hit throughout.
         context = np.repeat(np.arange(len(length)), uses)
         rows = table.num_rows
-        per_row = np.array(table.column("n").to_pylist(), np.int64)
-        use_edges = np.concatenate([[0], np.cumsum(uses)])[np.concatenate([[0], np.cumsum(per_row)])]
-        later = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), count=k) for b, k in
-                                zip(table.column("later").to_pylist(), np.diff(use_edges).tolist())] or [np.zeros(0, np.uint8)]).astype(bool)
-        docs, places = join("docs", "<u4").astype(np.int64), join("places", "<u4").astype(np.int64)
-        whole = later | (least[context] > least[head_of[context]])
-        use_row = np.repeat(np.arange(rows), np.diff(use_edges))
-        some = np.flatnonzero(~whole)
-        some = some[np.add.reduceat(hit, base)[head_of[context[some]]] > 0] if len(hit) else some[:0]
-        n = n_windows[context[some]]
-        inner = _spread(np.zeros(len(some), np.int64), n)
-        user = np.repeat(some, n)
-        flag = hit[base[head_of[context[user]]] + inner]
-        opens = flag.copy()
-        opens[1:] &= ~(flag[:-1] & (user[1:] == user[:-1]))
-        closes = flag.copy()
-        closes[:-1] &= ~(flag[1:] & (user[1:] == user[:-1]))
-        a, b = np.flatnonzero(opens), np.flatnonzero(closes)
-        full = np.flatnonzero(whole)
-        owner = np.concatenate([full, user[a]])
-        begin = np.concatenate([places[full], places[user[a]] + inner[a]])
-        end = np.concatenate([places[full] + length[context[full]], places[user[a]] + inner[b] + width])
+        use_row = np.repeat(np.arange(rows), np.diff(use_ends, prepend=0))
+        n_lots = -(-len(raw) // lot_bytes)
+        lots = _anchor_lots(raw, start + lead, gram, n_lots) if n_lots > 1 else np.zeros(len(length), np.int64)
+        found = [np.zeros((3, 0), np.int64)]
+        for lot in range(n_lots):
+            mine = np.flatnonzero(lots == lot)
+            if not len(mine):
+                continue
+            inside = np.flatnonzero(lots[context] == lot)
+            part = raw if n_lots == 1 else raw[_spread(start[mine], length[mine])]
+            head_of, hit = _hit_windows(part, length[mine], lead[mine], least[mine], width, gram, sort_windows)
+            used, begin, end = _use_ranges(head_of, hit, length[mine], least[mine], width,
+                                           np.searchsorted(mine, context[inside]), later[inside], places[inside])
+            found.append(np.stack([inside[used], begin, end]))
+        owner, begin, end = np.concatenate(found, axis=1)
         by = np.lexsort((begin, docs[owner], use_row[owner]))
         owner, begin, end = owner[by], begin[by], end[by]
         triples = np.stack([docs[owner], begin, end], 1).astype("<u4")
@@ -498,12 +615,13 @@ def _cut(keep_text: bool):
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, chunk_bytes: int = CHUNK_BYTES,
-                   bucket_bytes: int = BUCKET_BYTES, hot_chunks: int = HOT_CHUNKS, hot_bytes: int = HOT_BYTES,
-                   sort_windows: int = SORT_WINDOWS, keep_text: bool = False) -> DataFrame:
+                   bucket_bytes: int = BUCKET_BYTES, hot_chunks: int | None = None, hot_bytes: int = HOT_BYTES,
+                   sort_windows: int = SORT_WINDOWS, keep_text: bool = False, lot_bytes: int = LOT_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document.
 
     ``keep_text`` adds the remaining bytes as ``kept`` (a cut may fall inside
-    a character). ``width`` may be up to 128 bytes.
+    a character). ``width`` may be up to 128 bytes. ``hot_chunks`` also deals out
+    the windows of an anchor with a key that more chunks have.
     """
     if not gram <= width <= 128:
         raise ValueError("width must lie between gram and 128")
@@ -512,7 +630,8 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, chunk_
     total = texts.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
     n_chunks, n_buckets = max(1, -(-total // chunk_bytes)), max(1, -(-total // bucket_bytes))
     key = F.xxhash64("doc_id", "text")
-    chunked = texts.select("doc_id", "text", key.alias("row_key"), F.pmod(key, F.lit(n_chunks)).alias("chunk"))
+    chunked = texts.select("doc_id", "text", key.alias("row_key"), F.pmod(key, F.lit(n_chunks)).alias("chunk")).mapInArrow(
+        _pack, "doc_id bigint, size bigint, packed binary, row_key bigint, chunk bigint")
     # Every pass reads this one shuffle: the exchanges are the same and are reused.
     # Fewer partitions than the session's would be dealt again for the cogroups.
     n_parts = max(min(n_chunks, 20_000), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -523,6 +642,6 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, chunk_
         _mark_shared(hot_chunks, hot_bytes // (2 * width - gram)), "chunk bigint, bucket bigint, shared binary, hot binary")
     requests = chunks.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(
         _emit_contexts(n_buckets, width, gram), _REQUEST)
-    ranges = requests.groupBy("bucket").applyInArrow(_resolve_bucket(width, gram, sort_windows), "chunk bigint, ranges binary")
+    ranges = requests.groupBy("bucket").applyInArrow(_resolve_bucket(width, gram, sort_windows, lot_bytes), "chunk bigint, ranges binary")
     return chunks.groupBy("chunk").cogroup(ranges.groupBy("chunk")).applyInArrow(
         _cut(keep_text), _RESULT + (", kept binary" if keep_text else ""))

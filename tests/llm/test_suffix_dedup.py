@@ -112,3 +112,72 @@ def test_an_anchor_is_hot_by_what_it_sends():
     bits = lambda name, limit: [list(np.unpackbits(np.frombuffer(b, np.uint8))[:3])
                                 for b in S._marks(table, 1_000, limit).column(name).to_pylist()]
     assert bits("shared", 89) == [[1, 1, 1]] * 2 and bits("hot", 89) == [[0, 1, 1]] * 2 and bits("hot", 90) == [[0, 0, 1]] * 2
+
+
+def packed(docs):
+    """A chunk's rows as the shuffle brings them."""
+    ids, texts = zip(*docs)
+    batch = S.pa.RecordBatch.from_arrays([S.pa.array(ids, S.pa.int64()), S.pa.array(texts), S.pa.array(ids, S.pa.int64()),
+                                          S.pa.array([0] * len(ids), S.pa.int64())], ["doc_id", "text", "row_key", "chunk"])
+    return S.pa.Table.from_batches(list(S._pack([batch])))
+
+
+def sent(*chunks):
+    """Bytes of text that each of the chunks sends to a single bucket."""
+    key = lambda i: (S.pa.scalar(i, S.pa.int64()),)
+    anchors = S.pa.concat_tables([S._emit_anchors(1, 50, 16)(key(i), packed(c)) for i, c in enumerate(chunks)])
+    marks = S._mark_shared(None, 10 ** 6)(anchors)
+    out = []
+    for i, c in enumerate(chunks):
+        mine = marks.filter(S.pa.compute.equal(marks["chunk"], i))
+        rows = S._emit_contexts(1, 50, 16)(key(i), packed(c), mine)
+        out.append(len(S._contexts(rows)[0]) if rows.num_rows else 0)
+    return out
+
+
+def test_strings_that_are_met_by_chance_send_no_text():
+    import pyarrow.compute  # noqa: F401
+    rng = random.Random(6)
+    own = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(34))
+    phrases = ["".join(rng.choice("qrstuvwxyz ") for _ in range(30)) for _ in range(20)]
+    text = lambda: "".join(own() + rng.choice(phrases) for _ in range(200))
+    a, b = text(), text()
+    shared = {a[i:i + 16] for i in range(len(a) - 15)} & {b[i:i + 16] for i in range(len(b) - 15)}
+    assert len(shared) > 200  # anchors are met again, windows are not
+    assert sent([(1, a)], [(2, b)]) == [0, 0]
+    passage = own() + own() + own()
+    found = sent([(1, a + passage)], [(2, passage + b)])
+    assert 2 * len(passage) < min(found) and max(found) < 6 * len(passage)
+
+
+def test_an_anchor_is_not_hot_because_many_chunks_have_it():
+    n = 3_000
+    blob = np.array([7], "<u4").tobytes()
+    table = S.pa.table({"bucket": [0] * n, "chunk": list(range(n)), "anchors": [blob] * n,
+                        "loads": [np.array([1], "<u2").tobytes()] * n})
+    marks = lambda load: set(S._mark_shared(None, load)(table).column("hot").to_pylist())
+    assert marks(n) == {b"\x00"} and marks(n - 1) == {b"\x80"}
+
+
+def test_the_keys_of_an_anchor_are_hot_together():
+    values = (np.array([5, 5, 6], np.uint64) << np.uint64(20)) | np.array([1, 2, 3], np.uint64)
+    table = S.pa.table({"bucket": [0, 0], "chunk": [0, 1], "anchors": [values.astype("<u4").tobytes()] * 2,
+                        "loads": [np.array([30, 30, 40], "<u2").tobytes()] * 2})
+    hot = lambda load: list(np.unpackbits(np.frombuffer(S._mark_shared(None, load)(table).column("hot")[0].as_py(), np.uint8))[:3])
+    assert hot(100) == [1, 1, 0] and hot(120) == [0, 0, 0]
+
+
+def test_a_bucket_in_lots(spark, docs_of):
+    docs = some_docs()
+    assert result(docs_of(docs), lot_bytes=700) == brute(docs)
+
+
+def test_a_run_that_segments_cut(monkeypatch):
+    monkeypatch.setattr(S, "_SEGMENT", 7)
+    docs = [(i, t) for i, t in some_docs()[:40] if i is not None and t]
+    chunk = S._Chunk(packed(docs))
+    anchor, key, text, at, first, last, doc = chunk.runs(blocks.Powers(), 50, 16)
+    seen = sorted((int(d), w) for d, a, b in zip(doc, first, last) for w in range(a, b + 1))
+    starts = chunk.offsets
+    assert seen == sorted((d, w) for d in range(len(starts) - 1) for w in range(starts[d], starts[d + 1] - 49))
+    assert sum(sent(docs)) > 0
