@@ -19,6 +19,7 @@ from ..operators import clean as C
 from ..operators import names as NM
 from ..session import scratch_path
 from ..sources import csv as CSV
+from ..sources import files as FS
 from ..sources import store as ST
 from ..sources.adapter import city_dimension, raw_observations, with_views
 from ..streaming import ingest as IN
@@ -194,9 +195,11 @@ def import_latest_result(spark, sf_dir):
     root = scratch_path(spark, "import")
     table = os.path.join(root, "table")
     raw = raw_observations(spark, sf_dir)
-    CSV.write_csv(raw, os.path.join(root, "raw"))  # the newest import is a folder of part files
-    CSV.write_csv(raw.withColumn("DATE", F.lit("no date")), os.path.join(root, "bad"))
+    # The newest import is a folder of part files; as plain text it would be several times the tables.
+    CSV.write_csv(raw, os.path.join(root, "raw"), compressed=True)
     done = ST.import_latest(spark, os.path.join(root, "raw"), table, CLEAN_FLOOR, os.path.join(root, "clean"))
+    FS.delete(spark, os.path.join(root, "raw"))  # taken in
+    CSV.write_csv(raw.withColumn("DATE", F.lit("no date")), os.path.join(root, "bad"), compressed=True)
     empty = ST.import_latest(spark, os.path.join(root, "bad"), table, CLEAN_FLOOR, os.path.join(root, "clean-bad"))
     stored = ST.WriteResult(True, ST.read_observations(spark, table).count(), "")
     return _statuses(spark, [("import", done), ("empty", empty), ("stored", stored)])

@@ -23,13 +23,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _SUPPLIER_COLS = ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"]
 
 
-def _station_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """supplier ⋈ nation ⋈ region, one row per station."""
+def _geo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """nation ⋈ region."""
     region = read_table(spark, sf_dir, "region").select("r_regionkey", "r_name")
     nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    return nation.join(sized_broadcast(region), F.col("n_regionkey") == F.col("r_regionkey"))
+
+
+def _station_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """supplier ⋈ nation ⋈ region, one row per station."""
     supplier = read_table(spark, sf_dir, "supplier").select(*_SUPPLIER_COLS)
-    geo = nation.join(sized_broadcast(region), F.col("n_regionkey") == F.col("r_regionkey"))
-    return supplier.join(sized_broadcast(geo), F.col("s_nationkey") == F.col("n_nationkey"))
+    return supplier.join(sized_broadcast(_geo(spark, sf_dir)), F.col("s_nationkey") == F.col("n_nationkey"))
 
 
 def _joined(spark: SparkSession, sf_dir: str, columns: list[str], station: str | None = None) -> DataFrame:
@@ -113,8 +117,13 @@ def _raw_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     pk = F.col("l_partkey")
     qty = F.col("l_quantity")
     txt_int = lambda c: c.cast("int").cast("string")
-    j = _joined(spark, sf_dir, ["l_suppkey", "l_partkey", "l_linenumber", "l_quantity",
-                                "l_extendedprice", "l_shipdate"])
+    lineitem = read_table(spark, sf_dir, "lineitem").select(
+        "l_suppkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_shipdate")
+    # Two joins in place of one with the widened dimension: the supplier's own columns
+    # are few, so that many more rows of them are broadcast before line items are shuffled.
+    supplier = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
+    j = (lineitem.join(sized_broadcast(supplier, rows_of=supplier), F.col("l_suppkey") == F.col("s_suppkey"))
+         .join(sized_broadcast(_geo(spark, sf_dir)), F.col("s_nationkey") == F.col("n_nationkey")))
     return j.select(
         F.when(pk % 7 == 0, F.concat(F.lit("  "), F.col("s_name"), F.lit(" ")))
          .otherwise(F.col("s_name")).alias("STATION"),

@@ -27,6 +27,10 @@ READ_OPTIONS = {"header": "true", "mode": "PERMISSIVE", "multiLine": "false",
                 "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 WRITE_OPTIONS = {"header": "true", "ignoreLeadingWhiteSpace": "false",
                  "ignoreTrailingWhiteSpace": "false"}
+#: Names of CSV files, plain or compressed.
+SUFFIXES = (".csv", ".csv.gz")
+#: A compressed file cannot be split by its readers, so it holds so many rows at most.
+COMPRESSED_OPTIONS = {"compression": "gzip", "maxRecordsPerFile": "500000"}
 
 
 def parse_header(line: str | None) -> list[str]:
@@ -107,12 +111,13 @@ def read_raw_files(spark: SparkSession, paths: list[str]) -> DataFrame | None:
 
 def read_raw_dir(spark: SparkSession, pattern: str) -> DataFrame | None:
     """All CSV files of a directory (or glob) as one all-text frame (S3)."""
-    return read_raw_files(spark, [f.path for f in FS.list_files(spark, pattern, ".csv") if f.size > 0])
+    return read_raw_files(spark, [f.path for f in FS.list_files(spark, pattern, SUFFIXES) if f.size > 0])
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Write a frame as CSV files with a header."""
-    df.write.mode(mode).options(**WRITE_OPTIONS).csv(path)
+def write_csv(df: DataFrame, path: str, mode: str = "overwrite", compressed: bool = False) -> None:
+    """Write a frame as CSV files with a header (S6), plain or ``.csv.gz``."""
+    options = {**WRITE_OPTIONS, **(COMPRESSED_OPTIONS if compressed else {})}
+    df.write.mode(mode).options(**options).csv(path)
 
 
 def read_clean_dir(spark: SparkSession, pattern: str,
@@ -139,7 +144,7 @@ def latest_csv(spark: SparkSession, pattern: str) -> str | None:
     Spark lists the files; their contents are not read.
     """
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "false").option(
-        "pathGlobFilter", "*.csv").load(pattern).select("path", "modificationTime")
+        "pathGlobFilter", "*.{csv,csv.gz}").load(pattern).select("path", "modificationTime")
     return listed.agg(F.max_by("path", F.struct("modificationTime", "path"))).first()[0]
 
 
@@ -152,7 +157,7 @@ def latest_import(spark: SparkSession, pattern: str) -> list[str]:
     folder = newest.rsplit("/", 1)[0]
     if not FS.exists(spark, f"{folder}/_SUCCESS"):
         return [newest]
-    return [f.path for f in FS.list_files(spark, folder, ".csv") if f.size > 0]
+    return [f.path for f in FS.list_files(spark, folder, SUFFIXES) if f.size > 0]
 
 
 def file_manifest(df: DataFrame) -> DataFrame:

@@ -52,8 +52,8 @@ def rename(spark: SparkSession, source: str, target: str) -> None:
         raise OSError(f"cannot move {source} to {target}")
 
 
-def list_files(spark: SparkSession, pattern: str, suffix: str = ".csv") -> list[FileInfo]:
-    """Files matching a directory or glob pattern, ending with ``suffix``.
+def list_files(spark: SparkSession, pattern: str, suffix: str | tuple[str, ...] = ".csv") -> list[FileInfo]:
+    """Files matching a directory or glob pattern, ending with ``suffix`` (or one of them).
 
     A directory lists its direct children; a pattern such as ``dir/*/*.csv``
     is expanded by the file system.
@@ -84,10 +84,14 @@ def list_folders(spark: SparkSession, pattern: str) -> list[str]:
 
 
 def read_first_line(spark: SparkSession, path: str) -> str | None:
-    """First text line of a file (a CSV header), read by the driver."""
+    """First text line of a file (a CSV header), plain or compressed, read by the driver."""
     fs, hpath, jvm = _fs_and_path(spark, path)
+    codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(
+        spark.sparkContext._jsc.hadoopConfiguration()).getCodec(hpath)
     stream = fs.open(hpath)
     try:
+        if codec is not None:
+            stream = codec.createInputStream(stream)
         reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
         line = reader.readLine()
         reader.close()

@@ -392,8 +392,8 @@ def rebuild_from_clean_files(spark: SparkSession, clean_pattern: str, path: str,
 def import_latest(spark: SparkSession, raw_pattern: str, path: str, floor=None,
                   clean_out: str | None = None) -> WriteResult:
     """Clean the newest raw import, one file or a folder of part files, and
-    append it (S10); optionally keep the cleaned copy as CSV (S6). Writes
-    nothing when cleaning yields no rows."""
+    append it (S10); optionally keep the cleaned copy as CSV (S6), compressed
+    when the import is. Writes nothing when cleaning yields no rows."""
     from ..operators.clean import clean_observations, missing_required
     csvmod = _csv()
     latest = csvmod.latest_import(spark, raw_pattern)
@@ -406,14 +406,22 @@ def import_latest(spark: SparkSession, raw_pattern: str, path: str, floor=None,
     if clean_out:
         # One pass cleans, counts and writes; the copy takes its place only when it holds rows.
         kept, fresh = Observation("cleaned"), f"{clean_out.rstrip('/')}.new-{uuid.uuid4().hex}"
-        csvmod.write_csv(clean.observe(kept, F.count(F.lit(1)).alias("rows")), fresh)
+        csvmod.write_csv(clean.observe(kept, F.count(F.lit(1)).alias("rows")), fresh, compressed=latest[0].endswith(".gz"))
         if not kept.get.get("rows", 0):
             FS.delete(spark, fresh)
             return _imported(0)
         FS.delete(spark, clean_out)
         FS.rename(spark, fresh, clean_out)
         clean = csvmod.read_clean_dir(spark, clean_out)
-    return append_observations(clean, path, floor)
+    return append_observations(_stations_together(clean), path, floor)
+
+
+def _stations_together(rows: DataFrame) -> DataFrame:
+    """The rows of each partition by station: rows that are alike lie together in
+    the shuffle's files, which compress the better. The non-deterministic column
+    is an optimizer barrier: a sort below a rebalance would be taken out."""
+    return (rows.sortWithinPartitions("NAME", "DATE").withColumn("_barrier", F.spark_partition_id())
+            .filter("_barrier >= 0").drop("_barrier"))
 
 
 def _csv():

@@ -473,3 +473,61 @@ def test_an_import_cleans_once_and_keeps_the_old_copy_when_no_row_counts(spark,
     done = ST.import_latest(spark, raw, table, "1990-01-01", clean)
     assert (done.ok, done.rows) == (False, 0)
     assert sorted(os.listdir(clean)) == before and sorted(os.listdir(tmp_path)) == ["clean", "raw", "t"]
+
+
+def test_import_of_compressed_files(spark, tmp_path):
+    """Raw ``.csv.gz`` files are imported whole; the clean copy is compressed too and can be rebuilt from."""
+    raw, clean, table = (str(tmp_path / x) for x in ("raw", "clean", "t"))
+    rows = spark.range(40).selectExpr(
+        "concat('S', id % 7) as STATION", "date_add(date'2020-01-01', cast(id * 20 as int)) as DATE", "'1' as LATITUDE",
+        "'2' as LONGITUDE", "'3' as ELEVATION", "if(id % 5 = 0, '', 'N') as NAME", "cast(id as string) as TMAX")
+    CSV.write_csv(rows.repartition(3), raw, compressed=True)
+    files = [f for f in os.listdir(raw) if not f.startswith((".", "_"))]
+    assert len(files) == 3 and all(f.endswith(".csv.gz") for f in files)
+    assert ST.import_latest(spark, raw, table, clean_out=clean).rows == 40
+    assert all(f.endswith(".csv.gz") for f in os.listdir(clean) if f.startswith("part-"))
+    got = ST.read_observations(spark, table).select("STATION", "DATE", "NAME", "TMAX").collect()
+    want = [(f"S{i % 7}", dt.date(2020, 1, 1) + dt.timedelta(20 * i), None if i % 5 == 0 else "N", float(i)) for i in range(40)]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+    assert ST.rebuild_from_clean_files(spark, clean, table).rows == 40
+    assert ST.read_observations(spark, table).count() == 40
+
+
+def test_compressed_files_hold_bounded_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setitem(CSV.COMPRESSED_OPTIONS, "maxRecordsPerFile", "10")
+    CSV.write_csv(spark.range(0, 35, 1, 1), str(tmp_path / "x"), compressed=True)
+    assert len(CSV.latest_import(spark, str(tmp_path / "x"))) == 4
+    assert CSV.read_raw_dir(spark, str(tmp_path / "x")).count() == 35
+
+
+def test_import_stages_less_than_its_text(spark, sf_small, monkeypatch):
+    """The raw files are gone when the second ones are made, and none is plain text."""
+    import __spark_entry__
+    from stratus.plans import queries_io
+    seen = []
+    write = CSV.write_csv
+
+    def spy(df, path, *args, **options):
+        write(df, path, *args, **options)
+        root = os.path.dirname(path.replace("file:", ""))
+        seen.append({d: [f for f in os.listdir(os.path.join(root, d)) if f.startswith("part-")]
+                     for d in os.listdir(root) if d in ("raw", "bad")})
+    monkeypatch.setattr(queries_io.CSV, "write_csv", spy)
+    out = {r.STEP: (r.OK, r.ROWS) for r in __spark_entry__.queries()["import_latest_result"](spark, sf_small).collect()}
+    assert out["import"] == out["stored"] and out["import"][1] > 0 and out["empty"] == (False, 0)
+    assert {"raw"} in [set(x) for x in seen] and {"bad"} in [set(x) for x in seen]
+    assert not any({"raw", "bad"} <= set(x) for x in seen)
+    assert all(f.endswith(".csv.gz") for x in seen for files in x.values() for f in files)
+
+
+def test_raw_rows_of_many_stations_are_not_shuffled(spark, sf_small, tmp_path):
+    from stratus.sources.adapter import raw_observations
+    for name in ("nation", "region", "lineitem"):
+        spark.read.parquet(f"{sf_small}/{name}.parquet").write.parquet(str(tmp_path / f"{name}.parquet"))
+    spark.range(400_000).selectExpr("id as s_suppkey", "concat('Supplier#', lpad(id, 9, '0')) as s_name",
+                                    "cast(id % 25 as int) as s_nationkey", "1.0d as s_acctbal").write.parquet(
+        str(tmp_path / "supplier.parquet"))
+    raw = raw_observations(spark, str(tmp_path))
+    plan = raw._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+    assert raw.count() == spark.read.parquet(str(tmp_path / "lineitem.parquet")).count()
